@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import ANCHOR, SPACE, collapse, strip
+from lectern.functions.text import ANCHOR, SPACE, collapse, lstrip, rstrip, strip
 
 # Patterns of captions, page anchors, tables and formulas.
 FIGURE_CAPTION = r"(?is)^\s*(?:fig(?:ure)?\.?)\s*(\d+[A-Za-z]?)\s*[:.]\s*(.+)"
@@ -179,7 +179,7 @@ def figure_image(caption: Column, page: Column, path: Column) -> Column:
     text = F.regexp_replace(F.coalesce(F.when(caption != "", caption), F.concat(F.lit("Figure on page "), page.cast("string"))), r"[\[\]\r\n]+", " ")
     number = F.regexp_extract(text, FIGURE_CAPTION, 1)
     alt = collapse(F.when(number != "", F.concat(F.lit("Figure "), number, F.lit(": "), F.regexp_extract(text, FIGURE_CAPTION, 2))).otherwise(text))
-    short = F.when(F.length(alt) > 180, F.concat(F.regexp_replace(F.left(alt, F.lit(177)), rf"{SPACE}+$", ""), F.lit("..."))).otherwise(alt)
+    short = F.when(F.length(alt) > 180, F.concat(rstrip(F.left(alt, F.lit(177))), F.lit("..."))).otherwise(alt)
     return F.concat(F.lit("!["), short, F.lit("]("), path, F.lit(")"))
 
 
@@ -196,7 +196,7 @@ def embed_figures(markdown: Column, figures: Column) -> Column:
         at = F.when(number != "", F.regexp_instr(acc, pattern)).otherwise(F.lit(0))
         # A zero-width hit is found through the text that follows the line start.
         placed = F.concat(F.substring(acc, F.lit(1), at - 1), image, F.lit("\n\n"), F.substring(acc, at, F.lit(2_000_000_000)))
-        appended = F.concat(F.regexp_replace(acc, rf"{SPACE}+$", ""), F.lit("\n\n"), image)
+        appended = F.concat(rstrip(acc), F.lit("\n\n"), image)
         return F.when(F.contains(acc, image), acc).when(at > 0, placed).otherwise(appended)
 
     return F.aggregate(figures, markdown, put)
@@ -213,11 +213,10 @@ def insert_table(markdown: Column, caption: Column, table: Column) -> Column:
     stop = F.regexp_instr(tail, F.lit(r"(?m)^\s*(?:#{1,6}\s+|\d+(?:\.\d+)*[.)]?\s+[A-Z][A-Za-z])"))
     flat = F.regexp_count(F.substring(tail, F.lit(1), stop - 1), F.lit(r"\d+(?:\.\d+)?"))
     rest = F.when((stop > 0) & (flat >= 8), F.substring(tail, stop, F.lit(2_000_000_000))).otherwise(tail)
-    right = rf"{SPACE}+$"
-    appended = F.concat(F.regexp_replace(markdown, right, ""), F.lit("\n\n"), strip(table))
+    appended = F.concat(rstrip(markdown), F.lit("\n\n"), strip(table))
     placed = F.concat(
-        F.regexp_replace(F.substring(markdown, F.lit(1), end - 1), right, ""), F.lit("\n\n"), strip(table), F.lit("\n\n"),
-        F.regexp_replace(rest, rf"^{SPACE}+", ""),
+        rstrip(F.substring(markdown, F.lit(1), end - 1)), F.lit("\n\n"), strip(table), F.lit("\n\n"),
+        lstrip(rest),
     )
     return F.when(markdown.rlike(GFM_TABLE), markdown).when(at > 0, placed).otherwise(appended)
 

@@ -26,9 +26,22 @@ SECTION_NAMES = [
 ANCHOR = r"(?i)<a\b[^>]*\bdata-block-id=(?:\"[^\"]+\"|'[^']+')[^>]*>\s*</a>"
 
 
+SPACE_CHARACTERS = (
+    " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+
 def strip(value: Column) -> Column:
-    """Trim any whitespace on both sides."""
-    return F.regexp_replace(value, rf"^{SPACE}+|{SPACE}+$", "")
+    """Trim any whitespace on both sides; looks at the ends only."""
+    return F.btrim(value, F.lit(SPACE_CHARACTERS))
+
+
+def rstrip(value: Column) -> Column:
+    return F.rtrim(value, F.lit(SPACE_CHARACTERS))
+
+
+def lstrip(value: Column) -> Column:
+    return F.ltrim(value, F.lit(SPACE_CHARACTERS))
 
 
 def collapse(value: Column) -> Column:
@@ -82,8 +95,8 @@ def clean_extracted(value: Column, compose: bool = True) -> Column:
     plain = F.regexp_replace(glyphs, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
     kept = "|".join(KEPT_HYPHEN)
     # A lone newline after a kept hyphen goes; any other wrapped word loses its hyphen too.
-    joined = F.regexp_replace(plain, rf"\b((?i:{kept}))-\r?\n([a-z]{{2,}})\b", "$1-$2")
-    return F.regexp_replace(joined, r"\b([A-Za-z]{2,})-\r?\n([a-z]{2,})\b", "$1$2")
+    joined = F.regexp_replace(plain, rf"(?U)\b((?i:{kept}))-\r?\n([a-z]{{2,}})\b", "$1-$2")
+    return F.regexp_replace(joined, r"(?U)\b([A-Za-z]{2,})-\r?\n([a-z]{2,})\b", "$1$2")
 
 
 def clean_heading(value: Column) -> Column:

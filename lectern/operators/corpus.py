@@ -12,21 +12,23 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.segments import blocks as block_texts
 from lectern.functions.segments import compact_blocks
+from lectern.session import checkpointed
 from lectern.skew import assemble_text, first_rows, running
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-BLOCK = 1024
+BLOCK = 8192
 
 
 def coarse(position: str) -> list[Column]:
-    """Two levels of blocks over an integer position."""
-    return [F.floor(F.col(position) / BLOCK).alias("_b1"), F.floor(F.col(position) / (BLOCK * BLOCK)).alias("_b2")]
+    """Blocks over an integer position: 8192 positions each, so the summary of even ten
+    billion rows of one key is about a million rows."""
+    return [F.floor(F.col(position) / BLOCK).alias("_block")]
 
 
 def running_by(df: DataFrame, keys: list[str], order: list[str], values: dict, inclusive: bool = True) -> DataFrame:
     """``running`` with blocks over the first order column, an integer."""
     blocked = df.select("*", *coarse(order[0]))
-    return running(blocked, keys, order, ["_b1", "_b2"], values, inclusive).drop("_b1", "_b2")
+    return running(blocked, keys, order, ["_block"], values, inclusive).drop("_block")
 
 
 def exact_duplicates(files: DataFrame, digest: str = "sha256", item: str = "id", order: str = "created_at") -> DataFrame:
@@ -100,64 +102,80 @@ def remove_margins(pages: DataFrame, paper: str = "paper_id", page: str = "page"
 
 # ---------------------------------------------------------------------------- sections
 
-def heading_lines(pages: DataFrame, reader: bool = False) -> DataFrame:
-    """Every line with its heading, weak headings seen on several pages dropped.
+def heading_rows(pages: DataFrame, reader: bool = False) -> DataFrame:
+    """Heading lines ``(paper_id, page, line_no, title, level, strong)`` with their section.
 
-    ``reader`` knows strong headings only.
+    ``section_no`` and ``piece`` count openings and headings up to the line; a weak heading
+    seen on several pages is ``suppressed``.  ``reader`` knows strong headings only.
+    Headings are few, so they are checkpointed: texts are classified once.
     """
     plain = F.regexp_replace("text", T.ANCHOR, "")
     lines = pages.select("paper_id", "page", F.posexplode(F.split(plain, LINE_BREAK)).alias("line_no", "line"))
-    lines = lines.withColumn("h", T.heading(F.col("line")))
+    found = lines.withColumn("h", T.heading(F.col("line"))).where("h is not null").select("paper_id", "page", "line_no", "h.title", "h.level", "h.strong")
     if reader:
-        return lines.withColumn("h", F.when(F.col("h.strong"), F.col("h")))
-    weak = F.col("h").isNotNull() & ~F.col("h.strong")
-    keyed = lines.where(weak).withColumn("_key", T.fold(F.col("h.title")))
-    repeated = keyed.groupBy("paper_id", "_key").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b")
-    kept = keyed.join(repeated, ["paper_id", "_key"], "left_anti").drop("_key")
-    return lines.where(~weak).unionByName(kept)
+        found = found.where("strong")
+    found = checkpointed(found)
+    weak = found.where("not strong").withColumn("_key", T.fold(F.col("title")))
+    repeated = weak.groupBy("paper_id", "_key").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b")
+    dropped = weak.join(repeated, ["paper_id", "_key"], "left_semi").drop("_key").withColumn("suppressed", F.lit(True))
+    kept = found.join(dropped.select("paper_id", "page", "line_no"), ["paper_id", "page", "line_no"], "left_anti")
+    seen = checkpointed(running_by(kept, ["paper_id"], ["page", "line_no"], {"_previous": ("last", F.col("title"))}, inclusive=False))
+    same = T.fold(F.col("title")) == T.fold(F.coalesce(F.col("_previous"), F.lit("Overview")))
+    # A repeated title continues its section; when re-reading page sections it opens a new one.
+    opened = seen.withColumn("opens", F.lit(1) if reader else F.when(same, 0).otherwise(1)).drop("_previous")
+    counted = running_by(opened, ["paper_id"], ["page", "line_no"], {"section_no": ("sum", F.col("opens")), "piece": ("sum", F.lit(1))})
+    return checkpointed(counted.withColumn("suppressed", F.lit(False)).unionByName(dropped, allowMissingColumns=True))
 
 
 def section_chunks(pages: DataFrame, reader: bool = False) -> DataFrame:
-    """``(paper_id, section_no, page, title, level, body)``: the text of a section per page."""
-    lines = heading_lines(pages, reader)
-    is_heading = F.col("h").isNotNull()
-    heads = lines.where(is_heading).select("paper_id", "page", "line_no", F.col("h.title").alias("title"), F.col("h.level").alias("level"))
-    heads = running_by(heads, ["paper_id"], ["page", "line_no"], {"_previous": ("last", F.col("title"))}, inclusive=False)
-    same = T.fold(F.col("title")) == T.fold(F.coalesce(F.col("_previous"), F.lit("Overview")))
-    # A repeated title continues its section; when re-reading page sections it opens a new one.
-    heads = heads.withColumn("opens", F.lit(1) if reader else F.when(same, 0).otherwise(1)).drop("_previous")
+    """``(paper_id, section_no, page, title, level, body)``: the text of a section per page.
 
-    body = lines.where(~is_heading).select("paper_id", "page", "line_no", "line")
-    merged = body.unionByName(heads, allowMissingColumns=True)
-    placed = running_by(
-        merged, ["paper_id"], ["page", "line_no"],
-        {"section_no": ("sum", F.coalesce(F.col("opens"), F.lit(0))), "piece": ("sum", F.when(F.col("opens").isNotNull(), 1).otherwise(0))},
-    )
-    texts = placed.where(F.col("opens").isNull())
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    pieces = texts.groupBy("paper_id", "section_no", "page", "piece").agg(
-        T.strip(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")).alias("body")
-    ).where("body <> ''")
-    joined = F.array_sort(F.collect_list(F.struct("piece", "body")))
-    chunks = pieces.groupBy("paper_id", "section_no", "page").agg(F.array_join(F.transform(joined, lambda r: r["body"]), "\n").alias("body"))
-
-    starts = placed.where(F.col("opens") == 1).select("paper_id", "section_no", "title", "level")
-    has_headings = starts.select("paper_id").distinct().withColumn("_headed", F.lit(True))
-    named = chunks.join(starts, ["paper_id", "section_no"], "left").join(has_headings, "paper_id", "left")
+    Texts meet the headings of their page once, by (paper, page), and are cut in place.
+    """
+    heads = heading_rows(pages, reader)
+    key = ["paper_id", "page"]
+    marks = F.array_sort(F.collect_list(F.struct("line_no", "suppressed", "section_no", "piece")))
+    per_page = heads.groupBy(*key).agg(marks.alias("_marks"), F.max("section_no").alias("_s"), F.max("piece").alias("_p"))
+    reached = pages.select(*key).join(per_page.select(*key, "_s", "_p"), key, "left")
+    carried = running_by(reached, ["paper_id"], ["page"], {"_s0": ("max", F.col("_s")), "_p0": ("max", F.col("_p"))}, inclusive=False)
+    carried = carried.select(*key, F.coalesce("_s0", F.lit(0)).alias("_s0"), F.coalesce("_p0", F.lit(0)).alias("_p0"))
+    joined = pages.select(*key, "text").join(per_page.select(*key, "_marks"), key, "left").join(carried, key)
+    joined = joined.withColumn("_lines", F.split(F.regexp_replace("text", T.ANCHOR, ""), LINE_BREAK))
+    marks_or_none = F.coalesce(F.col("_marks"), F.array().cast(heads_type()))
+    joined = joined.withColumn("_hidden", F.transform(F.filter(marks_or_none, lambda m: m["suppressed"]), lambda m: m["line_no"]))
+    first = F.array(F.struct(F.lit(-1).alias("line_no"), F.lit(False).alias("suppressed"), F.col("_s0").cast("long").alias("section_no"), F.col("_p0").cast("long").alias("piece")))
+    joined = joined.withColumn("_starts", F.concat(first, F.filter(marks_or_none, lambda m: ~m["suppressed"])))
+    ends = F.concat(F.transform(F.slice("_starts", F.lit(2), F.size("_starts")), lambda m: m["line_no"]), F.array(F.size("_lines")))
+
+    def cut(start: Column, end: Column) -> Column:
+        inside = F.slice(F.col("_lines"), start["line_no"] + 2, end - start["line_no"] - 1)
+        shown = F.filter(inside, lambda _, i: ~F.array_contains(F.col("_hidden"), i + start["line_no"] + 1))
+        return F.struct(start["section_no"].alias("section_no"), start["piece"].alias("piece"), T.strip(F.array_join(shown, "\n")).alias("body"))
+
+    pieces = joined.select(*key, F.explode(F.zip_with("_starts", ends, cut)).alias("c")).select(*key, "c.*").where("body <> ''")
+    bodies = F.array_sort(F.collect_list(F.struct("piece", "body")))
+    chunks = pieces.groupBy("paper_id", "section_no", "page").agg(F.array_join(F.transform(bodies, lambda r: r["body"]), "\n").alias("body"))
+    starts = heads.where("opens = 1").select("paper_id", "section_no", "title", "level")
+    headed = starts.select("paper_id").distinct().withColumn("_headed", F.lit(True))
+    named = chunks.join(starts, ["paper_id", "section_no"], "left").join(headed, "paper_id", "left")
     fallback = F.when(F.col("_headed"), F.lit("Overview")).otherwise(F.lit("Document"))
     return named.select(
         "paper_id", "section_no", "page", F.coalesce("title", fallback).alias("title"), F.coalesce("level", F.lit(1)).alias("level"), "body"
     )
 
 
+def heads_type() -> str:
+    return "array<struct<line_no:int,suppressed:boolean,section_no:bigint,piece:bigint>>"
+
+
 def sections(chunks: DataFrame) -> DataFrame:
     """One row per section in document order with a unique slug."""
     rows = chunks.groupBy("paper_id", "section_no").agg(
         F.first("title").alias("title"), F.first("level").alias("level"),
         F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count(F.lit(1)).alias("n_chunks"),
     )
-    rows = running_by(rows, ["paper_id"], ["section_no"], {"ord": ("sum", F.lit(1))}, inclusive=False)
-    return with_unique_slugs(rows, "title", "ord").drop("section_no_")
+    rows = checkpointed(running_by(rows, ["paper_id"], ["section_no"], {"ord": ("sum", F.lit(1))}, inclusive=False))
+    return with_unique_slugs(rows, "title", "ord")
 
 
 def with_unique_slugs(rows: DataFrame, title: str, order: str) -> DataFrame:
@@ -187,7 +205,7 @@ def anchored_markdown(anchor_rows: DataFrame) -> Column:
 def document_text(anchor_rows: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
     """Whole text of every paper in section order, in parts of bounded size."""
     rows = anchor_rows.where(T.strip(F.col("body")) != "").select("*", *coarse("ord"))
-    return assemble_text(rows, ["paper_id"], ["ord", "page"], ["_b1", "_b2"], "body", part_chars=part_chars)
+    return assemble_text(rows, ["paper_id"], ["ord", "page"], ["_block"], "body", part_chars=part_chars)
 
 
 # ------------------------------------------------------------------------------ blocks

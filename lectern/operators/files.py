@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.skew import first_rows, number_rows
+from lectern.skew import first_rows, range_blocks, running
 
 
 def changed_files(listing: DataFrame, known: DataFrame) -> DataFrame:
@@ -24,9 +24,8 @@ def reconcile(listing: DataFrame, known: DataFrame) -> DataFrame:
     elsewhere, or bytes seen earlier in this listing), new, and for known files superseded
     (other bytes at its path) and missing.
 
-    New paths of a content take its gone files in path order.  Numbering uses range partitions,
-    so a content with very many copies is not ranked in one task.  A superseded file frees its
-    content for paths after its own.
+    New paths of a content take its gone files in path order.  Counting uses range partitions,
+    so a content with very many copies is not ranked in one task.
     """
     k = known.select(F.col("id").alias("file_id"), "paper_id", F.col("path").alias("k_path"), F.col("sha256").alias("k_sha"), F.col("size_bytes").alias("k_size"),
                      F.col("modified_at_ns").alias("k_time"), "is_missing", "created_at")
@@ -62,16 +61,27 @@ def reconcile(listing: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _match_moves(arrivals: DataFrame, movable: DataFrame) -> DataFrame:
-    """Pair new paths with gone files of the same bytes, first with first.
+    """Pair new paths with gone files of the same bytes, in path order.
 
-    Only contents on both sides are numbered.  Files freed during the listing become available
-    at their own path: they are offered after the files gone from the start and only to
-    later paths.
+    A gone file is free from the start, a superseded one from its own path on.  Walking the
+    paths, an arrival finds a free file unless arrivals outnumber free files more than ever
+    before; so it is matched exactly when the running maximum of that excess does not grow.
+    Matched arrivals take files in the order they became free, then by creation.
     """
     shared = arrivals.select("sha256").distinct().join(movable.select("sha256").distinct(), "sha256")
-    a = number_rows(arrivals.join(shared, "sha256", "left_semi"), ["sha256"], ["path"], "n")
-    m = number_rows(movable.join(shared, "sha256", "left_semi"), ["sha256"], ["free_from", "created_at", "file_id"], "n")
-    return a.join(m.withColumnRenamed("sha256", "_h"), (a["sha256"] == F.col("_h")) & (a["n"] == m["n"])).where("path > free_from").drop("_h").select("path", "sha256", "file_id", "paper_id")
+    a = arrivals.join(shared, "sha256", "left_semi").select("sha256", F.col("path").alias("at"), F.lit(1).alias("arrives"), "path")
+    m = movable.join(shared, "sha256", "left_semi").select("sha256", F.col("free_from").alias("at"), F.lit(0).alias("arrives"), "created_at", "file_id", "paper_id")
+    walk = range_blocks(a.unionByName(m, allowMissingColumns=True), ["sha256"], ["at", "arrives", "created_at", "file_id"])
+    order, block = ["at", "arrives", "created_at", "file_id"], ["_range"]
+    counted = running(walk, ["sha256"], order, block, {"_in": ("sum", F.col("arrives")), "_free": ("sum", 1 - F.col("arrives"))})
+    excess = F.when(F.col("arrives") == 1, F.greatest(F.col("_in") - F.col("_free"), F.lit(0)))
+    peaked = running(counted, ["sha256"], order, block, {"_peak": ("max", excess)})
+    peaked = peaked.withColumn("_peak", F.coalesce("_peak", F.lit(0)))
+    # An arrival that raises the peak is unmatched; the k-th matched one takes the k-th file.
+    taking = peaked.where("arrives = 1").withColumn("_rank", F.col("_in") - F.col("_peak"))
+    lead = taking.groupBy("sha256", "_rank").agg(F.min("path").alias("path")).where("_rank > 0")
+    files = peaked.where("arrives = 0").select("sha256", F.col("_free").alias("_rank"), "file_id", "paper_id")
+    return lead.join(files, ["sha256", "_rank"]).select("path", "sha256", "file_id", "paper_id")
 
 
 def paper_states(papers: DataFrame, known: DataFrame, changes: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ class CitationGraph:
     summary: DataFrame
 
 
-def _visits(roots: DataFrame, refs: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def _visits(roots: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References in visiting order: the root's own, then those of its direct nodes."""
     keyed = refs.withColumn("key", reference_key(F.col("doi"), F.col("arxiv"), F.col("title")))
-    keyed = keyed.select("paper_id", "pos", "ref_id", "title", "authors", "year", "key", "resolved_id")
+    keyed = checkpointed(keyed.select("paper_id", "pos", "ref_id", "title", "authors", "year", "key", "resolved_id"))
     first = roots.select("root_id").join(keyed, roots["root_id"] == keyed["paper_id"]).drop("paper_id")
     return keyed, first.withColumn("depth", F.lit(1))
 
@@ -51,7 +51,7 @@ def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth
     """
     if max_depth not in (1, 2):
         raise ValueError("max_depth must be 1 or 2")
-    keyed, first = _visits(roots, refs, 1)
+    keyed, first = _visits(roots, refs)
     direct_visits = _node_ids(first.withColumn("dord", F.lit(0).cast("long")))
     direct_all = direct_visits.where(F.col("node_id") != F.col("root_id"))
     direct = direct_all.groupBy("root_id", "node_id").agg(
@@ -73,7 +73,7 @@ def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth
             .join(keyed, F.col("source") == F.col("paper_id")).drop("paper_id").withColumn("depth", F.lit(2))
         )
         both = second.unionByName(first.withColumn("dord", F.lit(0).cast("long")).withColumn("source", F.col("root_id")))
-        visited = _node_ids(both).where("depth = 2")
+        visited = checkpointed(_node_ids(both).where("depth = 2").drop("authors"))
         second_all = visited.where(F.col("node_id") != F.col("source"))
         cites = cites.unionByName(second_all.select("root_id", "source", F.col("node_id").alias("target")))
         fresh = visited.where(F.col("node_id") != F.col("root_id"))
@@ -91,7 +91,7 @@ def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth
     edges = weighted
     for more in relations:
         edges = edges.unionByName(more)
-    edges = edges.withColumn("edge_id", F.concat_ws(":", "relation", "source", "target"))
+    edges = checkpointed(edges).withColumn("edge_id", F.concat_ws(":", "relation", "source", "target"))
 
     root_nodes = roots.select("root_id").join(title_of, F.col("root_id") == F.col("node_id")).select(
         "root_id", "node_id", F.col("paper_title").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(True).alias("resolved"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("dord"))

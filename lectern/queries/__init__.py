@@ -1 +1,32 @@
+"""Queries over the driver tables, each with its DuckDB oracle where SQL can say it."""
 
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+MODULES = ["text", "biblio"]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and, when SQL can express it, its oracle."""
+
+    def register(fn: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} registered twice")
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return register
+
+
+def load_all() -> None:
+    for module in MODULES:
+        importlib.import_module(f"lectern.queries.{module}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def build_session(cpus: int | str = "*", app: str = "lectern", **conf: str) -> S
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -46,6 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably: survives executor loss and cuts the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder once and read it back.
+
+    Cuts the lineage and survives executor loss.  Unlike an eager ``checkpoint()`` it computes
+    the rows once, and the table's size is known to the planner that reads it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -34,9 +34,23 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
 def _local(kind: str, value: Column, window) -> Column:
     if kind == "sum":
         return F.coalesce(F.sum(value).over(window), F.lit(0))
+    if kind == "max":
+        return F.max(value).over(window)
     return F.last(value, ignorenulls=True).over(window)
 
 
+def _total(kind: str, value: Column, position: Column) -> Column:
+    if kind == "sum":
+        return F.sum(value)
+    return F.max(value) if kind == "max" else F.max_by(value, F.when(value.isNotNull(), position))
+
+
+def _combine(kind: str, here: Column, earlier: Column) -> Column:
+    if kind == "sum":
+        return here + F.coalesce(earlier, F.lit(0))
+    return F.greatest(here, earlier) if kind == "max" else F.coalesce(here, earlier)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,7 +59,7 @@ def running(
     values: dict[str, tuple[str, Column]],
     inclusive: bool = True,
 ) -> DataFrame:
-    """Running ``sum`` or ``last`` (nulls skipped) per key in ``order``.
+    """Running ``sum``, ``max`` or ``last`` (nulls skipped) per key in ``order``.
 
     ``blocks`` are columns of ``df``, finest first: each must be non-decreasing in ``order``
     within a key, and each coarser one a function of the finer.  A task sees the rows of one
@@ -64,7 +78,7 @@ def running(
     position = F.struct(*order)
     totals = staged.groupBy(*block_keys).agg(
         *[
-            (F.sum(inputs[n]) if kind == "sum" else F.max_by(F.col(inputs[n]), F.when(F.col(inputs[n]).isNotNull(), position))).alias(inputs[n])
+            _total(kind, F.col(inputs[n]), position).alias(inputs[n])
             for n, (kind, _) in values.items()
         ]
     )
@@ -78,19 +92,23 @@ def running(
     out = []
     for name, (kind, _) in values.items():
         here, earlier = F.col(f"_local_{name}"), F.col(before[name])
-        out.append((here + F.coalesce(earlier, F.lit(0)) if kind == "sum" else F.coalesce(here, earlier)).alias(name))
+        out.append(_combine(kind, here, earlier).alias(name))
     return joined.select(*df.columns, *out)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
-    """1-based row number per key, for orders without natural blocks.
+def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with a block column ``_range`` for orders without natural blocks.
 
     Rows are range-partitioned by (key, order) and checkpointed, so a partition number is a
     stable block: it survives executor loss, and a hot key spreads over many partitions.
     """
     ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
-    staged = checkpointed(ranged.withColumn("_range", F.spark_partition_id()))
-    return running(staged, keys, order, ["_range"], {name: ("sum", F.lit(1))}).drop("_range")
+    return checkpointed(ranged.withColumn("_range", F.spark_partition_id()))
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+    """1-based row number per key over ``range_blocks``."""
+    return running(range_blocks(df, keys, order), keys, order, ["_range"], {name: ("sum", F.lit(1))}).drop("_range")
 
 
 def pairs_within(members: DataFrame, group: Sequence[str], item: str, order: str, chunk: int = PAIR_CHUNK) -> DataFrame:
