@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import biblio as B
 from lectern.functions.text import normalize_title, reference_id
 from lectern.operators.corpus import running_by
-from lectern.skew import GRAM, contains_pairs, first_rows
+from lectern.skew import GRAM, contains_pairs, exploded, first_rows
 
 
 def reference_entries(sections: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def reference_entries(sections: DataFrame) -> DataFrame:
     section belongs to the last entry of the list before it.
     """
     tails = sections.select("paper_id", "ord", B.list_tail(F.col("markdown")).alias("tail")).where("tail is not null")
-    pieces = tails.select("paper_id", "ord", F.posexplode(B.list_pieces(F.col("tail"))).alias("piece", "p")).select("paper_id", "ord", "piece", "p.index", "p.body")
+    pieces = exploded(tails, B.list_pieces(F.col("tail")), "p", "paper_id", "ord", pos="piece").select("paper_id", "ord", "piece", "p.index", "p.body")
     entries = pieces.where("piece > 0")
     heads = pieces.where("piece = 0").where(B.raw_entry(F.col("body")) != "")
     last = entries.groupBy("paper_id", "ord").agg(F.max("piece").alias("last_piece"))

@@ -13,7 +13,7 @@ from lectern.functions import text as T
 from lectern.functions.segments import blocks as block_texts
 from lectern.functions.segments import compact_blocks
 from lectern.session import checkpointed
-from lectern.skew import assemble_text, first_rows, running
+from lectern.skew import assemble_text, exploded, first_rows, running
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 BLOCK = 8192
@@ -71,7 +71,7 @@ def remove_margins(pages: DataFrame, paper: str = "paper_id", page: str = "page"
         "_edge", F.array_union(F.slice("_filled", 1, 2), F.slice("_filled", F.greatest(F.size("_filled") - 1, F.lit(1)), F.lit(2)))
     )
     edge_lines = F.filter(F.transform("_edge", lambda i: F.get(F.col("_lines"), i)), margin_candidate)
-    keys = prepared.select(paper, page, F.explode(F.array_distinct(F.transform(edge_lines, line_key))).alias("_key")).where("_key <> ''")
+    keys = exploded(prepared, F.array_distinct(F.transform(edge_lines, line_key)), "_key", paper, page).where("_key <> ''")
 
     sizes = pages.groupBy(paper).agg(F.count(F.lit(1)).alias("_pages"))
     counts = keys.groupBy(paper, "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
@@ -110,7 +110,7 @@ def heading_rows(pages: DataFrame, reader: bool = False) -> DataFrame:
     Headings are few, so they are checkpointed: texts are classified once.
     """
     plain = F.regexp_replace("text", T.ANCHOR, "")
-    lines = pages.select("paper_id", "page", F.posexplode(F.split(plain, LINE_BREAK)).alias("line_no", "line"))
+    lines = exploded(pages, F.split(plain, LINE_BREAK), "line", "paper_id", "page", pos="line_no")
     found = lines.withColumn("h", T.heading(F.col("line"))).where("h is not null").select("paper_id", "page", "line_no", "h.title", "h.level", "h.strong")
     if reader:
         found = found.where("strong")
@@ -152,7 +152,7 @@ def section_chunks(pages: DataFrame, reader: bool = False) -> DataFrame:
         shown = F.filter(inside, lambda _, i: ~F.array_contains(F.col("_hidden"), i + start["line_no"] + 1))
         return F.struct(start["section_no"].alias("section_no"), start["piece"].alias("piece"), T.strip(F.array_join(shown, "\n")).alias("body"))
 
-    pieces = joined.select(*key, F.explode(F.zip_with("_starts", ends, cut)).alias("c")).select(*key, "c.*").where("body <> ''")
+    pieces = exploded(joined, F.zip_with("_starts", ends, cut), "c", *key).select(*key, "c.*").where("body <> ''")
     bodies = F.array_sort(F.collect_list(F.struct("piece", "body")))
     chunks = pieces.groupBy("paper_id", "section_no", "page").agg(F.array_join(F.transform(bodies, lambda r: r["body"]), "\n").alias("body"))
     starts = heads.where("opens = 1").select("paper_id", "section_no", "title", "level")
@@ -214,9 +214,9 @@ def reader_blocks(section_texts: DataFrame, compact: bool = False) -> DataFrame:
     """Paragraph blocks of each section text, optionally with short fragments joined."""
     texts = section_texts.withColumn("_blocks", block_texts(F.col("markdown")))
     if not compact:
-        out = texts.select("paper_id", "section_id", F.posexplode("_blocks").alias("_i", "text"))
+        out = exploded(texts, "_blocks", "text", "paper_id", "section_id", pos="_i")
         return out.select("paper_id", "section_id", F.concat(F.col("section_id"), F.lit(":block-"), (F.col("_i") + 1).cast("string")).alias("block_id"), F.col("_i").alias("ord"), "text")
-    out = texts.select("paper_id", "section_id", F.posexplode(compact_blocks(F.col("_blocks"))).alias("ord", "b"))
+    out = exploded(texts, compact_blocks(F.col("_blocks")), "b", "paper_id", "section_id", pos="ord")
     return out.select(
         "paper_id", "section_id",
         F.concat(F.col("section_id"), F.lit(":block-"), (F.col("b.first") + 1).cast("string")).alias("block_id"),

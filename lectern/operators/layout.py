@@ -49,18 +49,16 @@ def lane_clusters(blocks: DataFrame, gap: float = 38.0, height_ratio: float = 0.
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
-        for lane, rows in pdf.groupby("lane", sort=True):
-            open_region: list | None = None
-            for r in rows.sort_values(["y0", "x0"], kind="stable").itertuples(index=False):
-                near = open_region is not None and r.y0 - open_region[2] <= gap
-                tall = near and max(open_region[2], r.y1) - min(open_region[0], r.y0) > r.page_h * height_ratio
-                if near and not tall:
-                    open_region[0], open_region[1] = min(open_region[0], r.y0), min(open_region[1], r.x0)
-                    open_region[2], open_region[3] = max(open_region[2], r.y1), max(open_region[3], r.x1)
-                    open_region[4].append(r.text)
-                else:
-                    open_region = [r.y0, r.x0, r.y1, r.x1, [r.text]]
-                    out.append([lane, open_region])
+        blocks = sorted(zip(pdf.lane, pdf.y0, pdf.x0, pdf.y1, pdf.x1, pdf.page_h, pdf.text, strict=True), key=lambda b: b[:3])
+        for lane, y0, x0, y1, x1, page_h, text in blocks:
+            region = out[-1] if out and out[-1][0] == lane else None
+            near = region is not None and y0 - region[1][2] <= gap
+            if near and max(region[1][2], y1) - min(region[1][0], y0) <= page_h * height_ratio:
+                box = region[1]
+                box[0], box[1], box[2], box[3] = min(box[0], y0), min(box[1], x0), max(box[2], y1), max(box[3], x1)
+                box[4].append(text)
+            else:
+                out.append([lane, [y0, x0, y1, x1, [text]]])
         seen, rows_out = set(), []
         for lane, (y0, x0, y1, x1, texts) in out:
             key = tuple(round(v) for v in (x0, y0, x1, y1))

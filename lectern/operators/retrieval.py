@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.jsontext import overriding, tolerant_list, tolerant_object
-from lectern.skew import contains_pairs, first_rows
+from lectern.skew import contains_pairs, exploded, first_rows
 
 # States that count as done or as trouble in the status buckets.
 ISSUE_STATES = ["FAILED", "MISSING", "CANCELLED"]
@@ -153,7 +153,7 @@ def find_evidence(queries: DataFrame, sections: DataFrame, limit: int = 10, befo
     asked = queries.select("query_id", F.transform(F.slice(pieces, 1, 8), lambda w: F.lower(w)).alias("terms")).where(F.size("terms") > 0)
     terms = asked.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
 
-    tokens = sections.select("section_key", "ord", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("token"))
+    tokens = exploded(sections, F.array_distinct(T.words(F.lower("text"))), "token", "section_key", "ord")
     postings = first_rows(tokens, ["token"], [F.col("ord")], limit)
     matches = contains_pairs(terms.select("term").distinct(), postings.select("token").distinct(), "term", "token")
     per_term = matches.join(postings, "token").groupBy("term", "section_key", "ord").agg(F.lit(1).alias("_one")).drop("_one")

@@ -268,10 +268,10 @@ def collection_filter(spark, sf_dir):
     return graph.in_collection(papers, members, graph.closure(nodes), F.lit("R1")).select(F.col("id").alias("paper_id"))
 
 
-@query("uncategorized", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("uncategorized", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def uncategorized(spark, sf_dir):
     papers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    members = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("paper_id"))
+    members = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("paper_id"))
     return graph.in_collection(papers, members, papers, None)
 
 

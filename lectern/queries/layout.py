@@ -29,7 +29,7 @@ def _blocks(spark, sf_dir):
 
 BLOCKS = f"""b0 AS (SELECT (l_orderkey // 10)::VARCHAR AS paper_id, l_linenumber AS page, {JOB_ID} AS block_id, ((l_partkey % 25) * 20)::DOUBLE AS x0, ((l_suppkey * 37 + l_partkey * 11) % 780)::DOUBLE AS y0, l_quantity AS q, l_returnflag AS flag, l_orderkey AS o, l_partkey AS pk, l_linenumber AS ln FROM lineitem),
 b AS (SELECT *, least(600, x0 + 20 + q * 9) AS x1, least(800, y0 + 10 + ln * 4) AS y1, pk % 10 = 2 AS is_number FROM b0),
-body AS (SELECT * FROM b WHERE NOT (y1 < 800 * 0.07 OR y0 > 800 * 0.925 OR is_number))"""
+body AS (SELECT * FROM b WHERE NOT (y1 < 800 * 0.07::DOUBLE OR y0 > 800 * 0.925::DOUBLE OR is_number))"""
 
 
 @query("body_blocks", f"""WITH {BLOCKS} SELECT DISTINCT block_id FROM body p WHERE NOT EXISTS (SELECT 1 FROM b x WHERE x.paper_id = p.paper_id AND x.page = p.page AND x.flag = 'R' AND x.q > 40

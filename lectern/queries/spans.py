@@ -9,6 +9,7 @@ from lectern.operators import spans
 from lectern.queries import query
 from lectern.queries.tables import table
 from lectern.queries.text import SENTENCES
+from lectern.skew import exploded
 
 
 def _texts(spark, sf_dir):
@@ -16,7 +17,7 @@ def _texts(spark, sf_dir):
 
 
 def _runs(spark, sf_dir):
-    return _texts(spark, sf_dir).select(F.col("doc_id").alias("block_id"), F.posexplode("sentences").alias("run_id", "s")).select("block_id", "run_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    return exploded(_texts(spark, sf_dir), "sentences", "s", F.col("doc_id").alias("block_id"), pos="run_id").select("block_id", "run_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
 def _marks(spark, sf_dir):
@@ -34,10 +35,10 @@ def span_overlap(spark, sf_dir):
 
 
 CUTS = f"""WITH {SENTENCES}, {MARKS},
-t AS (SELECT doc_id, s_start AS a, s_end AS b, n % 2 = 0 AS active FROM sent),
+tr AS (SELECT doc_id, s_start AS a, s_end AS b, n % 2 = 0 AS active FROM sent),
 pts AS (SELECT m.doc_id, unnest([r_start, r_start + 60]) AS p, length(text) AS n FROM marks m JOIN documents d ON d.doc_id = m.doc_id WHERE r_start < length(text)),
-free AS (SELECT DISTINCT doc_id, least(p, n) AS cut FROM pts ANTI JOIN (SELECT * FROM t WHERE active) x ON pts.doc_id = x.doc_id AND pts.p > x.a AND pts.p < x.b),
-cuts AS (SELECT doc_id, 0 AS cut FROM documents WHERE text <> '' UNION SELECT doc_id, length(text) FROM documents WHERE text <> '' UNION SELECT doc_id, unnest([a, b]) FROM t UNION SELECT doc_id, cut FROM free),
+free AS (SELECT DISTINCT doc_id, least(p, n) AS cut FROM pts ANTI JOIN (SELECT * FROM tr WHERE active) x ON pts.doc_id = x.doc_id AND pts.p > x.a AND pts.p < x.b),
+cuts AS (SELECT doc_id, 0 AS cut FROM documents WHERE text <> '' UNION SELECT doc_id, length(text) FROM documents WHERE text <> '' UNION SELECT doc_id, unnest([a, b]) FROM tr UNION SELECT doc_id, cut FROM free),
 runs AS (SELECT doc_id, cut AS s_start, lead(cut) OVER (PARTITION BY doc_id ORDER BY cut) AS s_end FROM cuts)"""
 
 

@@ -11,7 +11,7 @@ from lectern.operators import context, corpus, retrieval
 from lectern.operators.corpus import coarse
 from lectern.queries import query
 from lectern.queries.tables import SOURCE_PAGES, WS, paragraphs, source_pages, sql_norm, sql_strip, table
-from lectern.skew import assemble_text, first_rows
+from lectern.skew import assemble_text, exploded, first_rows
 
 # ------------------------------------------------------------------ duplicates, budgets
 
@@ -196,7 +196,7 @@ def _sentences(spark, sf_dir):
 
 @query("sentences", f"WITH {SENTENCES} SELECT doc_id, n, s_start, s_end, body FROM sent")
 def sentences(spark, sf_dir):
-    rows = _sentences(spark, sf_dir).select("doc_id", F.posexplode("sentences").alias("n", "s"))
+    rows = exploded(_sentences(spark, sf_dir), "sentences", "s", "doc_id", pos="n")
     return rows.select("doc_id", "n", F.col("s.start").alias("s_start"), F.col("s.end").alias("s_end"), F.col("s.text").alias("body"))
 
 
@@ -209,7 +209,7 @@ r AS (SELECT doc_id, n, nxt, s_start FROM nx WHERE n = 0 UNION ALL SELECT nx.doc
 SELECT r.doc_id, r.s_start AS c_start, e.s_end AS c_end FROM r JOIN sent e ON e.doc_id = r.doc_id AND e.n = r.nxt - 1
 UNION ALL SELECT doc_id, 0, length(text)::INT FROM documents WHERE {sql_strip('text')} <> '' AND doc_id NOT IN (SELECT doc_id FROM sent)""")
 def sentence_chunks(spark, sf_dir):
-    rows = _sentences(spark, sf_dir).select("doc_id", F.explode(S.chunk_spans(F.col("sentences"), F.col("text"))).alias("c"))
+    rows = exploded(_sentences(spark, sf_dir), S.chunk_spans(F.col("sentences"), F.col("text")), "c", "doc_id")
     return rows.select("doc_id", F.col("c.start").alias("c_start"), F.col("c.end").alias("c_end"))
 
 

@@ -160,6 +160,16 @@ def assemble_text(
     )
 
 
+def exploded(df: DataFrame, array: Column | str, name: str, *keep: Column | str, pos: str | None = None) -> DataFrame:
+    """One row per (non-null) element of an array.
+
+    The outer form is used on purpose: for a plain ``explode`` Spark infers a filter on the
+    array's size and pushes it down, so an expensive array would be computed twice.
+    """
+    rows = F.posexplode_outer(array).alias(pos, name) if pos else F.explode_outer(array).alias(name)
+    return df.select(*keep, rows).where(F.col(name).isNotNull())
+
+
 def grams(text: Column, size: Column | int) -> Column:
     """Distinct substrings of ``size`` characters."""
     width = F.lit(size) if isinstance(size, int) else size
@@ -181,15 +191,15 @@ def contains_pairs(needles: DataFrame, hays: DataFrame, needle: str, hay: str, g
     hays = hays.select(hay)
 
     short = needles.where(F.length(needle) < gram).withColumn("_n", F.length(needle))
-    lengths = F.transform(F.sequence(F.lit(1), F.least(F.length(hay), F.lit(gram - 1))), lambda n: n)
+    lengths = F.sequence(F.lit(1), F.least(F.length(hay), F.lit(gram - 1)))
     wanted = short.select("_n").distinct()
-    sized = hays.where(F.length(hay) > 0).select(hay, F.explode(lengths).alias("_n")).join(wanted, on="_n")
-    short_hits = sized.select(hay, "_n", F.explode(grams(F.col(hay), F.col("_n"))).alias(needle)).join(short, on=[needle, "_n"]).select(needle, hay)
+    sized = exploded(hays.where(F.length(hay) > 0), lengths, "_n", hay).join(wanted, on="_n")
+    short_hits = exploded(sized, grams(F.col(hay), F.col("_n")), needle, hay, "_n").join(short, on=[needle, "_n"]).select(needle, hay)
 
     long = needles.where(F.length(needle) >= gram)
-    pieces = hays.select(hay, F.explode(grams(F.col(hay), gram)).alias("_g"))
+    pieces = exploded(hays, grams(F.col(hay), gram), "_g", hay)
     frequency = pieces.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    own = long.select(needle, F.explode(grams(F.col(needle), gram)).alias("_g"))
+    own = exploded(long, grams(F.col(needle), gram), "_g", needle)
     rated = own.join(frequency, on="_g", how="left")
     anchors = (
         rated.groupBy(needle)
