@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import biblio as B
 from lectern.functions.text import normalize_title, reference_id
 from lectern.operators.corpus import running_by
+from lectern.session import checkpointed
 from lectern.skew import GRAM, contains_pairs, exploded, first_rows
 
 
@@ -49,8 +50,9 @@ def resolve_titles(titles: DataFrame, papers: DataFrame, gram: int = GRAM) -> Da
     by exactly one paper.  ``titles(norm)`` is distinct; ``papers(id, title)``.
     """
     index = papers.select("id", normalize_title(F.col("title")).alias("norm")).where("norm <> ''")
-    named = index.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    looked = titles.where("norm <> ''").join(named, "norm", "left")
+    # Distinct titles on both sides feed several joins below; each is computed once.
+    named = checkpointed(index.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")))
+    looked = checkpointed(titles.where("norm <> ''").join(named, "norm", "left"))
     exact = looked.where("n = 1").select("norm", F.col("lo").alias("resolved_id"))
     rest = looked.where((F.coalesce(F.col("n"), F.lit(0)) != 1) & (F.length("norm") >= 24)).select(F.col("norm").alias("ref"))
     hays = named.select(F.col("norm").alias("name"))
