@@ -7,13 +7,13 @@ the (paper, page) equality.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
 from lectern.functions.markup import FIGURE_CAPTION, TABLE_CAPTION, expected_columns
 from lectern.functions.text import collapse, heading
+from lectern.skew import exploded
 
 PAGE = ["paper_id", "page"]
 
@@ -42,34 +42,30 @@ def lanes(blocks: DataFrame) -> DataFrame:
 def lane_clusters(blocks: DataFrame, gap: float = 38.0, height_ratio: float = 0.43) -> DataFrame:
     """Nearby blocks of a lane merged into regions of bounded height, in reading order.
 
-    Whether a block joins depends on the region grown so far, so each page is folded in
-    order (Arrow, one page per group).  Equal or tiny regions are dropped.
+    Whether a block joins depends on the region grown so far, so the blocks of a page lane are
+    folded in order by an array aggregate.  Equal or tiny regions are dropped.
     """
-    schema = "paper_id string, page int, lane int, seq int, x0 double, y0 double, x1 double, y1 double, text string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        blocks = sorted(zip(pdf.lane, pdf.y0, pdf.x0, pdf.y1, pdf.x1, pdf.page_h, pdf.text, strict=True), key=lambda b: b[:3])
-        for lane, y0, x0, y1, x1, page_h, text in blocks:
-            region = out[-1] if out and out[-1][0] == lane else None
-            near = region is not None and y0 - region[1][2] <= gap
-            if near and max(region[1][2], y1) - min(region[1][0], y0) <= page_h * height_ratio:
-                box = region[1]
-                box[0], box[1], box[2], box[3] = min(box[0], y0), min(box[1], x0), max(box[2], y1), max(box[3], x1)
-                box[4].append(text)
-            else:
-                out.append([lane, [y0, x0, y1, x1, [text]]])
-        seen, rows_out = set(), []
-        for lane, (y0, x0, y1, x1, texts) in out:
-            key = tuple(round(v) for v in (x0, y0, x1, y1))
-            if key in seen or x1 - x0 < 40 or y1 - y0 < 12:
-                continue
-            seen.add(key)
-            rows_out.append((pdf.paper_id.iloc[0], int(pdf.page.iloc[0]), int(lane), len(rows_out) + 1, x0, y0, x1, y1, "\n".join(texts)))
-        return pd.DataFrame(rows_out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    flat = lanes(blocks).select(F.col("paper_id").cast("string").alias("paper_id"), F.col("page").cast("int").alias("page"), "page_h", "lane", "rect.x0", "rect.y0", "rect.x1", "rect.y1", "text")
-    return flat.groupBy(*PAGE).applyInPandas(fold, schema)
+    shape = "struct<y0:double,x0:double,y1:double,x1:double,text:string>"
+    block = F.struct("rect.y0", "rect.x0", "rect.y1", "rect.x1", "text")
+    pages = lanes(blocks).groupBy(*PAGE, "page_h", "lane").agg(F.array_sort(F.collect_list(block)).alias("bs"))
+    start = F.struct(F.array().cast(f"array<{shape}>").alias("done"), F.lit(None).cast(shape).alias("open"))
+
+    def step(acc: Column, b: Column) -> Column:
+        o = acc["open"]
+        joins = F.coalesce((b["y0"] - o["y1"] <= gap) & (F.greatest(o["y1"], b["y1"]) - F.least(o["y0"], b["y0"]) <= F.col("page_h") * height_ratio), F.lit(False))
+        merged = F.struct(
+            F.least(o["y0"], b["y0"]).alias("y0"), F.least(o["x0"], b["x0"]).alias("x0"), F.greatest(o["y1"], b["y1"]).alias("y1"), F.greatest(o["x1"], b["x1"]).alias("x1"),
+            F.concat(o["text"], F.lit("\n"), b["text"]).alias("text"))
+        closed = F.when(joins | o.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(o)))
+        return F.struct(closed.alias("done"), F.when(joins, merged).otherwise(b).alias("open"))
+
+    regions = F.aggregate("bs", start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    rows = exploded(pages, regions, "r", *PAGE, "lane", pos="_i").select(*PAGE, "lane", "_i", "r.*")
+    wide = rows.where((F.col("x1") - F.col("x0") >= 40) & (F.col("y1") - F.col("y0") >= 12))
+    box = [F.bround(c, 0) for c in ("x0", "y0", "x1", "y1")]
+    order = [F.col("lane"), F.col("_i")]
+    once = wide.withColumn("_same", F.row_number().over(Window.partitionBy(*PAGE, *box).orderBy(*order))).where("_same = 1").drop("_same")
+    return once.withColumn("seq", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*order))).drop("_i")
 
 
 def gap_islands(blocks: DataFrame, gap: float = 38.0) -> DataFrame:

@@ -1 +1 @@
-
+"""Jobs put together from operators."""

@@ -9,6 +9,7 @@ from lectern.operators import spans
 from lectern.queries import query
 from lectern.queries.tables import table
 from lectern.queries.text import SENTENCES
+from lectern.session import checkpointed
 from lectern.skew import exploded
 
 
@@ -149,4 +150,5 @@ def aligned_responses(spark, sf_dir):
     answered = F.filter(F.transform("sentences", lambda _, i: F.struct(F.concat(F.lit("sentence-"), (i + 1).cast("string")).alias("id"), F.concat(F.lit(" T"), i.cast("string")).alias("translatedText"), i.alias("i"))), lambda s: s["i"] % 3 != 2)
     body = F.concat(F.lit("```json\n"), F.to_json(F.struct(answered.alias("segments"))), F.lit("\n```"))
     rows = t.select(F.col("doc_id").alias("unit_id"), F.col("text").alias("source"), F.when(F.col("doc_id") % 4 == 0, F.lit("plain answer ")).otherwise(body).alias("response"))
-    return spans.align_response(rows).select("unit_id", "segment_id", F.col("start").alias("a"), F.col("end").alias("b"), "translated", "structured")
+    # Responses are stored data, so they are written once like any cache of answers.
+    return spans.align_response(checkpointed(rows)).select("unit_id", "segment_id", F.col("start").alias("a"), F.col("end").alias("b"), "translated", "structured")
