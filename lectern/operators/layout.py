@@ -70,7 +70,7 @@ def lane_clusters(blocks: DataFrame, gap: float = 38.0, height_ratio: float = 0.
 
 def gap_islands(blocks: DataFrame, gap: float = 38.0) -> DataFrame:
     """Clusters by vertical gap alone (no height cap): a running sum of breaks per lane."""
-    w = Window.partitionBy(*PAGE, "lane").orderBy("rect.y0", "rect.x0")
+    w = Window.partitionBy(*PAGE, "lane").orderBy("rect.y0", "rect.x0", "block_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bottom = F.max("rect.y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = lanes(blocks).withColumn("_new", F.when(F.col("rect.y0") - bottom > gap, 1).otherwise(0))
     return flagged.withColumn("cluster", F.sum("_new").over(w)).drop("_new")

@@ -50,7 +50,11 @@ def lane_clusters(spark, sf_dir):
     return layout.lane_clusters(layout.body_blocks(_blocks(spark, sf_dir)))
 
 
-@query("gap_islands")
+@query("gap_islands", f"""WITH {BLOCKS}, m AS (SELECT *, x0 < 150 AND x1 > 450 AS f FROM body), t AS (SELECT paper_id, page, min(y0) FILTER (WHERE NOT f) AS top FROM m GROUP BY 1, 2),
+l AS (SELECT m.*, CASE WHEN f AND y0 <= coalesce(top, 800) + 12 THEN 0 WHEN f THEN 3 WHEN x0 < 300 THEN 1 ELSE 2 END AS lane FROM m JOIN t USING (paper_id, page)),
+g AS (SELECT *, CASE WHEN y0 - max(y1) OVER (PARTITION BY paper_id, page, lane ORDER BY y0, x0, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 38 THEN 1 ELSE 0 END AS opens FROM l),
+c AS (SELECT *, sum(opens) OVER (PARTITION BY paper_id, page, lane ORDER BY y0, x0, block_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM g)
+SELECT paper_id, page, lane, cluster, count(*) AS n, min(y0) AS top, max(y1)::DOUBLE AS bottom FROM c GROUP BY 1, 2, 3, 4""")
 def gap_islands(spark, sf_dir):
     g = layout.gap_islands(layout.body_blocks(_blocks(spark, sf_dir)))
     return g.groupBy("paper_id", "page", "lane", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("rect.y0").alias("top"), F.max("rect.y1").alias("bottom"))

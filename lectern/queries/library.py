@@ -122,11 +122,14 @@ j AS (SELECT l.path AS path, l.sha AS sha, k.path AS kp, k.id, k.sha AS ks, CASE
 """
 
 
-@query("file_reconcile", STATE + """, a AS (SELECT path, sha, row_number() OVER (PARTITION BY sha ORDER BY path) AS n FROM j WHERE st IN ('arrived', 'replaced')),
+MATCHED = STATE + """, a AS (SELECT path, sha, row_number() OVER (PARTITION BY sha ORDER BY path) AS n FROM j WHERE st IN ('arrived', 'replaced')),
 m AS (SELECT id, kp, ks, st, row_number() OVER (PARTITION BY ks ORDER BY id) AS n FROM j WHERE st IN ('gone', 'replaced')),
 mv AS (SELECT a.path, a.sha, m.id FROM a JOIN m ON a.sha = m.ks AND a.n = m.n),
 own AS (SELECT sha, min(id) AS id FROM known GROUP BY 1),
-rest AS (SELECT a.path, a.sha, own.id, min(a.path) OVER (PARTITION BY a.sha) AS lead FROM a LEFT JOIN own ON own.sha = a.sha WHERE a.path NOT IN (SELECT path FROM mv))
+rest AS (SELECT a.path, a.sha, own.id, min(a.path) OVER (PARTITION BY a.sha) AS lead FROM a LEFT JOIN own ON own.sha = a.sha WHERE a.path NOT IN (SELECT path FROM mv))"""
+
+
+@query("file_reconcile", MATCHED + """
 SELECT path, st AS action, id AS file_id, sha AS sha256 FROM j WHERE st IN ('unchanged', 'touched') UNION ALL SELECT path, 'moved', id, sha FROM mv
 UNION ALL SELECT path, CASE WHEN id IS NOT NULL OR path <> lead THEN 'duplicate' ELSE 'new' END, NULL, sha FROM rest
 UNION ALL SELECT kp, CASE WHEN st = 'gone' THEN 'missing' ELSE 'superseded' END, id, ks FROM m WHERE id NOT IN (SELECT id FROM mv)""")
@@ -151,7 +154,9 @@ def changed_files(spark, sf_dir):
     return files.changed_files(*_two_states(spark, sf_dir)).select("path")
 
 
-@query("paper_states")
+@query("paper_states", MATCHED + """,
+present AS (SELECT id FROM j WHERE st IN ('unchanged', 'touched') UNION SELECT id FROM mv UNION SELECT id FROM rest WHERE id IS NOT NULL), lost AS (SELECT id FROM m WHERE id NOT IN (SELECT id FROM mv))
+SELECT id, CASE WHEN id NOT IN (SELECT id FROM present) AND id IN (SELECT id FROM lost) THEN 'MISSING' ELSE 'READY' END AS status FROM known""")
 def paper_states(spark, sf_dir):
     listing, known = _two_states(spark, sf_dir)
     p = known.select(F.col("paper_id").alias("id"), F.lit("READY").alias("status"))
