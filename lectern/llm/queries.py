@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact, language, mixing, packing, pii, quality, toxicity, urls
+from lectern.llm import exact, language, mixing, near, packing, pii, quality, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.pseudonymised(table(spark, sf_dir, "documents"))
     kinds = F.array_sort(F.array_distinct(F.col("entities.kind")))
     return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), F.col("entities.surrogate").alias("surrogates"), "text")
+
+
+@query("op5_near")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_size", "kept")
