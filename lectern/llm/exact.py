@@ -8,6 +8,8 @@ and compares all 32 bytes, so it never errs; what is no member is grouped by its
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,27 +32,29 @@ def shard_of(hexed: Column, shards: int) -> Column:
     return F.pmod(_word(hexed, 0, 14), F.lit(shards))
 
 
-def find_displacements(words: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """``(seed, displacements, slots)`` for n keys given as (bucket word, a, b, c) rows.
+def find_displacements(digests: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """``(seed, displacements, slots)`` for n distinct hex digests.
 
-    ``slot = (a + seed * c + (d // n) * b + d % n) % n`` with the displacement ``d`` of the
-    key's bucket.  Large buckets are placed first, each at its first displacement without a clash.
+    ``slot = (a + (d // n) * b + d % n) % n`` with the displacement ``d`` of the key's bucket, ``a``
+    the crc32 of digest and seed and ``b`` a word of the digest.  Large buckets are placed first,
+    each at its first displacement without a clash; the seed changes if a bucket finds none.
     """
-    n = len(words)
+    n = len(digests)
     count = -(-n // PER_BUCKET)
-    bucket = words[:, 0] % count
+    bucket = np.array([int(d[14:22], 16) for d in digests]) % count
+    b = np.array([int(d[22:30], 16) for d in digests])
     members = np.split(np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=count))[:-1])
     shifts = np.arange(n)
-    for seed in range(64):
+    for seed in range(10_000):
+        a = np.array([zlib.crc32(f"{d}:{seed}".encode()) for d in digests])
         taken, slots = np.zeros(n, bool), np.zeros(n, np.int64)
         pilots = np.zeros(count, np.int64)
         for i in sorted(range(count), key=lambda i: (-len(members[i]), i)):
             keys = members[i]
             if not len(keys):
                 break
-            start = words[keys, 1] + seed * words[keys, 3]
             for turn in range(4 * n):
-                at = (start + turn * words[keys, 2]) % n
+                at = (a[keys] + turn * b[keys]) % n
                 if len(np.unique(at)) < len(at):
                     continue
                 free = ~taken[(at[:, None] + shifts) % n].any(axis=0)
@@ -75,8 +79,7 @@ def build_index(digests: DataFrame, shards: int) -> DataFrame:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("digest").reset_index(drop=True)
         raw = [bytes.fromhex(d) for d in pdf["digest"]]
-        words = np.array([[int(d[14:22], 16), int(d[22:30], 16), int(d[30:38], 16), int(d[38:46], 16)] for d in pdf["digest"]], np.int64)
-        seed, pilots, slots = find_displacements(words)
+        seed, pilots, slots = find_displacements(pdf["digest"].tolist())
         order = np.argsort(slots)
         ids = [None if pd.isna(v) else v for v in pdf["doc_id"]]
         row = {"shard": pdf["shard"].iloc[0], "n": len(raw), "seed": seed, "pilots": pilots.tolist(), "digests": [raw[i] for i in order], "keeps": [ids[i] for i in order], "rows": [int(pdf["row"].iloc[i]) for i in order], "sizes": [int(pdf["size"].iloc[i]) for i in order]}
@@ -97,7 +100,7 @@ def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     keyed = rows.withColumn("shard", shard_of(d, shards))
     hit = keyed.join(index, "shard", "left")
     pilot = F.get("pilots", F.pmod(_word(d, 14), F.ceil(F.col("n") / PER_BUCKET)).cast("int"))
-    slot = F.pmod(_word(d, 22) + F.col("seed") * _word(d, 38) + F.floor(pilot / F.col("n")) * _word(d, 30) + F.pmod(pilot, F.col("n")), F.col("n")).cast("int")
+    slot = F.pmod(F.crc32(F.concat_ws(":", d, "seed").cast("binary")) + F.floor(pilot / F.col("n")) * _word(d, 22) + F.pmod(pilot, F.col("n")), F.col("n")).cast("int")
     found = hit.select(*rows.columns, slot.alias("_slot"), "digests", "keeps", "rows", "sizes")
     member = F.coalesce(F.get("digests", "_slot") == F.unhex(d), F.lit(False))
     value = lambda name: F.when(member, F.get(name, "_slot"))
