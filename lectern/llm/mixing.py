@@ -51,7 +51,8 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     Sources in code-point order (null last) take the weights in turn.  A target is
     ``min(epochs * source_size, weight * level)`` with one level for all, which is where
-    passing excess on by weight ends.  The windows see one row per source.
+    passing excess on by weight ends.  A row's ``_level`` supposes that the sources before it, by
+    cap per weight, are capped; it falls again once that fails, so the largest that fits counts.  The windows see one row per source.
     """
     stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = stats.withColumn("_n", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -60,7 +61,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     every = Window.partitionBy()
     level = (share * F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(order), F.lit(0))) / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(order), F.lit(0)))
     levels = weighed.withColumn("_level", level)
-    reached = F.min(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(every)
+    reached = F.max(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(every)
     goal = F.least(F.col("_cap").cast("double"), F.col("_w") * reached)
     out = levels.select("source", "source_size", goal.alias("target"))
     turns = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

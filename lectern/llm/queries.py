@@ -52,7 +52,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER
 w AS (SELECT *, [5, 2, 1][(n - 1) % 3 + 1] AS w, 2 * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(cap) OVER o, 0) AS DOUBLE)) / CAST(sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS DOUBLE) AS level
   FROM w WINDOW o AS (ORDER BY cap / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), w * (SELECT min(level) FROM l WHERE level <= cap / w)) AS target FROM l),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), w * (SELECT max(level) FROM l WHERE level <= cap / w)) AS target FROM l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS turns FROM t),
 r AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.turns, CAST(floor(g.target) AS BIGINT) - g.turns * g.source_size AS left_over,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
