@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact, language, mixing, near, packing, pii, quality, toxicity, urls
+from lectern.llm import binary, exact, language, mixing, near, packing, pii, quality, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +117,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_size", "kept")
+
+
+@query("op10_binary_ids")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.round_trip(table(spark, sf_dir, "documents"))
