@@ -21,13 +21,13 @@ _LOW = np.uint64(2**48 - 1)
 _SMALL = np.uint64(2**32)
 _MASK32 = np.uint64(2**32 - 1)
 SLOTS = 2048
+TABLES = 1 + 16 + 256 + 256
 _FLOOR = 24
 _STRETCH = np.array([round(256 * math.log((i + 0.5) / (4096 - i - 0.5))) for i in range(4096)], np.int64)
 _SQUASH = np.array([min(4064, max(32, round(4096 / (1 + math.exp(-(i - 2048) / 256))))) for i in range(4096)], np.int64)
 # Targets that a 16-way table moves to when symbol s is seen; no symbol falls below the floor.
 _TARGET = np.array([[i * _FLOOR if i <= s else FULL - (16 - i) * _FLOOR for i in range(16)] for s in range(16)], np.int16)
 _EVEN = np.array([i * FULL // 16 for i in range(16)], np.int16)
-_MIX_A, _MIX_B = 1 << 13, 14
 
 
 class _Range:
@@ -85,119 +85,129 @@ def _decide(coder: _Range, lanes, p: np.ndarray, hit: np.ndarray | None) -> np.n
     return hit
 
 
+_ONES = np.ones(16, np.int8)
+_ROW = np.dtype("V32")  # a 16-way table as one item, so that it moves in one piece
+
+
 class _Model:
-    """State of ``lanes`` blocks."""
+    """State of ``lanes`` blocks; every array is flat, with a lane's entries side by side."""
 
     def __init__(self, lanes: int):
         # Slots hold id * 8 + confidence; empty ones an id that is never coded.
-        self.two = np.full((lanes, SLOTS), -8, np.int32)
-        self.one = np.full((lanes, SLOTS), -8, np.int32)
-        self.seen = np.zeros((lanes, SLOTS), np.uint8)
-        self.chance = np.full((lanes, 3, 16), 1 << 14, np.int64)
-        self.second = np.full((lanes, 2, 16), 1 << 13, np.int64)
-        self.weights = np.full((lanes, 3), 24_000, np.int64)
-        self.second_weights = np.full((lanes, 2), 32_000, np.int64)
-        self.tables = np.broadcast_to(_EVEN, (lanes, 1 + 16 + 256 + 256, 16)).copy()
-        self.rows = np.arange(lanes)
+        self.two = np.full(lanes * SLOTS, -8, np.int32)
+        self.one = np.full(lanes * SLOTS, -8, np.int32)
+        self.seen = np.zeros(lanes * SLOTS, np.uint8)
+        self.chance2, self.chance1, self.chance0 = (np.full(lanes * 16, 1 << 14, np.int32) for _ in range(3))
+        self.second1, self.second0 = (np.full(lanes * 16, 1 << 13, np.int32) for _ in range(2))
+        self.weights = [np.full(lanes, 24_000, np.int64) for _ in range(3)]
+        self.second_weights = [np.full(lanes, 32_000, np.int64) for _ in range(2)]
+        self.tables = np.broadcast_to(_EVEN, (lanes * TABLES, 16)).copy().view(_ROW).ravel()
+        lane = np.arange(lanes)
+        self.slot, self.state, self.table = lane * SLOTS, lane * 16, lane * TABLES
 
     def nibbles(self, coder: _Range, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        """Ids of order 0: four 16-way tables, chosen by the digits before."""
         out = np.zeros(len(lanes), np.int64)
+        base = self.table[lanes]
+        first = np.arange(0, 16 * len(lanes), 16)
         for k in range(4):
-            if k == 0:
-                ctx = np.zeros(len(lanes), np.int64)
-            elif k == 1:
-                ctx = 1 + out
-            elif k == 2:
-                ctx = 17 + out
-            else:
-                ctx = 273 + (out & 255)
-            table = self.tables[lanes, ctx]
+            row = base + (0 if k == 0 else 1 + out if k == 1 else 17 + out if k == 2 else 273 + (out & 255))
+            table = self.tables[row].view(np.int16)
+            square = table.reshape(-1, 16)
             unit = coder.range[lanes] >> np.uint64(BITS)
             if ids is None:
                 v = np.minimum((coder.code[lanes] - coder.low[lanes]) // unit, np.uint64(FULL - 1)).astype(np.int16)
-                s = (table <= v[:, None]).sum(axis=1) - 1
+                s = (square <= v[:, None]).view(np.int8) @ _ONES - np.int8(1)
+                s = s.astype(np.int64)
             else:
                 s = (ids >> (12 - 4 * k)) & 15
-            each = np.arange(len(lanes))
-            start = table[each, s].astype(np.int64)
-            end = np.where(s == 15, np.int64(FULL), table[each, np.minimum(s + 1, 15)].astype(np.int64))
-            coder.narrow(lanes, unit, start.astype(np.uint64), (end - start).astype(np.uint64))
-            table += (_TARGET[s] - table) >> 4
-            self.tables[lanes, ctx] = table
+            start = table[first + s].astype(np.uint64)
+            end = table[first + np.minimum(s + 1, 15)].astype(np.uint64)
+            end[s == 15] = FULL
+            coder.narrow(lanes, unit, start, end - start)
+            square += (_TARGET[s] - square) >> 4
+            self.tables[row] = table.view(_ROW)
             out = out * 16 + s
         return out
 
 
-def _mixed(chances: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    stretched = np.stack([_STRETCH[c >> 3] for c in chances], axis=1)
-    dot = (stretched * weights).sum(axis=1) >> 16
-    return _SQUASH[np.clip(dot + 2048, 0, 4095)], stretched
+def _stretch(chance: np.ndarray) -> np.ndarray:
+    return _STRETCH[chance >> 3]
 
 
-def _learn(weights: np.ndarray, stretched: np.ndarray, p: np.ndarray, hit: np.ndarray) -> None:
-    error = (hit.astype(np.int64) << 12) - p
-    weights += (stretched * error[:, None] * 6) >> 10
+def _squash(dot: np.ndarray) -> np.ndarray:
+    return _SQUASH[np.minimum(np.maximum((dot >> 16) + 2048, 0), 4095)]
 
 
 def _run(lengths: np.ndarray, words: np.ndarray, ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Code (``ids`` given) or decode lanes in descending order of length."""
     lanes, steps = len(lengths), int(lengths[0]) if len(lengths) else 0
-    coder, model = _Range(lanes, words, ids is None), _Model(lanes)
-    out = np.zeros((lanes, steps), np.int64)
+    coder, m = _Range(lanes, words, ids is None), _Model(lanes)
+    by_step = np.zeros((steps, lanes), np.int64) if ids is None else np.ascontiguousarray(ids.T)
     before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")
     for step in range(steps):
         n = int(active[step])
-        every, rows = slice(0, n), model.rows[:n]
-        h2 = ((last[:n] * 40503 + before[:n] * 60493) >> 3) & (SLOTS - 1)
-        h1 = (last[:n] * 40503 >> 4) & (SLOTS - 1)
-        two, one = model.two[rows, h2], model.one[rows, h1]
+        slot, state = m.slot[:n], m.state[:n]
+        before, last = before[:n], last[:n]
+        h2 = slot + (((last * 40503 + before * 60493) >> 3) & (SLOTS - 1))
+        h1 = slot + ((last * 40503 >> 4) & (SLOTS - 1))
+        two, one = m.two[h2], m.one[h1]
         c2, c1 = two >> 3, one >> 3
         first = np.where(c2 >= 0, c2, c1)
         agree = c1 == c2
-        k2 = (two & 7) + 8 * agree
-        k1 = (one & 7) + 8 * (first == c1)
-        k0 = np.minimum(model.seen[rows, first & (SLOTS - 1)], 15)
-        chance = model.chance
-        a2, a1, a0 = chance[rows, 0, k2], chance[rows, 1, k1], chance[rows, 2, k0]
-        p, stretched = _mixed([a2, a1, a0], model.weights[:n])
-        truth = ids[:n, step] if ids is not None else None
-        hit = _decide(coder, every, p << 3, None if truth is None else truth == first)
-        _learn(model.weights[:n], stretched, p, hit)
-        goal = hit.astype(np.int64) * (FULL - 1)
-        chance[rows, 0, k2] = a2 + ((goal - a2) >> 4)
-        chance[rows, 1, k1] = a1 + ((goal - a1) >> 4)
-        chance[rows, 2, k0] = a0 + ((goal - a0) >> 5)
+        k2 = state + (two & 7) + (agree << np.int64(3))
+        k1 = state + (one & 7) + ((first == c1) << np.int64(3))
+        k0 = state + np.minimum(m.seen[slot + (first & (SLOTS - 1))], 15)
+        a2, a1, a0 = m.chance2[k2], m.chance1[k1], m.chance0[k0]
+        w2, w1, w0 = (w[:n] for w in m.weights)
+        s2, s1, s0 = _stretch(a2), _stretch(a1), _stretch(a0)
+        p = _squash(s2 * w2 + s1 * w1 + s0 * w0)
+        truth = by_step[step, :n] if ids is not None else None
+        hit = _decide(coder, slice(0, n), p << 3, None if truth is None else truth == first)
+        error = ((hit.astype(np.int64) << 12) - p) * 6
+        w2 += s2 * error >> 10
+        w1 += s1 * error >> 10
+        w0 += s0 * error >> 10
+        goal = hit * np.int32(FULL - 1)
+        m.chance2[k2] = a2 + ((goal - a2) >> 4)
+        m.chance1[k1] = a1 + ((goal - a1) >> 4)
+        m.chance0[k0] = a0 + ((goal - a0) >> 5)
         token = np.where(hit, first, -1).astype(np.int64)
 
-        other = np.flatnonzero(~hit & ~agree & (c1 >= 0) & (c2 >= 0))
+        missed = ~hit
+        other = np.flatnonzero(missed & ~agree & (c1 >= 0) & (c2 >= 0))
         if len(other):
             guess = c1[other].astype(np.int64)
-            o1, o0 = one[other] & 7, np.minimum(model.seen[other, guess & (SLOTS - 1)], 15)
-            b1, b0 = model.second[other, 0, o1], model.second[other, 1, o0]
-            weights = model.second_weights[other]
-            p, stretched = _mixed([b1, b0], weights)
+            o1 = m.state[other] + (one[other] & 7)
+            o0 = m.state[other] + np.minimum(m.seen[m.slot[other] + (guess & (SLOTS - 1))], 15)
+            b1, b0 = m.second1[o1], m.second0[o0]
+            w1, w0 = (w[other] for w in m.second_weights)
+            s1, s0 = _stretch(b1), _stretch(b0)
+            p = _squash(s1 * w1 + s0 * w0)
             found = _decide(coder, other, p << 3, None if truth is None else truth[other] == guess)
-            _learn(weights, stretched, p, found)
-            model.second_weights[other] = weights
-            goal = found.astype(np.int64) * (FULL - 1)
-            model.second[other, 0, o1] = b1 + ((goal - b1) >> 4)
-            model.second[other, 1, o0] = b0 + ((goal - b0) >> 5)
+            error = ((found.astype(np.int64) << 12) - p) * 6
+            m.second_weights[0][other] = w1 + (s1 * error >> 10)
+            m.second_weights[1][other] = w0 + (s0 * error >> 10)
+            goal = found * np.int32(FULL - 1)
+            m.second1[o1] = b1 + ((goal - b1) >> 4)
+            m.second0[o0] = b0 + ((goal - b0) >> 5)
             token[other[found]] = guess[found]
         rest = np.flatnonzero(token < 0)
         if len(rest):
-            token[rest] = model.nibbles(coder, rest, None if truth is None else truth[rest])
-
-        model.two[rows, h2] = np.where(c2 == token, np.minimum(two + 1, two | 7), np.where((two & 7) > 1, two - 2, token * 8))
-        model.one[rows, h1] = np.where(c1 == token, np.minimum(one + 1, one | 7), np.where((one & 7) > 1, one - 2, token * 8))
-        slot = token & (SLOTS - 1)
-        count = model.seen[rows, slot]
-        model.seen[rows, slot] = count + (count < 255)
-        before[:n], last[:n] = last[:n], token
-        out[:n, step] = token
+            token[rest] = m.nibbles(coder, rest, None if truth is None else truth[rest])
+
+        fresh = token << 3
+        m.two[h2] = np.where(c2 == token, np.minimum(two + 1, two | 7), np.where((two & 7) > 1, two - 2, fresh))
+        m.one[h1] = np.where(c1 == token, np.minimum(one + 1, one | 7), np.where((one & 7) > 1, one - 2, fresh))
+        at = slot + (token & (SLOTS - 1))
+        m.seen[at] = np.minimum(m.seen[at], 254) + 1
+        before, last = last, token
+        if ids is None:
+            by_step[step, :n] = token
     if ids is not None:
         coder.flush()
-    return out, coder.at
+    return by_step, coder.at
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -231,5 +241,5 @@ def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     out, _ = _run(lengths[order], words, None)
     blocks: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(payloads)
     for row, i in enumerate(order):
-        blocks[i] = out[row, : lengths[i]].astype(np.uint32)
+        blocks[i] = out[: lengths[i], row].astype(np.uint32)
     return blocks
