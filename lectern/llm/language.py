@@ -26,7 +26,7 @@ SAMPLE = 2_000
 #: An n-gram belongs to a language if this share of its documents holds it.
 LEAST_SHARE = 0.01
 #: Characters handled at a time.
-SLICE = 4_000_000
+SLICE = 400_000
 _LETTERS: list[np.ndarray] = []
 
 
