@@ -29,7 +29,7 @@ def words(text: Column) -> Column:
 
 def quality(text: Column) -> Column:
     """Share of letters in the text, 0.05 at least: the sampling weight of a document."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.length(text)
+    letters = F.when(F.length(text) > 0, F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.length(text))
     return F.greatest(F.coalesce(letters, F.lit(0.0)), F.lit(0.05))
 
 

@@ -29,7 +29,7 @@ BANDS, ROWS = 20, 4
 #: Rounds with one hub per bucket before members meet pair by pair.
 HUB_ROUNDS = 3
 #: Text bytes handled at a time.
-SLICE = 3_000_000
+SLICE = 1_500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -1,0 +1,242 @@
+"""Operators on single rows, mixing, and the pipeline."""
+
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lectern.llm import language, mixing, pii, quality, toxicity, urls
+from lectern.session import checkpointed
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# ------------------------------------------------------------------- quality
+def test_quality_counts(odd):
+    got = Counter()
+    for r in quality.judge(odd).collect():
+        got[r.doc_id or -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed] += 1
+    want = Counter()
+    for r in odd.collect():
+        text = r.text or ""
+        words = WORD.findall(text)
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        twice = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if twice[w] > 1 for k in range(5)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        n = len(words)
+        want[r.doc_id or -1, n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), n < 10 or 100 * len(covered) > 20 * n] += 1
+    assert got == want
+
+
+def test_quality_rules(spark):
+    texts = [(1, "the of and to in a b c d e f"), (2, "### ### ### ### ### ### ### ### ### ### #a"), (3, "\n".join(["same line of words here and there"] * 2 + ["another one is here"]))]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(texts, "doc_id long, text string"), [("symbol_ratio", None, 0.5)]).collect()}
+    assert got[1].kept and got[2].broken == ["symbol_ratio"] and not got[2].kept
+
+
+# ------------------------------------------------------------------- mixing
+def brute_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    goal, free, total = {}, set(names), 1.5 * sum(sizes.values())
+    while free:
+        rest, w = total - sum(goal.values()), sum(weight[s] for s in free)
+        over = [s for s in free if rest * weight[s] / w > 2 * sizes[s]]
+        if not over:
+            goal.update({s: rest * weight[s] / w for s in free})
+            break
+        goal.update({s: 2.0 * sizes[s] for s in over})
+        free -= set(over)
+    return goal
+
+
+def test_mix_meets_targets(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 200))), None if i % 9 == 0 else f"s{i * i % 7}") for i in range(600)] + [(700, "big " * 9000, "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = mixing.mix(docs).collect()
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    goal = brute_targets(sizes)
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size and abs(r.target - goal[r.source]) < 1e-6
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
+    assert sorted(map(tuple, mixing.mix(docs).select("doc_id", "taken").collect())) == sorted((r.doc_id, r.taken) for r in got)
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns
+    words = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
+    assert {s: n for s, n in words.items() if n} == {s: n for s, n in taken.items() if n}
+
+
+def test_mix_prefers_quality(spark, tmp_path):
+    rows = [(i, "good words here" if i % 2 else "11 22 333", "a") for i in range(4000)] + [(5000 + i, "x y z", "b") for i in range(1000)] + [(9000, "x " * 3000, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
+    got = {r.good: r.n for r in mixing.mix(spark.read.parquet(str(tmp_path / "d"))).where("source = 'a' and part > 0").groupBy((F.col("doc_id") % 2 == 1).alias("good")).agg(F.count("*").alias("n")).collect()}
+    assert got[True] > 1.2 * got.get(False, 0)
+
+
+def test_mix_odd_rows(odd, none):
+    got = mixing.mix(odd).collect()
+    assert len(got) == odd.count() and all(r.taken <= 2 * r.size for r in got)
+    assert mixing.mix(none).count() == 0 and mixing.mix_documents(none).count() == 0
+    assert mixing.mix_documents(odd).columns == odd.columns
+
+
+def test_first_words(spark):
+    df = spark.createDataFrame([(" a b\tc\n d ", n) for n in range(5)], "text string, n long")
+    assert [r[0] for r in df.select(mixing.first_words(F.col("text"), F.col("n"))).collect()] == ["", " a", " a b", " a b\tc", " a b\tc\n d"]
+
+
+# ------------------------------------------------------------------- URLs
+def test_url_parts_and_rules(spark):
+    cases = {
+        "http://WWW.Example.com/en/1?q#f": ("www.example.com", "/en/1", "www.example.com/en/"), "https://m.example.com/en/": ("m.example.com", "/en/", "example.com/en/"), "http://example.com/fr": ("example.com", "/fr", "com/"),
+        "http://a.net/es/9": ("a.net", "/es/9", "net/es/"), "http://xnet/es/9": ("xnet", "/es/9", None), "http://a.com": ("a.com", "", None), "http://a.com?x/": ("a.com", "", None), "a.com/en": ("", "", None), None: ("", "", None), "": ("", "", None),
+        "x://É.Com/Ä": ("É.com", "/Ä", "com/"), "http://a\nb.com/c\nd": ("a\nb.com", "/c\nd", "com/"), "http://a.com//b://c": ("a.com", "//b://c", "com/"),
+    }
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)], "page_id long, url string, host string")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    for i, want in enumerate(cases.values()):
+        assert (got[i].host, got[i].path, got[i].rule) == want
+        assert got[i].verdict == (dict(urls.RULES)[want[2]] if want[2] else "block" if got[i].p_block >= 0.5 else "allow")
+
+
+def test_url_model_generalises():
+    model = urls.fit()
+    bad = ["www.spam-farm.example.net/de/4", "casino-win.example.org/en/9", "m.cheap-pills.example.org/x", "free-bets.example.net/fr/1", "blog.adult-x.example.org/en/2", "ads-track.example.net/de/3"]
+    good = ["www.thereth.example.org/en/4", "blog.tholian.example.net/de/9", "m.there.example.org/fr/1", "archive.example.org/en/2"]
+    assert (urls.score(bad, model) >= 0.5).all() and (urls.score(good, model) < 0.5).all()
+
+
+def test_url_nothing(spark):
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+# ------------------------------------------------------------------- language
+TEXTS = {"en": "the house and the garden are near the river with the old bridge {}", "de": "das haus und der garten sind nahe am fluss mit der alten brücke {}", "fr": "la maison et le jardin sont près de la rivière avec le vieux pont {}"}
+
+
+def labelled(spark, tmp_path):
+    rows = [(3 * i + k, t.format(f"x{i}"), lang) for i in range(40) for k, (lang, t) in enumerate(TEXTS.items())]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "l"))
+    return spark.read.parquet(str(tmp_path / "l"))
+
+
+def test_language(spark, odd, none, tmp_path):
+    docs = labelled(spark, tmp_path)
+    known = language.fit(language.learning_rows(docs))
+    assert known.languages == sorted(TEXTS)
+    got = language.predict(docs, known).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.lang_pred == r.lang and 0 < r.score <= 1 for r in got)
+    out = language.predict(odd, known).collect()
+    assert len(out) == odd.count() and all(0 <= r.score <= 1 and r.lang_pred in {*TEXTS, "und"} for r in out)
+    assert {r.lang_pred for r in out if r.doc_id in (4, 5, 6, 10)} == {"und"}
+    assert language.identified(odd, known).columns == odd.columns
+    assert language.predict(none, known).count() == 0
+    nothing = language.fit(none)
+    assert {r.lang_pred for r in language.predict(odd, nothing).collect()} == {"und"}
+
+
+def test_bloom_masks_hold_every_language_of_a_gram():
+    known = language.Filters([f"l{i:02d}" for i in range(70)], np.zeros((2, language.POSITIONS), np.uint64), "l00")
+    rows, hashes, letters = language.grams(["abc"])
+    for p in language.places(hashes):
+        known.masks[0, p] |= np.uint64(1 << 3)
+        known.masks[1, p] |= np.uint64(1 << 5)
+    counts, _ = known.counts(["abc"])
+    assert {known.languages[i] for i in np.flatnonzero(counts[0] > 1)} == {"l03", "l69"} and letters[0] == 3
+
+
+# ------------------------------------------------------------------- toxicity
+def test_ordinal_fit_orders_grades():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 3))
+    eta = x @ np.array([2.0, -1.0, 0.0]) + rng.logistic(size=3000)
+    grades = (eta > 0).astype(int) + (eta > 1.5) + (eta > 3)
+    weights, t = toxicity.fit_ordinal(x, grades)
+    assert np.allclose(weights, [2, -1, 0], atol=0.25) and np.allclose(t, [0, 1.5, 3], atol=0.3)
+
+
+def test_toxicity(spark, odd, none, tmp_path):
+    rows = [(i, "the river and the bridge were calm " + ("you vile gutterscum " * (1 + i % 5) if i % 4 == 0 else "") + f"w{i}", "x") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, toxic string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(None, 1), (301, None)], "doc_id long, grade int")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert all(r.toxic == (r.doc_id % 4 == 0) and abs(r.severity) <= 2 for r in got)
+    out = toxicity.score(odd, model).collect()
+    assert len(out) == odd.count() and not any(r.toxic for r in out)
+    assert toxicity.score(none, model).count() == 0
+    assert not any(r.toxic for r in toxicity.score(docs, toxicity.fit(none, labels)).collect())
+
+
+# ------------------------------------------------------------------- personal data
+def test_surrogates_keep_format_and_are_distinct():
+    cards = [f"4{i:015d}" for i in range(500)]
+    new = [pii.surrogate("card", c) for c in cards]
+    assert len(set(new)) == 500 and all(n[0] == "4" and pii.luhn(n) == pii.luhn(c) for n, c in zip(new, cards, strict=True))
+    ips = {pii.surrogate("ip", f"10.0.{i}.7") for i in range(200)}
+    assert len(ips) == 200 and all(i.split(".")[0] in {"10", "172", "192", "127", "0", "100", "169", "198", "203"} for i in ips)
+    names = sorted(n for k in pii.GIVEN.values() for n in k)
+    assert sorted(pii.surrogate("name", f"{n} Smith").split()[0] for n in names) == names
+    for kind, names in pii.GIVEN.items():
+        assert {pii.surrogate("name", f"{n} Smith").split()[0] for n in names} == set(names), kind
+    assert pii.surrogate("email", "Jo.99@mail.example.com").endswith(".com") and re.fullmatch(r"[A-Z][a-z]\.\d\d@[a-z]{4}\.[a-z]{7}\.com", pii.surrogate("email", "Jo.99@mail.example.com"))
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", pii.surrogate("phone", "+1 (743) 555-3824"))
+    assert pii.script_of(pii.surrogate("name", "Иван Петров", "m")) == "cyrillic"
+
+
+def test_permute_is_a_permutation():
+    found = {pii.permute(f"{i:03d}", b"k", "t") for i in range(1000)}
+    assert len(found) == 1000
+    assert len({pii.permute(c, b"k", "t") for c in "0123456789"}) == 10
+
+
+def test_replaced_texts(spark, odd, none):
+    private = "Mail jo.smith@mail.example.com or call +1 (743) 555-3824, card 4994226020900891, from 8.196.197.208. Mr John Smith wrote; Mr Smith paid. token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\""
+    df = spark.createDataFrame([(1, private), (2, "again jo.smith@mail.example.com"), (3, "version 1.2.3 of 12 things in 2024")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+    for value in ("jo.smith@", "555-3824", "4994226020900891", "8.196.197.208", "Smith", "1eb9c654"):
+        assert value not in got[1].text
+    assert [e.kind for e in got[1].entities] == ["email", "phone", "card", "ip", "name", "name", "secret"]
+    assert got[1].entities[0].surrogate == got[2].entities[0].surrogate and got[3].text == "version 1.2.3 of 12 things in 2024"
+    john, smith = got[1].entities[4].surrogate.split(), got[1].entities[5].surrogate
+    assert john[1] == smith and john[0] in pii.GIVEN["latin", "m"]
+    same = {(r.doc_id, r.text) for r in pii.pseudonymised(odd).collect()}
+    assert same == {(r.doc_id, r.text) for r in odd.collect()}
+    assert pii.pseudonymised(none).count() == 0
+
+
+def test_collisions_are_found(spark):
+    one = lambda s, d: [{"kind": "card", "start": 0, "end": 1, "surrogate": s, "digest": d}]
+    done = spark.createDataFrame([(1, one("a", 1)), (2, one("a", 2)), (3, one("b", 3)), (4, one("b", 3))], "doc_id long, entities array<struct<kind string, start long, end long, surrogate string, digest long>>")
+    assert [(r.kind, r.surrogate) for r in pii.collisions(done).collect()] == [("card", "a")]
+
+
+# ------------------------------------------------------------------- pipeline
+def test_pipeline_stages(spark, odd, none, tmp_path):
+    for docs in (odd, none):
+        kept = docs
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, kept, str(tmp_path))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns, name
+            kept = checkpointed(out)
+        if docs is none:
+            assert kept.count() == 0
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
+def test_pipeline_on_tables(spark):
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(rows.columns)
+    assert rows.count() > 100
