@@ -107,7 +107,7 @@ def clean_heading(value: Column) -> Column:
 def title_case(value: Column) -> Column:
     """Capital after every character that is not a letter."""
     runs = F.regexp_extract_all(F.lower(value), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substring(r, 2, 1_000_000))), "")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), r.substr(F.lit(2), F.length(r)))), "")
 
 
 def words(value: Column) -> Column:

@@ -13,7 +13,7 @@ from lectern.functions import text as T
 from lectern.functions.segments import blocks as block_texts
 from lectern.functions.segments import compact_blocks
 from lectern.session import checkpointed
-from lectern.skew import assemble_text, exploded, first_rows, running
+from lectern.skew import exploded, first_rows, placed_text, running
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 BLOCK = 8192
@@ -202,10 +202,10 @@ def anchored_markdown(anchor_rows: DataFrame) -> Column:
                            F.col("paper_id").cast("string"), F.col("page").cast("string"), F.col("block_id"), F.col("body"))
 
 
-def document_text(anchor_rows: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
-    """Whole text of every paper in section order, in parts of bounded size."""
+def document_text(anchor_rows: DataFrame) -> DataFrame:
+    """Whole text of every paper as its chunks in section order, each with its place (``start``)."""
     rows = anchor_rows.where(T.strip(F.col("body")) != "").select("*", *coarse("ord"))
-    return assemble_text(rows, ["paper_id"], ["ord", "page"], ["_block"], "body", part_chars=part_chars)
+    return placed_text(rows, ["paper_id"], ["ord", "page"], ["_block"], "body")
 
 
 # ------------------------------------------------------------------------------ blocks

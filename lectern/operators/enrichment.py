@@ -56,9 +56,9 @@ def enrich(units: DataFrame, cache: DataFrame, call: Callable[[dict], dict], con
             for unit in batch[columns].to_dict("records"):
                 try:
                     answer = call(unit)
-                    rows.append((unit[key], str(answer.get("response", "")), "completed", None, int(answer.get("input_tokens", 0)), int(answer.get("output_tokens", 0)), int(answer.get("duration_ms", 0)), isinstance(answer, ValueError)))
+                    rows.append((unit[key], str(answer.get("response", "")), "completed", None, int(answer.get("input_tokens", 0)), int(answer.get("output_tokens", 0)), int(answer.get("duration_ms", 0)), False))
                 except Exception as error:  # noqa: BLE001 - a failed unit is a row, not a crash
-                    rows.append((unit[key], None, "failed", str(error)[:500], 0, 0, 0, isinstance(error, ValueError)))
+                    rows.append((unit[key], None, "failed", str(error), 0, 0, 0, isinstance(error, ValueError)))
             yield pd.DataFrame(rows, columns=["cache_key", "response", "status", "error", "input_tokens", "output_tokens", "duration_ms", "invalid"])
 
     shape = "cache_key string, response string, status string, error string, input_tokens long, output_tokens long, duration_ms long, invalid boolean"

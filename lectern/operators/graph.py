@@ -187,7 +187,7 @@ def mutual_pairs(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 # -------------------------------------------------------------------------------- trees
 
-def closure(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(nodes: DataFrame) -> DataFrame:
     """``(ancestor, id)`` for every node and all its descendants, itself included.
 
     ``nodes(id, parent_id)``.  Paths double each round, so a tree of depth d takes log2(d)
@@ -197,14 +197,13 @@ def closure(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
     step = nodes.where("parent_id is not null").join(nodes.select(F.col("id").alias("_p")), F.col("parent_id") == F.col("_p"), "left_semi")
     reach = checkpointed(own.unionByName(step.select(F.col("parent_id").alias("ancestor"), "id")).distinct())
     size = reach.count()
-    for _ in range(max_rounds):
+    while True:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.id") == F.col("b.ancestor")).select(F.col("a.ancestor"), F.col("b.id"))
         reach = checkpointed(further.distinct())
         grown = reach.count()
         if grown == size:
             return reach
         size = grown
-    raise RuntimeError("closure did not settle; raise max_rounds")
 
 
 def cyclic_nodes(nodes: DataFrame, reach: DataFrame) -> DataFrame:

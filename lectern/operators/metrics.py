@@ -40,14 +40,12 @@ def stratified_sample(candidates: DataFrame, quotas: dict[str, int] = QUOTAS, si
     by_digest = [F.col("sha256"), F.col("item")]
     heads = first_rows(candidates.where(F.col("category").isin(*quotas)), ["category", "bucket"], by_digest, most, rank="_turn")
     turned = first_rows(heads, ["category"], [F.col("_turn"), F.col("bucket")], most, rank="_place")
-    first = turned.where(F.col("_place") <= quota).select("item", "category").limit(size)
-    # The rest is filled only up to the total: rank all leftovers, keep the missing number.
-    left = candidates.join(first.select("item"), "item", "left_anti")
-    more = left.orderBy("bucket", *by_digest).limit(size).select("item", F.struct("bucket", "sha256", "item").alias("_o"))
-    taken = first.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = first_rows(more.withColumn("_g", F.lit(0)), ["_g"], [F.col("_o")], size, rank="_r")
-    second = ranked.join(taken.withColumn("_g", F.lit(0)), "_g").where(F.col("_r") <= size - F.col("_n")).select("item")
-    chosen = first.select("item").unionByName(second).withColumn("selected", F.lit(True))
+    order = F.create_map(*[F.lit(v) for i, name in enumerate(quotas) for v in (name, i)])[F.col("category")]
+    first = turned.where(F.col("_place") <= quota).select("item", F.struct(F.lit(0).alias("late"), order.alias("a"), F.col("_place").alias("b"), F.lit("").alias("sha256"), "item").alias("_o"))
+    # Quota rows come first, in order of category and place; the rest by bucket and digest.  One order over
+    # both, of which the first ``size`` are taken.
+    left = candidates.join(first.select("item"), "item", "left_anti").select("item", F.struct(F.lit(1).alias("late"), F.col("bucket").cast("int").alias("a"), F.lit(0).alias("b"), "sha256", "item").alias("_o"))
+    chosen = first.unionByName(left).orderBy("_o").limit(size).select("item", F.lit(True).alias("selected"))
     return candidates.join(chosen, "item", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
@@ -75,9 +73,10 @@ def creator_names(item_creators: DataFrame, creators: DataFrame, blocks: Column
 def inspection(items: DataFrame, attachment_rows: DataFrame, present: DataFrame) -> DataFrame:
     """Items, attachments and attachments whose file is missing, as one row."""
     there = present.select("path").distinct().withColumn("_there", F.lit(1))
-    counted = attachment_rows.join(there, "path", "left").agg(F.count(F.lit(1)).alias("attachments"), F.count_if(F.col("_there").isNull()).alias("missing"))
-    total = items.agg(F.count(F.lit(1)).alias("items"))
-    return total.withColumn("_k", F.lit(0)).join(counted.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    one, none = F.lit(1), F.lit(0)
+    looked = attachment_rows.join(there, "path", "left").select(none.alias("i"), one.alias("a"), F.col("_there").isNull().cast("int").alias("m"))
+    both = looked.unionByName(items.select(one.alias("i"), none.alias("a"), none.alias("m")))
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("i", "items"), ("a", "attachments"), ("m", "missing"))])
 
 
 def usage_rollup(rows: DataFrame, dims: list[str]) -> DataFrame:

@@ -141,16 +141,17 @@ def read_references(calls: DataFrame, refs: DataFrame) -> DataFrame:
 def find_evidence(queries: DataFrame, sections: DataFrame, limit: int = 10, before: int = 180, after: int = 420) -> DataFrame:
     """The first sections, in order, that hold any of a query's terms, with a snippet.
 
-    ``queries(query_id, query, limit)``; ``sections(section_key, ord, text)`` with one total
+    ``queries(query_id, query)`` with an optional ``limit`` (1..20) of each call, else the argument; ``sections(section_key, ord, text)`` with one total
     order.  A term is a piece of the query between spaces, so a hit lies inside one piece of
     the text.  Only the first ``limit`` sections of each text piece can matter for any term,
     and only the first ``limit`` of each term for any query, so both are cut inside the map
     tasks; terms meet the vocabulary (not the texts) through an equi-join on substrings.
     Texts are looked at again only for the sections that are returned.
     """
-    limit = max(1, min(limit, 20))
+    own = F.least(F.greatest(F.coalesce(F.col("limit"), F.lit(limit)), F.lit(1)), F.lit(20)) if "limit" in queries.columns else F.lit(max(1, min(limit, 20)))
+    limit = 20 if "limit" in queries.columns else max(1, min(limit, 20))
     pieces = F.filter(T.words(F.col("query")), lambda w: F.length(w) > 1)
-    asked = queries.select("query_id", F.transform(F.slice(pieces, 1, 8), lambda w: F.lower(w)).alias("terms")).where(F.size("terms") > 0)
+    asked = queries.select("query_id", own.alias("_own"), F.transform(F.slice(pieces, 1, 8), lambda w: F.lower(w)).alias("terms")).where(F.size("terms") > 0)
     terms = asked.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
 
     tokens = exploded(sections, F.array_distinct(T.words(F.lower("text"))), "token", "section_key", "ord")
@@ -161,7 +162,7 @@ def find_evidence(queries: DataFrame, sections: DataFrame, limit: int = 10, befo
     per_query = terms.join(per_term, "term").select("query_id", "section_key", "ord").distinct()
     top = first_rows(per_query, ["query_id"], [F.col("ord")], limit, rank="rank")
 
-    shown = top.join(asked, "query_id").join(sections.select("section_key", "text"), "section_key")
+    shown = top.join(asked, "query_id").where("rank <= _own").join(sections.select("section_key", "text"), "section_key")
     low = F.lower("text")
     at = F.array_min(F.filter(F.transform("terms", lambda t: F.call_function("instr", low, t)), lambda p: p > 0)) - 1
     placed = shown.withColumn("position", at)

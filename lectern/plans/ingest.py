@@ -23,7 +23,7 @@ def read_pages(pages: DataFrame) -> dict[str, DataFrame]:
     sections = corpus.sections(chunks)
     anchors = checkpointed(corpus.anchors(chunks, sections))
     # The heading is no part of a section's text, so it is put back for the list extraction.
-    bodies = anchors.select("paper_id", (F.col("ord") * 1_000_000 + F.col("chunk_no")).alias("ord"), F.concat(F.lit("References\n"), "body").alias("markdown"), "section_id")
+    bodies = anchors.select("paper_id", F.struct("ord", "chunk_no").alias("ord"), F.concat(F.lit("References\n"), "body").alias("markdown"), "section_id")
     listed = bodies.where(F.col("section_id").rlike("^(references|bibliography)(-[0-9]+)?$"))
     return {"pages": cleaned, "sections": sections, "anchors": anchors, "references": biblio.extract_references(listed)}
 

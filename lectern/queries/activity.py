@@ -120,9 +120,9 @@ def _messages(spark, sf_dir):
     return c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"), F.col("i").cast("long").alias("seq"), fmt.alias("format"), F.when(fmt == "anthropic", block).otherwise(flat).alias("json"))
 
 
-@query("delta_assembly", "SELECT conv_id || '-' || turn AS request_id, 0::BIGINT AS part, sha256(text || ' ') AS digest FROM conversations")
+@query("delta_assembly", "SELECT conv_id || '-' || turn AS request_id, sha256(text || ' ') AS digest FROM conversations")
 def delta_assembly(spark, sf_dir):
-    return J.assembled(J.with_deltas(_messages(spark, sf_dir))).select("request_id", "part", F.sha2("body", 256).alias("digest"))
+    return J.assembled(J.with_deltas(_messages(spark, sf_dir))).select("request_id", F.sha2("body", 256).alias("digest"))
 
 
 @query("delta_usage", "SELECT conv_id || '-' || turn AS request_id, 7::BIGINT AS input_tokens, (len(string_split(text, ' ')) - 1)::BIGINT AS output_tokens FROM conversations")

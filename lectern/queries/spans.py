@@ -39,13 +39,16 @@ CUTS = f"""WITH {SENTENCES}, {MARKS},
 tr AS (SELECT doc_id, s_start AS a, s_end AS b, n % 2 = 0 AS active FROM sent),
 pts AS (SELECT m.doc_id, unnest([r_start, r_start + 60]) AS p, length(text) AS n FROM marks m JOIN documents d ON d.doc_id = m.doc_id WHERE r_start < length(text)),
 free AS (SELECT DISTINCT doc_id, least(p, n) AS cut FROM pts ANTI JOIN (SELECT * FROM tr WHERE active) x ON pts.doc_id = x.doc_id AND pts.p > x.a AND pts.p < x.b),
-cuts AS (SELECT doc_id, 0 AS cut FROM documents WHERE text <> '' UNION SELECT doc_id, length(text) FROM documents WHERE text <> '' UNION SELECT doc_id, unnest([a, b]) FROM tr UNION SELECT doc_id, cut FROM free),
+cuts AS (SELECT doc_id, 0 AS cut FROM documents WHERE text <> '' UNION SELECT doc_id, length(text) // 2 FROM documents WHERE text <> '' UNION SELECT doc_id, length(text) FROM documents WHERE text <> '' UNION SELECT doc_id, unnest([a, b]) FROM tr UNION SELECT doc_id, cut FROM free),
 runs AS (SELECT doc_id, cut AS s_start, lead(cut) OVER (PARTITION BY doc_id ORDER BY cut) AS s_end FROM cuts)"""
 
 
 def _cut(spark, sf_dir):
-    nodes = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("block_id"), F.lit(0).alias("node_id"), F.lit(0).alias("start"), F.length("text").alias("end"))
-    t = _runs(spark, sf_dir).select("block_id", F.col("run_id").alias("range_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), (F.col("run_id") % 2 == 0).alias("active"))
+    """Two text nodes in each document; sentences are its (stored) translations."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    ends = F.array(F.struct(F.lit(0).alias("start"), half.alias("end")), F.struct(half.alias("start"), F.length("text").alias("end")))
+    nodes = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("block_id"), F.posexplode(ends).alias("node_id", "n")).select("block_id", "node_id", "n.start", "n.end")
+    t = checkpointed(_runs(spark, sf_dir)).select("block_id", F.col("run_id").alias("range_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), (F.col("run_id") % 2 == 0).alias("active"))
     return nodes, t, _marks(spark, sf_dir)
 
 
@@ -55,13 +58,14 @@ def cut_runs(spark, sf_dir):
 
 
 @query("run_markers", CUTS + """, r AS (SELECT * FROM runs WHERE s_end IS NOT NULL),
-m AS (SELECT r.doc_id, r.s_start, arg_min(s.n, (s.s_start, s.n)) AS translation_id, bool_or(s.n % 2 = 0 AND s.s_start = r.s_start AND s.s_end = r.s_end) AS translated FROM r JOIN sent s ON s.doc_id = r.doc_id AND r.s_start < s.s_end AND r.s_end > s.s_start GROUP BY 1, 2),
-c AS (SELECT r.doc_id, r.s_start, count(*) AS n_chats FROM r JOIN marks k ON k.doc_id = r.doc_id AND r.s_start < k.r_start + 60 AND r.s_end > k.r_start GROUP BY 1, 2)
+rs AS (SELECT *, unnest(range(s_start // 512, (greatest(s_end - 1, s_start)) // 512 + 1)) AS w FROM r), ss AS MATERIALIZED (SELECT *, unnest(range(s_start // 512, (greatest(s_end - 1, s_start)) // 512 + 1)) AS w FROM sent),
+ms AS (SELECT *, unnest(range(r_start // 512, (r_start + 59) // 512 + 1)) AS w FROM marks),
+m AS (SELECT r.doc_id, r.s_start, arg_min(s.n, (NOT (s.s_start = r.s_start AND s.s_end = r.s_end), s.s_start, s.n)) AS translation_id, bool_or(s.n % 2 = 0 AND s.s_start = r.s_start AND s.s_end = r.s_end) AS translated FROM rs r JOIN ss s ON s.doc_id = r.doc_id AND s.w = r.w AND r.s_start < s.s_end AND r.s_end > s.s_start GROUP BY 1, 2),
+c AS (SELECT r.doc_id, r.s_start, count(DISTINCT k.r_start) AS n_chats FROM rs r JOIN ms k ON k.doc_id = r.doc_id AND k.w = r.w AND r.s_start < k.r_start + 60 AND r.s_end > k.r_start GROUP BY 1, 2)
 SELECT r.doc_id AS block_id, r.s_start::INT AS s_start, coalesce(translation_id, -1)::INT AS translation_id, coalesce(translated, false) AS translated, coalesce(n_chats, 0) AS n_chats FROM r LEFT JOIN m ON m.doc_id = r.doc_id AND m.s_start = r.s_start LEFT JOIN c ON c.doc_id = r.doc_id AND c.s_start = r.s_start""")
 def run_markers(spark, sf_dir):
     nodes, t, a = _cut(spark, sf_dir)
-    runs = spans.cut_runs(nodes, t, a).withColumn("node_id", F.col("block_id"))
-    return spans.run_markers(runs, t, a).select("block_id", F.col("start").alias("s_start"), F.coalesce("translation_id", F.lit(-1)).alias("translation_id"), "translated", "n_chats")
+    return spans.run_markers(checkpointed(spans.cut_runs(nodes, t, a)), t, a).select("block_id", F.col("start").alias("s_start"), F.coalesce("translation_id", F.lit(-1)).alias("translation_id"), "translated", "n_chats")
 
 
 def _records(spark, sf_dir):
@@ -80,7 +84,13 @@ def reproject_spans(spark, sf_dir):
     return spans.reproject(r.withColumn("new_text", new)).select("record_id", "segment_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "status")
 
 
-@query("reproject_edited")
+@query("reproject_edited", rf"""WITH RECURSIVE {SENTENCES},
+wd AS MATERIALIZED (SELECT s.doc_id, s.n, regexp_replace(trim(text[s_start + 1:s_end], chr(10) || ' '), '\s', ' ', 'g') AS needle FROM documents d JOIN sent s ON d.doc_id = s.doc_id),
+nb AS MATERIALIZED (SELECT doc_id, regexp_replace('New opening. ' || regexp_replace(text, '(?s)^(.{{40}}\w*)\w', '\1x'), '\s', ' ', 'g') AS body FROM documents),
+rr AS (SELECT doc_id, -1 AS n, 0 AS cur, 0 AS start, false AS alone FROM documents UNION ALL
+  SELECT doc_id, n, CASE WHEN ok THEN cur + p - 1 + length(needle) ELSE cur END, CASE WHEN ok THEN cur + p - 1 ELSE 0 END, ok
+  FROM (SELECT *, needle <> '' AND p > 0 AND instr(body[cur + p + length(needle):], needle) = 0 AS ok FROM (SELECT wd.doc_id, wd.n, rr.cur, needle, body, instr(body[cur + 1:], needle) AS p FROM rr JOIN wd ON wd.doc_id = rr.doc_id AND wd.n = rr.n + 1 JOIN nb ON nb.doc_id = rr.doc_id)))
+SELECT doc_id AS record_id, CASE WHEN alone THEN 'whitespace-remapped' ELSE 'stale' END AS status, count(*) AS n, sum(start)::BIGINT AS starts FROM rr WHERE n >= 0 GROUP BY 1, 2""")
 def reproject_edited(spark, sf_dir):
     """Texts with a new opening and one word changed: unique segments move, others go stale."""
     r = _records(spark, sf_dir)
@@ -89,7 +99,10 @@ def reproject_edited(spark, sf_dir):
     return out.groupBy("record_id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"))
 
 
-@query("reproject_blocks")
+@query("reproject_blocks", f"""WITH {SENTENCES}, pp AS (SELECT s.doc_id, n, s_start, s_end, text[1:s_start] AS pre, text[s_start + 1:s_end] AS piece, contains(text, chr(10)) AS lines FROM sent s JOIN documents d ON d.doc_id = s.doc_id),
+kk AS (SELECT *, length(pre) - length(replace(pre, chr(10), '')) AS ord, length(pre) - length(regexp_extract(pre, '[^\\n]*$')) AS base, contains(piece, chr(10)) AS lost FROM pp)
+SELECT doc_id AS record_id, 'sentence-' || (n + 1) AS segment_id, CASE WHEN NOT lost THEN doc_id || '-' || ord END AS block_id, CASE WHEN lost THEN 0 ELSE s_start - base END::INT AS s_start, CASE WHEN lost THEN 0 ELSE s_end - base END::INT AS s_end,
+  CASE WHEN lost THEN 'stale' WHEN lines THEN 'whitespace-remapped' ELSE 'exact' END AS status FROM kk""")
 def reproject_blocks(spark, sf_dir):
     """Texts split into a block per line: segments land in blocks, those over two are stale."""
     d = table(spark, sf_dir, "documents")

@@ -11,7 +11,7 @@ from lectern.operators import context, corpus, retrieval
 from lectern.operators.corpus import coarse
 from lectern.queries import query
 from lectern.queries.tables import SOURCE_PAGES, WS, paragraphs, source_pages, sql_norm, sql_strip, table
-from lectern.skew import assemble_text, exploded, first_rows
+from lectern.skew import assemble_text, exploded, first_rows, placed_text
 
 # ------------------------------------------------------------------ duplicates, budgets
 
@@ -268,19 +268,19 @@ def neighbour_context(spark, sf_dir):
     return corpus.neighbours(lines, ["doc_id"], "ord", "text", 1, 1, 8000).select("doc_id", "ord", F.sha2("context", 256).alias("digest"))
 
 
-@query("long_text_chunks")
+@query("long_text_chunks", rf"""WITH RECURSIVE c AS (SELECT doc_id, -1 AS n, '' AS chunk, {sql_strip("text")} AS rest FROM documents UNION ALL
+SELECT doc_id, n + 1, {sql_strip("rest[1:cut]")}, {sql_strip("rest[cut + 1:]")} FROM (SELECT *, CASE WHEN length(rest) <= 2000 THEN length(rest) WHEN 2000 - length(regexp_extract(rest[1:2000], '[^ \n]*$')) > 1100 THEN 2000 - length(regexp_extract(rest[1:2000], '[^ \n]*$')) ELSE 2000 END AS cut FROM c WHERE rest <> ''))
+SELECT doc_id, n, length(chunk)::INT AS n_chars, sha256(chunk) AS digest FROM c WHERE n >= 0""")
 def long_text_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(S.long_text_chunks(F.col("text"), 2000)).alias("n", "chunk")).select("doc_id", "n", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("digest"))
 
 
-@query("document_text", """WITH b AS (SELECT source, doc_id, text, sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM documents WHERE trim(text) <> ''),
-p AS (SELECT *, floor(coalesce(s, 0) / 50000)::BIGINT AS part FROM b)
-SELECT source, part, count(*) AS n_pieces, sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM p GROUP BY 1, 2""")
+@query("document_text", """WITH b AS (SELECT source, doc_id, text, sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM documents WHERE trim(text) <> '')
+SELECT source, doc_id, coalesce(s, 0)::BIGINT AS start, sha256(text) AS digest FROM b""")
 def document_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(F.trim("text") != "").select("source", "doc_id", "text", *coarse("doc_id"))
-    out = assemble_text(d, ["source"], ["doc_id"], ["_block"], "text", part_chars=50_000)
-    return out.select("source", "part", "n_pieces", F.sha2("body", 256).alias("digest"))
+    return placed_text(d, ["source"], ["doc_id"], ["_block"], "text").select("source", "doc_id", "start", F.sha2("text", 256).alias("digest"))
 
 
 @query("title_norm", f"SELECT page_id, {sql_norm('title')} AS norm, sha256(title)[1:20] AS id20 FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)")
@@ -395,12 +395,12 @@ def chat_messages(spark, sf_dir):
     return retrieval.as_messages(retrieval.recent_turns(turns, "conversation_id", "turn", 6))
 
 
-@query("chat_context", """SELECT conv_id, 0::BIGINT AS part, count(*) AS n_pieces, sha256(string_agg('## ' || role || ' / ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1""")
+@query("chat_context", """SELECT conv_id, count(*) AS n_pieces, sha256(string_agg('## ' || role || ' / ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1""")
 def chat_context(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    rows = c.select("conv_id", "turn", F.concat(context.context_heading(F.col("role"), F.col("turn").cast("string")), F.lit("\n\n"), "text").alias("text"), *coarse("turn"))
-    out = assemble_text(rows, ["conv_id"], ["turn"], ["_block"], "text")
-    return out.select("conv_id", "part", "n_pieces", F.sha2("body", 256).alias("digest"))
+    rows = c.select("conv_id", "turn", F.concat(context.context_heading(F.col("role"), F.col("turn").cast("string")), F.lit("\n\n"), "text").alias("text"))
+    out = assemble_text(rows, ["conv_id"], ["turn"], "text")
+    return out.select("conv_id", "n_pieces", F.sha2("body", 256).alias("digest"))
 
 
 @query("first_lines", "SELECT source, digest, min(doc_id) AS doc_id FROM (SELECT source, doc_id, sha256(string_split(text, chr(10))[1]) AS digest FROM documents) GROUP BY 1, 2")

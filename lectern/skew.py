@@ -3,7 +3,8 @@
 * ``running``       prefix aggregates per key, computed block by block
 * ``number_rows``   row numbers per key with no natural blocks (range partitions)
 * ``pairs_within``  pairs of members of a group, with the work of a large group split
-* ``assemble_text`` ordered text of a key, cut into parts of bounded size
+* ``assemble_text`` ordered text of a key as one value
+* ``placed_text``   ordered text of a key as pieces with their places
 * ``contains_pairs`` substring join made of equi-joins
 
 Rank filters (``row_number() <= k``) need no help: Spark limits every map partition to k
@@ -136,28 +137,22 @@ def pairs_within(members: DataFrame, group: Sequence[str], item: str, order: str
     return joined.drop("_bucket", "_left_order", "_right_order")
 
 
-def assemble_text(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    blocks: Sequence[str],
-    text: str,
-    separator: str = "\n\n",
-    part_chars: int = 1_000_000,
-) -> DataFrame:
-    """Text of every key in order, as ``(keys, part, body, n_pieces)``.
+def assemble_text(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, separator: str = "\n\n") -> DataFrame:
+    """One row per key: its texts in order as ``body``, and their number.
 
-    Concatenating a key's parts with ``separator`` gives its whole text; a part ends once it
-    reaches ``part_chars``, so a key of any size is spread over many bounded rows.
+    For keys whose whole text is one value by nature (a message, a conversation, a call).
     """
-    measured = rows.withColumn("_chars", F.length(text).cast("long") + len(separator))
-    placed = running(measured, keys, order, blocks, {"_start": ("sum", F.col("_chars"))}, inclusive=False)
-    parted = placed.withColumn("part", F.floor(F.col("_start") / F.lit(part_chars)).cast("long"))
     pieces = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_piece"))))
-    return parted.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(pieces, lambda p: p["_piece"]), separator).alias("body"),
-        F.count(F.lit(1)).alias("n_pieces"),
-    )
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda p: p["_piece"]), separator).alias("body"), F.count(F.lit(1)).alias("n_pieces"))
+
+
+def placed_text(rows: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Sequence[str], text: str, separator: str = "\n\n") -> DataFrame:
+    """The pieces of every key's text, each with ``start``, its place in the whole text.
+
+    For keys that may hold any share of all rows: the whole text is these rows in order, at every size.
+    """
+    measured = rows.withColumn("_chars", F.length(text).cast("long") + len(separator))
+    return running(measured, keys, order, blocks, {"start": ("sum", F.col("_chars"))}, inclusive=False).drop("_chars")
 
 
 def exploded(df: DataFrame, array: Column | str, name: str, *keep: Column | str, pos: str | None = None) -> DataFrame:

@@ -116,10 +116,10 @@ def with_deltas(messages: DataFrame) -> DataFrame:
     return messages.select("*", *[c.alias(n) for n, c in delta_columns(F.col("format"), F.col("json")).items()])
 
 
-def assembled(deltas: DataFrame, column: str = "text", part_chars: int = 1_000_000) -> DataFrame:
-    """Text of each request in order, in bounded parts."""
-    rows = deltas.where(F.col(column).isNotNull()).select("request_id", "seq", F.col(column).alias("_t"), F.floor(F.col("seq") / 8192).alias("_block"))
-    return assemble_text(rows, ["request_id"], ["seq"], ["_block"], "_t", "", part_chars)
+def assembled(deltas: DataFrame, column: str = "text") -> DataFrame:
+    """Text of each request in order: one row per request."""
+    rows = deltas.where(F.col(column).isNotNull()).select("request_id", "seq", F.col(column).alias("_t"))
+    return assemble_text(rows, ["request_id"], ["seq"], "_t", "")
 
 
 def usage(deltas: DataFrame) -> DataFrame:
@@ -142,8 +142,8 @@ def tool_calls(messages: DataFrame) -> DataFrame:
         F.coalesce(t["index"], F.lit(0)).alias("index"), t["id"].alias("id"), t["function"]["name"].alias("name"), t["function"]["arguments"].alias("arguments")))
     parts = messages.select("request_id", "seq", block.alias("_block_format"), F.explode(F.when(block, one).otherwise(many)).alias("f")).select("request_id", "seq", "_block_format", "f.*")
     parts = parts.where("id is not null or name is not null or arguments is not null")
-    whole = assemble_text(parts.where("arguments is not null").withColumn("_block", F.floor(F.col("seq") / 8192)), ["request_id", "index"], ["seq"], ["_block"], "arguments", "")
+    whole = assemble_text(parts.where("arguments is not null"), ["request_id", "index"], ["seq"], "arguments", "")
     names = parts.groupBy("request_id", "index").agg(
         F.max_by("id", F.when(F.col("id").isNotNull(), F.col("seq"))).alias("call_id"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("seq", "name")))), lambda r: r["name"]), "").alias("name"))
-    return names.join(whole.select("request_id", "index", "part", F.col("body").alias("arguments")), ["request_id", "index"], "left")
+    return names.join(whole.select("request_id", "index", F.col("body").alias("arguments")), ["request_id", "index"], "left")

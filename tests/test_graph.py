@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lectern.operators import biblio, graph
-from lectern.skew import assemble_text, contains_pairs, number_rows, pairs_within, running
+from lectern.skew import assemble_text, contains_pairs, number_rows, pairs_within, placed_text, running
 
 REFS = "paper_id string, pos int, ref_id string, title string, authors array<string>, year int, doi string, arxiv string"
 
@@ -82,8 +82,10 @@ def test_numbering_over_range_partitions(spark):
 def test_assembled_parts_give_the_text_back(spark):
     rows = [("k", i, f"piece {i}") for i in range(200)]
     df = spark.createDataFrame(rows, ["k", "at", "t"]).withColumn("b", F.floor(F.col("at") / 16))
-    parts = assemble_text(df, ["k"], ["at"], ["b"], "t", "\n", part_chars=300).orderBy("part").collect()
-    assert len(parts) > 3 and "\n".join(p["body"] for p in parts) == "\n".join(f"piece {i}" for i in range(200))
+    parts = placed_text(df, ["k"], ["at"], ["b"], "t", "\n").orderBy("at").collect()
+    whole = "\n".join(f"piece {i}" for i in range(200))
+    assert len(parts) == 200 and all(whole[p["start"] :].startswith(p["t"]) for p in parts)
+    assert assemble_text(df, ["k"], ["at"], "t", "\n").first()["body"] == whole
 
 
 def test_tree_with_a_cycle(spark):
