@@ -98,9 +98,9 @@ def cascade_delete(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("refuse_referenced", "SELECT c_custkey AS id, c_custkey IN (SELECT o_custkey FROM orders) AS refused FROM customer WHERE c_mktsegment = 'HOUSEHOLD'")
+@query("refuse_referenced", "SELECT c_custkey AS id, c_custkey IN (SELECT o_custkey FROM orders) AS refused FROM customer")
 def refuse_referenced(spark, sf_dir):
-    wanted = table(spark, sf_dir, "customer").where("c_mktsegment = 'HOUSEHOLD'").select(F.col("c_custkey").alias("id"))
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     allowed, refused = revisions.refuse_referenced(wanted, table(spark, sf_dir, "orders"), "o_custkey")
     return allowed.withColumn("refused", F.lit(False)).unionByName(refused.withColumn("refused", F.lit(True)))
 

@@ -82,9 +82,9 @@ def boilerplate_lines(spark, sf_dir):
 def _web_pages(spark, sf_dir):
     """Web pages of a host as the pages of one paper, block tags read as markdown lines."""
     p = table(spark, sf_dir, "pages")
-    body = F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
+    body = F.regexp_extract("html", r"(?s)<body>(.*)</body>", 1)
     text = F.regexp_replace(body, r"<h1>", "\n# ")
-    text = F.regexp_replace(text, r"</h1>|</?p>|<br>", "\n")
+    text = F.regexp_replace(text, r"</h1>|</?p>|<br>|</li>|</div>|</nav>|</article>|</footer>", "\n")
     text = F.concat(F.upper(F.regexp_extract("html", r"<a href=\"[^\"]*\">([^<]*)</a>", 1)), F.lit(" INDEX\n"), F.regexp_replace(text, r"<[^>]*>", ""))
     host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
     return p.select(F.regexp_replace(host, r"^.*\.(\w+)$", "$1").alias("paper_id"), F.col("page_id").alias("page"), text.alias("text"))
@@ -92,7 +92,7 @@ def _web_pages(spark, sf_dir):
 
 WEB = r"""SELECT regexp_replace(regexp_extract(url, '^https?://([^/]+)', 1), '^.*\.(\w+)$', '\1') AS paper_id, page_id AS page,
   upper(regexp_extract(html, '<a href="[^"]*">([^<]*)</a>', 1)) || ' INDEX' || chr(10) ||
-  regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<h1>', chr(10) || '# ', 'g'), '</h1>|</?p>|<br>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text FROM pages"""
+  regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1), '<h1>', chr(10) || '# ', 'g'), '</h1>|</?p>|<br>|</li>|</div>|</nav>|</article>|</footer>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text FROM pages"""
 
 
 def sql_clean(value: str) -> str:
@@ -165,14 +165,14 @@ def reader_sections(spark, sf_dir):
     return chunks.groupBy("paper_id", "section_no", "title").agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.length("body")).alias("n_chars"))
 
 
-@query("slugs", f"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, substr(regexp_extract(html, '<html lang="([^"]*)"', 1), 1, 2) AS lang FROM pages),
-b AS (SELECT *, trim(regexp_replace(replace(lower(title[1:12]), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-') AS base0 FROM t),
+@query("slugs", f"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages),
+b AS (SELECT *, trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-') AS base0 FROM t),
 c AS (SELECT *, CASE WHEN base0 = '' THEN 'section' ELSE base0 END AS base FROM b),
 d AS (SELECT *, row_number() OVER (PARTITION BY lang, base ORDER BY page_id) AS n FROM c)
 SELECT page_id, base || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS section_id FROM d""")
 def slugs(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    t = p.select(F.col("page_id"), F.left(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(12)).alias("title"), F.left(F.regexp_extract("html", r'<html lang="([^"]*)"', 1), F.lit(2)).alias("paper_id"))
+    t = p.select(F.col("page_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("paper_id"))
     return corpus.with_unique_slugs(t, "title", "page_id").select("page_id", "section_id")
 
 
@@ -228,10 +228,10 @@ CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(translate(text, chr(1)
   '\b((?i:cross|feed|high|large|low|real|self|small|spatio|state|task))-\r?\n([a-z]{2,})\b', '\1-\2', 'g'), '\b([A-Za-z]{2,})-\r?\n([a-z]{2,})\b', '\1\2', 'g')"""
 
 
-@query("clean_text", rf"SELECT doc_id, sha256({CLEAN.replace('translate(text,', 'translate(broken,')}) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^\x01-\x7f]', '', 'g'), '([a-z]) ([a-z])', '\1-' || chr(10) || '\2', 'g') AS broken FROM documents)")
+@query("clean_text", r"SELECT doc_id, sha256(nfc_normalize(regexp_replace(text, '( [a-z]{2,}) ([a-z]{2,} )', '\1\2', 'g'))) AS digest FROM documents")
 def clean_text(spark, sf_dir):
-    """Words wrapped at line ends (derived by breaking every lower-case pair) are rejoined."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", r"[^\x01-\x7f]", ""), "([a-z]) ([a-z])", "$1-\n$2").alias("broken"))
+    """Words wrapped at line ends (derived by joining pairs of lower-case words so) are rejoined."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "( [a-z]{2,}) ([a-z]{2,} )", "$1-\n$2").alias("broken"))
     return d.select("doc_id", F.sha2(T.clean_extracted(F.col("broken")), 256).alias("digest"))
 
 
@@ -357,19 +357,19 @@ def anchor_masking(spark, sf_dir):
     return m.select("page_id", F.sha2("good.markdown", 256).alias("restored"), F.coalesce(M.restore_anchors(lossy, F.col("m.anchors"))["problem"], F.lit("none")).alias("problem"), F.col("m.text").alias("masked"))
 
 
-@query("page_parts", """SELECT source, doc_id AS page, sha256(t) AS digest FROM (SELECT source, doc_id, trim(text[1:200], chr(10) || ' ' || chr(13) || chr(9) || chr(160)) AS t FROM documents) WHERE t <> ''""")
+@query("page_parts", """SELECT source, doc_id AS page, sha256(t) AS digest FROM (SELECT source, doc_id, trim(text, chr(10) || ' ' || chr(13) || chr(9) || chr(160)) AS t FROM documents) WHERE t <> ''""")
 def page_parts(spark, sf_dir):
     """Documents joined as anchored pages of a section, then split back."""
     d = table(spark, sf_dir, "documents")
     page = F.col("doc_id").cast("string")
-    body = F.concat(F.lit('<a data-page="'), page, F.lit('"></a>\n'), F.left("text", F.lit(200)), F.lit('\n<a data-page="'), page, F.lit('"></a>'))
+    body = F.concat(F.lit('<a data-page="'), page, F.lit('"></a>\n'), "text", F.lit('\n<a data-page="'), page, F.lit('"></a>'))
     parts = d.select("source", F.explode(M.page_parts(body, F.lit(1))).alias("p"))
     return parts.select("source", F.col("p.page").cast("long").alias("page"), F.sha2("p.body", 256).alias("digest"))
 
 
-@query("math_delimiters", r"SELECT doc_id, sha256('$$' || t || '$$ `\[' || t || '\]` $ ' || t || ' $') AS digest, true AS same_length FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t FROM documents)")
+@query("math_delimiters", r"SELECT doc_id, sha256('$$' || t || '$$ `\[' || t || '\]` $ ' || t || ' $') AS digest, true AS same_length FROM (SELECT doc_id, regexp_replace(text, '[$`()\[\]\\\n]', '', 'g') AS t FROM documents)")
 def math_delimiters(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z ]", "").alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[$`()\[\]\\\n]", "").alias("t"))
     md = F.concat(F.lit("\\["), "t", F.lit("\\] `\\["), "t", F.lit("\\]` \\("), "t", F.lit("\\)"))
     fixed = M.normalize_math(md)
     return d.select("doc_id", F.sha2(fixed, 256).alias("digest"), (F.length(fixed) == F.length(md)).alias("same_length"))
