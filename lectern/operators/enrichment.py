@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import markup as M
 from lectern.functions.text import SPACE, collapse, error_kind, fold, strip
+from lectern.session import checkpointed
 from lectern.skew import first_rows
 
 
@@ -64,7 +65,8 @@ def enrich(units: DataFrame, cache: DataFrame, call: Callable[[dict], dict], con
     shape = "cache_key string, response string, status string, error string, input_tokens long, output_tokens long, duration_ms long, invalid boolean"
     # A unit that occurs twice is called once.
     once = pending.dropDuplicates([key]).repartition(concurrency)
-    fresh = once.mapInPandas(run, shape).withColumnRenamed("cache_key", key)
+    # Answers are paid for, so they are written once and read back by whatever uses the result.
+    fresh = checkpointed(once.mapInPandas(run, shape)).withColumnRenamed("cache_key", key)
     fresh = fresh.withColumn("error_kind", F.when(F.col("status") == "failed", error_kind(F.col("error"), F.col("invalid")))).drop("invalid")
     stored = done.select(key).distinct().join(first_rows(cache, [key], [F.col("response")]), key).select(
         key, "response", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"),
@@ -193,7 +195,7 @@ def ocr_usage(requests: DataFrame) -> DataFrame:
 def open_uncertainties(revisions: DataFrame, uncertainties: DataFrame) -> DataFrame:
     """Unresolved uncertainties of each paper's latest usable revision."""
     usable = first_rows(revisions.where(F.col("status").isin("completed", "partial")), ["paper_id"], [F.col("revision").desc()]).select(F.col("id").alias("revision_id"))
-    return uncertainties.where("not resolved").join(usable, "revision_id", "left_semi").orderBy("paper_id", "page", "created_at")
+    return uncertainties.where("not resolved").join(usable, "revision_id", "left_semi")
 
 
 def suspicious_formulas(sections: DataFrame) -> DataFrame:

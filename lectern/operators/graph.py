@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import normalize_title, reference_key, words
 from lectern.operators.corpus import running_by
 from lectern.session import checkpointed
-from lectern.skew import first_rows, pairs_within
+from lectern.skew import first_rows, number_rows, pairs_within
 
 
 @dataclass
@@ -165,7 +165,7 @@ def graph_summary(nodes: DataFrame, with_refs: DataFrame, max_depth: int) -> Dat
 
 
 def visible_nodes(nodes: DataFrame, depth: int | None = None, resolved: bool | None = None, query: str = "") -> DataFrame:
-    """Filtered nodes without the root, most connected first."""
+    """Filtered nodes without the root, with their ``place`` in the root's list: most connected first."""
     found = nodes.where(F.col("node_id") != F.col("root_id"))
     if depth is not None:
         found = found.where(F.col("depth") == depth)
@@ -175,7 +175,8 @@ def visible_nodes(nodes: DataFrame, depth: int | None = None, resolved: bool | N
         names = F.array_join("authors", " ") if "authors" in nodes.columns else F.lit("")
         hay = F.lower(F.concat_ws(" ", "title", names, F.col("year").cast("string")))
         found = found.where(F.contains(hay, F.lower(F.lit(query.strip()))))
-    return found.orderBy("root_id", F.col("degree").desc(), "title")
+    order = found.withColumn("_less", -F.col("degree"))
+    return number_rows(order, ["root_id"], ["_less", "title", "node_id"], "place").drop("_less")
 
 
 def mutual_pairs(edges: DataFrame, source: str, target: str) -> DataFrame:

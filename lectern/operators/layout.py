@@ -175,7 +175,7 @@ def reading_order(regions: DataFrame) -> DataFrame:
     """Regions by page and sequence; a table in the upper 40 % of its page leads it."""
     table = F.col("page") * 100 + F.when(F.col("top") < 0.4, 0).otherwise(90)
     ordered = regions.withColumn("sequence", F.when(F.col("kind") == "table", table).otherwise(F.col("page") * 100 + F.col("seq")))
-    return ordered.orderBy("paper_id", "page", "sequence")
+    return ordered.withColumn("place", F.row_number().over(Window.partitionBy("paper_id", "page").orderBy("sequence", "seq", "block_id")))
 
 
 def page_rasters(images: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.skew import first_rows, running
+from lectern.skew import first_rows, number_rows, running
 
 # Sample quotas, sample size, and the collections that name a category.
 QUOTAS = {"finft": 13, "multimodal": 17}
@@ -64,7 +64,7 @@ def pivot_fields(values: DataFrame, fields: list[str]) -> DataFrame:
     return values.groupBy("itemID").pivot("fieldName", fields).agg(F.first("value"))
 
 
-def creator_names(item_creators: DataFrame, creators: DataFrame, blocks: Column | None = None) -> DataFrame:
+def creator_names(item_creators: DataFrame, creators: DataFrame) -> DataFrame:
     """Names of an item's creators in order, as ranked rows."""
     name = F.trim(F.concat_ws(" ", F.nullif("firstName", F.lit("")), F.nullif("lastName", F.lit(""))))
     return item_creators.join(creators, "creatorID").select("itemID", "orderIndex", name.alias("author"))
@@ -146,13 +146,15 @@ def sidebar_counts(papers: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def papers_per_collection(members: DataFrame, papers: DataFrame) -> DataFrame:
-    return members.join(papers.select(F.col("id").alias("paper_id"), "title"), "paper_id").orderBy("collection_id", "title", "paper_id")
+    """Papers of each collection with their ``place`` by title and id."""
+    titled = members.join(papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
+    return number_rows(titled, ["collection_id"], ["title", "paper_id"], "place")
 
 
 def nested_in_order(parents: DataFrame, children: DataFrame, key: str, parent_order: str, child_order: str, limit: int) -> DataFrame:
     """Newest parents, at most ``limit``, with their children as ordered rows."""
     top = parents.orderBy(F.col(parent_order).desc(), F.col(key).desc()).limit(limit)
-    return top.join(children, key, "left").orderBy(F.col(parent_order).desc(), key, child_order)
+    return top.join(children, key, "left")
 
 
 def replay_safe(calls: DataFrame, order: list[str], per_iteration: int = 8, iterations: int = 6) -> DataFrame:

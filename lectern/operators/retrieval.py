@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.jsontext import overriding, tolerant_list, tolerant_object
-from lectern.skew import contains_pairs, exploded, first_rows
+from lectern.skew import contains_pairs, exploded, first_rows, number_rows
 
 # States that count as done or as trouble in the status buckets.
 ISSUE_STATES = ["FAILED", "MISSING", "CANCELLED"]
@@ -28,15 +28,16 @@ def library_filter(papers: DataFrame, query: str = "", bucket: str = "all") -> D
 
 
 def scope(papers: DataFrame, name: str) -> DataFrame:
-    """Favorites, reading or recent papers, newest first; unreadable times sort last."""
-    def newest(column: str) -> Column:
-        return F.coalesce(F.try_to_timestamp(F.col(column).cast("string")), F.lit("1970-01-01").cast("timestamp")).desc()
+    """Favorites, reading or recent papers with their ``place``: newest first, unreadable times last."""
+    def placed(rows: DataFrame, column: str) -> DataFrame:
+        at = F.coalesce(F.try_to_timestamp(F.col(column).cast("string")), F.lit("1970-01-01").cast("timestamp"))
+        return number_rows(rows.withColumn("_less", -F.unix_micros(at)), [], ["_less", "id"], "place").drop("_less")
 
     if name == "favorites":
-        return papers.where("is_favorite").orderBy(newest("favorited_at"), "id")
+        return placed(papers.where("is_favorite"), "favorited_at")
     if name == "reading":
-        return papers.where("last_read_at is not null").orderBy(newest("last_read_at"), "id")
-    return papers.orderBy(newest("created_at"), "id")
+        return placed(papers.where("last_read_at is not null"), "last_read_at")
+    return placed(papers, "created_at")
 
 
 def effective_metadata(papers: DataFrame, fields: tuple[str, ...] = ("year", "venue", "doi", "abstract")) -> DataFrame:
@@ -191,7 +192,7 @@ def templates(rows: DataFrame, category: str | None = None, query: str = "") ->
     found = rows if category is None else rows.where(F.col("category") == category)
     if query.strip():
         found = found.where(F.contains(F.lower(F.concat("name", "content")), F.lower(F.lit(query.strip()))))
-    return found.orderBy("category", "sort_order", F.col("updated_at").desc(), "id")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("sort_order", F.col("updated_at").desc(), "id")))
 
 
 def recent_turns(turns: DataFrame, key: str, order: str, n: int = 6, retried: Column | None = None) -> DataFrame:

@@ -175,9 +175,9 @@ def graph_summary(spark, sf_dir):
     return _graphs(spark, sf_dir).summary.select("root_id", "direct_count", "second_level_count", "unresolved_count", "warnings", "status")
 
 
-@query("visible_nodes", GRAPH + " SELECT root_id, node_id, title, degree FROM nodes WHERE depth = 2 AND resolved AND contains(lower(title), 'ring')")
+@query("visible_nodes", GRAPH + " SELECT root_id, node_id, title, degree, row_number() OVER (PARTITION BY root_id ORDER BY degree DESC, title, node_id) AS place FROM nodes WHERE depth = 2 AND resolved AND contains(lower(title), 'ring')")
 def visible_nodes(spark, sf_dir):
-    return graph.visible_nodes(_graphs(spark, sf_dir).nodes, depth=2, resolved=True, query="Ring").select("root_id", "node_id", "title", "degree")
+    return graph.visible_nodes(_graphs(spark, sf_dir).nodes, depth=2, resolved=True, query="Ring").select("root_id", "node_id", "title", "degree", "place")
 
 
 @query("coupling", """WITH k AS (SELECT DISTINCT o_custkey, l_orderkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)

@@ -83,10 +83,10 @@ def table_bodies(spark, sf_dir):
     return t.select("paper_id", "page", "caption_id", "box.x0", "box.y0", "box.x1", "box.y1", "source_text")
 
 
-@query("reading_order", f"WITH {BLOCKS} SELECT block_id, (page * 100 + CASE WHEN flag = 'R' THEN (CASE WHEN y0 / 800 < 0.4 THEN 0 ELSE 90 END) ELSE o % 50 END)::BIGINT AS sequence FROM b")
+@query("reading_order", f"WITH {BLOCKS} SELECT block_id, (page * 100 + CASE WHEN flag = 'R' THEN (CASE WHEN y0 / 800 < 0.4 THEN 0 ELSE 90 END) ELSE o % 50 END)::BIGINT AS sequence, row_number() OVER (PARTITION BY paper_id, page ORDER BY (page * 100 + CASE WHEN flag = 'R' THEN (CASE WHEN y0 / 800 < 0.4 THEN 0 ELSE 90 END) ELSE o % 50 END), o % 50, block_id) AS place FROM b")
 def reading_order(spark, sf_dir):
     b = _blocks(spark, sf_dir).select("paper_id", "page", "block_id", F.when(F.col("flag") == "R", "table").otherwise("body").alias("kind"), (F.col("rect.y0") / H).alias("top"), (F.col("o") % 50).alias("seq"))
-    return layout.reading_order(b).select("block_id", F.col("sequence").cast("long").alias("sequence"))
+    return layout.reading_order(b).select("block_id", F.col("sequence").cast("long").alias("sequence"), "place")
 
 
 @query("page_rasters", """WITH i AS (SELECT p_partkey, 1200.0 + p_size * 20 AS w, 1600.0 + (p_partkey % 40) * 20 AS h, 600 * 200 / 72.0 AS fw, 800 * 200 / 72.0 AS fh FROM part)

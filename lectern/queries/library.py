@@ -59,10 +59,10 @@ def status_buckets(spark, sf_dir):
     return papers(spark, sf_dir).groupBy("collection_id").agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
 
 
-@query("scope_lists", f"WITH p AS ({PAPERS}) SELECT 'favorites' AS scope, id FROM p WHERE is_favorite UNION ALL SELECT 'reading', id FROM p WHERE last_read_at IS NOT NULL UNION ALL SELECT 'recent', id FROM p")
+@query("scope_lists", f"WITH p AS ({PAPERS}) SELECT 'favorites' AS scope, id, row_number() OVER (ORDER BY favorited_at DESC, id) AS place FROM p WHERE is_favorite UNION ALL SELECT 'reading', id, row_number() OVER (ORDER BY last_read_at DESC, id) FROM p WHERE last_read_at IS NOT NULL UNION ALL SELECT 'recent', id, row_number() OVER (ORDER BY created_at DESC, id) FROM p")
 def scope_lists(spark, sf_dir):
     p = papers(spark, sf_dir)
-    parts = [retrieval.scope(p, s).select(F.lit(s).alias("scope"), "id") for s in ("favorites", "reading", "recent")]
+    parts = [retrieval.scope(p, s).select(F.lit(s).alias("scope"), "id", "place") for s in ("favorites", "reading", "recent")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -71,7 +71,7 @@ def sidebar_counts(spark, sf_dir):
     return metrics.sidebar_counts(papers(spark, sf_dir), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id")))
 
 
-@query("papers_per_collection", f"WITH p AS ({PAPERS}) SELECT collection_id, id AS paper_id, title FROM p")
+@query("papers_per_collection", f"WITH p AS ({PAPERS}) SELECT collection_id, id AS paper_id, title, row_number() OVER (PARTITION BY collection_id ORDER BY title, id) AS place FROM p")
 def papers_per_collection(spark, sf_dir):
     p = papers(spark, sf_dir)
     return metrics.papers_per_collection(p.select("collection_id", F.col("id").alias("paper_id")), p)
@@ -308,11 +308,11 @@ def current_compression(spark, sf_dir):
     return context.current_compression(items, c).select("context_item_id", "model_id", "revision")
 
 
-@query("templates", "SELECT p_partkey AS id, p_type AS category FROM part WHERE p_type = 'SMALL' AND contains(lower(p_name || p_brand), 'ring')")
+@query("templates", "SELECT p_partkey AS id, p_type AS category, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_retailprice DESC, p_partkey) AS place FROM part WHERE p_type = 'SMALL' AND contains(lower(p_name || p_brand), 'ring')")
 def templates(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     rows = part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("category"), F.col("p_size").alias("sort_order"), F.col("p_retailprice").alias("updated_at"), F.col("p_name").alias("name"), F.col("p_brand").alias("content"))
-    return retrieval.templates(rows, "SMALL", "Ring").select("id", "category")
+    return retrieval.templates(rows, "SMALL", "Ring").select("id", "category", "place")
 
 
 @query("safe_names", r"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'untitled' ELSE left(regexp_replace(trim(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]+', '-', 'g'), ' .'), '\s+', ' ', 'g'), 120) END AS segment, '/docs/a/' || page_id || '.png' AS asset FROM pages""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +15,15 @@ def list_files(spark: SparkSession, root: str, suffix: str = ".pdf") -> DataFram
     return found.where(F.lower("path").endswith(suffix)).select("path", F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("modified_at_ns"))
 
 
-def read_changed(spark: SparkSession, root: str, changed: DataFrame, suffix: str = ".pdf") -> DataFrame:
-    """Digest and page inventory of the changed files.
+def read_changed(spark: SparkSession, changed: DataFrame, group: int = 10_000) -> Iterator[DataFrame]:
+    """Digest and page inventory of the changed files, in frames of at most ``group`` files.
 
-    The semi-join filters on the path before the content column is used downstream.
+    Only the paths named are opened; a driver holds the paths of one group at a time.  Append each frame to the
+    inventory before taking the next.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.lower("path").endswith(suffix))
-    return inventory(raw.join(changed.select("path"), "path", "left_semi"))
+    rows = changed.select("path").distinct().toLocalIterator()
+    while paths := [r["path"] for r in islice(rows, group)]:
+        yield inventory(spark.read.format("binaryFile").load(paths))
 
 
 def inventory(files: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from lectern.functions.markup import table_rows
 
@@ -14,14 +15,22 @@ def with_bucket(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
-def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = BUCKETS, fmt: str = "parquet") -> None:
-    """A paper-keyed table in hash buckets; rows of a bucket meet in few files."""
-    with_bucket(df, key, buckets).repartition("bucket", key).sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").format(fmt).save(path)
+def _dealt(df: DataFrame, key: str, buckets: int, files: int) -> DataFrame:
+    """Rows dealt by (bucket, salt): a bucket lies in ``files`` tasks at most, whatever its size,
+    and the salt is of the whole row, so one large paper is spread as well."""
+    simple = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    salted = with_bucket(df, key, buckets).withColumn("_salt", F.pmod(F.xxhash64(*simple), F.lit(files)))
+    return salted.repartition("bucket", "_salt").sortWithinPartitions("bucket", key).drop("_salt")
 
 
-def bucketed_overwrite(changed: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = BUCKETS, fmt: str = "parquet", files: int = 4) -> None:
+    """A paper-keyed table in hash buckets of at most ``files`` files each; raise both with the table."""
+    _dealt(df, key, buckets, files).write.mode("overwrite").partitionBy("bucket").format(fmt).save(path)
+
+
+def bucketed_overwrite(changed: DataFrame, path: str, key: str, buckets: int = BUCKETS, files: int = 4) -> None:
     """Replace only the buckets present in ``changed`` (which holds them whole)."""
-    with_bucket(changed, key, buckets).repartition("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    _dealt(changed, key, buckets, files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def touched_buckets(table: DataFrame, changes: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
@@ -43,11 +52,12 @@ def table_cells(tables: DataFrame) -> DataFrame:
 
 
 def write_table_csv(tables: DataFrame, path: str) -> None:
-    """Rows of all tables as CSV, partitioned by table; a row is one joined line of cells."""
+    """Rows of all tables as one CSV table: table id, row number, then the cells of the row."""
     rows = tables.select("table_id", F.posexplode(table_rows(F.col("markdown"))).alias("row_no", "row"))
     line = F.to_csv(F.struct(*[F.coalesce(F.get("row", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(1)]))
     wide = rows.select("table_id", "row_no", F.when(F.size("row") > 1, F.array_join(F.transform("row", quote), ",")).otherwise(line).alias("value"))
-    wide.sortWithinPartitions("table_id", "row_no").select("table_id", "value").write.mode("overwrite").partitionBy("table_id").text(path)
+    named = F.concat_ws(",", quote(F.col("table_id").cast("string")), F.col("row_no").cast("string"), "value")
+    wide.sortWithinPartitions("table_id", "row_no").select(named.alias("value")).write.mode("overwrite").text(path)
 
 
 def quote(cell):

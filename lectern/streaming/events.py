@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.revisions import inside_root, latest
@@ -59,19 +59,35 @@ def bursts(events: DataFrame, key: str, blocks: list[str], gap_seconds: float =
     return numbered.groupBy(key, "burst").agg(F.min("ts").alias("burst_start"), F.max("ts").alias("burst_last"), F.count(F.lit(1)).alias("n_events"))
 
 
-def write_pending(spark, path: str, read):
-    """``foreachBatch`` writer: merge each micro-batch into the pending table under ``path``.
+def write_pending(path: str):
+    """``foreachBatch`` writer: one file set per batch under ``path``, with the batch's last events.
 
-    Versions are written aside and named by batch, so a retried batch writes the same version.
+    A batch writes its own rows only; a retried batch overwrites its own folder.  ``read_pending``
+    folds the batches.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = read(batch_id - 1)
-        merged = coalesce_batch(batch) if before is None else merge_pending(before, coalesce_batch(batch))
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        coalesce_batch(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def read_pending(spark: SparkSession, path: str) -> DataFrame:
+    """The pending row of every path: its last event, with the last previous path that was named."""
+    stored = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    order = F.struct("batch", "ts", "event_id")
+    rest = [c for c in stored.columns if c not in ("path", "previous_path", "batch")]
+    last = stored.groupBy("path").agg(F.max_by(F.struct(*rest), order).alias("_r"), F.max_by("previous_path", F.when(F.col("previous_path").isNotNull(), order)).alias("previous_path"))
+    return last.select("path", "previous_path", "_r.*")
+
+
+def marked(pending: DataFrame, results: DataFrame) -> DataFrame:
+    """Pending rows with ``status`` done or failed (and its ``error``) from ``results(path, error)``; others stay pending."""
+    told = results.select("path", F.col("error").alias("_e"), F.lit(True).alias("_t"))
+    joined = pending.join(told, "path", "left")
+    status = F.when(F.col("_t").isNull(), "pending").when(F.col("_e").isNull(), "done").otherwise("failed")
+    return joined.withColumn("status", status).withColumn("error", F.col("_e")).drop("_e", "_t")
+
+
 def once_per_call(calls: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Replays of a (run, call) within the watermark are dropped from a stream."""
     return calls.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["run_id", "tool_call_id"])

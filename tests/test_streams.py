@@ -84,7 +84,7 @@ def test_file_inventory_and_tables(spark, tmp_path):
     (root / "c.txt").write_text("no")
     listing = FS.list_files(spark, str(root))
     assert listing.count() == 2
-    rows = {r["path"].rsplit("/", 1)[1]: r for r in FS.read_changed(spark, str(root), listing).collect()}
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in [r for part in FS.read_changed(spark, listing) for r in part.collect()]}
     assert rows["a.pdf"]["page_count"] == 2 and rows["a.pdf"]["encrypted"] and rows["B.PDF"]["page_count"] == 1
     table = spark.createDataFrame([(i, f"v{i}") for i in range(40)], ["paper_id", "v"])
     out = str(tmp_path / "table")
@@ -95,4 +95,5 @@ def test_file_inventory_and_tables(spark, tmp_path):
     csv = str(tmp_path / "csv")
     sinks.write_table_csv(spark.createDataFrame([("t", '| a | b |\n|---|---|\n| 1,5 | "q" |')], ["table_id", "markdown"]), csv)
     lines = sorted(r["value"] for r in spark.read.text(csv).collect())
-    assert lines == ['"1,5","""q"""', "a,b"]
+    assert lines == ['t,0,a,b', 't,1,"1,5","""q"""']
+    assert all(len([f for f in d.iterdir() if f.suffix == '.parquet']) <= 4 for d in (tmp_path / 'table').iterdir() if d.is_dir())
