@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import clean_extracted
 from lectern.operators import biblio, corpus
 from lectern.session import checkpointed
+from lectern.skew import number_rows
 from lectern.sources.sinks import write_bucketed
 
 
@@ -23,8 +24,8 @@ def read_pages(pages: DataFrame) -> dict[str, DataFrame]:
     sections = corpus.sections(chunks)
     anchors = checkpointed(corpus.anchors(chunks, sections))
     # The heading is no part of a section's text, so it is put back for the list extraction.
-    bodies = anchors.select("paper_id", F.struct("ord", "chunk_no").alias("ord"), F.concat(F.lit("References\n"), "body").alias("markdown"), "section_id")
-    listed = bodies.where(F.col("section_id").rlike("^(references|bibliography)(-[0-9]+)?$"))
+    listed = anchors.where(F.col("section_id").rlike("^(references|bibliography)(-[0-9]+)?$"))
+    listed = number_rows(listed, ["paper_id"], ["ord", "chunk_no"]).select("paper_id", F.col("rn").alias("ord"), F.concat(F.lit("References\n"), "body").alias("markdown"), "section_id")
     return {"pages": cleaned, "sections": sections, "anchors": anchors, "references": biblio.extract_references(listed)}
 
 
