@@ -111,10 +111,16 @@ class Filters:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
     """Filters from ``labelled(doc_id, text, lang)``: the ``sample`` documents of each language
-    that come first by a hash of their id.  What reaches the driver is bounded by the number of positions."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where("lang is not null and text is not null").select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
-    chosen = labelled.where("text is not null").select("doc_id", "text").join(ids.dropDuplicates(["doc_id"]), "doc_id")
+    that come first by a hash of their id (and those that tie with the last).  What reaches the driver is bounded by the number of positions."""
+    hashed = labelled.where("lang is not null and text is not null").withColumn("_h", F.xxhash64("doc_id"))
+    first = hashed.select("lang", "_h").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= sample)
+    # One row per language; the texts are then chosen where they are read, without a shuffle.
+    told = {r["lang"]: r for r in first.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max("_h").alias("last")).collect()}
+    sizes, languages = {name: r["n"] for name, r in told.items()}, sorted(told)
+    if not languages:
+        return Filters([], np.zeros((0, POSITIONS), np.uint64), None)
+    last = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(told[name]["last"]))])
+    chosen = hashed.where(F.col("_h") <= last[F.col("lang")]).select("doc_id", "text", "lang")
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,10 +131,6 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
                 yield pairs.assign(lang=lang[pairs["row"]], n=1).groupby(["lang", "gram"], as_index=False)["n"].sum()[["lang", "gram", "n"]]
 
     counted = checkpointed(chosen.mapInPandas(collect, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    sizes = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return Filters([], np.zeros((0, POSITIONS), np.uint64), None)
     number = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
     least = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(max(1.0, min(2.0, sizes[name]), LEAST_SHARE * sizes[name])))])
 
