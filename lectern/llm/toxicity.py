@@ -105,11 +105,11 @@ def beginnings(names: Column, n: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """Fit on ``labels(doc_id, grade)`` with grades 0, 1, ...; null grades are left out.
 
-    The ``sample`` rows that come first by a hash of the id are used.  Where the labels have two grades only,
+    The ``sample`` rows that come first by a hash of the id are used; being so few they are broadcast.  Where the labels have two grades only,
     grade 1 is split at ``SEVERE_USES`` uses of tell-tale words.
     """
     labelled = labels.where("grade is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = checkpointed(docs.select("doc_id", "text").where("text is not null").join(labelled.select("doc_id", F.col("grade").cast("int").alias("grade")), "doc_id"))
+    rows = checkpointed(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(labelled.select("doc_id", F.col("grade").cast("int").alias("grade"))), "doc_id"))
     bad = F.col("grade") > 0
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(bad.cast("int")), F.lit(0)).alias("bad")).first()
     n_bad, n_good = sizes["bad"], sizes["n"] - sizes["bad"]
