@@ -97,16 +97,19 @@ def best_pass(passes: DataFrame) -> DataFrame:
     )
 
 
-def match_issues(issues: DataFrame, regions: DataFrame) -> DataFrame:
-    """The region of each issue on its page: equal text, else the page's only candidate when
-    it is also the only issue, else none."""
+def match_issues(issues: DataFrame, regions: DataFrame, lone_issue: bool = True) -> DataFrame:
+    """The region of each issue on its page: equal text, else the page's only candidate, else none.
+
+    With ``lone_issue`` (when pages are read) the only candidate counts if it is also the page's only
+    issue; without it (when a paper is looked at again) for any number of issues.
+    """
     page = ["paper_id", "page"]
     texted = regions.select(*page, "region_id", F.trim("text").alias("region_text"))
     same = first_rows(issues.join(texted, page).where(F.trim("text") == F.col("region_text")), ["issue_id"], [F.col("region_id")]).select("issue_id", F.col("region_id").alias("by_text"))
     only = regions.groupBy(*page).agg(F.count(F.lit(1)).alias("n"), F.min("region_id").alias("only")).where("n = 1")
     alone = issues.groupBy(*page).agg(F.count(F.lit(1)).alias("m")).where("m = 1")
     joined = issues.join(same, "issue_id", "left").join(only.select(*page, "only"), page, "left").join(alone, page, "left")
-    single = F.when(F.col("m").isNotNull(), F.col("only"))
+    single = F.when(F.col("m").isNotNull(), F.col("only")) if lone_issue else F.col("only")
     return joined.select("issue_id", *page, F.coalesce("by_text", single).alias("region_id"))
 
 
@@ -173,6 +176,22 @@ def result_status(pages: DataFrame, uncertainties: DataFrame) -> DataFrame:
     return joined.select("paper_id", F.when(F.col("any_failed") | F.coalesce("_open", F.lit(False)), "PARTIAL").otherwise("READY").alias("status"))
 
 
+def region_status(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Result of a reading by regions: status per paper, and its uncertainties.
+
+    A paper is PARTIAL when any region, required or not, is not completed.  Each such region is an
+    uncertainty (required ones first), of kind table, formula or else text; pages with a
+    required failure are listed, and the optional failures counted.
+    """
+    failed, needed = F.col("status") != "completed", F.coalesce(F.col("required"), F.lit(False))
+    papers = regions.groupBy("paper_id").agg(
+        F.when(F.bool_or(failed), "PARTIAL").otherwise("READY").alias("status"),
+        F.array_sort(F.collect_set(F.when(failed & needed, F.col("page")))).alias("failed_pages"), F.count_if(failed & ~needed).alias("downgraded"))
+    kind = F.when(F.col("kind").isin("table", "formula"), F.col("kind")).otherwise("text")
+    open_ = regions.where(failed).select("paper_id", "page", (~needed).cast("int").alias("later"), kind.alias("kind"), "region_id", F.lit(False).alias("resolved"))
+    return papers, open_
+
+
 def quality_rollup(pages: DataFrame, regions: DataFrame, uncertainties: DataFrame) -> DataFrame:
     """One row per paper: page, region, token, time and open-issue counts."""
     p = pages.groupBy("paper_id").agg(F.count_if(~F.col("failed")).alias("recognized_pages"), F.count_if("cache_hit").alias("cached_pages"), F.count_if("failed").alias("failed_pages"))

@@ -139,10 +139,11 @@ def read_references(calls: DataFrame, refs: DataFrame) -> DataFrame:
     return calls.select("call_id", "paper_id", n.alias("n")).join(listed, "paper_id").where("ref_no <= n").drop("n")
 
 
-def find_evidence(queries: DataFrame, sections: DataFrame, limit: int = 10, before: int = 180, after: int = 420) -> DataFrame:
+def find_evidence(queries: DataFrame, sections: DataFrame, limit: int = 10, before: int = 180, after: int = 420, carry: tuple[str, ...] = ()) -> DataFrame:
     """The first sections, in order, that hold any of a query's terms, with a snippet.
 
-    ``queries(query_id, query)`` with an optional ``limit`` (1..20) of each call, else the argument; ``sections(section_key, ord, text)`` with one total
+    ``queries(query_id, query)`` with an optional ``limit`` (1..20) of each call, else the argument, and an optional ``paper_id`` that
+    confines a call to the sections of one paper; ``carry`` names section columns of the result (titles, page).  ``sections(section_key, ord, text)`` with one total
     order.  A term is a piece of the query between spaces, so a hit lies inside one piece of
     the text.  Only the first ``limit`` sections of each text piece can matter for any term,
     and only the first ``limit`` of each term for any query, so both are cut inside the map
@@ -152,24 +153,30 @@ def find_evidence(queries: DataFrame, sections: DataFrame, limit: int = 10, befo
     own = F.least(F.greatest(F.coalesce(F.col("limit"), F.lit(limit)), F.lit(1)), F.lit(20)) if "limit" in queries.columns else F.lit(max(1, min(limit, 20)))
     limit = 20 if "limit" in queries.columns else max(1, min(limit, 20))
     pieces = F.filter(T.words(F.col("query")), lambda w: F.length(w) > 1)
-    asked = queries.select("query_id", own.alias("_own"), F.transform(F.slice(pieces, 1, 8), lambda w: F.lower(w)).alias("terms")).where(F.size("terms") > 0)
-    terms = asked.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-
-    tokens = exploded(sections, F.array_distinct(T.words(F.lower("text"))), "token", "section_key", "ord")
-    postings = first_rows(tokens, ["token"], [F.col("ord")], limit)
+    inside = F.coalesce(F.col("paper_id").cast("string"), F.lit("")) if "paper_id" in queries.columns else F.lit("")
+    asked = queries.select("query_id", inside.alias("scope"), own.alias("_own"), F.transform(F.slice(pieces, 1, 8), lambda w: F.lower(w)).alias("terms")).where(F.size("terms") > 0)
+    terms = asked.select("query_id", "scope", F.explode(F.array_distinct("terms")).alias("term"))
+
+    paper = [F.col("paper_id").cast("string").alias("scope")] if "paper_id" in queries.columns else []
+    tokens = exploded(sections, F.array_distinct(T.words(F.lower("text"))), "token", "section_key", "ord", *paper)
+    # Sections stand in the list of all papers and, where a call is confined to it, in that of their own.
+    lists = tokens.withColumn("scope", F.lit(""))
+    if paper:
+        lists = lists.unionByName(tokens.join(asked.select("scope").where("scope <> ''").distinct(), "scope", "left_semi"))
+    postings = first_rows(lists, ["scope", "token"], [F.col("ord")], limit)
     matches = contains_pairs(terms.select("term").distinct(), postings.select("token").distinct(), "term", "token")
-    per_term = matches.join(postings, "token").groupBy("term", "section_key", "ord").agg(F.lit(1).alias("_one")).drop("_one")
-    per_term = first_rows(per_term, ["term"], [F.col("ord")], limit)
-    per_query = terms.join(per_term, "term").select("query_id", "section_key", "ord").distinct()
+    per_term = matches.join(postings, "token").groupBy("scope", "term", "section_key", "ord").agg(F.lit(1).alias("_one")).drop("_one")
+    per_term = first_rows(per_term, ["scope", "term"], [F.col("ord")], limit)
+    per_query = terms.join(per_term, ["scope", "term"]).select("query_id", "section_key", "ord").distinct()
     top = first_rows(per_query, ["query_id"], [F.col("ord")], limit, rank="rank")
 
-    shown = top.join(asked, "query_id").where("rank <= _own").join(sections.select("section_key", "text"), "section_key")
+    shown = top.join(asked, "query_id").where("rank <= _own").join(sections.select("section_key", "text", *carry), "section_key")
     low = F.lower("text")
     at = F.array_min(F.filter(F.transform("terms", lambda t: F.call_function("instr", low, t)), lambda p: p > 0)) - 1
     placed = shown.withColumn("position", at)
     start = F.greatest(F.lit(0), F.col("position") - before)
     snippet = F.substring(F.col("text"), start + 1, F.col("position") + after - start)
-    return placed.select("query_id", "rank", "section_key", "position", T.strip(snippet).alias("snippet"))
+    return placed.select("query_id", "rank", "section_key", "position", T.strip(snippet).alias("snippet"), *carry)
 
 
 def visible_tools(profiles: DataFrame, registry: DataFrame) -> DataFrame:

@@ -72,11 +72,15 @@ s AS (SELECT i.*, min(l_suppkey) AS bt FROM i LEFT JOIN r ON r.l_orderkey = i.l_
 o AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS one FROM r GROUP BY 1, 2 HAVING count(*) = 1), a AS (SELECT l_orderkey, l_linenumber FROM i GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT s.l_orderkey AS paper_id, s.l_linenumber AS page, s.l_partkey AS issue, coalesce(bt, CASE WHEN a.l_orderkey IS NOT NULL THEN one END, -1) AS region_id FROM s LEFT JOIN o ON o.l_orderkey = s.l_orderkey AND o.l_linenumber = s.l_linenumber LEFT JOIN a ON a.l_orderkey = s.l_orderkey AND a.l_linenumber = s.l_linenumber""")
 def match_issues(spark, sf_dir):
+    return _matched(spark, sf_dir, True)
+
+
+def _matched(spark, sf_dir, lone_issue):
     u = _units(spark, sf_dir)
     issues = u.select("paper_id", "page", "l_partkey", (F.col("l_partkey") % 20).cast("string").alias("text")).distinct()
     issues = issues.withColumn("issue_id", F.concat_ws("/", F.col("paper_id").cast("string"), F.col("page").cast("string"), F.col("l_partkey").cast("string")))
     regions = u.select("paper_id", "page", F.col("l_suppkey").alias("region_id"), (F.col("l_suppkey") % 20).cast("string").alias("text")).distinct()
-    out = E.match_issues(issues, regions)
+    out = E.match_issues(issues, regions, lone_issue)
     return out.select("paper_id", "page", F.substring_index("issue_id", "/", -1).cast("long").alias("issue"), F.coalesce("region_id", F.lit(-1).cast("long")).alias("region_id"))
 
 
@@ -119,6 +123,25 @@ def publish_gate(spark, sf_dir):
     return E.publish_gate(r)[1]
 
 
+@query("match_issues_again", """WITH i AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_suppkey % 20 AS t FROM lineitem),
+s AS (SELECT i.*, min(l_suppkey) AS bt FROM i LEFT JOIN r ON r.l_orderkey = i.l_orderkey AND r.l_linenumber = i.l_linenumber AND r.t = l_partkey % 20 GROUP BY ALL),
+o AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS one FROM r GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT s.l_orderkey AS paper_id, s.l_linenumber AS page, s.l_partkey AS issue, coalesce(bt, one, -1) AS region_id FROM s LEFT JOIN o ON o.l_orderkey = s.l_orderkey AND o.l_linenumber = s.l_linenumber""")
+def match_issues_again(spark, sf_dir):
+    return _matched(spark, sf_dir, False)
+
+
+@query("region_status", """SELECT l_orderkey AS paper_id, CASE WHEN bool_or(l_returnflag = 'R') THEN 'PARTIAL' ELSE 'READY' END AS status,
+coalesce(list_sort(list(DISTINCT l_linenumber) FILTER (WHERE l_returnflag = 'R' AND l_quantity > 25)), [])::VARCHAR AS failed_pages, count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity <= 25) AS downgraded, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber % 3 = 1) AS open_tables FROM lineitem GROUP BY 1""")
+def region_status(spark, sf_dir):
+    u = _units(spark, sf_dir)
+    kind = F.when(F.col("page") % 3 == 0, "formula").when(F.col("page") % 3 == 1, "table").otherwise("figure")
+    papers, open_ = E.region_status(u.select("paper_id", "page", F.col("l_partkey").alias("region_id"), kind.alias("kind"), (F.col("l_quantity") > 25).alias("required"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("completed").alias("status")))
+    tables = open_.groupBy("paper_id").agg(F.count_if(F.col("kind") == "table").alias("open_tables"))
+    listed = F.concat(F.lit("["), F.array_join(F.col("failed_pages").cast("array<string>"), ", "), F.lit("]"))
+    return papers.join(tables, "paper_id", "left").select("paper_id", "status", listed.alias("failed_pages"), "downgraded", F.coalesce("open_tables", F.lit(0).cast("long")).alias("open_tables"))
+
+
 @query("result_status", "SELECT l_orderkey AS paper_id, CASE WHEN bool_or(l_returnflag = 'R' AND l_quantity > 30) OR bool_or(l_tax > 0.07) THEN 'PARTIAL' ELSE 'READY' END AS status FROM lineitem GROUP BY 1")
 def result_status(spark, sf_dir):
     u = _units(spark, sf_dir)

@@ -424,6 +424,19 @@ def evidence(spark, sf_dir):
     return retrieval.find_evidence(q, s).select(F.col("query_id").alias("item_id"), "rank", F.col("section_key").alias("doc_id"), "position", "snippet")
 
 
+@query("evidence_in_paper", f"""WITH q AS (SELECT item_id, 'src' || (item_id % 20) AS paper_id, 3 + item_id % 4 AS lim, list_filter(string_split_regex(text, '{WS}+'), lambda w: length(w) > 1)[1:8] AS terms0 FROM benchmark),
+t AS (SELECT item_id, paper_id, lower(unnest(terms0)) AS term FROM q), d AS (SELECT doc_id, source, text, lower(text) AS low FROM documents),
+h AS (SELECT item_id, doc_id, source, min(instr(low, term)) - 1 AS position FROM t JOIN d ON source = paper_id AND contains(low, term) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM h)
+SELECT r.item_id, rank::INT AS rank, r.doc_id, r.source AS paper_title, lang AS section_title, position::INT AS position FROM r JOIN q ON q.item_id = r.item_id JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= lim""")
+def evidence_in_paper(spark, sf_dir):
+    """Evidence in one source for each benchmark passage, with a limit of its own."""
+    k = F.col("item_id")
+    q = table(spark, sf_dir, "benchmark").select(k.alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("paper_id"), (3 + k % 4).alias("limit"))
+    s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_key"), F.col("doc_id").alias("ord"), F.col("source").alias("paper_id"), F.col("source").alias("paper_title"), F.col("lang").alias("section_title"), "text")
+    return retrieval.find_evidence(q, s, carry=("paper_title", "section_title")).select(F.col("query_id").alias("item_id"), "rank", F.col("section_key").alias("doc_id"), "paper_title", "section_title", "position")
+
+
 @query("title_search", """WITH q AS (SELECT DISTINCT p_name AS query FROM part), t AS (SELECT l_orderkey, l_linenumber, lower(p_name || ' ' || p_type) AS title FROM lineitem JOIN part ON l_partkey = p_partkey),
 p AS (SELECT l_orderkey AS paper_id, min(title) AS title FROM t GROUP BY 1),
 m AS (SELECT query, p.paper_id, o_orderdate, title FROM q JOIN p ON contains(p.title, lower(query)) JOIN orders ON o_orderkey = p.paper_id),
