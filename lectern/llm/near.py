@@ -6,9 +6,9 @@ least point of each register makes an unbiased signature for weighted Jaccard si
 Documents that agree in a band of the signature are candidates; each candidate link is
 verified on the whole multisets.  Equal multisets are one node.
 
-A bucket's members are first linked to one of them (linear in its size).  Members that are not in one
-group afterwards meet in a further round with another hub, and at last each with each member of other
-groups, so no candidate pair of different groups stays untested.
+A bucket's members are first linked to the one in their middle (linear in its size).  Members that are not in
+one group afterwards meet a further hub, and at last all members of other groups: block by block on larger sketches,
+of which only pairs near the threshold are verified.  So no candidate pair of different groups is passed over.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Rounds with one hub per bucket before members meet pair by pair.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Registers of the second sketch, and members compared at a time, of that last step.
+SKETCH, BLOCK = 512, 400
 #: Text bytes handled at a time.
 SLICE = 1_500_000
 _SPACE = np.zeros(256, bool)
@@ -195,19 +197,60 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _hubs(members: DataFrame, turn: int) -> DataFrame:
-    """Edges from a hub of each bucket to its members of other groups; another hub each turn."""
-    order = F.struct((F.col("row") if turn == 0 else F.xxhash64("row", F.lit(turn))).alias("o"), "row", "label")
+    """Edges from a hub of each bucket to its members of other groups.
+
+    First the member that meets most others over all buckets, which is the middle of its group; then any other.
+    """
+    order = F.struct((-F.col("met") if turn == 0 else F.xxhash64("row", F.lit(turn))).alias("o"), "row", "label")
     hubs = members.groupBy("bucket").agg(F.min(order).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", F.col("h.row").alias("a"), F.col("h.label").alias("_l"))
     return members.join(hubs, "bucket").where("label <> _l").select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """All pairs of bucket members in different groups whose sizes allow the similarity."""
-    open_ = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    m = members.join(open_, "bucket", "left_semi")
-    other = m.select("bucket", F.col("row").alias("b"), F.col("label").alias("_l"), F.col("n").alias("_n"))
-    near = F.least("n", "_n") >= SIMILARITY * F.greatest("n", "_n")
-    return m.join(other, "bucket").where((F.col("row") < F.col("b")) & (F.col("label") != F.col("_l")) & near).select(F.col("row").alias("a"), "b").distinct()
+def sketches(sets: DataFrame) -> DataFrame:
+    """``row, sketch``: one byte of each of ``SKETCH`` registers over the row's multiset."""
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), 200):
+                part = batch.iloc[first : first + 200]
+                sizes = part["items"].map(len).to_numpy(np.int64)
+                flat = np.concatenate([np.asarray(x, np.int64) for x in part["items"]]).view(np.uint64)
+                doc = np.repeat(np.arange(len(part)), sizes)
+                found = mix(signatures(doc, flat, np.ones(len(flat), np.int64), len(part), SKETCH).view(np.uint64))
+                yield pd.DataFrame({"row": part["row"].array, "sketch": [r.tobytes() for r in (found & np.uint64(255)).astype(np.uint8)]})
+
+    return sets.select("row", "items").mapInPandas(sign, "row long, sketch binary")
+
+
+def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of bucket members in different groups that may be similar enough.
+
+    All members of a bucket are compared, in blocks of bounded size, by sketches of ``SKETCH`` registers; a
+    pair whose agreement is over four standard deviations below that of the similarity is no candidate.
+    """
+    sizes = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).where("lo <> hi").select("bucket", "_blocks")
+    m = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("row"), F.col("_blocks")).cast("int"))
+    signs = checkpointed(sketches(sets.join(m.select("row").distinct(), "row", "left_semi")))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = m.select("bucket", "row", "label", "n", "block", other.alias("_o")).select("bucket", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "row", "label", "n", "block")
+    least = int(SKETCH * SIMILARITY - 4 * (SKETCH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row")
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        left, right = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
+        signs = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), -1)
+        rows, labels, n = (right[c].to_numpy() for c in ("row", "label", "n"))
+        found = []
+        for r in left.itertuples(index=False):
+            near = (labels != r.label) & (np.minimum(n, r.n) >= SIMILARITY * np.maximum(n, r.n))
+            if lo == hi:
+                near &= rows > r.row
+            at = np.flatnonzero(near)
+            at = at[(signs[at] == np.frombuffer(r.sketch, np.uint8)).sum(axis=1) >= least]
+            found.append(np.stack([np.minimum(rows[at], r.row), np.maximum(rows[at], r.row)], axis=1))
+        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+    return dealt.join(signs, "row").groupBy("bucket", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -221,8 +264,9 @@ def groups(docs: DataFrame) -> DataFrame:
     keys = ["key_a", "key_b", "n"]
     nodes = checkpointed(signs.groupBy(*keys).agg(F.max("row").alias("row")))
     members = signs.join(nodes.select("row"), "row").select("row", "n", F.explode("bands").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    shared = checkpointed(members.join(full, "bucket", "left_semi"))
+    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    with_sizes = checkpointed(members.join(full, "bucket"))
+    shared = checkpointed(with_sizes.drop("c").join(with_sizes.groupBy("row").agg(F.sum("c").alias("met")), "row"))
     wanted = shared.select("row").distinct()
     texts = docs.select("text", F.monotonically_increasing_id().alias("row")).join(wanted, "row")
     sets = checkpointed(multisets(texts))
@@ -233,7 +277,7 @@ def groups(docs: DataFrame) -> DataFrame:
             grouped = shared.withColumn("label", F.col("row"))
         else:
             grouped = shared.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        pairs = _hubs(grouped, turn) if turn < HUB_ROUNDS else _rest(grouped)
+        pairs = _hubs(grouped, turn) if turn < HUB_ROUNDS else _rest(grouped, sets)
         pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             if turn < HUB_ROUNDS and labels is not None:
