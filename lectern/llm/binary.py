@@ -22,9 +22,9 @@ from lectern.llm.tokens import encoder
 from lectern.session import checkpointed
 
 VOCABULARY = "byte_bpe_50k.json"
-BLOCK = 2048
+BLOCK = 512
 #: Blocks coded at a time.
-LANES = 1024
+LANES = 4096
 
 
 def blocks(docs: DataFrame, file: str = VOCABULARY, end: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ FULL = 1 << BITS
 _LOW = np.uint64(2**48 - 1)
 _SMALL = np.uint64(2**32)
 _MASK32 = np.uint64(2**32 - 1)
-SLOTS = 2048
+SLOTS = 1024
 TABLES = 1 + 16 + 256 + 256
 _FLOOR = 24
 _STRETCH = np.array([round(256 * math.log((i + 0.5) / (4096 - i - 0.5))) for i in range(4096)], np.int64)
