@@ -18,7 +18,7 @@ from tests.llm.conftest import odd_rows
 FILES = [("word_bpe_49k.json", True, 1), ("byte_bpe_50k.json", False, 0)]
 
 
-def plain(file, texts, end):
+def plain(file, end, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
     tokenizer.encode_special_tokens = True
     return [e.ids + [end] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
@@ -30,7 +30,7 @@ def test_ids_are_those_of_the_library(file, drops, end):
     parts = ["a", "B", "é", " ", "\n", "'s", "1", "!", "ß", "\t", "中", "\u2009", "\u0301", "<|", "|>", "  ", "word", "<|endoftext|>"]
     texts = [r.text for r in odd_rows()] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
     got = encoder(file, drops).batch(texts, end)
-    assert [g.tolist() for g in got] == plain(file, texts, end)
+    assert [g.tolist() for g in got] == plain(file, end, texts)
 
 
 @settings(max_examples=60, deadline=None)
@@ -38,7 +38,7 @@ def test_ids_are_those_of_the_library(file, drops, end):
 def test_ids_of_any_text(texts):
     for file, drops, end in FILES:
         texts = [t.encode("utf-8", "replace").decode() for t in texts]
-        assert [g.tolist() for g in encoder(file, drops).batch(texts, end)] == plain(file, texts, end)
+        assert [g.tolist() for g in encoder(file, drops).batch(texts, end)] == plain(file, end, texts)
 
 
 def test_differencing_fills_windows():
