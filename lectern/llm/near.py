@@ -27,7 +27,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Rounds with one hub per bucket before members meet pair by pair.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Registers of the second sketch, and members compared at a time, of that last step.
 SKETCH, BLOCK = 512, 400
 #: Text bytes handled at a time.
@@ -206,8 +206,12 @@ def _hubs(members: DataFrame, turn: int) -> DataFrame:
     return members.join(hubs, "bucket").where("label <> _l").select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
 
 
+#: How many of the four two-bit fields are alike, by the exclusive or of two bytes.
+_EQUAL = np.array([sum((x >> k) & 3 == 0 for k in (0, 2, 4, 6)) for x in range(256)], np.uint8)
+
+
 def sketches(sets: DataFrame) -> DataFrame:
-    """``row, sketch``: one byte of each of ``SKETCH`` registers over the row's multiset."""
+    """``row, sketch``: two bits of each of ``SKETCH`` registers over the row's multiset, four to a byte."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first in range(0, len(batch), 200):
@@ -216,7 +220,9 @@ def sketches(sets: DataFrame) -> DataFrame:
                 flat = np.concatenate([np.asarray(x, np.int64) for x in part["items"]]).view(np.uint64)
                 doc = np.repeat(np.arange(len(part)), sizes)
                 found = mix(signatures(doc, flat, np.ones(len(flat), np.int64), len(part), SKETCH).view(np.uint64))
-                yield pd.DataFrame({"row": part["row"].array, "sketch": [r.tobytes() for r in (found & np.uint64(255)).astype(np.uint8)]})
+                bits = (found & np.uint64(3)).astype(np.uint8).reshape(len(part), -1, 4)
+                packed = bits[:, :, 0] | bits[:, :, 1] << 2 | bits[:, :, 2] << 4 | bits[:, :, 3] << 6
+                yield pd.DataFrame({"row": part["row"].array, "sketch": [r.tobytes() for r in packed]})
 
     return sets.select("row", "items").mapInPandas(sign, "row long, sketch binary")
 
@@ -226,27 +232,32 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     All members of a bucket are compared, in blocks of bounded size, by sketches of ``SKETCH`` registers; a
     pair whose agreement is over four standard deviations below that of the similarity is no candidate.
+    Each pair comes from the first bucket that its members share.
     """
     sizes = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).where("lo <> hi").select("bucket", "_blocks")
     m = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("row"), F.col("_blocks")).cast("int"))
-    signs = checkpointed(sketches(sets.join(m.select("row").distinct(), "row", "left_semi")))
+    mine = m.groupBy("row").agg(F.array_sort(F.collect_list(F.pmod(F.xxhash64("bucket"), F.lit(2147483647)).cast("int"))).alias("marks"))
+    signs = checkpointed(sketches(sets.join(mine.select("row"), "row", "left_semi")).join(mine, "row"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = m.select("bucket", "row", "label", "n", "block", other.alias("_o")).select("bucket", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "row", "label", "n", "block")
-    least = int(SKETCH * SIMILARITY - 4 * (SKETCH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+    dealt = m.select("bucket", "row", "label", "n", "block", other.alias("_o")).select("bucket", F.pmod(F.xxhash64("bucket"), F.lit(2147483647)).cast("int").alias("mark"), F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"), "row", "label", "n", "block")
+    agree = 0.25 + 0.75 * SIMILARITY  # two bits agree by chance in a quarter of cases
+    least = int(SKETCH * agree - 4 * (SKETCH * agree * (1 - agree)) ** 0.5)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         left, right = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
         signs = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), -1)
-        rows, labels, n = (right[c].to_numpy() for c in ("row", "label", "n"))
+        rows, labels, n, marks = (right[c].to_numpy() for c in ("row", "label", "n", "marks"))
         found = []
         for r in left.itertuples(index=False):
             near = (labels != r.label) & (np.minimum(n, r.n) >= SIMILARITY * np.maximum(n, r.n))
             if lo == hi:
                 near &= rows > r.row
             at = np.flatnonzero(near)
-            at = at[(signs[at] == np.frombuffer(r.sketch, np.uint8)).sum(axis=1) >= least]
+            at = at[_EQUAL[signs[at] ^ np.frombuffer(r.sketch, np.uint8)].sum(axis=1, dtype=np.int64) >= least]
+            own = set(r.marks)
+            at = at[[next(x for x in marks[i] if x in own) == r.mark for i in at]] if len(at) else at
             found.append(np.stack([np.minimum(rows[at], r.row), np.maximum(rows[at], r.row)], axis=1))
         return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
