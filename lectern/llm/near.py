@@ -29,7 +29,7 @@ BANDS, ROWS = 20, 4
 #: Rounds with one hub per bucket before members meet pair by pair.
 HUB_ROUNDS = 1
 #: Registers of the second sketch, and members compared at a time, of that last step.
-SKETCH, BLOCK = 512, 400
+SKETCH, BLOCK = 512, 3_000
 #: Text bytes handled at a time.
 SLICE = 1_500_000
 _SPACE = np.zeros(256, bool)
