@@ -25,6 +25,8 @@ HASHES = 3
 SAMPLE = 2_000
 #: An n-gram belongs to a language if this share of its documents holds it.
 LEAST_SHARE = 0.01
+#: Letters in a row share n-grams, so that many n-grams tell as much as one independent draw.
+ALIKE = sum(SIZES)
 #: Characters handled at a time.
 SLICE = 400_000
 _LETTERS: list[np.ndarray] = []
@@ -85,6 +87,8 @@ class Filters:
     languages: list[str]
     masks: np.ndarray
     commonest: str | None
+    #: Share of a document's n-grams that the filter learned from the other documents of its language holds; 1 where not known.
+    usual: tuple[float, ...] = ()
 
     def false_rates(self) -> np.ndarray:
         fill = [np.mean((self.masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)) for i in range(len(self.languages))]
@@ -92,6 +96,10 @@ class Filters:
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected hits per (text, language), and letters per text."""
+        return self.hits(texts)[:2]
+
+    def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``counts`` and the n-grams per text."""
         rows, hashes, letters = grams(texts)
         total = np.bincount(rows, minlength=len(texts))
         at = places(hashes)
@@ -106,7 +114,7 @@ class Filters:
             for i in range(64 * w, min(64 * w + 64, len(self.languages))):
                 has = (hit >> np.uint64(i % 64)) & np.uint64(1)
                 out[:, i] = np.bincount(row, weights=has.astype(np.float64), minlength=len(texts))
-        return np.maximum(0, (out - total[:, None] * rates) / (1 - rates).clip(1e-9)), letters
+        return np.maximum(0, (out - total[:, None] * rates) / (1 - rates).clip(1e-9)), letters, total
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
@@ -134,6 +142,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
     number = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
     least = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(max(1.0, min(2.0, sizes[name]), LEAST_SHARE * sizes[name])))])
 
+    # A document's n-gram that n documents hold is in n - 1 others.
+    others = counted.groupBy("lang").agg((F.sum(F.when(F.col("n") - 1 >= least[F.col("lang")], F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    usual = {r["lang"]: r["share"] for r in others.collect()}
+
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes = batch["gram"].to_numpy(np.int64).view(np.uint64)
@@ -145,11 +157,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
     masks = np.zeros((-(-len(languages) // 64), POSITIONS), np.uint64)
     for r in kept.mapInPandas(spread, "word long, position long, mask long").groupBy("word", "position").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
         masks[r["word"], r["position"]] = np.uint64(r["mask"] % 2**64)
-    return Filters(languages, masks, max(languages, key=lambda x: (sizes[x], x)))
+    return Filters(languages, masks, max(languages, key=lambda x: (sizes[x], x)), tuple(usual.get(name) or 0.0 for name in languages))
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """``doc_id, lang_pred, score`` and every other column of ``docs`` in ``_doc`` when it has that.
+    """``doc_id, lang_pred, score, share, grams`` and every other column of ``docs`` in ``_doc`` when it has that.
+
+    ``share`` is the part of the text's ``grams`` n-grams that the filter of ``lang_pred`` holds, against what it
+    holds of a text of its language usually; unlike ``score`` it does not depend on the other languages.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text when nothing
     was learned.  A text whose n-grams are in no filter gets the commonest language with
@@ -160,24 +175,26 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            parts = [pd.DataFrame({"lang": pd.Series([], dtype=str), "score": pd.Series([], dtype=float)})]
+            parts = [pd.DataFrame({"lang": pd.Series([], dtype=str), "score": pd.Series([], dtype=float), "share": pd.Series([], dtype=float), "grams": pd.Series([], dtype=np.int64)})]
             for _, texts in slices(batch.tolist()):
                 if not known.languages:
-                    parts.append(pd.DataFrame({"lang": ["und"] * len(texts), "score": 0.0}))
+                    parts.append(pd.DataFrame({"lang": ["und"] * len(texts), "score": 0.0, "share": 0.0, "grams": 0}))
                     continue
-                counts, letters = known.counts(texts)
+                counts, letters, grams_in = known.hits(texts)
                 best = counts.argmax(axis=1)
                 top, total = counts.max(axis=1), counts.sum(axis=1)
                 lang = np.array(known.languages, object)[best]
                 lang[top == 0] = known.commonest
                 lang[letters == 0] = "und"
-                parts.append(pd.DataFrame({"lang": lang, "score": np.where((letters > 0) & (total > 0), top / total.clip(1e-9), 0.0)}))
+                usual = np.array(known.usual or [1.0] * len(known.languages))[best]
+                share = np.where(usual > 0, top / (grams_in * usual).clip(1e-9), 1.0)
+                parts.append(pd.DataFrame({"lang": lang, "score": np.where((letters > 0) & (total > 0), top / total.clip(1e-9), 0.0), "share": share, "grams": grams_in}))
             yield pd.concat(parts, ignore_index=True)
 
-    guessed = F.pandas_udf(guess, "lang string, score double")
+    guessed = F.pandas_udf(guess, "lang string, score double, share double, grams long")
     carried = [c for c in docs.columns if c == "_doc"]
     out = docs.select("doc_id", guessed(F.col("text")).alias("_g"), *carried)
-    return out.select("doc_id", F.col("_g.lang").alias("lang_pred"), F.col("_g.score").alias("score"), *carried)
+    return out.select("doc_id", F.col("_g.lang").alias("lang_pred"), F.col("_g.score").alias("score"), F.col("_g.share").alias("share"), F.col("_g.grams").alias("grams"), *carried)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
@@ -189,8 +206,9 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identified(docs: DataFrame, filters: Filters, least: float = 0.3) -> DataFrame:
-    """The rows, with all their columns, whose language is known: a letter at least, and a
-    score of ``least`` (half of the texts' evidence for one of many languages)."""
+def identified(docs: DataFrame, filters: Filters, least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose language is known: a letter at least, and a ``share`` in the
+    best language that is not below ``least`` by more than three standard deviations of so short a text."""
     out = predict(docs.select("doc_id", "text", F.struct("*").alias("_doc")), filters)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_doc.*")
+    slack = 3 * F.sqrt(F.lit(ALIKE * least * (1 - least)) / F.greatest("grams", F.lit(1)))
+    return out.where((F.col("lang_pred") != "und") & (F.col("share") >= least - slack)).select("_doc.*")

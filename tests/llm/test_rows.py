@@ -145,6 +145,33 @@ def test_language(spark, odd, none, tmp_path):
     assert {r.lang_pred for r in language.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_clean_texts_are_kept_whatever_the_number_of_languages(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5))
+    common, own = [word() for _ in range(150)], {f"l{k}": [word() for _ in range(150)] for k in range(10)}
+    text = lambda lang, n: " ".join(rng.choice(common if rng.random() < 0.5 else own[lang]) for _ in range(n))
+    rows = [(i, text(f"l{i % 10}", 60), f"l{i % 10}") for i in range(600)]
+    known = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(known.languages) == 10
+    clean = [(i, text(f"l{i % 10}", 60 if i % 2 else 3)) for i in range(200)]
+    short = [(300, "x"), (301, "Zq"), (302, "中文")]
+    strange = [(400, "съешь же ещё этих мягких французских булок " * 3), (401, "qzx jvkq wwzx pqqz xkcd zzvv " * 20), (402, "12 !! 34"), (403, None)]
+    docs = spark.createDataFrame(clean + short + strange, "doc_id long, text string").withColumn("source", F.lit("a"))
+    got = language.identified(docs, known)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == [*range(200), 300, 301, 302]
+
+
+def test_a_language_of_few_documents_rejects_none_of_its_texts(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(2000)]
+    text = lambda: " ".join(rng.choice(words, 60))
+    known = language.fit(spark.createDataFrame([(i, text(), "rare") for i in range(4)], "doc_id long, text string, lang string"))
+    assert known.usual[0] < 0.4
+    docs = spark.createDataFrame([(i, text()) for i in range(50)], "doc_id long, text string")
+    assert language.identified(docs, known).count() == 50
+
+
 def test_bloom_masks_hold_every_language_of_a_gram():
     known = language.Filters([f"l{i:02d}" for i in range(70)], np.zeros((2, language.POSITIONS), np.uint64), "l00")
     rows, hashes, letters = language.grams(["abc"])
