@@ -170,12 +170,14 @@ def aligned_responses(spark, sf_dir):
 @query("aligned_terms", f"""WITH {SENTENCES}, w AS (SELECT s.doc_id, n, s_start, text[s_start + 1:s_end] AS piece, regexp_extract(text[s_start + 1:s_end], '[^ ,.]+') AS word FROM sent s JOIN documents d ON d.doc_id = s.doc_id WHERE s.doc_id % 4 <> 0)
 SELECT doc_id AS unit_id, 'sentence-' || (n + 1) AS segment_id, word, s_start + instr(piece, word) - 1 AS a, s_start + instr(piece, word) - 1 + length(word) AS b, 0 AS ta, length('T' || n)::INT AS tb FROM w WHERE n % 3 <> 2 AND word <> ''""")
 def aligned_terms(spark, sf_dir):
-    """The first word of every sentence as a term; a third of the sentences have no translation."""
+    """The first word of every sentence as a term; a third of the sentences have no translation, and every fourth
+    unit has a plain answer, which holds no terms."""
     t = _texts(spark, sf_dir)
     names = F.transform("sentences", lambda s, i: F.struct(F.concat(F.lit("sentence-"), (i + 1).cast("string")).alias("id"), F.concat(F.lit("T"), i.cast("string")).alias("translatedText"), i.alias("i"), s["start"].alias("a"), s["end"].alias("b")))
     answered = F.filter("names", lambda s: s["i"] % 3 != 2)
     word = lambda s: F.regexp_extract(F.substring(F.col("text"), s["a"] + 1, s["b"] - s["a"]), r"[^ ,.]+", 0)
     terms = F.transform("names", lambda s: F.struct(word(s).alias("text"), s["translatedText"].alias("translation"), s["id"].alias("segmentId"), F.lit(-1).alias("sourceStart")))
-    rows = t.withColumn("names", names).where("doc_id % 4 <> 0").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("source"), F.to_json(F.struct(answered.alias("segments"), terms.alias("terms"))).alias("response"))
+    body = F.to_json(F.struct(answered.alias("segments"), terms.alias("terms")))
+    rows = t.withColumn("names", names).select(F.col("doc_id").alias("unit_id"), F.col("text").alias("source"), F.when(F.col("doc_id") % 4 == 0, F.lit("plain answer ")).otherwise(body).alias("response"))
     out = spans.align_terms(checkpointed(rows))
     return out.select("unit_id", "segment_id", F.col("text").alias("word"), F.col("source_start").alias("a"), F.col("source_end").alias("b"), F.col("translated_start").alias("ta"), F.col("translated_end").alias("tb"))

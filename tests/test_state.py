@@ -122,3 +122,17 @@ def test_second_run_has_nothing_to_do(spark):
     assert first.where("cache_hit").count() == 0 and first.where("status = 'completed'").count() == 8
     pending, _ = enrichment.split_by_cache(units, first.select("cache_key", "response").distinct())
     assert pending.count() == 0
+
+
+def test_terms_of_every_document(spark, monkeypatch):
+    """All documents reach align_terms, those with plain answers too, which give no term."""
+    from lectern import queries as q
+    from tests.compare import DATA
+
+    q.load_all()
+    seen, whole = [], spans.align_terms
+    monkeypatch.setattr(spans, "align_terms", lambda rows: seen.append(rows) or whole(rows))
+    got = {r.unit_id for r in q.QUERIES["aligned_terms"](spark, f"{DATA}/sf0.001").select("unit_id").distinct().collect()}
+    asked = {r.unit_id: r.response for r in seen[0].select("unit_id", "response").collect()}
+    assert set(asked) == {r.doc_id for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id").collect()}
+    assert got and got.isdisjoint(i for i, response in asked.items() if response == "plain answer ")
