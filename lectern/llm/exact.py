@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import checkpointed
+
 PER_SHARD = 256
 PER_BUCKET = 4
 
@@ -119,19 +121,19 @@ def decide(docs: DataFrame, history: DataFrame | None = None, keep: DataFrame |
     text), a text seen there is a repeat and its locator is the historical row; texts not seen
     are grouped among themselves and looked up in an index of their own.
     Null texts count as empty; of repeated rows with one doc_id one stays; an empty table
-    gives no row.  ``docs`` has to be a stored table: ``row`` numbers its rows as they are read.
+    gives no row.  ``row`` numbers the rows of ``docs`` as they are stored here, once.
     ``keep``: columns to carry (a struct column), ``decided`` uses it.
     """
     numbered = lambda df: df.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest"))
     source = keep if keep is not None else docs
-    carried = source.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest"), *(["_doc"] if keep is not None else []))
-    base = docs if history is None else history
+    carried = checkpointed(source.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest"), *(["_doc"] if keep is not None else [])))
+    base = carried.select("doc_id", "row", "digest") if history is None else numbered(history)
     shards = max(1, -(-base.count() // PER_SHARD))
-    found = look_up(carried, build_index(distinct_digests(numbered(base)), shards), shards)
+    found = look_up(carried, build_index(distinct_digests(base), shards), shards)
     if history is None:
         return found.withColumn("kept", F.col("row") == F.col("keep_row"))
     fresh = found.where(~F.col("member")).select(*carried.columns)
-    shards = max(1, -(-docs.count() // PER_SHARD))
+    shards = max(1, -(-carried.count() // PER_SHARD))
     own = look_up(fresh, build_index(distinct_digests(fresh.select("doc_id", "row", "digest")), shards), shards)
     repeats = found.where("member").withColumn("kept", F.lit(False))
     return repeats.unionByName(own.withColumn("kept", F.col("row") == F.col("keep_row")).withColumn("member", F.lit(False)))

@@ -40,10 +40,10 @@ def sample_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, row, size, key``; ``row`` numbers the rows of the stored table."""
-    text = F.col("text")
-    rows = docs.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), words(text).alias("size"), quality(text).alias("_q"))
-    return rows.select("doc_id", "source", "row", "size", sample_key(F.col("doc_id"), F.col("_q")).alias("key"))
+    """``doc_id, source, row, size, key``, and ``_doc`` when ``docs`` has that; ``row`` is a number only once this is stored."""
+    text, carried = F.col("text"), [c for c in docs.columns if c == "_doc"]
+    rows = docs.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), words(text).alias("size"), quality(text).alias("_q"), *carried)
+    return rows.select("doc_id", "source", "row", "size", sample_key(F.col("doc_id"), F.col("_q")).alias("key"), *carried)
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -121,11 +121,8 @@ def first_words(text: Column, n: Column) -> Column:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus: a document once per epoch that takes it; the one at a source's
     cut-off is cut after its last word within the budget."""
-    rows = checkpointed(sized(docs))
-    plans = plan(rows)
-    packed = docs.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("size"), quality(F.col("text")).alias("_q"), F.struct("*").alias("_doc"))
-    keyed = packed.withColumn("key", sample_key(F.col("doc_id"), F.col("_q"))).drop("_q")
-    taken = mixed(keyed, plans)
+    keyed = checkpointed(sized(docs.select("doc_id", "source", "text", F.struct("*").alias("_doc"))))
+    taken = mixed(keyed, plan(keyed.drop("_doc")))
     copies = F.sequence(F.lit(1), F.col("turns").cast("int") + F.when(F.col("part") > 0, 1).otherwise(0))
     some = taken.where("turns > 0 or part > 0").withColumn("_turn", F.explode(copies))
     cut = (F.col("_turn") > F.col("turns")) & (F.col("part") < F.col("size"))

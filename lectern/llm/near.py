@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.tokens import mix, span_hashes
-from lectern.session import checkpointed
+from lectern.session import checkpointed, numbered
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -126,9 +126,9 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         at = to
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, n, key_a, key_b, bands``: size and 128-bit hash of the multiset, band keys."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def signed(rows: DataFrame) -> DataFrame:
+    """``doc_id, row, n, key_a, key_b, bands`` of ``rows(row, doc_id, text)``: size and 128-bit hash of the multiset, band keys."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -143,8 +143,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 part = batch.iloc[first : first + len(texts)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "row": part["row"].array, "n": counts, "key_a": sums[0].view(np.int64), "key_b": sums[1].view(np.int64), "bands": [k if ok else [] for k, ok in zip(keys, has, strict=True)]})
 
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    return rows.mapInPandas(sign, f"doc_id {kind}, row long, n long, key_a long, key_b long, bands array<long>")
+    return rows.select("doc_id", "text", "row").mapInPandas(sign, f"doc_id {kind}, row long, n long, key_a long, key_b long, bands array<long>")
 
 
 def multisets(rows: DataFrame) -> DataFrame:
@@ -265,13 +264,18 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, class_row, class_id, group_size, kept`` of every row of a stored table.
+    """``doc_id, row, class_row, class_id, group_size, kept`` of every row.
 
     The class is the connected component of verified links; its largest doc_id (then the last row)
     is ``class_id`` and stays.  Texts with equal shingle multisets, texts without words among them, are one
     class in any case.  Nulls count as empty texts, a null doc_id as the least; an empty table gives no row.
     """
-    signs = checkpointed(signed(docs))
+    return _groups(numbered(docs.select("doc_id", "text")).select("row", "_doc.doc_id", "_doc.text"))
+
+
+def _groups(stored: DataFrame) -> DataFrame:
+    """``groups`` of the stored ``(row, doc_id, text)``."""
+    signs = checkpointed(signed(stored))
     keys = ["key_a", "key_b", "n"]
     nodes = checkpointed(signs.groupBy(*keys).agg(F.max("row").alias("row")))
     members = signs.join(nodes.select("row"), "row").select("row", "n", F.explode("bands").alias("bucket"))
@@ -279,7 +283,7 @@ def groups(docs: DataFrame) -> DataFrame:
     with_sizes = checkpointed(members.join(full, "bucket"))
     shared = checkpointed(with_sizes.drop("c").join(with_sizes.groupBy("row").agg(F.sum("c").alias("met")), "row"))
     wanted = shared.select("row").distinct()
-    texts = docs.select("text", F.monotonically_increasing_id().alias("row")).join(wanted, "row")
+    texts = stored.select("text", "row").join(wanted, "row")
     sets = checkpointed(multisets(texts))
 
     tested, links, labels = None, None, None
@@ -310,6 +314,6 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """One row of each class, with all its columns."""
-    kept = checkpointed(groups(docs).where("kept").select("row"))
-    packed = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc"))
-    return packed.join(kept, F.col("_row") == F.col("row"), "left_semi").select("_doc.*")
+    stored = numbered(docs)
+    kept = checkpointed(_groups(stored.select("row", "_doc.doc_id", "_doc.text")).where("kept").select("row"))
+    return stored.join(kept, "row", "left_semi").select("_doc.*")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cpus: int | str = "*", app: str = "lectern", **conf: str) -> SparkSession:
@@ -57,3 +58,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``row, _doc``: the rows of ``df`` written once with a number each.
+
+    A number made while a table is read depends on how the files are split, which changes with the executors at
+    hand, so rows are joined by stored numbers only.
+    """
+    return checkpointed(df.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("_doc")))

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import exact, near
+from lectern import session
+from lectern.llm import exact, mixing, near
 from lectern.session import checkpointed
 
 
@@ -94,6 +95,41 @@ def near_texts():
     return texts + ["line of five words\n" * 50, "line of five words\n" * 48, "short text", "short text", "", None, " "]
 
 
+def resplit(spark, monkeypatch, *modules):
+    """Let every stored table be followed by other file splits, as when executors come or go."""
+    counts = iter(["1", "5"] * 50)
+
+    def store(df):
+        out = checkpointed(df)
+        spark.conf.set("spark.sql.files.minPartitionNum", next(counts))
+        return out
+
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    for module in modules:
+        monkeypatch.setattr(module, "checkpointed", store)
+
+
+def restore(spark):
+    for name in ("minPartitionNum", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_rows_keep_their_numbers_when_files_split_anew(spark, tmp_path, monkeypatch):
+    texts = near_texts()[:20]
+    spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    stages = [lambda: exact.drop_repeats(docs), lambda: near.drop_near(docs), lambda: mixing.mix_documents(docs)]
+    want = [sorted(stage().collect(), key=str) for stage in stages]
+    resplit(spark, monkeypatch, near, mixing, session)
+    try:
+        for stage, rows in zip(stages, want, strict=True):
+            out = stage()
+            assert "monotonically_increasing_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+            assert sorted(out.collect(), key=str) == rows
+    finally:
+        restore(spark)
+
+
 def test_near_groups_match_brute_force(spark, tmp_path):
     texts = near_texts()
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
