@@ -164,5 +164,18 @@ def replay_safe(calls: DataFrame, order: list[str], per_iteration: int = 8, iter
     return first_rows(usable, ["run_id", "iteration"], [F.col(c) for c in order], per_iteration, rank="call_no")
 
 
+def call_answers(calls: DataFrame, order: list[str], per_iteration: int = 8, iterations: int = 6) -> DataFrame:
+    """Every answered call with the ``stored`` call that ``replay_safe`` keeps, its ``call_no`` and a ``replayed`` mark.
+
+    A repeat of a (run, call id) has the stored call, whatever it asks itself; a call outside the iterations
+    has no answer.  ``order`` tells the calls apart.
+    """
+    keys = ["run_id", "tool_call_id"]
+    kept = replay_safe(calls, order, per_iteration, iterations)
+    stored = kept.select(*keys, "call_no", F.struct(*calls.columns).alias("stored"))
+    joined = calls.where(F.col("iteration").between(1, iterations)).join(stored, keys)
+    return joined.withColumn("replayed", F.struct(*order) > F.struct(*[F.col(f"stored.{c}") for c in order]))
+
+
 def changed_positions(history: DataFrame, keys: list[str], order: list[str], blocks: list[str], value: str) -> DataFrame:
     return running(history, keys, order, blocks, {"previous": ("last", F.col(value))}, inclusive=False)

@@ -238,4 +238,4 @@ def visible_tools(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY run_id, iteration ORDER BY event_id) AS call_no FROM u) SELECT run_id, event_id, iteration, call_no::INT AS call_no FROM r WHERE call_no <= 8""")
 def replay_safe(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.floor(F.col("event_id") / 3).alias("tool_call_id"), "event_id", (F.col("event_id") % 9).alias("iteration"))
-    return metrics.replay_safe(e, ["event_id"]).select("run_id", "event_id", "iteration", "call_no")
+    return metrics.call_answers(e, ["event_id"]).where("not replayed").select("run_id", "event_id", "iteration", "call_no")

@@ -136,3 +136,10 @@ def test_terms_of_every_document(spark, monkeypatch):
     asked = {r.unit_id: r.response for r in seen[0].select("unit_id", "response").collect()}
     assert set(asked) == {r.doc_id for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id").collect()}
     assert got and got.isdisjoint(i for i, response in asked.items() if response == "plain answer ")
+
+
+def test_repeated_calls_return_the_stored_result(spark):
+    rows = [("r", "a", 1, 1, "one"), ("r", "a", 2, 1, "two"), ("r", "a", 3, 2, "three"), ("s", "a", 4, 1, "other"), ("r", "b", 5, 7, "late"), ("r", "a", 6, 9, "wrong")]
+    calls = spark.createDataFrame(rows, "run_id string, tool_call_id string, at int, iteration int, result string")
+    got = {r["at"]: (r.stored.result, r.replayed, r.call_no) for r in metrics.call_answers(calls, ["at"]).collect()}
+    assert got == {1: ("one", False, 1), 2: ("one", True, 1), 3: ("one", True, 1), 4: ("other", False, 1)}
