@@ -194,7 +194,10 @@ def find_drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     store = LineRuns(spark, f"{folder}/runs", fanout=fanout)
     for batch in range(batches):
         store.add(lines.where(F.col("batch") == batch))
+    # Stored, so that both sides of the join below are plain exchanges, and a line that most documents hold can be split.
     common = store.totals().where(F.col("n") >= min_docs).select("h", "owner")
+    common.write.parquet(f"{folder}/common")
+    common = spark.read.schema(common.schema).parquet(f"{folder}/common")
     hit = lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     drops = checkpointed(hit.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("pos")).alias("dropped")))
     store.close()
