@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,15 +11,25 @@ from pyspark.sql import functions as F
 from lectern.functions.text import normalize_title, reference_key, words
 from lectern.operators.corpus import running_by
 from lectern.session import checkpointed
-from lectern.skew import first_rows, number_rows, pairs_within
+from lectern.skew import PAIR_CHUNK, number_rows, pairs_within
 
 
 @dataclass
 class CitationGraph:
-    nodes: DataFrame
-    edges: DataFrame
+    """Nodes, edges and summary; edges are computed and stored when they or the degrees are first asked for."""
+
+    members: DataFrame
+    relations: list[DataFrame]
     summary: DataFrame
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        return checkpointed(reduce(DataFrame.unionByName, self.relations)).withColumn("edge_id", F.concat_ws(":", "relation", "source", "target"))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self.members.join(degrees(self.edges), ["root_id", "node_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+
 
 def _visits(roots: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References in visiting order: the root's own, then those of its direct nodes."""
@@ -46,8 +57,9 @@ def _node_ids(visits: DataFrame) -> DataFrame:
 def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth: int = 2) -> CitationGraph:
     """The citation graph of every root.
 
-    ``papers(id, title)``; ``refs(paper_id, pos, ref_id, title, authors, year, doi, arxiv,
-    resolved_id)``, resolved once for the whole corpus.  Five edge relations; ids are strings.
+    ``papers(id, title)`` with optional ``authors`` and ``year``, shown at the root; ``refs(paper_id, pos, ref_id, title,
+    authors, year, doi, arxiv, resolved_id)``, resolved once for the whole corpus: another node shows the authors
+    and year of the reference that first led to it.  Five edge relations; ids are strings.
     """
     if max_depth not in (1, 2):
         raise ValueError("max_depth must be 1 or 2")
@@ -65,7 +77,7 @@ def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth
     direct = checkpointed(direct)
 
     cites = direct_all.select("root_id", F.col("root_id").alias("source"), F.col("node_id").alias("target"))
-    nodes = [direct.select("root_id", "node_id", "title", "year", "resolved", F.lit(1).alias("depth"), "dord")]
+    nodes = [direct.select("root_id", "node_id", "title", "authors", "year", "resolved", F.lit(1).alias("depth"))]
     relations: list[DataFrame] = []
     if max_depth == 2:
         second = (
@@ -73,34 +85,27 @@ def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth
             .join(keyed, F.col("source") == F.col("paper_id")).drop("paper_id").withColumn("depth", F.lit(2))
         )
         both = second.unionByName(first.withColumn("dord", F.lit(0).cast("long")).withColumn("source", F.col("root_id")))
-        visited = checkpointed(_node_ids(both).where("depth = 2").drop("authors"))
+        visited = checkpointed(_node_ids(both).where("depth = 2"))
         second_all = visited.where(F.col("node_id") != F.col("source"))
         cites = cites.unionByName(second_all.select("root_id", "source", F.col("node_id").alias("target")))
         fresh = visited.where(F.col("node_id") != F.col("root_id"))
-        reached = fresh.groupBy("root_id", "node_id").agg(F.min_by(F.struct("title", "year", "resolved_id"), F.struct("dord", "pos")).alias("a"), F.min("dord").alias("dord"))
+        reached = fresh.groupBy("root_id", "node_id").agg(F.min_by(F.struct("title", "authors", "year"), F.struct("dord", "pos")).alias("a"))
         reached = reached.join(direct.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti").join(title_of, "node_id", "left")
-        nodes.append(reached.select("root_id", "node_id", F.coalesce("paper_title", "a.title").alias("title"), F.col("a.year").alias("year"),
-                                    F.col("paper_title").isNotNull().alias("resolved"), F.lit(2).alias("depth"), "dord"))
+        nodes.append(reached.select("root_id", "node_id", F.coalesce("paper_title", "a.title").alias("title"), F.col("a.authors").alias("authors"), F.col("a.year").alias("year"),
+                                    F.col("paper_title").isNotNull().alias("resolved"), F.lit(2).alias("depth")))
         keys = second.select("root_id", "source", "dord", "key").distinct()
         relations.append(_weighted(pairs_within(keys, ["root_id", "key"], "source", "dord"), "source", "shared_reference"))
-        relations.append(_mutual(second, direct))
+        relations.append(_mutual(second))
     relations.append(coauthor_edges(direct))
     relations.append(topic_edges(direct))
 
     weighted = cites.groupBy("root_id", "source", "target").agg(F.count(F.lit(1)).alias("weight")).withColumn("relation", F.lit("cites"))
-    edges = weighted
-    for more in relations:
-        edges = edges.unionByName(more)
-    edges = checkpointed(edges).withColumn("edge_id", F.concat_ws(":", "relation", "source", "target"))
-
-    root_nodes = roots.select("root_id").join(title_of, F.col("root_id") == F.col("node_id")).select(
-        "root_id", "node_id", F.col("paper_title").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(True).alias("resolved"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("dord"))
-    all_nodes = root_nodes
-    for more in nodes:
-        all_nodes = all_nodes.unionByName(more)
-    all_nodes = all_nodes.join(degrees(edges), ["root_id", "node_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))).drop("dord")
+
+    shown = {c: F.col(c) if c in papers.columns else F.lit(None).cast(kind) for c, kind in (("authors", "array<string>"), ("year", "int"))}
+    root_nodes = papers.select(F.col("id").alias("root_id"), F.col("id").alias("node_id"), "title", *[v.alias(c) for c, v in shown.items()], F.lit(True).alias("resolved"), F.lit(0).alias("depth")).join(roots.select("root_id"), "root_id", "left_semi")
+    members = reduce(DataFrame.unionByName, nodes, root_nodes)
     with_refs = first.select("root_id").distinct().withColumn("has_refs", F.lit(True))
-    return CitationGraph(all_nodes, edges, graph_summary(all_nodes, with_refs, max_depth))
+    return CitationGraph(members, [weighted, *relations], graph_summary(members, with_refs, max_depth))
 
 
 def _weighted(pairs: DataFrame, item: str, relation: str) -> DataFrame:
@@ -108,12 +113,16 @@ def _weighted(pairs: DataFrame, item: str, relation: str) -> DataFrame:
     return counted.withColumn("relation", F.lit(relation))
 
 
-def _mutual(second: DataFrame, direct: DataFrame) -> DataFrame:
-    """Direct papers that cite each other."""
-    cites = second.where("resolved_id is not null").select("root_id", F.col("source").alias("a"), F.col("dord").alias("ao"), F.col("resolved_id").alias("b")).distinct()
-    back = cites.select("root_id", F.col("a").alias("b"), F.col("ao").alias("bo"), F.col("b").alias("a"))
-    both = cites.join(back, ["root_id", "a", "b"]).where("ao < bo")
-    return both.select("root_id", F.col("a").alias("source"), F.col("b").alias("target"), F.lit(1).cast("long").alias("weight"), F.lit("mutual_citation").alias("relation"))
+def _mutual(second: DataFrame) -> DataFrame:
+    """Direct papers that cite each other: both directions of a pair meet in one aggregate."""
+    a, b = F.col("source"), F.col("resolved_id")
+    cites = second.where(b.isNotNull() & (a != b)).select("root_id", F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), (a < b).alias("up"), "dord")
+    pairs = cites.groupBy("root_id", "lo", "hi").agg(F.min(F.when(F.col("up"), F.col("dord"))).alias("lo_at"), F.min(F.when(~F.col("up"), F.col("dord"))).alias("hi_at"))
+    first = F.col("lo_at") < F.col("hi_at")
+    both = pairs.where("lo_at is not null and hi_at is not null")
+    return both.select(
+        "root_id", F.when(first, F.col("lo")).otherwise(F.col("hi")).alias("source"), F.when(first, F.col("hi")).otherwise(F.col("lo")).alias("target"),
+        F.lit(1).cast("long").alias("weight"), F.lit("mutual_citation").alias("relation"))
 
 
 def coauthor_edges(direct: DataFrame) -> DataFrame:
@@ -121,29 +130,37 @@ def coauthor_edges(direct: DataFrame) -> DataFrame:
     return _weighted(pairs_within(names, ["root_id", "name"], "node_id", "dord"), "node_id", "coauthor")
 
 
-def topic_edges(direct: DataFrame, threshold: float = 0.25) -> DataFrame:
+def topic_edges(direct: DataFrame, threshold: float = 0.25, chunk: int = PAIR_CHUNK) -> DataFrame:
     """Word-set Jaccard of titles at or above the threshold.
 
-    Two sets that reach it share a word among the rarest ``size - ceil(threshold x size) + 1``
-    of each, so only those are joined; candidates are then verified on the whole sets.
+    Words of a root are ranked from rare to frequent.  A word that one title alone has can meet nothing, so it is only
+    counted; the others keep their rank, and a title is listed under a word while enough of its words are left for
+    the threshold.  Two titles are compared under the first word they share: there both their sizes and the
+    ranks bound the overlap, and the lists that travel with them give it, so nothing is joined again.  A word of many titles is dealt into buckets.
     """
     sets = direct.select("root_id", "node_id", "dord", F.array_distinct(words(normalize_title(F.coalesce(F.col("title"), F.lit(""))))).alias("set"))
     exploded = sets.select("root_id", "node_id", "dord", F.size("set").alias("n"), F.explode("set").alias("word"))
-    frequency = exploded.groupBy("root_id", "word").agg(F.count(F.lit(1)).alias("f"))
-    rated = exploded.join(frequency, ["root_id", "word"])
-    prefix = rated.groupBy("root_id", "node_id", "dord", "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("rare"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
-    short = prefix.select("root_id", "node_id", "dord", F.explode(F.slice("rare", F.lit(1), keep)).alias("r")).select("root_id", "node_id", "dord", "r.word")
-    pairs = pairs_within(short, ["root_id", "word"], "node_id", "dord").drop("word").distinct()
-    sides = sets.select("root_id", "node_id", "set")
-    left = sides.select("root_id", F.col("node_id").alias("left_node_id"), F.col("set").alias("ls"))
-    right = sides.select("root_id", F.col("node_id").alias("right_node_id"), F.col("set").alias("rs"))
-    checked = pairs.join(left, ["root_id", "left_node_id"]).join(right, ["root_id", "right_node_id"])
-    common = F.size(F.array_intersect("ls", "rs"))
-    similarity = common / (F.size("ls") + F.size("rs") - common)
-    rated_pairs = checked.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
+    frequency = exploded.groupBy("root_id", "word").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ranked = exploded.join(frequency, ["root_id", "word"]).groupBy("root_id", "node_id", "dord", "n").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("ranked"))
+    lists = ranked.select("root_id", "node_id", "dord", "n", F.transform("ranked", lambda r: r["word"]).alias("shared"), "ranked")
+    # ``left``: how many words of the title stand at this word or behind it.
+    at = lists.select("root_id", "node_id", "dord", "n", "shared", F.posexplode("ranked").alias("i", "r"))
+    listed = at.select("root_id", "node_id", "dord", "n", "shared", "r.word", F.ceil(F.col("r.f") / F.lit(chunk)).cast("int").alias("buckets"), (F.size("shared") - F.col("i")).alias("left"))
+    listed = listed.where(F.col("left") >= F.ceil(F.col("n") * threshold))
+
+    def side(name: str, bucket: Column) -> DataFrame:
+        return listed.select("root_id", "word", bucket.alias("bucket"), *[F.col(c).alias(f"{name}_{c}") for c in ("node_id", "dord", "n", "shared", "left")])
+
+    left = side("a", F.pmod(F.hash("node_id"), F.col("buckets")))
+    right = side("b", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+    total = F.col("a_n") + F.col("b_n")
+    met = left.join(right, ["root_id", "word", "bucket"]).where((F.col("a_dord") < F.col("b_dord")) & (F.least("a_left", "b_left") * (1 + threshold) >= threshold * total - 1e-9))
+    common = F.array_intersect("a_shared", "b_shared")
+    counted = met.select("root_id", "a_node_id", "b_node_id", "word", total.alias("total"), common.alias("common")).where(F.get("common", F.lit(0)) == F.col("word"))
+    similarity = F.size("common") / (F.col("total") - F.size("common"))
+    rated = counted.select("root_id", F.col("a_node_id").alias("source"), F.col("b_node_id").alias("target"), similarity.alias("similarity")).where(F.col("similarity") >= threshold)
     weight = F.greatest(F.lit(1), F.bround(F.col("similarity") * 10, 0).cast("long"))
-    return rated_pairs.select("root_id", F.col("left_node_id").alias("source"), F.col("right_node_id").alias("target"), weight.alias("weight"), F.lit("topic_similarity").alias("relation"))
+    return rated.select("root_id", "source", "target", weight.alias("weight"), F.lit("topic_similarity").alias("relation"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -172,8 +189,7 @@ def visible_nodes(nodes: DataFrame, depth: int | None = None, resolved: bool | N
     if resolved is not None:
         found = found.where(F.col("resolved") == resolved)
     if query.strip():
-        names = F.array_join("authors", " ") if "authors" in nodes.columns else F.lit("")
-        hay = F.lower(F.concat_ws(" ", "title", names, F.col("year").cast("string")))
+        hay = F.lower(F.concat_ws(" ", "title", F.coalesce(F.array_join("authors", " "), F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit(""))))
         found = found.where(F.contains(hay, F.lower(F.lit(query.strip()))))
     order = found.withColumn("_less", -F.col("degree"))
     return number_rows(order, ["root_id"], ["_less", "title", "node_id"], "place").drop("_less")

@@ -103,41 +103,73 @@ def union_box(prefix: str = "") -> list[Column]:
 def captions(layout: DataFrame, pattern: str) -> DataFrame:
     text = collapse(F.col("text"))
     found = layout.withColumn("text", text).where(F.regexp_extract("text", pattern, 1) != "")
-    above = F.lag("rect.y1").over(Window.partitionBy(*PAGE).orderBy("rect.y0", "rect.x0"))
+    above = F.lag("rect.y1").over(Window.partitionBy(*PAGE).orderBy("rect.y1", "rect.x0", "block_id"))
     return found.select(*PAGE, "page_w", "page_h", F.col("block_id").alias("caption_id"), F.col("rect").alias("c"), F.col("text").alias("caption"), F.coalesce(above, F.lit(0.0)).alias("above"))
 
 
 def figure_boxes(layout: DataFrame, graphics: DataFrame) -> DataFrame:
-    """The picture above each figure caption: the union of the graphics in its window.
+    """The picture above each figure caption.
 
-    Graphics lie below the previous caption, within 45 % of the page height, in the caption's
-    column (20 % overlap, any for a wide caption), and cover at most 28 % of the page.
+    The graphics in a caption's window give the box: below the previous caption, within 45 % of the page height, in the
+    caption's column (20 % overlap, any for a wide caption), at most 28 % of the page each.  A caption without any, as on a scanned
+    page, takes the cluster of text blocks above it instead.  Either box then grows block by block down to the caption.
     """
     caps = captions(layout, FIGURE_CAPTION)
     g = F.col("rect")
-    joined = caps.join(graphics.select(*PAGE, "rect"), PAGE)
     c, w, h = F.col("c"), F.col("page_w"), F.col("page_h")
+    wide = G.width(c) >= w * 0.55
     across = F.least(g["x1"], c["x1"]) - F.greatest(g["x0"], c["x0"])
-    in_column = (G.width(c) >= w * 0.55) | (across > F.least(G.width(g), G.width(c)) * 0.2)
     fits = (
-        (G.width(g) >= 3) & (G.height(g) >= 3) & (G.area(g) <= w * h * 0.28)
-        & (g["y0"] >= F.greatest(F.col("above"), c["y0"] - h * 0.45)) & (g["y1"] <= c["y0"] + 2) & in_column
+        (G.width(g) >= 3) & (G.height(g) >= 3) & (G.area(g) <= w * h * 0.28) & (g["y0"] >= F.greatest(F.col("above"), c["y0"] - h * 0.45))
+        & (g["y1"] <= c["y0"] + 2) & (wide | (across > F.least(G.width(g), G.width(c)) * 0.2))
     )
-    boxes = joined.where(fits).groupBy(*PAGE, "page_w", "page_h", "caption_id", "caption", "c").agg(*union_box("g_"))
-    clipped = _absorb(boxes, layout)
+    key = [*PAGE, "page_w", "page_h", "caption_id", "caption", "c"]
+    shapes = graphics.select(F.col("paper_id").alias("_paper"), F.col("page").alias("_page"), "rect")
+    pictured = caps.join(shapes, (F.col("paper_id") == F.col("_paper")) & (F.col("page") == F.col("_page")) & fits, "left").groupBy(*key).agg(*union_box("g_"))
+
+    b = F.col("block")
+    blocks = layout.select(
+        F.col("paper_id").alias("_paper"), F.col("page").alias("_page"),
+        F.struct("rect.y1", "rect.x0", "block_id", "rect.y0", "rect.x1", F.length(collapse(F.col("text"))).alias("chars")).alias("block"))
+    over = (F.col("paper_id") == F.col("_paper")) & (F.col("page") == F.col("_page")) & (b["y1"] <= c["y0"] + 2)
+    box = F.when(F.col("g_x0").isNotNull(), F.struct(*[F.col(f"g_{e}").alias(e) for e in ("x0", "y0", "x1", "y1")]))
+    held = pictured.select(*key, box.alias("box")).join(blocks, over, "left").groupBy(*key, "box").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    seeded = held.withColumn("seed", F.coalesce("box", _walk_up(F.col("blocks"), c, w, h, wide)))
+    clipped = seeded.where("seed is not null").select(*PAGE, "page_w", "page_h", "caption_id", "caption", _grow(F.col("blocks"), F.col("seed")).alias("clip"))
     return _padded(clipped, 6, 6, 6).where((G.width(F.col("box")) >= 72) & (G.height(F.col("box")) >= 40)).select(*PAGE, "caption_id", "caption", "box", "page_w", "page_h")
 
 
-def _absorb(boxes: DataFrame, layout: DataFrame) -> DataFrame:
-    """Grow a picture box over the text blocks between it and its caption."""
-    r = F.col("rect")
-    near = boxes.join(layout.select(*PAGE, "rect"), PAGE).where(
-        (r["y0"] >= F.col("g_y0") - 12) & (r["y1"] <= F.col("c.y0") + 2) & (F.least(r["x1"], F.col("g_x1")) - F.greatest(r["x0"], F.col("g_x0")) > 0))
-    more = near.groupBy("paper_id", "page", "caption_id").agg(*union_box("t_"))
-    joined = boxes.join(more, ["paper_id", "page", "caption_id"], "left")
-    return joined.select(*PAGE, "page_w", "page_h", "caption_id", "caption", F.struct(
-        F.least("g_x0", F.coalesce("t_x0", "g_x0")).alias("x0"), F.least("g_y0", F.coalesce("t_y0", "g_y0")).alias("y0"),
-        F.greatest("g_x1", F.coalesce("t_x1", "g_x1")).alias("x1"), F.greatest("g_y1", F.coalesce("t_y1", "g_y1")).alias("y1")).alias("clip"))
+def _joined(a: Column, b: Column) -> Column:
+    """The smallest box around both (least and greatest pass over nulls)."""
+    return F.struct(F.least(a["x0"], b["x0"]).alias("x0"), F.least(a["y0"], b["y0"]).alias("y0"), F.greatest(a["x1"], b["x1"]).alias("x1"), F.greatest(a["y1"], b["y1"]).alias("y1"))
+
+
+def _walk_up(blocks: Column, c: Column, w: Column, h: Column, wide: Column) -> Column:
+    """The cluster of text blocks above a caption, in its column and within 28 % of the page height.
+
+    From the lowest up: a gap of over 24 ends the cluster, as does a wide block of running text.
+    """
+    half, right = w / 2, c["x0"] >= w / 2
+    begin, end = F.when(wide | ~right, F.lit(0.0)).otherwise(half), F.when(wide | right, w).otherwise(half)
+    prior = F.filter(blocks, lambda b: (b["y0"] >= c["y0"] - h * 0.28) & (F.least(b["x1"], end) - F.greatest(b["x0"], begin) > F.least(b["x1"] - b["x0"], half) * 0.2) & (b["chars"] > 0))
+    lowest_first = F.array_sort(F.transform(prior, lambda b: F.struct((-b["y1"]).alias("up"), b["x0"].alias("x0"), b["block_id"].alias("block_id"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1"), b["chars"].alias("chars"))))
+    none = F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")
+    start = F.struct(none.alias("box"), c["y0"].alias("cursor"), F.lit(True).alias("open"))
+
+    def step(acc: Column, b: Column) -> Column:
+        stops = (acc["box"].isNotNull() & (acc["cursor"] - b["y1"] > 24)) | ((b["chars"] > 260) & (b["x1"] - b["x0"] > half * 0.72))
+        takes = acc["open"] & ~stops
+        return F.struct(
+            F.when(takes, _joined(F.coalesce(acc["box"], F.struct(*[b[e].alias(e) for e in ("x0", "y0", "x1", "y1")])), b)).otherwise(acc["box"]).alias("box"),
+            F.when(takes, F.least(acc["cursor"], b["y0"])).otherwise(acc["cursor"]).alias("cursor"), takes.alias("open"))
+
+    return F.aggregate(lowest_first, start, step, lambda acc: acc["box"])
+
+
+def _grow(blocks: Column, seed: Column) -> Column:
+    """The box after taking in, in reading order, every block that reaches into it or lies below it."""
+    near = lambda clip, b: (b["y0"] >= clip["y0"] - 12) & (F.least(b["x1"], clip["x1"]) - F.greatest(b["x0"], clip["x0"]) > 0)
+    return F.aggregate(blocks, seed, lambda clip, b: F.when(near(clip, b), _joined(clip, b)).otherwise(clip))
 
 
 def _padded(boxes: DataFrame, side: float, top: float, bottom: float) -> DataFrame:

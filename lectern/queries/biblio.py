@@ -9,6 +9,7 @@ from lectern.functions.text import normalize_title, reference_key
 from lectern.operators import biblio, graph
 from lectern.queries import query
 from lectern.queries.tables import LINE_ORDER, line_key, sql_norm, table
+from lectern.session import checkpointed
 from lectern.skew import pairs_within
 
 PART_TITLE = "p_name || ' ' || p_brand || ' ' || p_type"
@@ -117,7 +118,7 @@ def _corpus(spark, sf_dir):
 
 
 def _graphs(spark, sf_dir):
-    papers, refs = _corpus(spark, sf_dir)
+    papers, refs = map(checkpointed, _corpus(spark, sf_dir))
     roots = papers.where(F.col("id").startswith("C")).select(F.col("id").alias("root_id"))
     return graph.build_graphs(roots, papers, biblio.resolve_references(refs, papers))
 
@@ -164,9 +165,16 @@ def graph_edges(spark, sf_dir):
     return _graphs(spark, sf_dir).edges.select("root_id", "source", "target", "relation", "weight")
 
 
-@query("graph_nodes", GRAPH + " SELECT * FROM nodes")
+@query("graph_nodes", GRAPH + f""", cl AS (SELECT 'O' || o_orderkey AS id, 'Clerk ' || (o_orderkey % 7) || '|Clerk ' || (o_orderkey % 5) AS authors FROM orders)
+SELECT nodes.*, CASE WHEN depth = 1 THEN cl.authors WHEN depth = 2 THEN '' END AS authors, CASE WHEN depth > 0 THEN 2000 END::INT AS year FROM nodes LEFT JOIN cl ON cl.id = nodes.node_id""")
 def graph_nodes(spark, sf_dir):
-    return _graphs(spark, sf_dir).nodes.select("root_id", "node_id", "depth", "title", "degree", "resolved")
+    return _graphs(spark, sf_dir).nodes.select("root_id", "node_id", "depth", "title", "degree", "resolved", F.array_join("authors", "|").alias("authors"), "year")
+
+
+@query("nodes_by_author", GRAPH + " SELECT root_id, node_id, title, degree, row_number() OVER (PARTITION BY root_id ORDER BY degree DESC, title, node_id) AS place FROM nodes JOIN orders ON node_id = 'O' || o_orderkey WHERE depth = 1 AND (o_orderkey % 7 = 3 OR o_orderkey % 5 = 3)")
+def nodes_by_author(spark, sf_dir):
+    """Direct nodes that the filter finds by an author alone."""
+    return graph.visible_nodes(_graphs(spark, sf_dir).nodes, depth=1, query=" clerk 3 ").select("root_id", "node_id", "title", "degree", "place")
 
 
 @query("graph_summary", GRAPH + """ SELECT root_id, count(*) FILTER (WHERE depth = 1) AS direct_count, count(*) FILTER (WHERE depth = 2) AS second_level_count, count(*) FILTER (WHERE NOT resolved) AS unresolved_count,

@@ -32,6 +32,10 @@ b AS (SELECT *, least(600, x0 + 20 + q * 9) AS x1, least(800, y0 + 10 + ln * 4)
 body AS (SELECT * FROM b WHERE NOT (y1 < 800 * 0.07::DOUBLE OR y0 > 800 * 0.925::DOUBLE OR is_number))"""
 
 
+TEXT = "CASE pk % 10 WHEN 0 THEN 'Figure ' || pk || ': drawn' WHEN 1 THEN 'Table ' || pk || ': listed' WHEN 2 THEN pk::VARCHAR WHEN 3 THEN '1 Introduction' ELSE 'block ' || pk END"
+WIDE_TEXT = TEXT.replace("ELSE 'block '", "WHEN 4 THEN 'block ' || pk || repeat(' words of a long run', 14) ELSE 'block '")
+
+
 @query("body_blocks", f"""WITH {BLOCKS} SELECT DISTINCT block_id FROM body p WHERE NOT EXISTS (SELECT 1 FROM b x WHERE x.paper_id = p.paper_id AND x.page = p.page AND x.flag = 'R' AND x.q > 40
   AND greatest(0, least(x.x1, p.x1) - greatest(x.x0, p.x0)) * greatest(0, least(x.y1, p.y1) - greatest(x.y0, p.y0)) / ((p.x1 - p.x0) * (p.y1 - p.y0)) > 0.28)""")
 def body_blocks(spark, sf_dir):
@@ -45,7 +49,16 @@ def lanes(spark, sf_dir):
     return layout.lanes(layout.body_blocks(_blocks(spark, sf_dir))).select("block_id", "lane").distinct()
 
 
-@query("lane_clusters")
+@query("lane_clusters", f"""WITH RECURSIVE {BLOCKS}, m AS (SELECT *, x0 < 150 AND x1 > 450 AS f FROM body), t AS (SELECT paper_id, page, min(y0) FILTER (WHERE NOT f) AS top FROM m GROUP BY 1, 2),
+l AS (SELECT m.*, CASE WHEN f AND y0 <= coalesce(top, 800) + 12 THEN 0 WHEN f THEN 3 WHEN x0 < 300 THEN 1 ELSE 2 END AS lane, {TEXT} AS text FROM m JOIN t USING (paper_id, page)),
+o AS (SELECT *, row_number() OVER (PARTITION BY paper_id, page, lane ORDER BY y0, x0, y1, x1, text) AS i FROM l),
+r AS (SELECT paper_id, page, lane, i, 0 AS c, y0, x0, y1, x1, text FROM o WHERE i = 1
+  UNION ALL SELECT o.paper_id, o.page, o.lane, o.i, CASE WHEN j THEN r.c ELSE r.c + 1 END, CASE WHEN j THEN least(r.y0, o.y0) ELSE o.y0 END, CASE WHEN j THEN least(r.x0, o.x0) ELSE o.x0 END,
+    CASE WHEN j THEN greatest(r.y1, o.y1) ELSE o.y1 END, CASE WHEN j THEN greatest(r.x1, o.x1) ELSE o.x1 END, CASE WHEN j THEN r.text || chr(10) || o.text ELSE o.text END
+  FROM r JOIN o ON o.paper_id = r.paper_id AND o.page = r.page AND o.lane = r.lane AND o.i = r.i + 1, (SELECT 1), LATERAL (SELECT o.y0 - r.y1 <= 38 AND greatest(r.y1, o.y1) - least(r.y0, o.y0) <= 800 * 0.43::DOUBLE AS j)),
+d AS (SELECT paper_id, page, lane, c, arg_max(y0, i) AS y0, arg_max(x0, i) AS x0, arg_max(y1, i) AS y1, arg_max(x1, i) AS x1, arg_max(text, i) AS text FROM r GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, page, round_even(x0, 0), round_even(y0, 0), round_even(x1, 0), round_even(y1, 0) ORDER BY lane, c) AS same FROM d WHERE x1 - x0 >= 40 AND y1 - y0 >= 12)
+SELECT paper_id, page, lane, y0, x0, y1::DOUBLE AS y1, x1::DOUBLE AS x1, text, (row_number() OVER (PARTITION BY paper_id, page ORDER BY lane, c))::INT AS seq FROM k WHERE same = 1""")
 def lane_clusters(spark, sf_dir):
     return layout.lane_clusters(layout.body_blocks(_blocks(spark, sf_dir)))
 
@@ -69,15 +82,42 @@ def formula_regions(spark, sf_dir):
     return layout.formula_regions(hits).select("paper_id", "page", "lane", F.col("rect.y0").alias("top"), F.col("rect.y1").alias("bottom"), F.size("numbers").alias("n_numbers"))
 
 
-@query("figure_boxes")
+@query("figure_boxes", f"""WITH RECURSIVE {BLOCKS}, x AS (SELECT *, {WIDE_TEXT} AS text FROM b),
+caps AS (SELECT paper_id, page, block_id AS id, text, x0 AS c0, y0 AS d0, x1 AS c1, y1 AS d1, x1 - x0 >= 600 * 0.55::DOUBLE AS wide, coalesce(lag(y1) OVER (PARTITION BY paper_id, page ORDER BY y1, x0, block_id), 0) AS above FROM x WHERE pk % 10 = 0),
+g AS (SELECT caps.paper_id, caps.page, id, caps.text, c0, d0, c1, d1, wide, min(x.x0) AS x0, min(x.y0) AS y0, max(x.x1) AS x1, max(x.y1) AS y1 FROM caps LEFT JOIN x ON x.paper_id = caps.paper_id AND x.page = caps.page AND x.flag = 'N'
+    AND x.x1 - x.x0 >= 3 AND x.y1 - x.y0 >= 3 AND (x.x1 - x.x0) * (x.y1 - x.y0) <= 600 * 800 * 0.28::DOUBLE AND x.y0 >= greatest(above, d0 - 800 * 0.45::DOUBLE) AND x.y1 <= d0 + 2
+    AND (wide OR least(x.x1, c1) - greatest(x.x0, c0) > least(x.x1 - x.x0, c1 - c0) * 0.2::DOUBLE) GROUP BY ALL),
+a AS (SELECT *, CASE WHEN wide OR c0 < 300 THEN 0 ELSE 300 END AS l, CASE WHEN wide OR c0 >= 300 THEN 600 ELSE 300 END AS r FROM g),
+p AS (SELECT a.paper_id, a.page, id, x.x0, x.y0, x.x1, x.y1, length(x.text) AS chars, row_number() OVER (PARTITION BY a.paper_id, a.page, id ORDER BY x.y1 DESC, x.x0, x.block_id) AS i
+  FROM a JOIN x ON x.paper_id = a.paper_id AND x.page = a.page AND x.y1 <= d0 + 2 AND x.y0 >= d0 - 800 * 0.28::DOUBLE AND least(x.x1, r) - greatest(x.x0, l) > least(x.x1 - x.x0, 300) * 0.2::DOUBLE WHERE a.x0 IS NULL),
+w AS (SELECT paper_id, page, id, 0::BIGINT AS i, NULL::DOUBLE AS x0, NULL::DOUBLE AS y0, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1, d0 AS cur FROM a WHERE x0 IS NULL
+  UNION ALL SELECT p.paper_id, p.page, p.id, p.i, least(w.x0, p.x0), least(w.y0, p.y0), greatest(w.x1, p.x1), greatest(w.y1, p.y1), least(w.cur, p.y0) FROM w JOIN p ON p.paper_id = w.paper_id AND p.page = w.page AND p.id = w.id AND p.i = w.i + 1
+    WHERE NOT (w.x0 IS NOT NULL AND w.cur - p.y1 > 24) AND NOT (p.chars > 260 AND p.x1 - p.x0 > 300 * 0.72::DOUBLE)),
+s AS (SELECT a.paper_id, a.page, a.id, a.text, d0, a.x0, a.y0, a.x1, a.y1 FROM a WHERE x0 IS NOT NULL UNION ALL
+  SELECT a.paper_id, a.page, a.id, a.text, d0, v.x0, v.y0, v.x1, v.y1 FROM a JOIN (SELECT paper_id, page, id, arg_max(x0, i) AS x0, arg_max(y0, i) AS y0, arg_max(x1, i) AS x1, arg_max(y1, i) AS y1 FROM w WHERE i > 0 GROUP BY 1, 2, 3) v ON v.paper_id = a.paper_id AND v.page = a.page AND v.id = a.id),
+q AS (SELECT s.paper_id, s.page, s.id, x.x0, x.y0, x.x1, x.y1, row_number() OVER (PARTITION BY s.paper_id, s.page, s.id ORDER BY x.y1, x.x0, x.block_id) AS i FROM s JOIN x ON x.paper_id = s.paper_id AND x.page = s.page AND x.y1 <= d0 + 2),
+z AS (SELECT paper_id, page, id, text, 0::BIGINT AS i, x0, y0, x1, y1 FROM s
+  UNION ALL SELECT z.paper_id, z.page, z.id, z.text, q.i, CASE WHEN n THEN least(z.x0, q.x0) ELSE z.x0 END, CASE WHEN n THEN least(z.y0, q.y0) ELSE z.y0 END, CASE WHEN n THEN greatest(z.x1, q.x1) ELSE z.x1 END, CASE WHEN n THEN greatest(z.y1, q.y1) ELSE z.y1 END
+  FROM z JOIN (SELECT * FROM q) q ON q.paper_id = z.paper_id AND q.page = z.page AND q.id = z.id AND q.i = z.i + 1, LATERAL (SELECT q.y0 >= z.y0 - 12 AND least(q.x1, z.x1) - greatest(q.x0, z.x0) > 0 AS n)),
+e AS (SELECT paper_id, page, id, text, greatest(0, arg_max(x0, i) - 6) AS x0, greatest(0, arg_max(y0, i) - 6) AS y0, least(600, arg_max(x1, i) + 6) AS x1, least(800, arg_max(y1, i) + 6) AS y1 FROM z GROUP BY 1, 2, 3, 4)
+SELECT paper_id, page, id AS caption_id, text AS caption, x0 / 600 AS "left", y0 / 800 AS top, x1 / 600 AS "right", y1 / 800 AS bottom FROM e WHERE x1 - x0 >= 72 AND y1 - y0 >= 40""")
 def figure_boxes(spark, sf_dir):
     b = _blocks(spark, sf_dir)
+    b = b.withColumn("text", F.when(F.col("text").startswith("block") & F.col("text").endswith("4"), F.concat("text", F.repeat(F.lit(" words of a long run"), 14))).otherwise(F.col("text")))
     f = layout.figure_boxes(b, b.where("flag = 'N'"))
     box = G.normalized_box(F.col("box"), F.col("page_w"), F.col("page_h"))
     return f.select("paper_id", "page", "caption_id", "caption", box.alias("n")).select("paper_id", "page", "caption_id", "caption", "n.left", "n.top", "n.right", "n.bottom")
 
 
-@query("table_bodies")
+@query("table_bodies", f"""WITH {BLOCKS}, x AS (SELECT *, {TEXT} AS text FROM b),
+caps AS (SELECT paper_id, page, block_id AS id, x0 AS c0, y0 AS d0, x1 AS c1, y1 AS d1 FROM x WHERE pk % 10 = 1),
+n AS (SELECT caps.*, x.block_id, x.x0, x.y0, x.x1, x.y1, x.text, (least(x.x1, c1) - greatest(x.x0, c0) > least(x.x1 - x.x0, c1 - c0) * 0.15::DOUBLE)::INT AS ins, x.pk % 10 IN (3) AS head
+  FROM caps JOIN x ON x.paper_id = caps.paper_id AND x.page = caps.page AND x.y0 >= d1 - 2 AND x.y0 <= d1 + 800 * 0.34::DOUBLE AND x.block_id <> caps.id),
+k AS (SELECT *, (head AND coalesce(sum(ins) OVER (PARTITION BY paper_id, page, id ORDER BY y0, x0, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0)::INT AS stop FROM n),
+h AS (SELECT *, max(stop) OVER (PARTITION BY paper_id, page, id ORDER BY y0, x0, block_id ROWS UNBOUNDED PRECEDING) AS stopped FROM k),
+e AS (SELECT paper_id, page, id, greatest(0, least(min(x0), any_value(c0)) - 5) AS x0, greatest(0, least(min(y0), any_value(d0)) - 4) AS y0, least(600, greatest(max(x1), any_value(c1)) + 5) AS x1, least(800, greatest(max(y1), any_value(d1)) + 5) AS y1,
+    string_agg(text, chr(10) ORDER BY y0, x0, text) AS source_text FROM h WHERE ins = 1 AND stopped = 0 GROUP BY 1, 2, 3)
+SELECT paper_id, page, id AS caption_id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, source_text FROM e WHERE x1 - x0 >= 120 AND y1 - y0 >= 45 AND (x1 - x0) * (y1 - y0) <= 600 * 800 * 0.48::DOUBLE""")
 def table_bodies(spark, sf_dir):
     t = layout.table_bodies(_blocks(spark, sf_dir))
     return t.select("paper_id", "page", "caption_id", "box.x0", "box.y0", "box.x1", "box.y1", "source_text")

@@ -96,3 +96,35 @@ def test_tree_with_a_cycle(spark):
     assert {r["id"] for r in graph.cyclic_nodes(nodes, reach).collect()} == {"x", "y"}
     members = spark.createDataFrame([("c", "p1"), ("b", "p1"), ("a", "p2")], ["collection_id", "paper_id"])
     assert {r["id"]: r["total_papers"] for r in graph.subtree_counts(nodes, reach, members).collect()} == {"a": 2, "b": 1, "c": 1, "x": 0, "y": 0}
+
+
+def test_topic_edges_equal_brute_force(spark):
+    """Frequent and rare words, titles of one to eight words, repeated and empty titles; buckets of a frequent word."""
+    rng = random.Random(9)
+    pool = ["the", "of", "graph", "spark", "join", "skew", *[f"w{i}" for i in range(25)]]
+    rows = [(f"r{i % 3}", f"n{i}", i, " ".join(rng.choice(pool[:6] if rng.random() < 0.5 else pool) for _ in range(rng.randrange(0, 9)))) for i in range(150)]
+    direct = spark.createDataFrame(rows, "root_id string, node_id string, dord long, title string")
+    want = set()
+    for a in rows:
+        for b in rows:
+            x, y = set(a[3].split()), set(b[3].split())
+            if a[0] == b[0] and a[2] < b[2] and x | y and len(x & y) / len(x | y) >= 0.25:
+                want.add((a[0], a[1], b[1], max(1, round(len(x & y) / len(x | y) * 10))))
+    for chunk in (4, 256):
+        got = graph.topic_edges(direct, chunk=chunk).select("root_id", "source", "target", "weight").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_mutual_citations_go_from_the_first(spark):
+    rows = [("r", "b", 5, "a"), ("r", "a", 1, "b"), ("r", "a", 1, "b"), ("r", "c", 2, "a"), ("r", "d", 3, "d"), ("r", "e", 4, None)]
+    got = graph._mutual(spark.createDataFrame(rows, "root_id string, source string, dord long, resolved_id string")).collect()
+    assert [(r["source"], r["target"], r["weight"]) for r in got] == [("a", "b", 1)]
+
+
+def test_nodes_carry_authors(spark):
+    papers = spark.createDataFrame([("root", "The Root Paper", ["Ada"], 1999), ("b", "Direct Paper B", None, None)], "id string, title string, authors array<string>, year int")
+    refs = spark.createDataFrame([("root", 1, "r1", "Direct Paper B", ["Bo Li"], 2020, None, None), ("b", 1, "r2", "Far Work", ["Cy Ng"], 2010, None, None)], REFS)
+    g = graph.build_graphs(spark.createDataFrame([("root",)], ["root_id"]), papers, biblio.resolve_references(refs, papers))
+    shown = {r["node_id"]: (r["authors"], r["year"]) for r in g.nodes.collect()}
+    assert shown == {"root": (["Ada"], 1999), "b": (["Bo Li"], 2020), "r2": (["Cy Ng"], 2010)}
+    assert [r["node_id"] for r in graph.visible_nodes(g.nodes, query="cy NG 2010").collect()] == ["r2"]
