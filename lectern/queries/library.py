@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import context, files, metrics, retrieval, revisions
+from lectern.operators import context, files, metrics, retrieval, revisions, tools
 from lectern.operators.enrichment import missing_keys
 from lectern.queries import query
 from lectern.queries.tables import PAPERS, papers, table
@@ -320,3 +320,90 @@ def safe_names(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     name = F.when(F.col("page_id") % 5 == 0, F.lit(" .. ")).otherwise(F.col("url"))
     return p.select("page_id", T.safe_segment(name, "untitled").alias("segment"), T.asset_path(F.lit("/docs/a/paper.md"), F.concat(F.col("page_id").cast("string"), F.lit(".png"))).alias("asset"))
+
+
+# -------------------------------------------------------------------------------- tools
+
+
+def _tool_library(spark, sf_dir):
+    """Documents as papers of one section; their labels as figures, the lines of their order as references."""
+    d = table(spark, sf_dir, "documents")
+    key = F.col("doc_id").cast("string")
+    title = F.concat(F.lit("Document "), key)
+    figures = table(spark, sf_dir, "labels").select(key.alias("paper_id"), F.concat(F.lit("fig-"), key).alias("figure_id"), F.lit(1).alias("page"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("caption"))
+    order = F.col("l_orderkey").cast("string")
+    refs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("p"))
+    refs = refs.select(order.alias("paper_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("ref-"), F.col("p").cast("string")).alias("ref_id"), F.concat(F.lit("Part "), F.col("p").cast("string")).alias("title"))
+    return tools.Library(
+        papers=d.select(key.alias("id"), title.alias("title"), F.lit("READY").alias("status"), F.lit(1).alias("page_count"), F.col("doc_id").alias("updated_at")),
+        documents=d.select(key.alias("paper_id"), F.col("text").alias("markdown")),
+        sections=d.select(key.alias("paper_id"), F.lit("body").alias("section_id"), title.alias("title"), F.col("doc_id").alias("ord"), F.lit(1).alias("page"), F.col("text").alias("markdown")),
+        figures=figures, references=refs)
+
+
+TOOL_CALLS = """c AS (SELECT doc_id AS i, doc_id % 10 AS k, doc_id // 10 AS t, doc_id::VARCHAR AS id, split_part(replace(text, chr(10), ' '), ' ', 4) AS w FROM documents),
+calls AS (SELECT *, CASE k WHEN 0 THEN '{"query": "CUMENT ' || t || '", "limit": ' || (1 + t % 25) || '}' WHEN 1 THEN '{"paperId": "' || id || '", "maxCharacters": ' || (1000 + t % 3 * 60000) || '}'
+  WHEN 2 THEN '{"paperId": "' || id || '"' || CASE WHEN t % 4 = 0 THEN '' ELSE ', "sectionId": "DOCUMENT ' || (i - t % 2) || '"' END || '}' WHEN 3 THEN '{"paperId": "' || id || '", "figureId": "fig-' || id || CASE WHEN t % 3 = 0 THEN '", "size": 2}' ELSE '"}' END
+  WHEN 4 THEN '{"query": " ' || regexp_replace(w, '[^A-Za-z]', '', 'g') || ' zq", "limit": 3}' WHEN 5 THEN '{"paperId": "' || id || '", "limit": 2}' WHEN 6 THEN 'no json' WHEN 8 THEN '{"query": "x", "limit": "5"}' WHEN 9 THEN '{"paperId": "x' || id || '"}' ELSE '{}' END AS arguments,
+  CASE k WHEN 0 THEN 'search_library' WHEN 2 THEN 'read_section' WHEN 3 THEN 'read_figure' WHEN 4 THEN 'find_evidence' WHEN 5 THEN 'get_references' WHEN 7 THEN 'write_paper' WHEN 8 THEN 'search_library' ELSE 'read_paper' END AS tool FROM c)"""
+
+
+def _tool_calls(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    i, k, t, id_ = F.col("doc_id"), F.col("doc_id") % 10, F.floor(F.col("doc_id") / 10).cast("long"), F.col("doc_id").cast("string")
+    word = F.regexp_replace(F.split_part(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit(4)), "[^A-Za-z]", "")
+    s = lambda c: c.cast("string")
+    arguments = (
+        F.when(k == 0, F.concat(F.lit('{"query": "CUMENT '), s(t), F.lit('", "limit": '), s(1 + t % 25), F.lit("}")))
+        .when(k == 1, F.concat(F.lit('{"paperId": "'), id_, F.lit('", "maxCharacters": '), s(1000 + t % 3 * 60000), F.lit("}")))
+        .when(k == 2, F.concat(F.lit('{"paperId": "'), id_, F.lit('"'), F.when(t % 4 == 0, "").otherwise(F.concat(F.lit(', "sectionId": "DOCUMENT '), s(i - t % 2), F.lit('"'))), F.lit("}")))
+        .when(k == 3, F.concat(F.lit('{"paperId": "'), id_, F.lit('", "figureId": "fig-'), id_, F.when(t % 3 == 0, '", "size": 2}').otherwise('"}')))
+        .when(k == 4, F.concat(F.lit('{"query": " '), word, F.lit(' zq", "limit": 3}'))).when(k == 5, F.concat(F.lit('{"paperId": "'), id_, F.lit('", "limit": 2}')))
+        .when(k == 6, "no json").when(k == 8, '{"query": "x", "limit": "5"}').when(k == 9, F.concat(F.lit('{"paperId": "x'), id_, F.lit('"}'))).otherwise("{}"))
+    tool = F.element_at(F.array(*map(F.lit, ["search_library", "read_paper", "read_section", "read_figure", "find_evidence", "get_references", "read_paper", "write_paper", "search_library", "read_paper"])), (k + 1).cast("int"))
+    return d.select(i.alias("call_id"), tool.alias("tool_name"), arguments.alias("arguments"))
+
+
+@query("tool_answers", f"""WITH {TOOL_CALLS},
+e AS (SELECT *, CASE WHEN k = 0 AND 1 + t % 25 > 20 THEN 'limit must be between 1 and 20' WHEN k = 1 AND t % 3 = 2 THEN 'maxCharacters must be between 1000 and 100000' WHEN k = 2 AND t % 4 = 0 THEN 'sectionId is required'
+    WHEN k = 3 AND t % 3 = 0 THEN 'unknown argument size' WHEN k = 6 THEN 'arguments must be an object' WHEN k = 7 THEN 'unknown tool' WHEN k = 8 THEN 'limit must be an integer' WHEN k = 9 THEN 'unknown paper x' || id
+    WHEN k = 2 AND t % 2 = 1 THEN 'unknown section DOCUMENT ' || (i - 1) WHEN k = 3 AND i NOT IN (SELECT doc_id FROM labels) THEN 'unknown figure fig-' || id END AS error FROM calls),
+f AS (SELECT e.i, row_number() OVER (PARTITION BY e.i ORDER BY d.doc_id DESC, d.doc_id::VARCHAR) AS place, d.doc_id::VARCHAR AS paper_id, 1 + t % 25 AS n FROM e JOIN documents d ON contains('document ' || d.doc_id, 'cument ' || t) WHERE k = 0 AND error IS NULL),
+v AS (SELECT e.i, row_number() OVER (PARTITION BY e.i ORDER BY d.doc_id) AS place, d.doc_id::VARCHAR AS paper_id FROM (SELECT *, lower(regexp_replace(w, '[^A-Za-z]', '', 'g')) AS term FROM e WHERE k = 4) e JOIN documents d ON (length(term) > 1 AND contains(lower(d.text), term)) OR contains(lower(d.text), 'zq')),
+l AS (SELECT l_orderkey AS o, l_linenumber AS pos, max(l_partkey) AS p FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY pos) AS n FROM l)
+SELECT i AS call_id, tool AS tool_name, error, 1 AS place, NULL AS paper_id, NULL AS part, NULL::BIGINT AS n_chars FROM e WHERE error IS NOT NULL
+UNION ALL SELECT i, 'search_library', NULL, place, paper_id, NULL, NULL FROM f WHERE place <= n
+UNION ALL SELECT i, tool, NULL, 1, id, NULL, least(length(text), 1000 + t % 3 * 60000) FROM e JOIN documents d ON d.doc_id = i WHERE k = 1 AND error IS NULL
+UNION ALL SELECT i, tool, NULL, 1, id, 'body', least(length(text), 80000) FROM e JOIN documents d ON d.doc_id = i WHERE k = 2 AND error IS NULL
+UNION ALL SELECT i, tool, NULL, 1, id, 'fig-' || id, NULL FROM e WHERE k = 3 AND error IS NULL
+UNION ALL SELECT i, 'find_evidence', NULL, place, paper_id, 'body', NULL FROM v WHERE place <= 3
+UNION ALL SELECT i, tool, NULL, n, id, 'ref-' || p, NULL FROM e JOIN r ON o = i WHERE k = 5 AND n <= 2""")
+def tool_answers(spark, sf_dir):
+    """Every document asks a tool, three tenths of them wrongly; refusals and answers in one table."""
+    rows = tools.run_calls(_tool_calls(spark, sf_dir), _tool_library(spark, sf_dir))
+    chars = F.when(F.col("tool_name").isin("read_paper", "read_section"), F.length("body").cast("long"))
+    return rows.select("call_id", "tool_name", "error", F.col("place").cast("long").alias("place"), "paper_id", "part", chars.alias("n_chars"))
+
+
+@query("tool_functions", r"""SELECT 'search_library' AS tool, NULL AS error, doc_id::VARCHAR AS part, count(*) OVER () AS n FROM (SELECT doc_id FROM documents WHERE contains('document ' || doc_id, 'ment 1') ORDER BY doc_id DESC LIMIT 5)
+UNION ALL SELECT 'read_paper', NULL, '7', least(length(text), 1000) FROM documents WHERE doc_id = 7
+UNION ALL SELECT 'read_section', NULL, 'body', length(text) FROM documents WHERE doc_id = 8
+UNION ALL SELECT 'read_figure', NULL, 'fig-' || doc_id, 1 FROM (SELECT doc_id FROM labels WHERE doc_id = (SELECT min(doc_id) FROM labels))
+UNION ALL SELECT 'find_evidence', NULL, doc_id::VARCHAR, position FROM (SELECT doc_id, least(CASE WHEN contains(lower(text), 'water') THEN instr(lower(text), 'water') ELSE 1000000000 END, CASE WHEN contains(lower(text), 'the') THEN instr(lower(text), 'the') ELSE 1000000000 END) - 1 AS position FROM documents WHERE contains(lower(text), 'water') OR contains(lower(text), 'the') ORDER BY doc_id LIMIT 10)
+UNION ALL SELECT 'get_references', NULL, 'ref-' || max(l_partkey), row_number() OVER (ORDER BY l_linenumber) FROM lineitem WHERE l_orderkey = 1 GROUP BY l_linenumber
+UNION ALL SELECT 'read_paper', 'unknown paper none', NULL, NULL UNION ALL SELECT 'find_evidence', 'query is required', NULL, NULL UNION ALL SELECT 'get_references', 'limit must be between 1 and 200', NULL, NULL""")
+def tool_functions(spark, sf_dir):
+    """The six functions as a user calls them from SQL, with three refused calls."""
+    library = _tool_library(spark, sf_dir)
+    tools.register_tools(spark, library)
+    first = library.figures.agg(F.min(F.col("paper_id").cast("long")).cast("string").alias("p")).first()["p"]
+    return spark.sql("""
+      SELECT 'search_library' AS tool, error, paper_id AS part, count(*) OVER (PARTITION BY 1) AS n FROM search_library('{"query": "MENT 1", "limit": 5}')
+      UNION ALL SELECT 'read_paper', error, paper_id, length(markdown) FROM read_paper('{"paperId": "7", "maxCharacters": 1000}')
+      UNION ALL SELECT 'read_section', error, section_id, length(markdown) FROM read_section('{"paperId": "8", "sectionId": "document 8"}')
+      UNION ALL SELECT 'read_figure', error, figure_id, page FROM read_figure(:figure)
+      UNION ALL SELECT 'find_evidence', error, paper_id, position FROM find_evidence('{"query": "water the"}')
+      UNION ALL SELECT 'get_references', error, ref_id, ref_no FROM get_references('{"paperId": "1"}')
+      UNION ALL SELECT 'read_paper', error, paper_id, length(markdown) FROM read_paper('{"paperId": "none"}')
+      UNION ALL SELECT 'find_evidence', error, paper_id, position FROM find_evidence('{"query": " "}')
+      UNION ALL SELECT 'get_references', error, ref_id, ref_no FROM get_references('{"paperId": "1", "limit": 0}')""", args={"figure": f'{{"paperId": "{first}"}}'})
