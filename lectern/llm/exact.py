@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import checkpointed
+from lectern.session import checkpointed, numbered
 
 PER_SHARD = 256
 PER_BUCKET = 4
@@ -114,7 +114,7 @@ def distinct_digests(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("winner"), F.count(F.lit(1)).alias("size"))
 
 
-def decide(docs: DataFrame, history: DataFrame | None = None, keep: DataFrame | None = None) -> DataFrame:
+def decide(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per document: ``doc_id, row, digest, keep_id, keep_row, group_size, kept, member``.
 
     Without ``history`` the table is its own history.  With it (another table with doc_id and
@@ -122,24 +122,33 @@ def decide(docs: DataFrame, history: DataFrame | None = None, keep: DataFrame |
     are grouped among themselves and looked up in an index of their own.
     Null texts count as empty; of repeated rows with one doc_id one stays; an empty table
     gives no row.  ``row`` numbers the rows of ``docs`` as they are stored here, once.
-    ``keep``: columns to carry (a struct column), ``decided`` uses it.
     """
-    numbered = lambda df: df.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest"))
-    source = keep if keep is not None else docs
-    carried = checkpointed(source.select("doc_id", F.monotonically_increasing_id().alias("row"), digest(F.col("text")).alias("digest"), *(["_doc"] if keep is not None else [])))
-    base = carried.select("doc_id", "row", "digest") if history is None else numbered(history)
+    return _decide(_digested(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")), history)
+
+
+def _digested(rows: DataFrame) -> DataFrame:
+    """``doc_id, row, digest`` of ``rows(doc_id, row, text)``, stored."""
+    return checkpointed(rows.select("doc_id", "row", digest(F.col("text")).alias("digest")))
+
+
+def _decide(carried: DataFrame, history: DataFrame | None) -> DataFrame:
+    base = carried if history is None else _digested(history.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"))
     shards = max(1, -(-base.count() // PER_SHARD))
     found = look_up(carried, build_index(distinct_digests(base), shards), shards)
     if history is None:
         return found.withColumn("kept", F.col("row") == F.col("keep_row"))
     fresh = found.where(~F.col("member")).select(*carried.columns)
     shards = max(1, -(-carried.count() // PER_SHARD))
-    own = look_up(fresh, build_index(distinct_digests(fresh.select("doc_id", "row", "digest")), shards), shards)
+    own = look_up(fresh, build_index(distinct_digests(fresh), shards), shards)
     repeats = found.where("member").withColumn("kept", F.lit(False))
     return repeats.unionByName(own.withColumn("kept", F.col("row") == F.col("keep_row")).withColumn("member", F.lit(False)))
 
 
 def drop_repeats(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    packed = docs.select("doc_id", "text", F.struct("*").alias("_doc"))
-    return decide(docs, history, packed).where("kept").select("_doc.*")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Only digests are dealt; texts meet the numbers of the rows that go.
+    """
+    stored = numbered(docs)
+    dropped = checkpointed(_decide(_digested(stored.select("_doc.doc_id", "row", "_doc.text")), history).where(~F.col("kept")).select("row"))
+    return stored.join(dropped, "row", "left_anti").select("_doc.*")

@@ -21,6 +21,8 @@ EPOCHS = 2
 SEED = "mix-1"
 #: Documents in a block of the prefix sums, about.
 BLOCK_ROWS = 5_000
+#: Sources up to which their table (about 100 bytes a row) is broadcast; beyond, it is shuffled.
+BROADCAST_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -71,30 +73,37 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def cut_offs(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """Per source with a fractional epoch: the document at which the budget ends, and the words it gives.
 
-    ``running`` sums within blocks of the key range, so a source with a third of all rows is
-    many blocks.
+    Rows are dealt by sampled ranges of source and key and stored so; ``running`` sums within those blocks, so
+    a source with a third of all rows is many blocks, whatever its keys are like.
     """
     count = rows.count()
     blocks = max(1, -(-count // BLOCK_ROWS))
     group = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    wanted = rows.join(goals.where("left > 0").select(F.col("source").alias("_s"), "left"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    keyed = wanted.select("doc_id", "row", "size", "key", "left", group.alias("_g"), F.floor((1 - F.exp(-F.col("key"))) * blocks).cast("long").alias("_block"))
-    keyed = keyed.withColumn("_coarse", F.floor(F.col("_block") / 1000))
+    few = _bounded(goals.where("left > 0").select(F.col("source").alias("_s"), "left"))
+    wanted = rows.join(few, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    keyed = wanted.select("doc_id", "row", "size", "key", "left", group.alias("_g"))
+    ranged = keyed.repartitionByRange(blocks, "_g", "key", "doc_id", "row").withColumn("_block", F.spark_partition_id().cast("long"))
+    keyed = checkpointed(ranged).withColumn("_coarse", F.floor(F.col("_block") / 1000))
     summed = running(keyed, ["_g"], ["key", "doc_id", "row"], ["_block", "_coarse"], {"_before": ("sum", F.col("size"))}, inclusive=False)
     last = summed.where("_before < left and _before + size >= left")
     return last.select("_g", F.struct("key", "doc_id", "row").alias("_at"), (F.col("left") - F.col("_before")).alias("_part"))
 
 
+def _bounded(sources: DataFrame) -> DataFrame:
+    """A table of one row per source, marked for broadcast where it was counted to be small enough."""
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+
+
 def plan(rows: DataFrame) -> DataFrame:
-    """One row per source: ``targets`` with the cut-off."""
-    goals = targets(rows)
+    """One row per source, stored: ``targets`` with the cut-off."""
+    goals = checkpointed(targets(rows))
     group = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    return goals.withColumn("_g", group).join(cut_offs(rows, goals), "_g", "left").drop("_g")
+    return checkpointed(goals.withColumn("_g", group).join(cut_offs(rows, goals), "_g", "left").drop("_g"))
 
 
 def mixed(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """``rows`` with ``source_size``, ``target``, ``turns``, ``part`` (words of the fractional epoch) and ``taken``."""
-    right = plans.withColumnRenamed("source", "_s")
+    right = _bounded(plans.withColumnRenamed("source", "_s"))
     joined = rows.join(right, F.col("source").eqNullSafe(F.col("_s")))
     here = F.struct("key", "doc_id", "row")
     part = F.when((F.col("left") <= 0) | F.col("_at").isNull(), F.lit(0).cast("long")).when(here < F.col("_at"), F.col("size")).when(here == F.col("_at"), F.col("_part")).otherwise(F.lit(0).cast("long"))

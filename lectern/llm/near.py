@@ -199,10 +199,11 @@ def _hubs(members: DataFrame, turn: int) -> DataFrame:
     """Edges from a hub of each bucket to its members of other groups.
 
     First the member that meets most others over all buckets, which is the middle of its group; then any other.
+    Sizes that rule the similarity out make no edge.
     """
-    order = F.struct((-F.col("met") if turn == 0 else F.xxhash64("row", F.lit(turn))).alias("o"), "row", "label")
-    hubs = members.groupBy("bucket").agg(F.min(order).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", F.col("h.row").alias("a"), F.col("h.label").alias("_l"))
-    return members.join(hubs, "bucket").where("label <> _l").select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
+    order = F.struct((-F.col("met") if turn == 0 else F.xxhash64("row", F.lit(turn))).alias("o"), "row", "label", "n")
+    hubs = members.groupBy("bucket").agg(F.min(order).alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", F.col("h.row").alias("a"), F.col("h.label").alias("_l"), F.col("h.n").alias("_n"))
+    return members.join(hubs, "bucket").where((F.col("label") != F.col("_l")) & (F.least("n", "_n") >= SIMILARITY * F.greatest("n", "_n"))).select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
 
 
 #: How many of the four two-bit fields are alike, by the exclusive or of two bytes.
@@ -283,7 +284,8 @@ def _groups(stored: DataFrame) -> DataFrame:
     with_sizes = checkpointed(members.join(full, "bucket"))
     shared = checkpointed(with_sizes.drop("c").join(with_sizes.groupBy("row").agg(F.sum("c").alias("met")), "row"))
     wanted = shared.select("row").distinct()
-    texts = stored.select("text", "row").join(wanted, "row")
+    # Dealt by row at every size: the list of wanted rows grows with the table.
+    texts = stored.select("text", "row").join(wanted.hint("merge"), "row")
     sets = checkpointed(multisets(texts))
 
     tested, links, labels = None, None, None
@@ -295,7 +297,7 @@ def _groups(stored: DataFrame) -> DataFrame:
         pairs = _hubs(grouped, turn) if turn < HUB_ROUNDS else _rest(grouped, sets)
         pairs = checkpointed(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            if turn < HUB_ROUNDS and labels is not None:
+            if turn < HUB_ROUNDS:
                 continue
             break
         found = checkpointed(verified(pairs, sets))
@@ -315,5 +317,5 @@ def _groups(stored: DataFrame) -> DataFrame:
 def drop_near(docs: DataFrame) -> DataFrame:
     """One row of each class, with all its columns."""
     stored = numbered(docs)
-    kept = checkpointed(_groups(stored.select("row", "_doc.doc_id", "_doc.text")).where("kept").select("row"))
-    return stored.join(kept, "row", "left_semi").select("_doc.*")
+    dropped = checkpointed(_groups(stored.select("row", "_doc.doc_id", "_doc.text")).where(~F.col("kept")).select("row"))
+    return stored.join(dropped, "row", "left_anti").select("_doc.*")
