@@ -6,7 +6,7 @@ have any number of pages, so nothing here gathers a paper in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -224,17 +224,19 @@ def reader_blocks(section_texts: DataFrame, compact: bool = False) -> DataFrame:
     )
 
 
-def neighbours(blocks: DataFrame, keys: list[str], order: str, text: str, before: int = 1, after: int = 1, limit: int | None = None) -> DataFrame:
+def neighbours(blocks: DataFrame, keys: list[str], order: str, text: str, before: int = 1, after: int = 1, limit: int | None = None, block: int = BLOCK) -> DataFrame:
     """Each block with the blocks around it, joined by a blank line.
 
-    Positions are consecutive integers, so neighbours are found by an equi-join on shifted
-    positions: a document of any length is spread over all tasks.
+    Positions are integers.  Rows are dealt by runs of ``block`` positions of a key, and only those at the edge of a run
+    are sent to the next run as well, so a text moves once and a document of any length is spread over all tasks.
     """
-    shifted = blocks.select(*keys, F.explode(F.sequence(F.col(order) - after, F.col(order) + before)).alias(order), F.col(order).alias("_at"), F.col(text).alias("_near"))
-    around = shifted.groupBy(*keys, order).agg(F.array_sort(F.collect_list(F.struct("_at", "_near"))).alias("_all"))
-    joined = F.array_join(F.transform("_all", lambda r: r["_near"]), "\n\n")
+    at = F.col(order)
+    runs = F.sequence(F.floor((at - after) / block), F.floor((at + before) / block))
+    dealt = blocks.select(*blocks.columns, F.floor(at / block).alias("_home"), F.explode(runs).alias("_run"))
+    near = Window.partitionBy(*keys, "_run").orderBy(order).rangeBetween(-before, after)
+    joined = F.array_join(F.collect_list(text).over(near), "\n\n")
     context = joined if limit is None else F.left(joined, F.lit(limit))
-    return blocks.join(around.select(*keys, order, context.alias("context")), [*keys, order])
+    return dealt.select("*", context.alias("context")).where("_run = _home").drop("_home", "_run")
 
 
 def first_per_value(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import markup as M
@@ -42,31 +44,44 @@ def estimate_total(estimates: DataFrame) -> DataFrame:
     return estimates.agg(F.count(F.lit(1)).alias("papers"), F.sum("page_count").cast("long").alias("pages"), F.sum("uncached").cast("long").alias("uncached"), F.sum("cached").cast("long").alias("cached"))
 
 
-def enrich(units: DataFrame, cache: DataFrame, call: Callable[[dict], dict], concurrency: int, key: str = "cache_key") -> DataFrame:
-    """Responses for all units: stored ones, and ``call(unit)`` for the others.
+ANSWER = "cache_key string, response string, status string, error string, input_tokens long, output_tokens long, duration_ms long, invalid boolean"
 
-    ``concurrency`` tasks make the calls.  A failed call becomes a row with its error class,
-    so one bad unit never fails the job; append the ``completed`` fresh rows to the cache.
-    """
-    pending, done = split_by_cache(units, cache, key)
+
+def _answers(units: DataFrame, call: Callable[[dict], dict], key: str, per_second: float | None = None) -> DataFrame:
+    """``call(unit)`` for every row, ``per_second`` at most in each task; a failed call is a row with its error."""
     columns = units.columns
+    names = [field.split()[0] for field in ANSWER.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        due = time.monotonic()
         for batch in batches:
             rows = []
             for unit in batch[columns].to_dict("records"):
+                if per_second:
+                    time.sleep(max(0.0, due - time.monotonic()))
+                    due = max(due, time.monotonic()) + 1 / per_second
                 try:
                     answer = call(unit)
                     rows.append((unit[key], str(answer.get("response", "")), "completed", None, int(answer.get("input_tokens", 0)), int(answer.get("output_tokens", 0)), int(answer.get("duration_ms", 0)), False))
                 except Exception as error:  # noqa: BLE001 - a failed unit is a row, not a crash
                     rows.append((unit[key], None, "failed", str(error), 0, 0, 0, isinstance(error, ValueError)))
-            yield pd.DataFrame(rows, columns=["cache_key", "response", "status", "error", "input_tokens", "output_tokens", "duration_ms", "invalid"])
+            yield pd.DataFrame(rows, columns=names)
+
+    return units.mapInPandas(run, ANSWER)
+
+
+def enrich(units: DataFrame, cache: DataFrame, call: Callable[[dict], dict], concurrency: int, key: str = "cache_key") -> DataFrame:
+    """Responses for all units: stored ones, and ``call(unit)`` for the others.
 
-    shape = "cache_key string, response string, status string, error string, input_tokens long, output_tokens long, duration_ms long, invalid boolean"
+    ``concurrency`` tasks make the calls.  A failed call becomes a row with its error class,
+    so one bad unit never fails the job; append the ``completed`` fresh rows to the cache.  For a backlog
+    that takes longer than a job should, see ``enrich_backlog``.
+    """
+    pending, done = split_by_cache(units, cache, key)
     # A unit that occurs twice is called once.
     once = pending.dropDuplicates([key]).repartition(concurrency)
     # Answers are paid for, so they are written once and read back by whatever uses the result.
-    fresh = checkpointed(once.mapInPandas(run, shape)).withColumnRenamed("cache_key", key)
+    fresh = checkpointed(_answers(once, call, key)).withColumnRenamed("cache_key", key)
     fresh = fresh.withColumn("error_kind", F.when(F.col("status") == "failed", error_kind(F.col("error"), F.col("invalid")))).drop("invalid")
     stored = done.select(key).distinct().join(first_rows(cache, [key], [F.col("response")]), key).select(
         key, "response", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"),
@@ -75,6 +90,34 @@ def enrich(units: DataFrame, cache: DataFrame, call: Callable[[dict], dict], con
     return units.join(answers, key)
 
 
+def stored_answers(spark: SparkSession, store: str, key: str = "cache_key") -> DataFrame:
+    """The last answer of every unit in an answer store, completed ones before failed ones."""
+    shape = f"{ANSWER}, answered_at timestamp"
+    try:
+        rows = spark.read.schema(shape).parquet(store)
+    except AnalysisException:  # no round was committed yet
+        return spark.createDataFrame([], shape).withColumnRenamed("cache_key", key)
+    return first_rows(rows, ["cache_key"], [F.col("status"), F.col("answered_at").desc()]).withColumnRenamed("cache_key", key)
+
+
+def enrich_backlog(units: DataFrame, store: str, call: Callable[[dict], dict], concurrency: int, round_size: int = 10_000, per_second: float | None = None, key: str = "cache_key") -> DataFrame:
+    """Answer a backlog of any size in rounds of about ``round_size`` units; gives the answers of ``units``.
+
+    Units are dealt into rounds by their key.  A round's answers are appended to ``store`` before the next begins, so a
+    lost executor repeats calls of one round at most, and a run that was stopped goes on with what no round has answered.
+    ``concurrency`` tasks make at most ``per_second`` calls each.  Units that failed in an earlier run are tried again,
+    once a run.
+    """
+    spark = units.sparkSession
+    answered = stored_answers(spark, store, key).where("status = 'completed'").select(key)
+    pending = checkpointed(units.dropDuplicates([key]).join(answered, key, "left_anti"))
+    rounds = -(-pending.count() // round_size)
+    for turn in range(rounds):
+        now = pending.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == turn).repartition(concurrency)
+        _answers(now, call, key, per_second).withColumn("answered_at", F.current_timestamp()).write.mode("append").parquet(store)
+    return units.join(stored_answers(spark, store, key), key)
+
+
 def best_pass(passes: DataFrame) -> DataFrame:
     """The pass that counts per page: the second replaces a doubtful first when it is not
     empty and at least as confident; without regions it keeps those of the first.

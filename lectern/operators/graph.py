@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -270,3 +271,53 @@ def library_fingerprint(papers: DataFrame) -> DataFrame:
 def stale_graphs(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """(root, depth, fingerprint, schema) combinations with no cached artifact."""
     return wanted.join(cache, ["root_id", "max_depth", "fingerprint", "schema_version"], "left_anti")
+
+
+GRAPH_SCHEMA_VERSION = 2
+CACHE_BUCKETS = 64
+
+
+@dataclass
+class CachedGraphs:
+    """Stored nodes, edges and summaries of the roots asked for, and how many of them were computed now."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    summary: DataFrame
+    computed: int
+
+
+def cached_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, fingerprint: str, path: str, max_depth: int = 2, buckets: int = CACHE_BUCKETS) -> CachedGraphs:
+    """The graphs of ``roots(root_id)``, read from the cache at ``path`` where it has them for this state of the library.
+
+    ``fingerprint`` is that of ``library_fingerprint``.  Entries are kept by root and depth in ``buckets`` partitions of three tables; roots
+    without an entry of this fingerprint and schema are computed together, and only the partitions they fall in are
+    written again.  The summary is written last: a root counts as cached once it is there.
+    """
+    spark = roots.sparkSession
+    bucket = F.pmod(F.xxhash64("root_id"), F.lit(buckets)).cast("int")
+    wanted = roots.select("root_id").distinct().select("root_id", F.lit(max_depth).alias("max_depth"), F.lit(fingerprint).alias("fingerprint"), F.lit(GRAPH_SCHEMA_VERSION).alias("schema_version"))
+
+    def stored(table: str) -> DataFrame | None:
+        try:
+            return spark.read.parquet(f"{path}/{table}")
+        except AnalysisException:  # nothing was cached yet
+            return None
+
+    entries = stored("summary")
+    missing = checkpointed(wanted if entries is None else stale_graphs(wanted, entries.select("root_id", "max_depth", "fingerprint", "schema_version")))
+    count = missing.count()
+    if count:
+        built = build_graphs(missing.select("root_id"), papers, refs, max_depth)
+        touched = checkpointed(missing.select(bucket.alias("bucket")).distinct())
+        for table, rows in (("nodes", built.nodes), ("edges", built.edges), ("summary", built.summary)):
+            fresh = rows.join(missing, "root_id").withColumn("bucket", bucket)
+            before = stored(table)
+            if before is not None:
+                kept = before.join(touched, "bucket", "left_semi").join(missing.select("root_id", "max_depth"), ["root_id", "max_depth"], "left_anti")
+                fresh = kept.unionByName(fresh)
+            # Stored before the partitions it was read from are replaced.
+            checkpointed(fresh).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{table}")
+    key = ["root_id", "max_depth", "fingerprint", "schema_version"]
+    read = {t: spark.read.parquet(f"{path}/{t}").join(wanted, key, "left_semi").drop("max_depth", "fingerprint", "schema_version", "bucket") for t in ("nodes", "edges", "summary")}
+    return CachedGraphs(read["nodes"], read["edges"], read["summary"], count)

@@ -71,15 +71,68 @@ def write_pending(path: str):
     return write
 
 
-def read_pending(spark: SparkSession, path: str) -> DataFrame:
-    """The pending row of every path: its last event, with the last previous path that was named."""
-    stored = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+def _folders(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the complete ``kind=<number>`` folders under ``path``, wherever the session's file systems keep it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.globStatus(where.suffix(f"/{kind}=*"))] if files.exists(where) else []
+    return sorted(int(f.getName().split("=")[1]) for f in found if files.exists(f.suffix("/_SUCCESS")))
+
+
+def _stored(spark: SparkSession, path: str) -> tuple[DataFrame | None, list[int], list[int]]:
+    """Rows not folded yet with those of the newest fold, the batches among them, and all folds."""
+    folds = _folders(spark, path, "fold")
+    batches = [n for n in _folders(spark, path, "batch") if not folds or n > folds[-1]]
+    parts = [f"{path}/batch={n}" for n in batches]
+    rows = spark.read.option("basePath", path).parquet(*parts) if parts else None
+    if folds:
+        base = spark.read.parquet(f"{path}/fold={folds[-1]}").withColumn("batch", F.lit(folds[-1]))
+        rows = base if rows is None else base.unionByName(rows)
+    return rows, batches, folds
+
+
+def _last_events(rows: DataFrame) -> DataFrame:
     order = F.struct("batch", "ts", "event_id")
-    rest = [c for c in stored.columns if c not in ("path", "previous_path", "batch")]
-    last = stored.groupBy("path").agg(F.max_by(F.struct(*rest), order).alias("_r"), F.max_by("previous_path", F.when(F.col("previous_path").isNotNull(), order)).alias("previous_path"))
+    rest = [c for c in rows.columns if c not in ("path", "previous_path", "batch")]
+    last = rows.groupBy("path").agg(F.max_by(F.struct(*rest), order).alias("_r"), F.max_by("previous_path", F.when(F.col("previous_path").isNotNull(), order)).alias("previous_path"))
     return last.select("path", "previous_path", "_r.*")
 
 
+def read_pending(spark: SparkSession, path: str) -> DataFrame:
+    """The pending row of every path: its last event, with the last previous path that was named.
+
+    Reads the newest fold and the batches after it, not every batch ever written.
+    """
+    rows, _, _ = _stored(spark, path)
+    if rows is None:
+        raise ValueError(f"no batch was written under {path}")
+    return _last_events(rows)
+
+
+def fold_pending(spark: SparkSession, path: str, handled: DataFrame | None = None) -> int | None:
+    """Fold all batches but the newest (which may be written again) into one; gives its number, None if there was nothing to do.
+
+    ``handled(path, event_id)``: events that are done; a row leaves when the event it stands for is.  The fold
+    is complete before what it replaces is deleted, so a reader or a run that was stopped finds one or the other.
+    """
+    _, batches, folds = _stored(spark, path)
+    if len(batches) < 2:
+        return None
+    upto = batches[-2]
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in batches[:-1]])
+    if folds:
+        rows = rows.unionByName(spark.read.parquet(f"{path}/fold={folds[-1]}").withColumn("batch", F.lit(folds[-1])))
+    left = _last_events(rows)
+    if handled is not None:
+        left = left.join(handled.select("path", "event_id").distinct(), ["path", "event_id"], "left_anti")
+    left.select(*[c for c in rows.columns if c != "batch"]).write.mode("overwrite").parquet(f"{path}/fold={upto}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in [*(f"batch={n}" for n in batches[:-1]), *(f"fold={n}" for n in folds)]:
+        files.delete(where.suffix(f"/{name}"), True)
+    return upto
+
+
 def marked(pending: DataFrame, results: DataFrame) -> DataFrame:
     """Pending rows with ``status`` done or failed (and its ``error``) from ``results(path, error)``; others stay pending."""
     told = results.select("path", F.col("error").alias("_e"), F.lit(True).alias("_t"))

@@ -17,12 +17,18 @@ ACCEPTED = "path string, size_bytes long, modified_at_ns long, accepted_at times
 
 
 class StabilityGate(StatefulProcessor):
-    """Per path: the fingerprint last seen and when it was first seen; any change restarts it."""
+    """Per path: the fingerprint last seen and when it was first seen; any change restarts it.
 
-    def __init__(self, seconds: float = 2.0):
+    A path that is not sighted for ``forget`` seconds of event time is forgotten by a timer, so the state holds
+    the files that are in motion and no others; one that turns up again starts anew.
+    """
+
+    def __init__(self, seconds: float = 2.0, forget: float = 3600.0):
         self.seconds = seconds
+        self.forget = forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getValueState("seen", "size_bytes long, modified_at_ns long, since timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -37,21 +43,28 @@ class StabilityGate(StatefulProcessor):
             elif (ts - pd.Timestamp(state[2])).total_seconds() >= self.seconds:
                 out.append((key[0], *mark, ts))
                 state = None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if state is None:
             self.seen.clear()
         else:
             self.seen.update(state)
+            self.handle.registerTimer(int((pd.Timestamp(batch["ts"].iloc[-1]).timestamp() + self.forget) * 1000))
         yield pd.DataFrame(out, columns=["path", "size_bytes", "modified_at_ns", "accepted_at"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        yield pd.DataFrame([], columns=["path", "size_bytes", "modified_at_ns", "accepted_at"])
+
     def close(self) -> None:
         pass
 
 
-def stable_stream(sightings: DataFrame, seconds: float = 2.0, watermark: str = WATERMARK) -> DataFrame:
+def stable_stream(sightings: DataFrame, seconds: float = 2.0, watermark: str = WATERMARK, forget: float = 3600.0) -> DataFrame:
     """Accepted files of a stream ``(path, size_bytes, modified_at_ns, ts)``; needs the RocksDB
-    state store."""
+    state store.  A path without a sighting for ``forget`` seconds leaves the state."""
     return sightings.withWatermark("ts", watermark).groupBy("path").transformWithStateInPandas(
-        statefulProcessor=StabilityGate(seconds), outputStructType=ACCEPTED, outputMode="Append", timeMode="None")
+        statefulProcessor=StabilityGate(seconds, forget), outputStructType=ACCEPTED, outputMode="Append", timeMode="EventTime")
 
 
 def stable_files(sightings: DataFrame, blocks: list[str], seconds: float = 2.0) -> DataFrame:

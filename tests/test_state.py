@@ -1,10 +1,15 @@
 """Reconciliation, revisions, spans, layout, sampling and enrichment on small literals."""
 
+import collections
+import os
 import random
+import time
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import enrichment, files, layout, metrics, revisions, spans
+from lectern.operators import biblio, corpus, enrichment, files, graph, layout, metrics, revisions, spans
 
 KNOWN = "id string, paper_id string, path string, sha256 string, size_bytes long, modified_at_ns long, is_missing boolean, created_at long"
 LISTING = "path string, size_bytes long, modified_at_ns long, sha256 string"
@@ -143,3 +148,75 @@ def test_repeated_calls_return_the_stored_result(spark):
     calls = spark.createDataFrame(rows, "run_id string, tool_call_id string, at int, iteration int, result string")
     got = {r["at"]: (r.stored.result, r.replayed, r.call_no) for r in metrics.call_answers(calls, ["at"]).collect()}
     assert got == {1: ("one", False, 1), 2: ("one", True, 1), 3: ("one", True, 1), 4: ("other", False, 1)}
+
+
+def test_backlog_goes_on_after_a_killed_round(spark, tmp_path):
+    """Rounds that were committed are never called again; the one that died is; failed units are tried once a run."""
+    calls, store = tmp_path / "calls", str(tmp_path / "answers")
+    calls.mkdir()
+    units = spark.createDataFrame([(f"k{i}", i) for i in range(60)] + [("k0", 0)], "cache_key string, n int").repartition(3)
+
+    def calling(deadly):
+        def call(unit):
+            with open(f"{calls}/{unit['cache_key']}-{uuid.uuid4().hex}", "w"):
+                pass
+            if deadly and len(os.listdir(calls)) > 25:
+                os._exit(1)
+            if unit["n"] % 20 == 7:
+                raise ValueError("bad unit")
+            return {"response": f"answer {unit['n']}", "input_tokens": 2}
+        return call
+
+    with pytest.raises(Exception):  # noqa: B017 - the task is lost with its worker
+        enrichment.enrich_backlog(units, store, calling(True), concurrency=2, round_size=10).collect()
+    first = enrichment.stored_answers(spark, store)
+    assert 0 < first.count() < 60
+    settled = {r["cache_key"] for r in first.where("status = 'completed'").collect()}
+    seen = collections.Counter(f.split("-")[0] for f in os.listdir(calls))
+    done = enrichment.enrich_backlog(units, store, calling(False), concurrency=2, round_size=10)
+    rows = done.collect()
+    assert len(rows) == 61 and {r["response"] for r in rows if r["n"] % 20 != 7} == {f"answer {i}" for i in range(60) if i % 20 != 7}
+    assert {r["cache_key"] for r in rows if r["status"] == "failed"} == {"k7", "k27", "k47"}
+    after = collections.Counter(f.split("-")[0] for f in os.listdir(calls))
+    assert all(after[k] == seen[k] == 1 for k in settled) and all(after[k] >= 1 for k in after)
+    before = sum(after.values())
+    assert enrichment.enrich_backlog(units, store, calling(False), concurrency=2, round_size=10).count() == 61
+    assert sum(collections.Counter(f.split("-")[0] for f in os.listdir(calls)).values()) == before + 3
+
+
+def test_backlog_keeps_its_rate(spark, tmp_path):
+    units = spark.createDataFrame([(f"k{i}",) for i in range(6)], "cache_key string")
+    began = time.monotonic()
+    enrichment.enrich_backlog(units, str(tmp_path / "answers"), lambda unit: {"response": "x"}, concurrency=1, per_second=4).collect()
+    assert time.monotonic() - began >= 5 / 4
+
+
+def test_neighbours_move_each_text_once(spark):
+    rows = [("a", i, f"t{i}") for i in range(40) if i not in (7, 20)] + [("b", 3, "only"), ("b", 4, None)]
+    blocks = spark.createDataFrame(rows, "doc string, pos int, text string").repartition(3)
+    texts = {(d, i): t for d, i, t in rows}
+    for before, after, block in ((1, 1, 8), (2, 0, 4), (0, 9, 4), (1, 1, 8192)):
+        df = corpus.neighbours(blocks, ["doc"], "pos", "text", before, after, block=block)
+        assert df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+        got = {(r["doc"], r["pos"]): r["context"] for r in df.collect()}
+        assert got == {(d, i): "\n\n".join(texts[d, j] for j in range(i - before, i + after + 1) if texts.get((d, j))) for d, i, _ in rows}
+    assert corpus.neighbours(blocks, ["doc"], "pos", "text", limit=3).where("doc = 'a' and pos = 0").first()["context"] == "t0\n"
+
+
+def test_graph_cache_recomputes_stale_roots(spark, tmp_path):
+    papers = spark.createDataFrame([(i, f"Paper number {i} of the cache") for i in "abcd"], "id string, title string")
+    refs = spark.createDataFrame([(a, 1, f"r{a}{b}", f"Paper number {b} of the cache", ["X"], 2020, None, None) for a, b in ("ab", "bc", "cd", "da")], "paper_id string, pos int, ref_id string, title string, authors array<string>, year int, doi string, arxiv string")
+    refs = biblio.resolve_references(refs, papers)
+    ask = lambda roots, mark, r=refs: graph.cached_graphs(spark.createDataFrame([(x,) for x in roots], "root_id string"), papers, r, mark, str(tmp_path / "cache"), buckets=3)
+    plain = graph.build_graphs(papers.select(F.col("id").alias("root_id")), papers, refs)
+    first = ask("ab", "f1")
+    assert first.computed == 2 and sorted(r["root_id"] for r in first.summary.collect()) == ["a", "b"]
+    assert ask("ab", "f1").computed == 0
+    more = ask("abcd", "f1")
+    assert more.computed == 2
+    for mine, want in ((more.nodes, plain.nodes), (more.edges, plain.edges), (more.summary, plain.summary)):
+        assert sorted(map(str, mine.select(*sorted(want.columns)).collect())) == sorted(map(str, want.select(*sorted(want.columns)).collect()))
+    fewer = refs.where("paper_id <> 'a'")
+    again = ask("a", "f2", fewer)
+    assert again.computed == 1 and again.edges.count() == 0 and ask("bcd", "f1").computed == 0
+    assert ask("a", "f1").computed == 1  # the entry of the other state has replaced it

@@ -49,6 +49,42 @@ def test_stable_files_stream_equals_batch(spark, tmp_path):
     assert {(r["path"], r["accepted_at"]) for r in drain(spark, stream, tmp_path, "stable").collect()} == want
 
 
+def test_paths_out_of_sight_leave_the_state(spark, tmp_path):
+    """One file set a batch: a path of the first is forgotten once event time has passed it by an hour."""
+    schema = "event_id long, path string, size_bytes long, modified_at_ns long, ts timestamp"
+    folder = str(tmp_path / "in-forget")
+    for k, rows in enumerate([[(1, "gone", 1, 1, at(0))], [(2, "near", 1, 1, at(9000))], [(3, "near", 1, 1, at(9001))], [(4, "near", 1, 1, at(9003))], [(5, "gone", 1, 1, at(9004))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        query = S.stable_stream(spark.readStream.schema(schema).parquet(folder), forget=3600.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        if k == 2:
+            rows_kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    accepted = [(r["path"], r["accepted_at"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert accepted == [("near", at(9003))]  # "gone" was forgotten: its second sighting starts anew
+    assert rows_kept <= 3  # the value and the timer of "near", and nothing of "gone" but what a late batch clears
+
+
+def test_pending_batches_are_folded(spark, tmp_path):
+    path = str(tmp_path / "pending")
+    schema = "event_id long, event_type string, path string, previous_path string, ts timestamp"
+    write = E.write_pending(path)
+    batches = [[(1, "created", "/a", "/old", at(0)), (2, "created", "/b", None, at(0))], [(3, "modified", "/a", None, at(1)), (4, "created", "/c", None, at(1))], [(5, "modified", "/b", None, at(2))], [(6, "removed", "/c", None, at(3))]]
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    for k, rows in enumerate(batches):
+        write(frame(rows), k)
+    told = lambda: sorted((r["path"], r["event_id"], r["previous_path"]) for r in E.read_pending(spark, path).collect())
+    want = told()
+    assert want == [("/a", 3, "/old"), ("/b", 5, None), ("/c", 6, None)]
+    assert E.fold_pending(spark, path) == 2 and told() == want
+    assert sorted(p.name for p in (tmp_path / "pending").iterdir() if p.is_dir()) == ["batch=3", "fold=2"]
+    assert E.fold_pending(spark, path) is None
+    write(frame(batches[3]), 3)  # a retried batch replaces its own rows
+    write(frame([(7, "modified", "/a", None, at(4))]), 4)
+    assert E.fold_pending(spark, path, handled=frame([(5, "modified", "/b", None, at(2)), (3, "modified", "/a", None, at(1))])) == 3
+    assert told() == [("/a", 7, None), ("/c", 6, None)]
+    assert sorted(p.name for p in (tmp_path / "pending").iterdir() if p.is_dir()) == ["batch=4", "fold=3"]
+
+
 def test_burst_stream_equals_batch(spark, tmp_path):
     schema = "event_id long, root string, ts timestamp"
     rows = [(i, "r", at(s)) for i, s in enumerate([0, 1, 2.5, 6, 7])] + [(9, "r", at(5000))]
