@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.memory import settled
 from lectern.llm.tokens import mix
 from lectern.session import checkpointed
 
@@ -174,7 +175,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
-        for batch in batches:
+        for batch in settled(batches):
             parts = [pd.DataFrame({"lang": pd.Series([], dtype=str), "score": pd.Series([], dtype=float), "share": pd.Series([], dtype=float), "grams": pd.Series([], dtype=np.int64)})]
             for _, texts in slices(batch.tolist()):
                 if not known.languages:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.memory import settled
 from lectern.llm.tokens import mix, span_hashes
 from lectern.session import checkpointed, numbered
 
@@ -31,7 +32,7 @@ HUB_ROUNDS = 1
 #: Registers of the second sketch, and members compared at a time, of that last step.
 SKETCH, BLOCK = 512, 3_000
 #: Text bytes handled at a time.
-SLICE = 1_500_000
+SLICE = 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +144,7 @@ def signed(rows: DataFrame) -> DataFrame:
                 part = batch.iloc[first : first + len(texts)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "row": part["row"].array, "n": counts, "key_a": sums[0].view(np.int64), "key_b": sums[1].view(np.int64), "bands": [k if ok else [] for k, ok in zip(keys, has, strict=True)]})
 
-    return rows.select("doc_id", "text", "row").mapInPandas(sign, f"doc_id {kind}, row long, n long, key_a long, key_b long, bands array<long>")
+    return rows.select("doc_id", "text", "row").mapInPandas(lambda batches: settled(sign(batches)), f"doc_id {kind}, row long, n long, key_a long, key_b long, bands array<long>")
 
 
 def multisets(rows: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def multisets(rows: DataFrame) -> DataFrame:
                 sizes = np.bincount(doc, weights=weight, minlength=len(texts)).astype(np.int64)
                 yield pd.DataFrame({"row": batch["row"].iloc[first : first + len(texts)].array, "items": np.split(flat, np.cumsum(sizes)[:-1])})
 
-    return rows.select("row", "text").mapInPandas(items, "row long, items array<long>")
+    return rows.select("row", "text").mapInPandas(lambda batches: settled(items(batches)), "row long, items array<long>")
 
 
 def verified(edges: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -224,7 +225,7 @@ def sketches(sets: DataFrame) -> DataFrame:
                 packed = bits[:, :, 0] | bits[:, :, 1] << 2 | bits[:, :, 2] << 4 | bits[:, :, 3] << 6
                 yield pd.DataFrame({"row": part["row"].array, "sketch": [r.tobytes() for r in packed]})
 
-    return sets.select("row", "items").mapInPandas(sign, "row long, sketch binary")
+    return sets.select("row", "items").mapInPandas(lambda batches: settled(sign(batches)), "row long, sketch binary")
 
 
 def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.memory import settled
 from lectern.llm.tokens import encoder
 from lectern.session import checkpointed
 
@@ -54,7 +55,7 @@ def token_pieces(docs: DataFrame, file: str = VOCABULARY, end: int = 1, capacity
                 yield pd.DataFrame({"doc_id": keys.iloc[first + row].array, "start": start, "length": length, "ids_crc32": crc, "doc_tokens": counts[row]})
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return docs.select("doc_id", "text").mapInPandas(lambda batches: settled(cut(batches)), schema)
 
 
 def differencing(lengths: np.ndarray, k: int) -> np.ndarray:
