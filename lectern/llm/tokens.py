@@ -18,7 +18,7 @@ import xxhash
 #: Words kept by a worker (about 30 bytes each); later new ones are encoded each time.
 CACHED = 2_000_000
 #: Text bytes handled at a time.
-SLICE = 2_000_000
+SLICE = 500_000
 SEPARATOR = "<|endoftext|>"
 _IRREGULAR = re.compile(r"\s\s|^\s|\s\Z")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
