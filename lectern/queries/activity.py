@@ -63,11 +63,13 @@ def job_state(spark, sf_dir):
     return J.job_state(_job_events(spark, sf_dir)).drop("message")
 
 
-@query("progress_fold", JOBS + """, m AS (SELECT *, max(pos) OVER (PARTITION BY user_id ORDER BY rk ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM s)
+@query("progress_fold", JOBS + """, a AS (SELECT e.user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 11 END AS rk FROM e WHERE event_type <> 'error'),
+b AS (SELECT user_id, rk, min((ts, event_id)) AS first FROM a GROUP BY 1, 2), f AS (SELECT b.user_id, b.rk, min(a.ts) AS finished_at FROM b JOIN a ON a.user_id = b.user_id AND a.rk > b.rk AND (a.ts, a.event_id) > b.first GROUP BY 1, 2),
+m AS (SELECT *, max(pos) OVER (PARTITION BY user_id ORDER BY rk ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM s)
 SELECT user_id AS job_id, stage, CASE WHEN later > pos AND status <> 'PARTIAL' THEN 'completed' WHEN status = 'PARTIAL' THEN 'partial' WHEN status = 'READY' THEN 'completed' ELSE 'running' END AS stage_status,
-  CASE WHEN (later > pos AND status <> 'PARTIAL') OR status IN ('READY', 'PARTIAL') THEN 1.0 ELSE progress END::DOUBLE AS stage_progress, started_at FROM m""")
+  CASE WHEN (later > pos AND status <> 'PARTIAL') OR status IN ('READY', 'PARTIAL') THEN 1.0 ELSE progress END::DOUBLE AS stage_progress, started_at, finished_at FROM m LEFT JOIN f USING (user_id, rk)""")
 def progress_fold(spark, sf_dir):
-    return J.finish_stages(J.stage_state(_job_events(spark, sf_dir)))
+    return J.job_stages(_job_events(spark, sf_dir))
 
 
 def _model_events(spark, sf_dir):

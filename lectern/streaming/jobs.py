@@ -6,10 +6,15 @@ upserted by key in ``foreachBatch``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.skew import assemble_text
+from lectern.streaming import WATERMARK
 
 # Stage of each job status, and the order of the stages.
 STAGE_OF = {
@@ -61,6 +66,83 @@ def finish_stages(stages: DataFrame) -> DataFrame:
         "job_id", "stage", F.when(passed, "completed").otherwise(own).alias("stage_status"), F.when(passed, F.lit(1.0)).otherwise(done).alias("stage_progress"), "started_at")
 
 
+def stage_finishes(events: DataFrame) -> DataFrame:
+    """``job_id, stage, finished_at``: the moment of the first event of a later stage after the stage's own first event.
+
+    What comes after that moment, even events of the stage itself, does not move it; a stage that no later one
+    followed has none.  The starts of a job are one row of eleven, which its events meet; both sides of that join are
+    folded inside the map tasks, so a job with any share of the events costs one row per partition.
+    """
+    at, ranks = F.struct("ts", "event_id"), range(1, len(STAGES) + 1)
+    rank = F.array_position(F.array(*[F.lit(s) for s in STAGES]), lookup(STAGE_OF, F.col("status")))
+    staged = events.select("job_id", "ts", "event_id", rank.alias("_rank")).where("_rank > 0")
+    starts = staged.groupBy("job_id").agg(*[F.min(F.when(F.col("_rank") == k, at)).alias(f"_s{k}") for k in ranks])
+    met = staged.join(starts, "job_id")
+    ends = met.groupBy("job_id").agg(*[F.min(F.when((F.col("_rank") > k) & (at > F.col(f"_s{k}")), at)).alias(f"_e{k}") for k in ranks])
+    listed = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"_e{k}.ts").alias("finished_at")) for k, s in zip(ranks, STAGES, strict=True)])
+    return ends.select("job_id", F.inline(listed)).where("finished_at is not null")
+
+
+def job_stages(events: DataFrame) -> DataFrame:
+    """``finish_stages`` with the time each stage was finished."""
+    return finish_stages(stage_state(events)).join(stage_finishes(events), ["job_id", "stage"], "left")
+
+
+JOB_STAGE = "job_id string, stage string, stage_status string, stage_progress double, started_at timestamp, finished_at timestamp"
+
+
+class StageFold(StatefulProcessor):
+    """Per job the rows of its stages, changed by every event in turn; a change is told by the job's rows anew.
+
+    A job without an event for ``forget`` seconds of event time leaves the state.
+    """
+
+    def __init__(self, forget: float = 86400.0):
+        self.forget = forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stages = handle.getMapState("stages", "rank int", "status string, progress double, started_at timestamp, finished_at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        held = {int(k[0]): [v[0], v[1], v[2], v[3]] for k, v in self.stages.iterator()}
+        for row in batch.itertuples(index=False):
+            stage = STAGE_OF.get(row.status)
+            if stage is None:
+                continue
+            rank, now = STAGES.index(stage), pd.Timestamp(row.ts).to_pydatetime()
+            for earlier, state in held.items():
+                if earlier < rank and state[0] != "partial":
+                    state[0], state[1], state[3] = "completed", 1.0, state[3] or now
+            whole = row.status in ("READY", "PARTIAL")
+            status = "partial" if row.status == "PARTIAL" else "completed" if whole else "running"
+            before = held.get(rank)
+            held[rank] = [status, 1.0 if whole else None if pd.isna(row.progress) else float(row.progress), before[2] if before else now, before[3] if before else None]
+        for rank, state in held.items():
+            self.stages.updateValue((rank,), tuple(state))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((pd.Timestamp(batch["ts"].iloc[-1]).timestamp() + self.forget) * 1000))
+        yield pd.DataFrame([(key[0], STAGES[r], *s) for r, s in sorted(held.items())], columns=[c.split()[0] for c in JOB_STAGE.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.stages.clear()
+        yield pd.DataFrame([], columns=[c.split()[0] for c in JOB_STAGE.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stage_stream(events: DataFrame, watermark: str = WATERMARK, forget: float = 86400.0) -> DataFrame:
+    """``job_stages`` over a stream of events: rows to upsert by (job_id, stage), in the order in which they come out.
+
+    Needs the RocksDB state store.  Events are taken in order of time within a micro-batch, and batch after batch.
+    """
+    return events.withWatermark("ts", watermark).groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=StageFold(forget), outputStructType=JOB_STAGE, outputMode="Update", timeMode="EventTime")
+
+
 def fold_activity(events: DataFrame, deferred: bool = False) -> DataFrame:
     """One row per request: phase, first contact and token, characters, usage, end.
 

@@ -112,6 +112,29 @@ def test_stage_fold(spark):
     assert got == {("j", "hash"): ("completed", 1.0), ("j", "layout"): ("completed", 1.0), ("j", "index"): ("partial", 1.0), ("k", "layout"): ("running", 0.4), ("k", "hash"): ("running", 0.1)}
 
 
+def test_stage_stream_equals_batch(spark, tmp_path):
+    """Three batches: a stage is finished when a later one first follows its start, and stays so."""
+    schema = "event_id long, job_id string, status string, progress double, message string, ts timestamp"
+    batches = [[(1, "j", "HASHING", 0.1, "", at(0)), (2, "k", "PARSING_LAYOUT", 0.4, "", at(1)), (3, "k", "HASHING", 0.1, "", at(2)), (4, "l", "FAILED", None, "", at(2))],
+               [(5, "j", "PARSING_LAYOUT", 0.4, "", at(3)), (6, "k", "RECOGNIZING_TEXT", None, "", at(4))],
+               [(7, "j", "HASHING", 0.2, "", at(5)), (8, "j", "PARTIAL", 0.9, "", at(6)), (9, "k", "READY", 0.9, "", at(7)), (10, "k", "NEW_STATUS", 0.9, "", at(8))]]
+    folder, told = str(tmp_path / "in-stages"), {}
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        out = str(tmp_path / f"out-{k}")
+        stream = J.stage_stream(spark.readStream.schema(schema).parquet(folder))
+        query = stream.writeStream.foreachBatch(lambda df, n, out=out: df.write.mode("append").parquet(out)).outputMode("update").option("checkpointLocation", str(tmp_path / "cp-stages")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        told.update({(r["job_id"], r["stage"]): tuple(r) for r in spark.read.parquet(out).collect()})
+    columns = ["job_id", "stage", "stage_status", "stage_progress", "started_at", "finished_at"]
+    batch = J.job_stages(spark.createDataFrame([r for rows in batches for r in rows], schema)).select(*columns)
+    assert set(told.values()) == {tuple(r) for r in batch.collect()}
+    assert told["j", "hash"][2:] == ("completed", 1.0, at(0), at(3)) and told["k", "hash"][5] == at(4) and told["k", "layout"][5] == at(4)
+    assert told["j", "index"][2:] == ("partial", 1.0, at(6), None)
+    assert J.job_stages(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_file_inventory_and_tables(spark, tmp_path):
     root = tmp_path / "library"
     (root / "sub").mkdir(parents=True)

@@ -101,6 +101,18 @@ def test_compact_blocks(spark):
     assert [(r["text"], r["n"], r["compacted"]) for r in got] == [("one; two; three; four", 4, True), ("- item", 1, False), ("five", 1, False)]
 
 
+def test_runs_of_long_lists_are_whole(spark):
+    """More runs than one part of the gathered list holds, against the plain walk."""
+    n = 5000
+    ends = [i * 400 + 399 for i in range(n)]
+    rows = spark.createDataFrame([([(i * 400, e, "s") for i, e in enumerate(ends)], "s" * 10)], "sentences array<struct<start:int,end:int,text:string>>, t string")
+    spans = rows.select(S.chunk_spans(F.col("sentences"), F.col("t")).alias("c")).first()["c"]
+    assert [(s["start"], s["end"]) for s in spans] == [(i * 400, ends[min(i + 2, n - 1)]) for i in range(0, n, 3)]
+    texts = [t for i in range(700) for t in (f"a{i}", "b", "c", "d", "- item")]
+    got = one(spark, S.compact_blocks(F.col("b")), b=texts)
+    assert [(r["first"], r["n"], r["text"]) for r in got] == [x for i in range(700) for x in ((5 * i, 4, f"a{i}; b; c; d"), (5 * i + 4, 1, "- item"))]
+
+
 def test_long_text_split_loses_nothing(spark):
     text = "\n\n".join("word " * 90 for _ in range(12)).strip()
     got = one(spark, S.long_text_chunks(F.col("t"), 2000), t=text)
