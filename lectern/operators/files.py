@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.skew import first_rows, range_blocks, running
+from lectern.skew import first_rows, number_rows, range_blocks, running
 
 
 def changed_files(listing: DataFrame, known: DataFrame) -> DataFrame:
@@ -103,3 +103,41 @@ def link_imports(candidates: DataFrame, papers: DataFrame) -> tuple[DataFrame, D
     linked = candidates.join(owner, "sha256")
     first = first_rows(linked, ["attachment_key"], [F.col("paper_id")])
     return first, candidates.join(owner, "sha256", "left_anti")
+
+
+SOURCE_ROW = ["source_type", "attachment_key", "item_key", "paper_id", "source_collection", "source_path", "source_modified_at", "metadata_json", "imported_at"]
+
+
+def import_sources(candidates: DataFrame, collections: DataFrame, papers: DataFrame, known: DataFrame, now: Column, source_type: str = "zotero") -> DataFrame:
+    """The table of source rows after an import: one row per (source type, attachment).
+
+    ``candidates(attachment_key, item_key, sha256, title, authors, year, doi, target_path, modified_at)`` are linked to
+    papers by content; those without a paper leave no row.  A row that is ``known`` keeps its item key and the time of
+    its first import and takes the rest from the candidate; other known rows stay.
+    ``collections(attachment_key, collection_order, collection)`` of a candidate: the first counts.
+    """
+    linked, _ = link_imports(candidates, papers)
+    lead = first_rows(collections, ["attachment_key"], [F.col("collection_order"), F.col("collection")]).select("attachment_key", F.col("collection").alias("source_collection"))
+    told = F.to_json(F.struct("title", "authors", "year", F.col("doi").alias("DOI")), {"ignoreNullFields": "false"})
+    fresh = linked.join(lead, "attachment_key", "left").select(
+        F.lit(source_type).alias("source_type"), "attachment_key", F.col("item_key").alias("_item"), "paper_id", "source_collection", F.col("target_path").alias("source_path"), F.col("modified_at").alias("source_modified_at"), told.alias("metadata_json"))
+    key = ["source_type", "attachment_key"]
+    before = known.select(*key, F.col("item_key").alias("_held_item"), F.col("imported_at").alias("_held_at"))
+    merged = fresh.join(before, key, "left").withColumns({
+        "item_key": F.when(F.col("_held_at").isNotNull(), F.col("_held_item")).otherwise(F.col("_item")), "imported_at": F.coalesce("_held_at", now)})
+    return merged.select(*SOURCE_ROW).unionByName(known.join(fresh.select(*key), key, "left_anti").select(*SOURCE_ROW))
+
+
+def collection_members(sources: DataFrame) -> DataFrame:
+    """``collection, paper_id``: each imported paper once in the first collection of each of its sources."""
+    return sources.where("source_collection <> ''").select(F.col("source_collection").alias("collection"), "paper_id").distinct()
+
+
+def import_manifest(copied: DataFrame, source: str, now: Column) -> DataFrame:
+    """What an import copied, in order of the attachments: one row per paper with the head of the manifest on it.
+
+    A manifest of any length stays a table (``sinks.write_report`` writes it as JSON lines); ``place`` is its order.
+    """
+    head = [F.lit(1).alias("schemaVersion"), F.lit(source).alias("source"), now.alias("importedAt")]
+    rows = number_rows(copied, [], ["attachment_key"], "place")
+    return rows.select(*head, "place", F.col("attachment_key").alias("attachmentKey"), F.col("item_key").alias("itemKey"), "sha256", "title", "category", F.col("page_count").alias("pageCount"), F.col("target_path").alias("targetPath"))

@@ -250,9 +250,14 @@ def in_collection(papers: DataFrame, members: DataFrame, reach: DataFrame, colle
     return papers.join(inside, papers["id"] == inside["paper_id"], "left_semi")
 
 
-def tree_order(nodes: DataFrame) -> DataFrame:
-    """Flat listing: roots first, then sort order, then name in Chinese collation."""
-    return nodes.orderBy(F.col("parent_id").isNotNull(), "sort_order", F.collate(F.col("name"), "zh"), "id")
+def tree_order(nodes: DataFrame, locale: str = "zh") -> DataFrame:
+    """Nodes with their ``place`` in the flat listing: roots first, then sort order, then name under the collation of
+    ``locale``, then id.
+
+    Rows are range-partitioned by the collated name like any other key, so nothing is sorted as a whole.
+    """
+    keyed = nodes.withColumns({"_below": F.col("parent_id").isNotNull(), "_collated": F.collate(F.col("name"), locale)})
+    return number_rows(keyed, [], ["_below", "sort_order", "_collated", "id"], "place").drop("_below", "_collated")
 
 
 def library_fingerprint(papers: DataFrame) -> DataFrame:

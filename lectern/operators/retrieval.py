@@ -76,8 +76,24 @@ def library_listing(papers: DataFrame, jobs: DataFrame, files: DataFrame, engage
 
 
 def ordered_children(children: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Children of each parent in a stable order, as rows (no nested list to overflow)."""
-    return children.orderBy(key, *order)
+    """Children with their ``place`` under each parent, as rows (no nested list to overflow).
+
+    ``order`` ends with a column that is unique under a parent.  A parent of any number of children is numbered by blocks.
+    """
+    return number_rows(children, [key], order, "place")
+
+
+def listing_children(papers: DataFrame, collections: DataFrame, figures: DataFrame) -> DataFrame:
+    """``paper_id, kind, place, child_id``: the collections of each listed paper by time of assignment and its figures by page.
+
+    ``collections(paper_id, collection_id, assigned_at)``, ``figures(paper_id, figure_id, page)``; a null page comes first.
+    """
+    listed = papers.select(F.col("id").alias("paper_id"))
+    parts = (("collection", collections, "collection_id", "assigned_at"), ("figure", figures, "figure_id", "page"))
+    placed_parts = [
+        ordered_children(rows.join(listed, "paper_id", "left_semi"), "paper_id", [by, child]).select("paper_id", F.lit(kind).alias("kind"), "place", F.col(child).alias("child_id"))
+        for kind, rows, child, by in parts]
+    return placed_parts[0].unionByName(placed_parts[1])
 
 
 # ------------------------------------------------------------------------------- tools

@@ -258,6 +258,17 @@ def tree_closure(spark, sf_dir):
     return graph.closure(_tree(spark, sf_dir)[0])
 
 
+NUMERALS = "零一二三四五六七八九"  # Fixed value: the ten digits in Chinese
+
+
+@query("tree_order", f"""WITH n AS (SELECT 'R' || r_regionkey AS id, NULL AS parent_id, r_name AS name, r_regionkey AS sort_order FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, n_name, n_nationkey % 3 FROM nation
+UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, c_name, 0 FROM customer), z AS (SELECT *, translate(name, '0123456789', '{NUMERALS}') AS zh FROM n)
+SELECT id, zh AS name, row_number() OVER (ORDER BY parent_id IS NOT NULL, sort_order, zh COLLATE zh, id) AS place FROM z""")
+def tree_order(spark, sf_dir):
+    nodes = _tree(spark, sf_dir)[0].withColumn("name", F.translate("name", "0123456789", NUMERALS))
+    return graph.tree_order(nodes).select("id", "name", "place")
+
+
 @query("subtree_counts", TREE + "SELECT nodes.id, count(DISTINCT paper_id) AS total_papers FROM nodes JOIN reach ON reach.ancestor = nodes.id LEFT JOIN members ON collection_id = reach.id GROUP BY 1")
 def subtree_counts(spark, sf_dir):
     nodes, members = _tree(spark, sf_dir)

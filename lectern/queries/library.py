@@ -35,6 +35,16 @@ def library_listing(spark, sf_dir):
     return retrieval.library_listing(*_listing_inputs(spark, sf_dir)).select("id", "title", "status", "progress", "error", "source_path", "is_favorite", "reading_progress")
 
 
+@query("listing_children", f"""WITH l AS (SELECT *, {JOB_ID} AS id FROM lineitem), p AS ({PAPERS})
+SELECT l_orderkey AS paper_id, 'collection' AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, id) AS place, id AS child_id FROM l WHERE l_orderkey IN (SELECT id FROM p)
+UNION ALL SELECT l_orderkey, 'figure', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, id), id FROM l WHERE l_orderkey IN (SELECT id FROM p)""")
+def listing_children(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), _job_id().alias("id"), "l_shipdate", "l_linenumber")
+    collections = li.select("paper_id", F.col("id").alias("collection_id"), F.col("l_shipdate").alias("assigned_at"))
+    figures = li.select("paper_id", F.col("id").alias("figure_id"), F.col("l_linenumber").alias("page"))
+    return retrieval.listing_children(papers(spark, sf_dir), collections, figures)
+
+
 @query("nested_jobs", """WITH p AS (SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200)
 SELECT p.o_orderkey AS paper_id, l_linenumber AS stage, l_partkey AS part FROM p LEFT JOIN lineitem ON l_orderkey = p.o_orderkey""")
 def nested_jobs(spark, sf_dir):
@@ -170,6 +180,45 @@ def link_imports(spark, sf_dir):
     return linked.select("attachment_key", "paper_id")
 
 
+def _import_inputs(spark, sf_dir):
+    """Documents as attachments, equal texts being one paper; labelled ones were imported before."""
+    d = table(spark, sf_dir, "documents").withColumns({"sha256": F.sha2("text", 256), "key": F.concat(F.lit("A"), F.col("doc_id").cast("string"))})
+    candidates = d.select(
+        F.col("key").alias("attachment_key"), F.concat(F.lit("I"), F.col("doc_id").cast("string")).alias("item_key"), "sha256", F.concat(F.lit("T"), F.col("n_chars").cast("string")).alias("title"), F.array(F.col("source")).alias("authors"),
+        F.lit(2020).alias("year"), F.lit(None).cast("string").alias("doi"), F.concat(F.lit("/papers/"), F.col("doc_id").cast("string")).alias("target_path"), F.lit(7).cast("long").alias("modified_at"), F.col("lang").alias("category"), F.ceil(F.col("n_chars") / 1000).alias("page_count"))
+    names = d.select(F.col("key").alias("attachment_key"), F.posexplode(F.array("source", "lang")).alias("collection_order", "collection")).where("collection is not null")
+    owners = d.groupBy("sha256").agg(F.min("doc_id").alias("id")).where("sha256 is not null")
+    keys = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    held = keys.select(
+        F.lit("zotero").alias("source_type"), F.concat(F.lit("A"), F.col("doc_id").cast("string")).alias("attachment_key"), F.lit("old").alias("item_key"), F.lit(-1).cast("long").alias("paper_id"), F.lit("before").alias("source_collection"),
+        F.lit("/old").alias("source_path"), F.lit(1).cast("long").alias("source_modified_at"), F.lit("{}").alias("metadata_json"), F.lit("2020-01-01").alias("imported_at"))
+    return candidates, names, owners, held
+
+
+IMPORTED = """WITH d AS (SELECT 'A' || doc_id AS attachment_key, 'I' || doc_id AS item_key, text, coalesce(source, lang) AS source_collection, '/papers/' || doc_id AS source_path,
+  '{"title":"T' || n_chars || '","authors":[' || coalesce('"' || source || '"', 'null') || '],"year":2020,"DOI":null}' AS metadata_json, min(doc_id) OVER (PARTITION BY text) AS paper_id FROM documents),
+h AS (SELECT DISTINCT 'A' || doc_id AS attachment_key FROM labels),
+s AS (SELECT 'zotero' AS source_type, attachment_key, CASE WHEN h.attachment_key IS NULL THEN item_key ELSE 'old' END AS item_key, paper_id, source_collection, source_path, 7::BIGINT AS source_modified_at, metadata_json,
+  CASE WHEN h.attachment_key IS NULL THEN '2024-06-01' ELSE '2020-01-01' END AS imported_at FROM d LEFT JOIN h USING (attachment_key) WHERE text IS NOT NULL
+  UNION ALL SELECT 'zotero', attachment_key, 'old', -1, 'before', '/old', 1, '{}', '2020-01-01' FROM h WHERE attachment_key NOT IN (SELECT attachment_key FROM d WHERE text IS NOT NULL)) """
+
+
+@query("import_sources", IMPORTED + "SELECT * FROM s")
+def import_sources(spark, sf_dir):
+    return files.import_sources(*_import_inputs(spark, sf_dir), F.lit("2024-06-01"))
+
+
+@query("import_collections", IMPORTED + "SELECT DISTINCT source_collection AS collection, paper_id FROM s WHERE source_collection <> ''")
+def import_collections(spark, sf_dir):
+    return files.collection_members(files.import_sources(*_import_inputs(spark, sf_dir), F.lit("2024-06-01")))
+
+
+@query("import_manifest", """SELECT 1 AS schemaVersion, '/export' AS source, '2024-06-01' AS importedAt, row_number() OVER (ORDER BY 'A' || doc_id) AS place, 'A' || doc_id AS attachmentKey, 'I' || doc_id AS itemKey, sha256(text) AS sha256, 'T' || n_chars AS title, lang AS category,
+  ceil(n_chars / 1000.0)::BIGINT AS pageCount, '/papers/' || doc_id AS targetPath FROM documents""")
+def import_manifest(spark, sf_dir):
+    return files.import_manifest(_import_inputs(spark, sf_dir)[0], "/export", F.lit("2024-06-01"))
+
+
 @query("missing_keys", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_key_rows(spark, sf_dir):
     return missing_keys(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")

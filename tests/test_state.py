@@ -9,7 +9,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import biblio, corpus, enrichment, files, graph, layout, metrics, revisions, spans
+from lectern.operators import biblio, corpus, enrichment, files, graph, layout, metrics, retrieval, revisions, spans
 
 KNOWN = "id string, paper_id string, path string, sha256 string, size_bytes long, modified_at_ns long, is_missing boolean, created_at long"
 LISTING = "path string, size_bytes long, modified_at_ns long, sha256 string"
@@ -220,3 +220,34 @@ def test_graph_cache_recomputes_stale_roots(spark, tmp_path):
     again = ask("a", "f2", fewer)
     assert again.computed == 1 and again.edges.count() == 0 and ask("bcd", "f1").computed == 0
     assert ask("a", "f1").computed == 1  # the entry of the other state has replaced it
+
+
+def test_imports_update_source_rows(spark):
+    """A known row keeps its item key and first import; a candidate without a paper leaves none; the first collection counts."""
+    shape = "attachment_key string, item_key string, sha256 string, title string, authors array<string>, year int, doi string, target_path string, modified_at long"
+    rows = [("A1", "I1", "x", "T", ["a"], 1999, None, "/1", 5), ("A2", "I2", "x", None, [], None, "10.1/2", "/2", None), ("A3", "I3", "y", "U", None, 2, None, "/3", 6)]
+    candidates = spark.createDataFrame(rows, shape)
+    names = spark.createDataFrame([("A1", 1, "second"), ("A1", 0, "first")], "attachment_key string, collection_order int, collection string")
+    papers = spark.createDataFrame([(7, "x")], "id long, sha256 string")
+    columns = "source_type string, attachment_key string, item_key string, paper_id long, source_collection string, source_path string, source_modified_at long, metadata_json string, imported_at string"
+    known = spark.createDataFrame([("zotero", "A2", "old", 3, "gone", "/old", 1, "{}", "before"), ("folder", "A1", "k", 4, "c", "/k", 1, "{}", "before")], columns)
+    sources = files.import_sources(candidates, names, papers, known, F.lit("now"))
+    assert {tuple(r) for r in sources.collect()} == {
+        ("zotero", "A1", "I1", 7, "first", "/1", 5, '{"title":"T","authors":["a"],"year":1999,"DOI":null}', "now"),
+        ("zotero", "A2", "old", 7, None, "/2", None, '{"title":null,"authors":[],"year":null,"DOI":"10.1/2"}', "before"),
+        ("folder", "A1", "k", 4, "c", "/k", 1, "{}", "before")}
+    assert {tuple(r) for r in files.collection_members(sources).collect()} == {("first", 7), ("c", 4)}
+    again = files.import_sources(candidates, names, papers, sources, F.lit("later"))
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in sources.collect()}
+
+
+def test_tree_order_is_collated(spark):
+    """Roots first, names by sound and a missing one first; children stay numbered under a parent."""
+    rows = [("1", None, "中", 0), ("2", None, "阿", 0), ("3", "1", "A", 0), ("4", None, "b", 0), ("5", None, "B", 1), ("6", None, None, 0)]
+    got = graph.tree_order(spark.createDataFrame(rows, "id string, parent_id string, name string, sort_order int")).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == ["6", "2", "1", "4", "5", "3"]
+    papers = spark.createDataFrame([("p",)], "id string")
+    members = spark.createDataFrame([("p", "c2", 1), ("p", "c1", 2), ("q", "c1", 1)], "paper_id string, collection_id string, assigned_at int")
+    figures = spark.createDataFrame([("p", "f", None), ("p", "e", 3), ("p", "d", 3)], "paper_id string, figure_id string, page int")
+    children = retrieval.listing_children(papers, members, figures)
+    assert {tuple(r) for r in children.collect()} == {("p", "collection", 1, "c2"), ("p", "collection", 2, "c1"), ("p", "figure", 1, "f"), ("p", "figure", 2, "d"), ("p", "figure", 3, "e")}
