@@ -1,7 +1,8 @@
 """Token ids in compressed binary blocks, written in ascending doc_id order and read back.
 
 The table is range-partitioned by doc_id.  A part is a run of documents; its ids are cut into
-blocks of at most ``BLOCK`` that are coded independently (``coder``), with a checksum over the ids.  A block's row
+blocks of ``BLOCK`` (the last one of a part takes what is left) that are coded independently (``coder``), with a
+checksum over the ids.  A block's row
 also says which documents lie in it and with how many ids, so any block can be read alone.
 The rows are stored by Spark's Parquet writer, which commits whole tasks only.
 """
@@ -22,9 +23,9 @@ from lectern.llm.tokens import encoder
 from lectern.session import checkpointed
 
 VOCABULARY = "byte_bpe_50k.json"
-BLOCK = 512
-#: Blocks coded at a time.
-LANES = 4096
+BLOCK = 2048
+#: Blocks coded at a time; it bounds the memory and has no part in the format.
+LANES = 2048
 
 
 def blocks(docs: DataFrame, file: str = VOCABULARY, end: int = 0) -> DataFrame:
@@ -38,8 +39,7 @@ def blocks(docs: DataFrame, file: str = VOCABULARY, end: int = 0) -> DataFrame:
 
     def coded(part: int, block: int, ids: np.ndarray, ordinals: np.ndarray, names: list, sizes: np.ndarray) -> pd.DataFrame:
         """Rows of the blocks of ``ids``, in which the documents have ``sizes`` ids one after the other."""
-        width = max(64, min(BLOCK, -(-len(ids) // LANES)))
-        cuts = np.append(np.arange(width, len(ids), width), len(ids))
+        cuts = np.append(np.arange(BLOCK, len(ids), BLOCK), len(ids))
         ends = np.cumsum(sizes)
         points = np.union1d(ends, cuts)
         begin = np.append(0, points[:-1])

@@ -120,6 +120,17 @@ def test_binary_files_and_pieces(spark, odd, tmp_path):
     assert n == sum(map(len, plain(*FILES[1][::2], [r.text for r in odd.collect()])))
 
 
+def test_binary_format_is_that_of_any_size(spark):
+    """Blocks hold 2,048 ids but for the last of a part, however small the part; recurring ids take far less than two bytes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    stored = binary.blocks(docs.coalesce(1)).collect()
+    last = {}
+    for r in stored:
+        last[r.part] = max(last.get(r.part, 0), r.block)
+    assert all(r.n_ids == binary.BLOCK for r in stored if r.block < last[r.part]) and all(0 < r.n_ids <= binary.BLOCK for r in stored)
+    assert sum(len(r.payload) for r in stored) < 1.7 * sum(r.n_ids for r in stored)
+
+
 def test_binary_nothing(none):
     assert binary.round_trip(none).count() == 0
 
