@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.jsontext import overriding, tolerant_list, tolerant_object
+from lectern.session import checkpointed
 from lectern.skew import contains_pairs, exploded, first_rows, number_rows
 
 # States that count as done or as trouble in the status buckets.
@@ -155,6 +156,24 @@ def read_references(calls: DataFrame, refs: DataFrame) -> DataFrame:
     return calls.select("call_id", "paper_id", n.alias("n")).join(listed, "paper_id").where("ref_no <= n").drop("n")
 
 
+def term_postings(sections: DataFrame, limit: int, scopes: DataFrame | None = None) -> DataFrame:
+    """Stored lists ``(scope, token, section_key, ord)``: the first ``limit`` sections of each piece of text between spaces.
+
+    Sections stand in the list of all papers (scope ``''``) and, for ``scopes(scope)``, in that of their own paper.  The
+    lists are cut inside the map tasks and written once, so texts are split once however often the lists are read.
+    """
+    paper = [] if scopes is None else [F.col("paper_id").cast("string").alias("_paper")]
+    tokens = exploded(sections, F.array_distinct(T.words(F.lower("text"))), "token", "section_key", "ord", *paper)
+    lists = tokens.withColumn("scope", F.lit(""))
+    if scopes is not None:
+        asked = scopes.select(F.col("scope").alias("_paper"), F.lit(True).alias("_asked"))
+        both = F.when(F.col("_asked"), F.array(F.lit(""), F.col("_paper"))).otherwise(F.array(F.lit("")))
+        lists = tokens.join(asked, "_paper", "left").select("token", "section_key", "ord", F.explode(both).alias("scope"))
+    # The token leads the sort: the scope is nearly always empty and would leave every comparison to whole rows.
+    kept = first_rows(lists, ["token", "scope"], [F.col("ord")], limit)
+    return checkpointed(kept.select("scope", "token", "section_key", "ord"))
+
+
 def find_evidence(queries: DataFrame, sections: DataFrame, limit: int = 10, before: int = 180, after: int = 420, carry: tuple[str, ...] = ()) -> DataFrame:
     """The first sections, in order, that hold any of a query's terms, with a snippet.
 
@@ -173,16 +192,11 @@ def find_evidence(queries: DataFrame, sections: DataFrame, limit: int = 10, befo
     asked = queries.select("query_id", inside.alias("scope"), own.alias("_own"), F.transform(F.slice(pieces, 1, 8), lambda w: F.lower(w)).alias("terms")).where(F.size("terms") > 0)
     terms = asked.select("query_id", "scope", F.explode(F.array_distinct("terms")).alias("term"))
 
-    paper = [F.col("paper_id").cast("string").alias("scope")] if "paper_id" in queries.columns else []
-    tokens = exploded(sections, F.array_distinct(T.words(F.lower("text"))), "token", "section_key", "ord", *paper)
-    # Sections stand in the list of all papers and, where a call is confined to it, in that of their own.
-    lists = tokens.withColumn("scope", F.lit(""))
-    if paper:
-        lists = lists.unionByName(tokens.join(asked.select("scope").where("scope <> ''").distinct(), "scope", "left_semi"))
-    postings = first_rows(lists, ["scope", "token"], [F.col("ord")], limit)
+    scopes = asked.select("scope").where("scope <> ''").distinct() if "paper_id" in queries.columns else None
+    postings = term_postings(sections, limit, scopes)
     matches = contains_pairs(terms.select("term").distinct(), postings.select("token").distinct(), "term", "token")
-    per_term = matches.join(postings, "token").groupBy("scope", "term", "section_key", "ord").agg(F.lit(1).alias("_one")).drop("_one")
-    per_term = first_rows(per_term, ["scope", "term"], [F.col("ord")], limit)
+    per_term = matches.join(postings, "token").select("term", "scope", "section_key", "ord").distinct()
+    per_term = first_rows(per_term, ["term", "scope"], [F.col("ord")], limit)
     per_query = terms.join(per_term, ["scope", "term"]).select("query_id", "section_key", "ord").distinct()
     top = first_rows(per_query, ["query_id"], [F.col("ord")], limit, rank="rank")
 

@@ -11,6 +11,7 @@ from lectern.operators import context, corpus, retrieval
 from lectern.operators.corpus import coarse
 from lectern.queries import query
 from lectern.queries.tables import SOURCE_PAGES, WS, paragraphs, source_pages, sql_norm, sql_strip, table
+from lectern.session import spread
 from lectern.skew import assemble_text, exploded, first_rows, placed_text
 
 # ------------------------------------------------------------------ duplicates, budgets
@@ -420,7 +421,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank
 SELECT item_id, rank::INT AS rank, r.doc_id, position::INT AS position, {sql_strip("substr(text, greatest(0, position - 180) + 1, position + 420 - greatest(0, position - 180))")} AS snippet FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 10""")
 def evidence(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_key"), F.col("doc_id").alias("ord"), "text")
+    s = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("section_key"), F.col("doc_id").alias("ord"), "text")
     return retrieval.find_evidence(q, s).select(F.col("query_id").alias("item_id"), "rank", F.col("section_key").alias("doc_id"), "position", "snippet")
 
 
@@ -433,7 +434,7 @@ def evidence_in_paper(spark, sf_dir):
     """Evidence in one source for each benchmark passage, with a limit of its own."""
     k = F.col("item_id")
     q = table(spark, sf_dir, "benchmark").select(k.alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("paper_id"), (3 + k % 4).alias("limit"))
-    s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_key"), F.col("doc_id").alias("ord"), F.col("source").alias("paper_id"), F.col("source").alias("paper_title"), F.col("lang").alias("section_title"), "text")
+    s = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("section_key"), F.col("doc_id").alias("ord"), F.col("source").alias("paper_id"), F.col("source").alias("paper_title"), F.col("lang").alias("section_title"), "text")
     return retrieval.find_evidence(q, s, carry=("paper_title", "section_title")).select(F.col("query_id").alias("item_id"), "rank", F.col("section_key").alias("doc_id"), "paper_title", "section_title", "position")
 
 

@@ -60,6 +60,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table read whose splits are fewer than the cores at hand, dealt over all of them before costly text work.
+
+    A table of at least as many splits as cores (any large one) is left as it is and moves nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``row, _doc``: the rows of ``df`` written once with a number each.
 

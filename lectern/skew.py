@@ -22,6 +22,7 @@ from lectern.session import checkpointed
 
 PAIR_CHUNK = 256
 GRAM = 24
+TINY, SALTS = 3, 64
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
@@ -185,21 +186,30 @@ def contains_pairs(needles: DataFrame, hays: DataFrame, needle: str, hay: str, g
     needles = needles.select(needle).where(F.length(needle) > 0)
     hays = hays.select(hay)
 
+    # A needle of one to three characters lies in very many hays: it is copied to every salt, and hays are dealt among them.
+    # There are only so many of these as the alphabet gives.
+    salted = F.col("_n") <= TINY
     short = needles.where(F.length(needle) < gram).withColumn("_n", F.length(needle))
+    salts = F.when(salted, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = short.select(needle, "_n", F.explode(salts).alias("_salt"))
+    # One row per hay and length in use; its substrings of that length follow, at the salt of the hay.
     lengths = F.sequence(F.lit(1), F.least(F.length(hay), F.lit(gram - 1)))
     wanted = short.select("_n").distinct()
     sized = exploded(hays.where(F.length(hay) > 0), lengths, "_n", hay).join(wanted, on="_n")
-    short_hits = exploded(sized, grams(F.col(hay), F.col("_n")), needle, hay, "_n").join(short, on=[needle, "_n"]).select(needle, hay)
-
-    long = needles.where(F.length(needle) >= gram)
-    pieces = exploded(hays, grams(F.col(hay), gram), "_g", hay)
-    frequency = pieces.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    own = exploded(long, grams(F.col(needle), gram), "_g", needle)
-    rated = own.join(frequency, on="_g", how="left")
+    sized = sized.withColumn("_salt", F.when(salted, F.pmod(F.xxhash64(hay), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    short_hits = exploded(sized, grams(F.col(hay), F.col("_n")), needle, hay, "_n", "_salt").join(dealt, on=[needle, "_n", "_salt"]).select(needle, hay)
+
+    # Only pieces that some needle owns are rated: the hays' other pieces go no further than the map stage's join.
+    own = exploded(needles.where(F.length(needle) >= gram), grams(F.col(needle), gram), "_g", needle)
+    owned = own.select("_g").distinct()
+    pieces = exploded(hays.where(F.length(hay) >= gram), grams(F.col(hay), gram), "_g", hay)
+    frequency = pieces.join(owned, "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
     anchors = (
-        rated.groupBy(needle)
-        .agg(F.min(F.struct(F.coalesce(F.col("_f"), F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("_a"))
-        .where(F.col("_a.f") > 0)
+        own.join(frequency, on="_g")
+        .groupBy(needle)
+        .agg(F.min(F.struct(F.col("_f").alias("f"), F.col("_g").alias("g"))).alias("_a"), F.count(F.lit(1)).alias("_found"))
+        .join(needles.select(needle, F.size(grams(F.col(needle), gram)).alias("_pieces")), needle)
+        .where("_found = _pieces")
         .select(needle, F.col("_a.g").alias("_g"))
     )
     long_hits = pieces.join(anchors, on="_g").where(F.contains(F.col(hay), F.col(needle))).select(needle, hay)

@@ -45,7 +45,7 @@ def test_contains_pairs_equals_brute_force(spark):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
     hays = sorted({word(rng.randint(0, 60)) for _ in range(80)})
-    needles = sorted({h[i:i + n] for h in hays for i, n in ((1, 3), (2, 30), (0, 24)) if h[i:i + n]} | {word(26) for _ in range(10)})
+    needles = sorted({h[i:i + n] for h in hays for i, n in ((1, 3), (2, 30), (0, 24)) if h[i:i + n]} | {word(26) for _ in range(10)} | {"a", "b ", "zz", "a" * 24 + "z"})
     left, right = spark.createDataFrame([(n,) for n in needles], ["n"]), spark.createDataFrame([(h,) for h in hays], ["h"])
     df = contains_pairs(left, right, "n", "h")
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ from lectern.functions import biblio as B
 from lectern.functions import markup as M
 from lectern.functions import segments as S
 from lectern.functions import text as T
-from lectern.operators import biblio, corpus
+from lectern.operators import biblio, corpus, retrieval
 
 
 def one(spark, column, **values):
@@ -145,3 +145,19 @@ def test_anchor_roundtrip(spark):
 def test_nothing_matches_ambiguous_replacement(spark):
     got = one(spark, M.replace_unique(F.col("m"), F.lit("x y"), F.lit("Z")), m="xy and x  y")
     assert got["replaced"] is False
+
+
+def test_evidence_reads_texts_once_for_its_lists(spark):
+    texts = [(i, i, f"p{i % 2}", f"term{i % 3} shared Alpha{i}") for i in range(12)]
+    sections = spark.createDataFrame(texts, "section_key long, ord long, paper_id string, text string")
+    lists = retrieval.term_postings(sections, 2, spark.createDataFrame([("p1",)], ["scope"]))
+    got = {(r["scope"], r["token"]): [] for r in lists.collect()}
+    for r in lists.collect():
+        got[r["scope"], r["token"]].append(r["ord"])
+    assert sorted(got["", "shared"]) == [0, 1] and sorted(got["p1", "shared"]) == [1, 3] and ("p0", "shared") not in got
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan  # stored: read back, not split again
+    asked = spark.createDataFrame([("q", "alpha SHARED", "p1", 2), ("r", "hared", "", 3), ("s", "nothing", "", 5)], "query_id string, query string, paper_id string, limit int")
+    found = sorted((r["query_id"], r["rank"], r["section_key"]) for r in retrieval.find_evidence(asked, sections).collect())
+    assert found == [("q", 1, 1), ("q", 2, 3), ("r", 1, 0), ("r", 2, 1), ("r", 3, 2)]
+    assert retrieval.find_evidence(asked, sections.where("false")).count() == 0
