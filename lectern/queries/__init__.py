@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["text", "biblio", "library", "revisions", "spans", "layout", "enrichment", "activity"]
+MODULES = ["text", "biblio", "library", "revisions", "spans", "layout", "enrichment", "activity", "stored"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

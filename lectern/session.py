@@ -48,6 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/lectern-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
@@ -55,7 +60,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     the rows once, and the table's size is known to the planner that reads it.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

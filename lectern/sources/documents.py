@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import schemas
+from lectern.operators import metrics
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per file, with a fixed schema (no inference pass)."""
-    return spark.read.schema(schemas.DOCUMENT).option("multiLine", True).json(path)
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Structured documents with a fixed schema (no inference pass): a JSON document per file, or per line of larger files."""
+    return spark.read.schema(schemas.DOCUMENT).option("multiLine", not lines).json(path)
 
 
 def sections_of(documents: DataFrame) -> DataFrame:
@@ -41,6 +42,35 @@ def field_values(export: dict[str, DataFrame]) -> DataFrame:
     return export["itemData"].join(export["fields"], "fieldID").join(export["itemDataValues"], "valueID").select("itemID", "fieldName", "value")
 
 
+def attachment_path(path: Column, key: Column, data_dir: str) -> Column:
+    """Where an attachment lies: a stored one in the folder of its key; null for linked base folders, which are not supported."""
+    stored = F.concat(F.lit(f"{data_dir}/storage/"), key, F.lit("/"), F.substring(path, F.lit(len("storage:") + 1), F.length(path)))
+    return F.when(F.startswith(path, F.lit("storage:")), stored).when(~F.startswith(path, F.lit("attachments:")), path)
+
+
+def export_items(export: dict[str, DataFrame], data_dir: str, fields: tuple[str, ...] = ("title", "date", "DOI")) -> DataFrame:
+    """One row per PDF attachment that is not deleted, with the metadata of its parent item.
+
+    ``authors`` is the JSON list of the creators' names in order and ``collections`` that of the collections' names by id,
+    both ``[]`` where an item has none; ``category`` follows from the collections.
+    """
+    kept = metrics.attachments(export["itemAttachments"], export["items"], export["deletedItems"])
+    fields_of = metrics.pivot_fields(field_values(export), list(fields))
+    authors = metrics.creator_names(export["itemCreators"], export["creators"]).groupBy("itemID").agg(_in_order("orderIndex", "author").alias("authors"))
+    named = export["collectionItems"].select("collectionID", "itemID").join(export["collections"], "collectionID")
+    collections = named.groupBy("itemID").agg(_in_order("collectionID", "collectionName").alias("collections"))
+    told = fields_of.join(authors, "itemID", "full_outer").join(collections, "itemID", "full_outer").withColumnRenamed("itemID", "parentItemID")
+    joined = kept.join(told, "parentItemID", "left")
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    return joined.select(
+        "attachmentID", "attachmentKey", "itemKey", attachment_path(F.col("path"), F.col("attachmentKey"), data_dir).alias("path"), *fields, metrics.year_of(F.col("date")).alias("year"),
+        F.to_json(listed(F.col("authors"))).alias("authors"), F.to_json(listed(F.col("collections"))).alias("collections"), metrics.category(listed(F.col("collections"))).alias("category"))
+
+
+def _in_order(order: str, value: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: r[value])
+
+
 def file_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream of file events landed as JSON lines."""
     return spark.readStream.schema(schemas.FILE_EVENTS).json(path)

@@ -39,10 +39,10 @@ def touched_buckets(table: DataFrame, changes: DataFrame, key: str, buckets: int
     return table.join(hit, "bucket", "left_semi")
 
 
-def write_artifacts(markdown: DataFrame, documents: DataFrame, metadata: DataFrame, references: DataFrame, root: str) -> None:
+def write_artifacts(markdown: DataFrame, documents: DataFrame, metadata: DataFrame, references: DataFrame, root: str, buckets: int = BUCKETS) -> None:
     """Per-paper artifacts as four tables; text is a column, not a file per paper."""
     for name, df in (("markdown", markdown), ("documents", documents), ("metadata", metadata), ("references", references)):
-        write_bucketed(df, f"{root}/{name}", "paper_id", 16 if name == "metadata" else BUCKETS)
+        write_bucketed(df, f"{root}/{name}", "paper_id", min(16, buckets) if name == "metadata" else buckets)
 
 
 def table_cells(tables: DataFrame) -> DataFrame:

@@ -143,7 +143,12 @@ def test_file_inventory_and_tables(spark, tmp_path):
     (root / "c.txt").write_text("no")
     listing = FS.list_files(spark, str(root))
     assert listing.count() == 2
-    rows = {r["path"].rsplit("/", 1)[1]: r for r in [r for part in FS.read_changed(spark, listing) for r in part.collect()]}
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in FS.read_changed(listing, 2).collect()}
+    whole = {r["path"]: r for r in FS.inventory(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root))).collect()}
+    assert all(r == whole[r["path"]] for r in rows.values()) and set(rows) == {"a.pdf", "B.PDF"}
+    gone = FS.read_changed(spark.createDataFrame([(f"file:{root}/none.pdf",)], ["path"]), 1).first()
+    assert gone["sha256"] is None and gone["page_count"] is None
+    assert FS.inventory_total(FS.read_changed(listing, 2)).first()["pages"] == 3
     assert rows["a.pdf"]["page_count"] == 2 and rows["a.pdf"]["encrypted"] and rows["B.PDF"]["page_count"] == 1
     table = spark.createDataFrame([(i, f"v{i}") for i in range(40)], ["paper_id", "v"])
     out = str(tmp_path / "table")
@@ -156,3 +161,11 @@ def test_file_inventory_and_tables(spark, tmp_path):
     lines = sorted(r["value"] for r in spark.read.text(csv).collect())
     assert lines == ['t,0,a,b', 't,1,"1,5","""q"""']
     assert all(len([f for f in d.iterdir() if f.suffix == '.parquet']) <= 4 for d in (tmp_path / 'table').iterdir() if d.is_dir())
+
+
+def test_marks_over_chunk_ends(tmp_path):
+    body = b"/Type /Page/Type /Page /Type /Pages/Type /Page\n/Encrypt /Type /Page"
+    (tmp_path / "a b.pdf").write_bytes(body)
+    want = FS.inspect(str(tmp_path / "a b.pdf"))
+    assert want[0] == len(body) and want[2] == 2 and want[3]
+    assert all(FS.inspect(f"file:{tmp_path}/a b.pdf", n) == want for n in range(1, len(body) + 1))
