@@ -38,11 +38,11 @@ def normalized_box(r: Column, page_w: Column, page_h: Column) -> Column:
     )
 
 
-def is_marginal(r: Column, text: Column, page_w: Column, page_h: Column) -> Column:
-    """Header, footer, side strip or bare page number."""
+def is_marginal(r: Column, text: Column, page_w: Column, page_h: Column, digits: int | None = 5) -> Column:
+    """Header, footer, side strip or bare page number of at most ``digits`` digits (``None``: any number)."""
     edge = (r["y1"] < page_h * 0.07) | (r["y0"] > page_h * 0.925)
     strip = (height(r) > page_h * 0.55) & (width(r) < page_w * 0.08)
-    return edge | strip | text.rlike(r"(?i)^(?:page\s*)?\d{1,5}$")
+    return edge | strip | text.rlike(rf"(?i)^(?:page\s*)?\d{{1,{digits or ''}}}$")
 
 
 def is_page_raster(image_w: Column, image_h: Column, page_w: Column, page_h: Column) -> Column:

@@ -18,10 +18,10 @@ from lectern.skew import exploded
 PAGE = ["paper_id", "page"]
 
 
-def body_blocks(layout: DataFrame, boxes: DataFrame | None = None, share: float = 0.28) -> DataFrame:
-    """Blocks outside the margins, not blank, and not mostly under a table or figure box."""
+def body_blocks(layout: DataFrame, boxes: DataFrame | None = None, share: float = 0.28, digits: int | None = 5) -> DataFrame:
+    """Blocks outside the margins, not blank, no page number (of at most ``digits`` digits; ``None``: any), and not mostly under a table or figure box."""
     text = F.trim(F.regexp_replace("text", r"[ \t]+", " "))
-    kept = layout.withColumn("text", text).where((F.col("text") != "") & ~G.is_marginal(F.col("rect"), F.col("text"), F.col("page_w"), F.col("page_h")))
+    kept = layout.withColumn("text", text).where((F.col("text") != "") & ~G.is_marginal(F.col("rect"), F.col("text"), F.col("page_w"), F.col("page_h"), digits))
     if boxes is None:
         return kept
     covered = kept.join(boxes.select(*PAGE, F.col("rect").alias("box")), PAGE).where(G.overlap_ratio(F.col("rect"), F.col("box")) > share)

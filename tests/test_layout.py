@@ -1,8 +1,14 @@
 """Figure boxes on pages with graphics, and on scanned pages where only text blocks lie above a caption."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from lectern import queries as q
 from lectern.operators import layout
+from tests.compare import DATA, rows_of
+
+q.load_all()
 
 SHAPE = "paper_id string, page int, page_w double, page_h double, block_id string, rect struct<x0:double,y0:double,x1:double,y1:double>, text string"
 
@@ -43,3 +49,25 @@ def test_captions_keep_to_themselves(spark):
     assert boxes(spark, blocks, graphics) == [(44.0, 54.0, 206.0, 196.0), (44.0, 244.0, 206.0, 486.0)]
     empty = spark.createDataFrame([], SHAPE)
     assert layout.figure_boxes(empty, empty).agg(F.count("*")).first()[0] == 0
+
+
+def test_bare_numbers_of_any_length(spark):
+    """A page number has at most five digits; where longer numbers stand on a page, ``digits`` says so."""
+    texts = ["12345", "page 7", "123456", "x 123456"]
+    rows = [("p", 1, 600.0, 800.0, t, (100.0, 100.0, 300.0, 120.0), t) for t in texts]
+    page = spark.createDataFrame(rows, SHAPE)
+    assert {r["text"] for r in layout.body_blocks(page).collect()} == {"123456", "x 123456"}
+    assert {r["text"] for r in layout.body_blocks(page, digits=None).collect()} == {"x 123456"}
+
+
+@pytest.mark.parametrize("name", ["body_blocks", "gap_islands", "lane_clusters", "lanes"])
+def test_part_keys_of_six_digits(spark, tmp_path, name):
+    """Keys of a larger table, on which the layout queries differed from their SQL."""
+    lines = spark.read.parquet(f"{DATA}/sf0.001/lineitem.parquet")
+    lines.withColumn("l_partkey", F.col("l_partkey") + 120000).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    df = q.QUERIES[name](spark, str(tmp_path))
+    con.execute(q.ORACLES[name])
+    want = rows_of([d[0] for d in con.description], con.fetchall())
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
