@@ -33,26 +33,35 @@ class CitationGraph:
 
 
 def _visits(roots: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """References in visiting order: the root's own, then those of its direct nodes."""
-    keyed = refs.withColumn("key", reference_key(F.col("doi"), F.col("arxiv"), F.col("title")))
-    keyed = checkpointed(keyed.select("paper_id", "pos", "ref_id", "title", "authors", "year", "key", "resolved_id"))
+    """References in visiting order: the root's own, then those of its direct nodes.
+
+    Keys are kept as 16 bytes of their SHA-256, and every reference has a stored number ``ref`` by which a node's title
+    and authors are looked up at the end, so that texts do not travel with the visits.
+    """
+    key = F.unhex(F.left(F.sha2(reference_key(F.col("doi"), F.col("arxiv"), F.col("title")), 256), F.lit(32)))
+    keyed = checkpointed(refs.select(F.monotonically_increasing_id().alias("ref"), "paper_id", "pos", "ref_id", "title", "authors", "year", key.alias("key"), "resolved_id"))
     first = roots.select("root_id").join(keyed, roots["root_id"] == keyed["paper_id"]).drop("paper_id")
     return keyed, first.withColumn("depth", F.lit(1))
 
 
 def _node_ids(visits: DataFrame) -> DataFrame:
-    """Node of each visit: its paper, else the node its key had before, else its own id."""
+    """Node of each visit: its paper, else the node its key had before, else its own id.
+
+    The visits meet the totals of their keys once; the result is stored, and only keys seen both resolved and
+    unresolved need the order-dependent rule.  ``repeated`` tells keys with more than one visit.
+    """
     grouped = visits.groupBy("root_id", "key").agg(
         F.min_by("ref_id", F.struct("depth", "dord", "pos")).alias("_first"),
         F.max(F.col("resolved_id").isNotNull().cast("int")).alias("_some"), F.min(F.col("resolved_id").isNotNull().cast("int")).alias("_all"),
+        (F.count(F.lit(1)) > 1).alias("repeated"),
     )
-    known = visits.join(grouped, ["root_id", "key"])
-    plain = known.where("_some = _all").withColumn("node_id", F.coalesce("resolved_id", "_first"))
-    # Only keys seen both resolved and unresolved need the order-dependent rule.
-    mixed = known.where("_some <> _all").withColumn("_v", F.col("depth") * F.lit(1 << 40) + F.col("dord"))
+    is_mixed = F.col("_some") != F.col("_all")
+    known = visits.join(grouped, ["root_id", "key"]).withColumn("node_id", F.when(is_mixed, F.col("_first")).otherwise(F.coalesce("resolved_id", "_first")))
+    known = checkpointed(known.withColumn("_mixed", is_mixed).drop("_first", "_some", "_all", "ref_id"))
+    mixed = known.where("_mixed").withColumn("_v", F.col("depth") * F.lit(1 << 40) + F.col("dord"))
     mixed = running_by(mixed, ["root_id", "key"], ["_v", "pos"], {"_last": ("last", F.col("resolved_id"))})
-    mixed = mixed.withColumn("node_id", F.coalesce("_last", "_first")).drop("_v", "_last")
-    return plain.unionByName(mixed).drop("_first", "_some", "_all")
+    mixed = checkpointed(mixed.withColumn("node_id", F.coalesce("_last", "node_id")).drop("_v", "_last"))
+    return known.where("not _mixed").unionByName(mixed).drop("_mixed")
 
 
 def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth: int = 2) -> CitationGraph:
@@ -79,24 +88,29 @@ def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth
 
     cites = direct_all.select("root_id", F.col("root_id").alias("source"), F.col("node_id").alias("target"))
     nodes = [direct.select("root_id", "node_id", "title", "authors", "year", "resolved", F.lit(1).alias("depth"))]
+    bare = ["root_id", "depth", "resolved"]
+    counted = [nodes[0].select(*bare)]
     relations: list[DataFrame] = []
     if max_depth == 2:
+        steps = ["root_id", "source", "dord", "depth", "ref", "pos", "ref_id", "key", "resolved_id"]
         second = (
             direct.where("resolved").select("root_id", F.col("node_id").alias("source"), "dord")
-            .join(keyed, F.col("source") == F.col("paper_id")).drop("paper_id").withColumn("depth", F.lit(2))
+            .join(keyed, F.col("source") == F.col("paper_id")).withColumn("depth", F.lit(2)).select(*steps)
         )
-        both = second.unionByName(first.withColumn("dord", F.lit(0).cast("long")).withColumn("source", F.col("root_id")))
-        visited = checkpointed(_node_ids(both).where("depth = 2"))
+        both = second.unionByName(first.withColumn("dord", F.lit(0).cast("long")).withColumn("source", F.col("root_id")).select(*steps))
+        visited = _node_ids(both).where("depth = 2")
         second_all = visited.where(F.col("node_id") != F.col("source"))
         cites = cites.unionByName(second_all.select("root_id", "source", F.col("node_id").alias("target")))
         fresh = visited.where(F.col("node_id") != F.col("root_id"))
-        reached = fresh.groupBy("root_id", "node_id").agg(F.min_by(F.struct("title", "authors", "year"), F.struct("dord", "pos")).alias("a"))
+        reached = fresh.groupBy("root_id", "node_id").agg(F.min(F.struct("dord", "pos", "ref")).alias("at"))
         reached = reached.join(direct.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti").join(title_of, "node_id", "left")
-        nodes.append(reached.select("root_id", "node_id", F.coalesce("paper_title", "a.title").alias("title"), F.col("a.authors").alias("authors"), F.col("a.year").alias("year"),
-                                    F.col("paper_title").isNotNull().alias("resolved"), F.lit(2).alias("depth")))
-        keys = second.select("root_id", "source", "dord", "key").distinct()
+        reached = reached.select("root_id", "node_id", "at.ref", "paper_title", F.col("paper_title").isNotNull().alias("resolved"), F.lit(2).alias("depth"))
+        counted.append(reached.select(*bare))
+        described = reached.join(keyed.select("ref", "title", "authors", "year"), "ref")
+        nodes.append(described.select("root_id", "node_id", F.coalesce("paper_title", "title").alias("title"), "authors", "year", "resolved", "depth"))
+        keys = visited.where("repeated").select("root_id", "source", "dord", "key").distinct()
         relations.append(_weighted(pairs_within(keys, ["root_id", "key"], "source", "dord"), "source", "shared_reference"))
-        relations.append(_mutual(second))
+        relations.append(_mutual(visited))
     relations.append(coauthor_edges(direct))
     relations.append(topic_edges(direct))
 
@@ -106,7 +120,7 @@ def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth
     root_nodes = papers.select(F.col("id").alias("root_id"), F.col("id").alias("node_id"), "title", *[v.alias(c) for c, v in shown.items()], F.lit(True).alias("resolved"), F.lit(0).alias("depth")).join(roots.select("root_id"), "root_id", "left_semi")
     members = reduce(DataFrame.unionByName, nodes, root_nodes)
     with_refs = first.select("root_id").distinct().withColumn("has_refs", F.lit(True))
-    return CitationGraph(members, [weighted, *relations], graph_summary(members, with_refs, max_depth))
+    return CitationGraph(members, [weighted, *relations], graph_summary(reduce(DataFrame.unionByName, counted, root_nodes.select(*bare)), with_refs, max_depth))
 
 
 def _weighted(pairs: DataFrame, item: str, relation: str) -> DataFrame:

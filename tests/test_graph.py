@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lectern.operators import biblio, graph
+from lectern.session import checkpointed
 from lectern.skew import assemble_text, contains_pairs, number_rows, pairs_within, placed_text, running
 
 REFS = "paper_id string, pos int, ref_id string, title string, authors array<string>, year int, doi string, arxiv string"
@@ -128,3 +129,17 @@ def test_nodes_carry_authors(spark):
     shown = {r["node_id"]: (r["authors"], r["year"]) for r in g.nodes.collect()}
     assert shown == {"root": (["Ada"], 1999), "b": (["Bo Li"], 2020), "r2": (["Cy Ng"], 2010)}
     assert [r["node_id"] for r in graph.visible_nodes(g.nodes, query="cy NG 2010").collect()] == ["r2"]
+
+
+def test_visits_hold_no_texts(spark, monkeypatch):
+    """The stored visits of the second level hold ids and keys; a node's title and authors are looked up by the reference that led to it."""
+    stored = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df: stored.append(df.columns) or checkpointed(df))
+    papers, refs = small(spark)
+    g = graph.build_graphs(papers.where("id = 'root'").select(F.col("id").alias("root_id")), papers, refs)
+    second = [set(c) for c in stored if "source" in c]
+    assert second and not any(c & {"title", "authors", "ref_id"} for c in second)
+    node = g.nodes.where("depth = 2").first()
+    assert (node["title"], node["year"], node["resolved"]) == ("Shared Work X", 2020, False)
+    weights = g.edges.where("relation = 'shared_reference'").select("source", "target", "weight").collect()
+    assert [tuple(w) for w in weights] == [("b", "d", 1)]
