@@ -251,3 +251,21 @@ def test_tree_order_is_collated(spark):
     figures = spark.createDataFrame([("p", "f", None), ("p", "e", 3), ("p", "d", 3)], "paper_id string, figure_id string, page int")
     children = retrieval.listing_children(papers, members, figures)
     assert {tuple(r) for r in children.collect()} == {("p", "collection", 1, "c2"), ("p", "collection", 2, "c1"), ("p", "figure", 1, "f"), ("p", "figure", 2, "d"), ("p", "figure", 3, "e")}
+
+
+def test_terms_do_not_carry_their_source(spark):
+    """A term meets the text of its sentence only: with the source on every row a long text was shuffled once per term."""
+    source = "Alpha model is here. " * 3 + "Beta method is there."
+    answer = '{"segments": [{"id": "sentence-4", "translatedText": "B"}], "terms": [{"text": "Beta", "translation": "B", "segmentId": "sentence-4"}, {"text": "Alpha", "translation": "A", "sourceStart": 21, "sourceEnd": 26}]}'
+    rows = spark.createDataFrame([("u", source, answer)], ["unit_id", "source", "response"])
+    out = spans.align_terms(rows)
+    got = {r["text"]: (r["source_start"], r["source_end"]) for r in out.collect()}
+    assert got == {"Beta": (63, 67), "Alpha": (21, 26)}
+    plan = out._jdf.queryExecution().optimizedPlan()
+    todo, joined = [plan], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Join":
+            joined.append({node.output().apply(i).name() for i in range(node.output().size())})
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert joined and not any("source" in names for names in joined)
