@@ -269,3 +269,13 @@ def test_terms_do_not_carry_their_source(spark):
             joined.append({node.output().apply(i).name() for i in range(node.output().size())})
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert joined and not any("source" in names for names in joined)
+
+
+def test_reprojection_works_by_slices(spark, monkeypatch):
+    """More records than a slice, in one batch: only a slice becomes Python objects at a time, and none is lost."""
+    monkeypatch.setattr(spans, "SLICE", 3)
+    rows = [(k, f"one {k}. two {k}.", f"one {k}.  two {k}.", [("s1", 0, 5 + len(str(k))), ("s2", 6 + len(str(k)), 11 + 2 * len(str(k)))]) for k in range(10)]
+    records = spark.createDataFrame(rows, "record_id long, old_text string, new_text string, segments array<struct<segment_id:string,start:int,end:int>>").coalesce(1)
+    out = spans.reproject(records).collect()
+    assert sorted((r["record_id"], r["segment_id"]) for r in out) == [(k, s) for k in range(10) for s in ("s1", "s2")]
+    assert {r["status"] for r in out} == {"whitespace-remapped"}
