@@ -27,6 +27,14 @@ def test_headings(spark):
     assert got == [("1 Introduction", 1, True), ("2.1 Experimental Setup", 2, True), ("Foo", 2, True), ("References", 1, True), None, ("Conference Header Text", 1, False), None, None]
 
 
+def test_headings_keep_letters_without_a_capital_of_one_letter(spark):
+    assert one(spark, T.capital(F.col("t")), t="straße ŉ ᾀ") == "STRAẞE ŉ ᾈ"
+    lines = ["STRAẞE INDEX", "ẞB INDEX", "STRAßE INDEX", "AΣ İB ŉ", "# A\u2028b", "# A\rb"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], ["i", "l"]).select("i", T.heading(F.col("l")).alias("h")).orderBy("i").collect()
+    got = [tuple(r["h"]) if r["h"] else None for r in rows]
+    assert got == [("Straße Index", 1, False), ("ẞb Index", 1, False), None, ("Aσ Ib ŉ", 1, False), ("A b", 1, True), ("A b", 1, True)]
+
+
 def test_bibliography(spark):
     text = (
         'We conclude.\nREFERENCES\n[1] A. Author and B. Writer, "A useful paper title," in Proc. X, 2023. doi:10.1000/example.1\n'
