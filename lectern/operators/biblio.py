@@ -19,28 +19,33 @@ def reference_entries(sections: DataFrame) -> DataFrame:
     section belongs to the last entry of the list before it.
     """
     tails = sections.select("paper_id", "ord", B.list_tail(F.col("markdown")).alias("tail")).where("tail is not null")
-    pieces = exploded(tails, B.list_pieces(F.col("tail")), "p", "paper_id", "ord", pos="piece").select("paper_id", "ord", "piece", "p.index", "p.body")
-    entries = pieces.where("piece > 0")
-    heads = pieces.where("piece = 0").where(B.raw_entry(F.col("body")) != "")
-    last = entries.groupBy("paper_id", "ord").agg(F.max("piece").alias("last_piece"))
-    lists = tails.select("paper_id", "ord").join(last, ["paper_id", "ord"], "left")
-    lists = running_by(lists, ["paper_id"], ["ord"], {"owner": ("last", F.when(F.col("last_piece").isNotNull(), F.struct("ord", "last_piece")))}, inclusive=False)
-    runs = heads.join(lists.select("paper_id", "ord", "owner"), ["paper_id", "ord"]).where("owner is not null")
-    extra = runs.groupBy("paper_id", F.col("owner.ord").alias("ord"), F.col("owner.last_piece").alias("piece")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("o"), "body"))), lambda r: r["body"]), "\n").alias("more")
+    # A list is cut once and stored with its section; what runs on from one section to the next is numbers and openings.
+    cut = checkpointed(exploded(tails, F.array(B.list_pieces(F.col("tail"))), "pieces", "paper_id", "ord").select(
+        "paper_id", "ord", (F.size("pieces") - 1).alias("last_piece"), F.col("pieces")[0]["body"].alias("opening"), F.slice("pieces", F.lit(2), F.size("pieces")).alias("entries")))
+    lists = cut.select("paper_id", "ord", "last_piece")
+    lists = running_by(lists, ["paper_id"], ["ord"], {"owner": ("last", F.when(F.col("last_piece") > 0, F.col("ord")))}, inclusive=False)
+    heads = cut.select("paper_id", "ord", "opening").where(B.raw_entry(F.col("opening")) != "")
+    runs = heads.join(lists.where("owner is not null").select("paper_id", "ord", "owner"), ["paper_id", "ord"])
+    extra = runs.groupBy("paper_id", F.col("owner").alias("ord")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("o"), F.col("opening").alias("body")))), lambda r: r["body"]), "\n").alias("more")
     )
-    full = entries.join(extra, ["paper_id", "ord", "piece"], "left")
-    return full.select("paper_id", "ord", "piece", "index", B.raw_entry(F.concat_ws("\n", "body", "more")).alias("raw"))
+    full = cut.where("last_piece > 0").drop("opening").join(extra, ["paper_id", "ord"], "left")
+    each = full.select("paper_id", "ord", "last_piece", "more", F.posexplode("entries").alias("at", "e")).withColumn("piece", F.col("at") + 1)
+    body = F.concat_ws("\n", "e.body", F.when(F.col("piece") == F.col("last_piece"), F.col("more")))
+    return exploded(each, F.array(B.raw_entry(body)), "raw", "paper_id", "ord", "piece", "e.index")
 
 
 def extract_references(sections: DataFrame) -> DataFrame:
-    """Bibliography rows of each paper, one per DOI or normalized title, first kept."""
+    """Bibliography rows of each paper, one per DOI or normalized title, first kept.
+
+    A field is read once for each entry, and what the key does not need is read of kept entries only.
+    """
     raw = reference_entries(sections).where(F.length("raw") >= 12)
-    fields = raw.select("*", B.title(F.col("raw")).alias("title"), B.authors(F.col("raw")).alias("authors"), B.year(F.col("raw")).alias("year"),
-                        B.doi(F.col("raw")).alias("doi"), B.arxiv(F.col("raw")).alias("arxiv"))
-    keyed = fields.withColumn("_key", B.dedup_key(F.col("doi"), F.col("title"))).where("_key <> ''")
+    fields = exploded(raw, F.array(F.struct(B.title(F.col("raw")).alias("title"), B.doi(F.col("raw")).alias("doi"))), "f", *raw.columns).select(*raw.columns, "f.title", "f.doi")
+    keyed = exploded(fields, F.array(B.dedup_key(F.col("doi"), F.col("title"))), "_key", *fields.columns).where("_key <> ''")
     kept = first_rows(keyed, ["paper_id", "_key"], [F.col("ord"), F.col("piece")])
-    return kept.select("paper_id", "ord", "piece", "index", reference_id(F.col("raw")).alias("ref_id"), "title", "authors", "year", "doi", "arxiv", "raw")
+    return kept.select("paper_id", "ord", "piece", "index", reference_id(F.col("raw")).alias("ref_id"), "title", B.authors(F.col("raw")).alias("authors"), B.year(F.col("raw")).alias("year"),
+                       "doi", B.arxiv(F.col("raw")).alias("arxiv"), "raw")
 
 
 def resolve_titles(titles: DataFrame, papers: DataFrame, gram: int = GRAM) -> DataFrame:
