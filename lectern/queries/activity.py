@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import metrics
 from lectern.queries import query
 from lectern.queries.tables import EVENT_BLOCKS, event_blocks, table
+from lectern.session import spread
 from lectern.streaming import events as E
 from lectern.streaming import jobs as J
 from lectern.streaming import stability as S
@@ -136,7 +137,7 @@ def delta_usage(spark, sf_dir):
 SELECT l_orderkey::VARCHAR AS request_id, l_linenumber AS index, 'call' || l_linenumber AS call_id, 'tool' || l_linenumber AS name, args AS arguments FROM n""")
 def tool_calls(spark, sf_dir):
     """Lines of an order as argument fragments of its calls, a call per line number."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     k, i = F.col("l_orderkey"), F.col("l_linenumber")
     seq = F.col("l_partkey") * 10_000_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")
     fmt = F.when(k % 2 == 0, "anthropic").otherwise("openai")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lectern.skew import assemble_text
+from lectern.skew import assemble_text, exploded
 from lectern.streaming import WATERMARK
 
 # Stage of each job status, and the order of the stages.
@@ -222,10 +222,10 @@ def tool_calls(messages: DataFrame) -> DataFrame:
     shape = "array<struct<index:int,id:string,function:struct<name:string,arguments:string>>>"
     many = F.transform(F.from_json(get("$.choices[0].delta.tool_calls"), shape), lambda t: F.struct(
         F.coalesce(t["index"], F.lit(0)).alias("index"), t["id"].alias("id"), t["function"]["name"].alias("name"), t["function"]["arguments"].alias("arguments")))
-    parts = messages.select("request_id", "seq", block.alias("_block_format"), F.explode(F.when(block, one).otherwise(many)).alias("f")).select("request_id", "seq", "_block_format", "f.*")
+    parts = exploded(messages, F.when(block, one).otherwise(many), "f", "request_id", "seq").select("request_id", "seq", "f.*")
     parts = parts.where("id is not null or name is not null or arguments is not null")
-    whole = assemble_text(parts.where("arguments is not null"), ["request_id", "index"], ["seq"], "arguments", "")
-    names = parts.groupBy("request_id", "index").agg(
-        F.max_by("id", F.when(F.col("id").isNotNull(), F.col("seq"))).alias("call_id"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("seq", "name")))), lambda r: r["name"]), "").alias("name"))
-    return names.join(whole.select("request_id", "index", F.col("body").alias("arguments")), ["request_id", "index"], "left")
+    # Every message is read once, and its call gathers all it needs of it in one grouping.
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seq", c)))), lambda r: r[c]), "")
+    return parts.groupBy("request_id", "index").agg(
+        F.max_by("id", F.when(F.col("id").isNotNull(), F.col("seq"))).alias("call_id"), joined("name").alias("name"),
+        F.when(F.count("arguments") > 0, joined("arguments")).alias("arguments"))

@@ -25,3 +25,11 @@ def test_reference_lists_are_cut_once(spark):
     entries = biblio.reference_entries(rows)
     assert "regexp_instr" not in plan(entries)
     assert [r["raw"] for r in entries.orderBy("ord", "piece").collect()] == ['First author, "A title of some words", 2001', "Second author goes on here , and on", "A third author, 2003"]
+
+
+def test_tool_calls_are_one_grouping(spark):
+    call = '{"choices": [{"delta": {"tool_calls": [{"index": 0, %s}]}}]}'
+    rows = [("r", 1, call % '"id": "c", "function": {"name": "f"}'), ("r", 3, call % '"function": {"arguments": "b"}'), ("r", 2, call % '"function": {"arguments": "a"}'), ("s", 1, call % '"id": "d", "function": {"name": "g"}')]
+    calls = J.tool_calls(spark.createDataFrame(rows, ["request_id", "seq", "json"]).withColumn("format", F.lit("openai")))
+    assert "Join" not in plan(calls)
+    assert sorted(tuple(r) for r in calls.collect()) == [("r", 0, "c", "f", "ab"), ("s", 0, "d", "g", None)]
