@@ -34,7 +34,10 @@ def cells(line: Column) -> Column:
 
 def table_rows(markdown: Column) -> Column:
     """Rows of cells, header first, separator dropped; null when it is not a table."""
-    lines = table_lines(markdown)
+    return rows_of_lines(table_lines(markdown))
+
+
+def rows_of_lines(lines: Column) -> Column:
     separator = F.forall(cells(F.get(lines, F.lit(1))), lambda c: F.replace(c, F.lit(" "), F.lit("")).rlike(r"^:?-{3,}:?$"))
     body = F.transform(F.concat(F.slice(lines, 1, 1), F.slice(lines, F.lit(3), F.greatest(F.size(lines), F.lit(1)))), cells)
     return F.when((F.size(lines) >= 3) & separator, body)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from lectern.functions.markup import table_rows
+from lectern.functions.markup import rows_of_lines, table_lines
+from lectern.skew import exploded
 
 BUCKETS = 1024
 
@@ -45,15 +46,20 @@ def write_artifacts(markdown: DataFrame, documents: DataFrame, metadata: DataFra
         write_bucketed(df, f"{root}/{name}", "paper_id", min(16, buckets) if name == "metadata" else buckets)
 
 
+def _rows(tables: DataFrame) -> DataFrame:
+    """``table_id, row_no, row``; the lines of a table are cut once."""
+    lines = exploded(tables, F.array(table_lines(F.col("markdown"))), "_lines", "table_id")
+    return exploded(lines.select("table_id", rows_of_lines(F.col("_lines")).alias("_rows")), "_rows", "row", "table_id", pos="row_no")
+
+
 def table_cells(tables: DataFrame) -> DataFrame:
     """Markdown tables as ``(table_id, row_no, col_no, value)``."""
-    rows = tables.select("table_id", F.posexplode(table_rows(F.col("markdown"))).alias("row_no", "row"))
-    return rows.select("table_id", "row_no", F.posexplode("row").alias("col_no", "value"))
+    return exploded(_rows(tables), "row", "value", "table_id", "row_no", pos="col_no")
 
 
 def write_table_csv(tables: DataFrame, path: str) -> None:
     """Rows of all tables as one CSV table: table id, row number, then the cells of the row."""
-    rows = tables.select("table_id", F.posexplode(table_rows(F.col("markdown"))).alias("row_no", "row"))
+    rows = _rows(tables)
     line = F.to_csv(F.struct(*[F.coalesce(F.get("row", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(1)]))
     wide = rows.select("table_id", "row_no", F.when(F.size("row") > 1, F.array_join(F.transform("row", quote), ",")).otherwise(line).alias("value"))
     named = F.concat_ws(",", quote(F.col("table_id").cast("string")), F.col("row_no").cast("string"), "value")

@@ -33,3 +33,10 @@ def test_tool_calls_are_one_grouping(spark):
     calls = J.tool_calls(spark.createDataFrame(rows, ["request_id", "seq", "json"]).withColumn("format", F.lit("openai")))
     assert "Join" not in plan(calls)
     assert sorted(tuple(r) for r in calls.collect()) == [("r", 0, "c", "f", "ab"), ("s", 0, "d", "g", None)]
+
+
+def test_table_lines_are_cut_once(spark):
+    rows = spark.createDataFrame([(1, "| a | b |\n| --- | --- |\n| 1 | |"), (2, "no table")], ["table_id", "markdown"])
+    cells = sinks.table_cells(rows)
+    assert plan(cells).count("split(markdown") == 1
+    assert sorted(tuple(r) for r in cells.collect()) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "1"), (1, 1, 1, "")]
