@@ -13,6 +13,8 @@ from lectern.skew import contains_pairs, exploded, first_rows, number_rows
 # States that count as done or as trouble in the status buckets.
 ISSUE_STATES = ["FAILED", "MISSING", "CANCELLED"]
 SETTLED_STATES = ["READY", "FAILED", "MISSING"]
+# Evidence is sought in batches of sections: the size of the first, and how much larger each next one is.
+BATCH, GROWTH = 256, 8
 
 
 def status_flags(status: Column) -> dict[str, Column]:
@@ -156,12 +158,35 @@ def read_references(calls: DataFrame, refs: DataFrame) -> DataFrame:
     return calls.select("call_id", "paper_id", n.alias("n")).join(listed, "paper_id").where("ref_no <= n").drop("n")
 
 
-def term_postings(sections: DataFrame, limit: int, scopes: DataFrame | None = None) -> DataFrame:
+def section_batches(sections: DataFrame) -> list[Column]:
+    """Conditions on ``ord`` that part the sections, in their order, into batches of about 256, 2,048, 16,384 and so on.
+
+    Every section is in one batch.  Where a batch ends is told by every 8th, 64th, ... section as its hash has it, of which the
+    first 256 are kept inside the map tasks; sections without an order come first.
+    """
+    n, steps = sections.count(), 0
+    while BATCH * GROWTH**steps < n:
+        steps += 1
+    if not steps:
+        return [F.lit(True)]
+    marks = F.array(*[F.when(F.pmod(F.xxhash64("ord"), F.lit(GROWTH**k)) == 0, k) for k in range(steps)])
+    ends = first_rows(exploded(sections.where("ord is not null"), marks, "_step", "ord"), ["_step"], [F.col("ord")], BATCH).groupBy("_step").agg(F.max("ord").alias("ord"))
+    cuts = ends.agg(F.transform(F.array_sort(F.collect_set("ord")), lambda o: F.to_json(F.struct(o.alias("ord")))).alias("cuts")).first()["cuts"]
+    shape = f"struct<ord:{sections.schema['ord'].dataType.simpleString()}>"
+    beyond = [F.coalesce(F.col("ord") > F.from_json(F.lit(c), shape)["ord"], F.lit(False)) for c in cuts]
+    return [low & ~high for low, high in zip([F.lit(True), *beyond], [*beyond, F.lit(False)], strict=True)]
+
+
+def term_postings(sections: DataFrame, limit: int, scopes: DataFrame | None = None, everywhere: bool = True) -> DataFrame:
     """Stored lists ``(scope, token, section_key, ord)``: the first ``limit`` sections of each piece of text between spaces.
 
-    Sections stand in the list of all papers (scope ``''``) and, for ``scopes(scope)``, in that of their own paper.  The
-    lists are cut inside the map tasks and written once, so texts are split once however often the lists are read.
+    Sections stand in the list of all papers (scope ``''``; not without ``everywhere``) and, for ``scopes(scope)``, in that of their own
+    paper.  The lists are cut inside the map tasks and written once, so texts are split once however often the lists are read.
     """
+    if scopes is not None and not everywhere:
+        own = sections.withColumn("scope", F.col("paper_id").cast("string")).join(scopes, "scope", "left_semi")
+        tokens = exploded(own, F.array_distinct(T.words(F.lower("text"))), "token", "section_key", "ord", "scope")
+        return checkpointed(first_rows(tokens, ["token", "scope"], [F.col("ord")], limit).select("scope", "token", "section_key", "ord"))
     paper = [] if scopes is None else [F.col("paper_id").cast("string").alias("_paper")]
     tokens = exploded(sections, F.array_distinct(T.words(F.lower("text"))), "token", "section_key", "ord", *paper)
     lists = tokens.withColumn("scope", F.lit(""))
@@ -180,7 +205,9 @@ def find_evidence(queries: DataFrame, sections: DataFrame, limit: int = 10, befo
     ``queries(query_id, query)`` with an optional ``limit`` (1..20) of each call, else the argument, and an optional ``paper_id`` that
     confines a call to the sections of one paper; ``carry`` names section columns of the result (titles, page).  ``sections(section_key, ord, text)`` with one total
     order.  A term is a piece of the query between spaces, so a hit lies inside one piece of
-    the text.  Only the first ``limit`` sections of each text piece can matter for any term,
+    the text.  Sections are met in their order, in batches that grow eightfold, and a query leaves once it has its sections:
+    later ones cannot come before them.  Queries that do not fill their lists meet all sections.
+    In a batch only the first ``limit`` sections of each text piece can matter for any term,
     and only the first ``limit`` of each term for any query, so both are cut inside the map
     tasks; terms meet the vocabulary (not the texts) through an equi-join on substrings.
     Texts are looked at again only for the sections that are returned.
@@ -190,15 +217,28 @@ def find_evidence(queries: DataFrame, sections: DataFrame, limit: int = 10, befo
     pieces = F.filter(T.words(F.col("query")), lambda w: F.length(w) > 1)
     inside = F.coalesce(F.col("paper_id").cast("string"), F.lit("")) if "paper_id" in queries.columns else F.lit("")
     asked = queries.select("query_id", inside.alias("scope"), own.alias("_own"), F.transform(F.slice(pieces, 1, 8), lambda w: F.lower(w)).alias("terms")).where(F.size("terms") > 0)
-    terms = asked.select("query_id", "scope", F.explode(F.array_distinct("terms")).alias("term"))
-
-    scopes = asked.select("scope").where("scope <> ''").distinct() if "paper_id" in queries.columns else None
-    postings = term_postings(sections, limit, scopes)
-    matches = contains_pairs(terms.select("term").distinct(), postings.select("token").distinct(), "term", "token")
-    per_term = matches.join(postings, "token").select("term", "scope", "section_key", "ord").distinct()
-    per_term = first_rows(per_term, ["term", "scope"], [F.col("ord")], limit)
-    per_query = terms.join(per_term, ["scope", "term"]).select("query_id", "section_key", "ord").distinct()
-    top = first_rows(per_query, ["query_id"], [F.col("ord")], limit, rank="rank")
+    asked = checkpointed(asked)
+    scoped, everywhere = "paper_id" in queries.columns, True
+    waiting, found = asked, None
+    batches = section_batches(sections)
+    for at, batch in enumerate(batches):
+        if scoped:
+            everywhere = not waiting.where("scope = ''").isEmpty()
+        terms = waiting.select("query_id", "scope", F.explode(F.array_distinct("terms")).alias("term"))
+        scopes = waiting.select("scope").where("scope <> ''").distinct() if scoped else None
+        postings = term_postings(sections.where(batch), limit, scopes, everywhere)
+        matches = contains_pairs(terms.select("term").distinct(), postings.select("token").distinct(), "term", "token")
+        per_term = matches.join(postings, "token").select("term", "scope", "section_key", "ord").distinct()
+        per_term = first_rows(per_term, ["term", "scope"], [F.col("ord")], limit)
+        per_query = terms.join(per_term, ["scope", "term"]).select("query_id", "section_key", "ord").distinct()
+        here = checkpointed(first_rows(per_query, ["query_id"], [F.col("ord")], limit))
+        found = here if found is None else found.unionByName(here)
+        if at + 1 < len(batches):
+            filled = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+            waiting = checkpointed(asked.join(filled, "query_id", "left").where("coalesce(_n, 0) < _own").select(*asked.columns))
+            if waiting.isEmpty():
+                break
+    top = first_rows(found, ["query_id"], [F.col("ord")], limit, rank="rank")
 
     shown = top.join(asked, "query_id").where("rank <= _own").join(sections.select("section_key", "text", *carry), "section_key")
     low = F.lower("text")

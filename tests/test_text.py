@@ -169,3 +169,16 @@ def test_evidence_reads_texts_once_for_its_lists(spark):
     found = sorted((r["query_id"], r["rank"], r["section_key"]) for r in retrieval.find_evidence(asked, sections).collect())
     assert found == [("q", 1, 1), ("q", 2, 3), ("r", 1, 0), ("r", 2, 1), ("r", 3, 2)]
     assert retrieval.find_evidence(asked, sections.where("false")).count() == 0
+
+
+def test_evidence_meets_sections_in_batches(spark):
+    texts = [(i, None if i == 7 else i, f"p{i % 3}", "common word" + (" late" if i >= 2990 else "") + (" seldom" if i in (5, 600, 2500) else "")) for i in range(3000)]
+    sections = spark.createDataFrame(texts, "section_key long, ord long, paper_id string, text string")
+    batches = retrieval.section_batches(sections)
+    inside = [{r["section_key"] for r in sections.where(b).select("section_key").collect()} for b in batches]
+    assert len(batches) == 3 and set().union(*inside) == set(range(3000)) and sum(map(len, inside)) == 3000
+    assert 7 in inside[0] and max(inside[0] - {7}) < min(inside[1]) and max(inside[1]) < min(inside[2]) and len(inside[0]) < len(inside[1])
+    asked = spark.createDataFrame([("a", "common", "", 3), ("b", "late", "", 2), ("c", "seldom", "", 20), ("d", "seldom late", "p1", 3)], "query_id string, query string, paper_id string, limit int")
+    found = retrieval.find_evidence(asked, sections).collect()
+    got = {q: [r["section_key"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in "abcd"}
+    assert got == {"a": [7, 0, 1], "b": [2990, 2991], "c": [5, 600, 2500], "d": [2500, 2992, 2995]}
