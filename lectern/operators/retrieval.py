@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.jsontext import overriding, tolerant_list, tolerant_object
 from lectern.session import checkpointed
-from lectern.skew import contains_pairs, exploded, first_rows, number_rows
+from lectern.skew import contains_pairs, exploded, first_rows, number_children, number_rows
 
 # States that count as done or as trouble in the status buckets.
 ISSUE_STATES = ["FAILED", "MISSING", "CANCELLED"]
@@ -81,9 +81,9 @@ def library_listing(papers: DataFrame, jobs: DataFrame, files: DataFrame, engage
 def ordered_children(children: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Children with their ``place`` under each parent, as rows (no nested list to overflow).
 
-    ``order`` ends with a column that is unique under a parent.  A parent of any number of children is numbered by blocks.
+    ``order`` ends with a column that is unique under a parent.  A parent of very many children is numbered by blocks.
     """
-    return number_rows(children, [key], order, "place")
+    return number_children(children, [key], order, "place")
 
 
 def listing_children(papers: DataFrame, collections: DataFrame, figures: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def listing_children(papers: DataFrame, collections: DataFrame, figures: DataFra
     listed = papers.select(F.col("id").alias("paper_id"))
     parts = (("collection", collections, "collection_id", "assigned_at"), ("figure", figures, "figure_id", "page"))
     placed_parts = [
-        ordered_children(rows.join(listed, "paper_id", "left_semi"), "paper_id", [by, child]).select("paper_id", F.lit(kind).alias("kind"), "place", F.col(child).alias("child_id"))
+        ordered_children(rows, "paper_id", [by, child]).join(listed, "paper_id", "left_semi").select("paper_id", F.lit(kind).alias("kind"), "place", F.col(child).alias("child_id"))
         for kind, rows, child, by in parts]
     return placed_parts[0].unionByName(placed_parts[1])
 

@@ -4,9 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.operators import biblio, graph
+from lectern.operators import biblio, graph, retrieval
 from lectern.session import checkpointed
-from lectern.skew import assemble_text, contains_pairs, number_rows, pairs_within, placed_text, running
+from lectern.skew import assemble_text, contains_pairs, number_children, number_rows, pairs_within, placed_text, running
 
 REFS = "paper_id string, pos int, ref_id string, title string, authors array<string>, year int, doi string, arxiv string"
 
@@ -80,6 +80,19 @@ def test_numbering_over_range_partitions(spark):
         assert ordered == list(range(1, len(ordered) + 1))
 
 
+def test_children_are_shuffled_once_unless_a_parent_is_large(spark):
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i % 5}", (i * 37) % 300) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, at int")
+    wanted = sorted((str(k), at, 1 + sum(a < at for other, a in rows if other == k)) for k, at in rows)
+    for large in (10, 60, 1000):
+        assert sorted((str(r["k"]), r["at"], r["place"]) for r in number_children(df, ["k"], ["at"], "place", large).collect()) == wanted
+    plan = number_children(df, ["k"], ["at"], "place")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "parquet" not in plan.lower()  # nothing of the rows was written before
+    members = spark.createDataFrame([("p", "c", 1)], "paper_id string, collection_id string, assigned_at int")
+    listing = retrieval.listing_children(spark.createDataFrame([("p",)], "id string"), members, members.select("paper_id", F.col("collection_id").alias("figure_id"), F.col("assigned_at").alias("page")))
+    assert "parquet" not in listing._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_assembled_parts_give_the_text_back(spark):
     rows = [("k", i, f"piece {i}") for i in range(200)]
     df = spark.createDataFrame(rows, ["k", "at", "t"]).withColumn("b", F.floor(F.col("at") / 16))
