@@ -182,3 +182,12 @@ def test_evidence_meets_sections_in_batches(spark):
     found = retrieval.find_evidence(asked, sections).collect()
     got = {q: [r["section_key"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in "abcd"}
     assert got == {"a": [7, 0, 1], "b": [2990, 2991], "c": [5, 600, 2500], "d": [2500, 2992, 2995]}
+
+
+def test_sentences_are_trimmed_once(spark):
+    from lectern.functions import segments as S
+
+    df = S.with_sentences(spark.createDataFrame([(" A b.  C [x](y. z) d!  \n",), ("   ",), ("",), (None,), ("`a. b` $c. d$ e",)], ["t"]), "t")
+    got = [None if r["sentences"] is None else [tuple(s) for s in r["sentences"]] for r in df.select("sentences").collect()]
+    assert got == [[(1, 5, "A b."), (7, 8, "C"), (19, 21, "d!")], [], [], None, [(14, 15, "e")]]
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("trim(") == 2  # one for each side; four before
