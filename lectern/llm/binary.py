@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import coder
+from lectern.llm.memory import settled
 from lectern.llm.tokens import encoder
 from lectern.session import checkpointed
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK = 2048
 #: Blocks coded at a time; it bounds the memory and has no part in the format.
-LANES = 2048
+LANES = 4096
 
 
 def blocks(docs: DataFrame, file: str = VOCABULARY, end: int = 0) -> DataFrame:
@@ -54,15 +55,22 @@ def blocks(docs: DataFrame, file: str = VOCABULARY, end: int = 0) -> DataFrame:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, block, ordinal, most = 0, 0, 0, BLOCK * LANES
-        ids, ordinals, names, sizes = np.empty(0, np.uint32), np.empty(0, np.int64), [], np.empty(0, np.int64)
+        held, total = [], 0  # ids, ordinals, names, sizes of slices
+
+        def joined() -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+            ids, ordinals, names, sizes = zip(*held, strict=True)
+            return np.concatenate(ids), np.concatenate(ordinals), [n for some in names for n in some], np.concatenate(sizes)
+
         for batch in batches:
             if len(batch):
                 part = int(batch["part"].iloc[0])
             for first, more, counts in encoder(file).flat_batches(batch["text"].tolist(), end):
-                ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, counts])
-                names += [None if pd.isna(d) else d for d in batch["doc_id"].iloc[first : first + len(counts)].tolist()]
-                ordinals = np.concatenate([ordinals, np.arange(ordinal, ordinal + len(counts))])
-                ordinal += len(counts)
+                names = [None if pd.isna(d) else d for d in batch["doc_id"].iloc[first : first + len(counts)].tolist()]
+                held.append((more, np.arange(ordinal, ordinal + len(counts)), names, counts))
+                ordinal, total = ordinal + len(counts), total + len(more)
+                if total < most:
+                    continue
+                ids, ordinals, names, sizes = joined()
                 while len(ids) >= most:
                     ends = np.cumsum(sizes)
                     last = int(np.searchsorted(ends, most))  # the document in which the cut lies, or that ends at it
@@ -75,12 +83,13 @@ def blocks(docs: DataFrame, file: str = VOCABULARY, end: int = 0) -> DataFrame:
                     ids, ordinals, names, sizes = ids[most:], ordinals[rest:], names[rest:], sizes[rest:].copy()
                     if over:
                         sizes[0] = over
-        if len(ids):
-            yield coded(part, block, ids, ordinals, names, sizes)
+                held, total = [(ids, ordinals, names, sizes)], len(ids)
+        if total:
+            yield coded(part, block, *joined())
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     numbered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    return numbered.mapInPandas(write, f"part int, block long, n_ids int, crc32 long, payload binary, docs array<struct<ordinal:long,doc_id:{kind},n:long>>")
+    return numbered.mapInPandas(lambda batches: settled(write(batches)), f"part int, block long, n_ids int, crc32 long, payload binary, docs array<struct<ordinal:long,doc_id:{kind},n:long>>")
 
 
 def write_ids(docs: DataFrame, path: str, **options) -> None:
@@ -169,7 +178,7 @@ def document_digests(stored: DataFrame) -> DataFrame:
 
         return pd.Series([one(p) for p in parts])
 
-    found = stored.mapInPandas(digest, f"part int, block long, ordinal long, doc_id {kind}, n long, crc long")
+    found = stored.mapInPandas(lambda batches: settled(digest(batches)), f"part int, block long, ordinal long, doc_id {kind}, n long, crc long")
     whole = found.groupBy("part", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("block", "n", "crc"))).alias("_p"))
     crc = F.when(F.size("_p") == 1, F.get("_p", F.lit(0))["crc"]).otherwise(F.pandas_udf(join, "long")(F.col("_p")))
     docs = checkpointed(whole.select("part", "ordinal", "doc_id", "n_tokens", crc.alias("ids_crc32")))
