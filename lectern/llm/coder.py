@@ -34,7 +34,7 @@ _CHANCE = np.array([[1 << 14]] * 3 + [[1 << 13]] * 2, np.int32)
 _WEIGHT = np.array([[24_000]] * 3 + [[32_000]] * 2, np.int32)
 _HEAVIEST = 100_000  # three weighted inputs stay within 32 bits
 # What confidence gains: a wrong guess loses two, a right one gains one up to seven.
-_SURER = np.array([-2] * 8 + [1] * 7 + [0], np.int16)
+_SURER = np.array([-2] * 8 + [1] * 7 + [0], np.int32)
 # Gaps between distinct ids at a block's head are written as (gap >> 4) + 1 and four bits, counts as they are.
 _SHIFT = np.array([4, 0])
 
@@ -127,7 +127,7 @@ class _Model:
         at[0] = last * 40503 + self.before[:n] * 60493 >> 3 & SLOTS - 1
         at[1] = last
         at += self.slot[:, :n]
-        held = self.slots.take(at)
+        held = self.slots.take(at, mode="clip")
         guess, sure = held >> 3, held & 7
         differ = guess[0] != guess[1]
         key = np.empty((5, n), np.int64)
@@ -135,7 +135,7 @@ class _Model:
         np.right_shift(guess, 16, out=key[2::2])
         key[3] = sure[1]
         key += self.state[:, :n]
-        chance = self.chances.take(key)
+        chance = self.chances.take(key, mode="clip")
         say = _STRETCH.take(chance >> 3, mode="clip")
         dot = say * self.weights[:, :n]
         mixed = np.empty((2, n), np.int32)
@@ -178,7 +178,9 @@ class _Model:
         move += chance
         self.chances[key] = move
         same = guess == token
-        self.slots[at] = np.where(same | (sure > 1), held + _SURER.take(sure + (same.view(np.int8) << 3), mode="clip"), (token << 3) + 1)
+        held = held + _SURER.take(sure + (same.view(np.int8) << 3), mode="clip")
+        np.putmask(held, ~(same | (sure > 1)), (token << 3) + 1)
+        self.slots[at] = held
         self.before[:n] = self.last[:n]
         np.bitwise_and(token, 0xFFFF, out=self.last[:n])
 

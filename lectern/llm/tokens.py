@@ -2,7 +2,8 @@
 
 A text is cut at single blanks, where the tokenizer cuts it as well, so a word is encoded
 once and looked up afterwards.  Words are found by a 64-bit hash; new ones are encoded by the
-tokenizer in one call.  A text with runs of white space is encoded whole where they matter.
+tokenizer in one call.  Where the vocabulary keeps white space, marks after an ASCII letter or digit are a word
+of their own, as they are to the tokenizer.  A text with runs of white space is encoded whole where they matter.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ CACHED = 2_000_000
 SLICE = 500_000
 SEPARATOR = "<|endoftext|>"
 _IRREGULAR = re.compile(r"\s\s|^\s|\s\Z")
+# ASCII letters and digits (1), other printing ASCII (2), blank and line feed (4), all else.
+_CLASS = bytes(4 if b in (10, 32) else 0 if not 33 <= b < 127 else 1 if chr(b).isalnum() else 2 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -73,6 +76,9 @@ class Encoder:
         self.splitter = Tokenizer.from_file(path)
         self.mark = self.splitter.token_to_id(SEPARATOR)
         self.drops_space = drops_space
+        # Ids whose text begins with the blank or line end before a word, as the byte-level alphabet writes them.
+        self.leads = np.zeros(max(self.tokenizer.get_vocab(True).values(), default=0) + 1, bool)
+        self.leads[[i for text, i in self.tokenizer.get_vocab(True).items() if text[:1] in ("\u0120", "\u010a")]] = True
         self.keys = np.empty(0, np.uint64)
         self.offsets = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
@@ -81,6 +87,30 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _led(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``_words``, for words that each begin with the blank or line end before them: one text, cut where an id
+        begins with it; None if the vocabulary does not tell."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        begin = np.flatnonzero(self.leads[ids])
+        if len(begin) != len(words) or begin[0]:
+            return None
+        return ids, np.diff(np.append(begin, len(ids)))
+
+    def _new(self, words: list[str], led: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_words``; ``led`` marks those that begin with the blank or line end before them."""
+        found = self._led([words[i] for i in np.flatnonzero(led)]) if led.any() else None
+        if found is None:
+            return self._words(words)
+        if led.all():
+            return found
+        ids, sizes = found
+        others, other_sizes = self._words([words[i] for i in np.flatnonzero(~led)])
+        counts = np.empty(len(words), np.int64)
+        counts[led], counts[~led] = sizes, other_sizes
+        out, own = np.empty(len(ids) + len(others), np.uint32), np.repeat(led, counts)
+        out[own], out[~own] = ids, others
+        return out, counts
+
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after the other, and how many each has; one call for all,
         with a special token between them (a word that spells one is encoded by itself)."""
@@ -118,18 +148,24 @@ class Encoder:
 
     def _slice(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         raw = [t.encode("utf-8", "replace") for t in texts]
-        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        whole = b"\n".join(raw) + b"\n"
+        data, kinds = np.frombuffer(whole, np.uint8), np.frombuffer(whole.translate(_CLASS), np.uint8)
         last = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
-        ends = np.flatnonzero((data == 32) | (data == 10))
-        starts = np.concatenate([[0], ends[:-1] + 1])
+        cut = kinds == 4
+        if not self.drops_space:
+            cut[1:] |= (kinds[:-1] == 1) & (kinds[1:] == 2)
+        ends = np.flatnonzero(cut)
+        apart = kinds[ends] == 4  # a blank or line end stands between this word and the next
+        starts = np.concatenate([[0], ends[:-1] + apart[:-1]])
         doc = np.searchsorted(last, starts, side="right")
         odd = self._irregular(data, doc, texts, last)
         real = (ends > starts) & ~odd[doc]
+        led = np.concatenate([[False], apart[:-1]])[real]
         starts, ends, doc = starts[real], ends[real], doc[real]
         hashes = span_hashes(data, starts, ends)
         if not self.drops_space:
-            # A word carries the blank or line end before it; the first of a text has none.
-            lead = np.where(starts == (last - np.diff(last, prepend=0))[doc], 0, data[starts - 1]).astype(np.uint64)
+            # A word carries the blank or line end before it; the first of a text, and marks after a word, have none.
+            lead = np.where(led & (starts != (last - np.diff(last, prepend=0))[doc]), data[starts - 1], 0).astype(np.uint64)
             hashes = mix(hashes + lead)
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         slot = np.searchsorted(self.keys, unique)
@@ -141,9 +177,8 @@ class Encoder:
             begin = starts[first[new]]
             if not self.drops_space:
                 begin = begin - (lead[first[new]] > 0)
-            whole = data.tobytes()
             words = [whole[s:e].decode("utf-8", "replace") for s, e in zip(begin.tolist(), ends[first[new]].tolist(), strict=True)]
-            ids, counts = self._words(words)
+            ids, counts = self._words(words) if self.drops_space else self._new(words, lead[first[new]] > 0)
             lengths[new], offsets[new] = counts, len(flat) + np.cumsum(counts) - counts
             flat = np.concatenate([flat, ids])
             if len(self.keys) + len(new) <= CACHED:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lectern.llm import binary, coder, packing
-from lectern.llm.tokens import encoder
+from lectern.llm.tokens import Encoder, encoder
 from lectern.session import checkpointed
 from tests.llm.conftest import odd_rows
 
@@ -96,6 +96,41 @@ def test_coder_compresses_what_repeats():
     assert len(coder.encode([block])[0]) < len(block)
 
 
+def test_coder_narrows_once_an_id(monkeypatch):
+    """However an id is coded, its lane's range is narrowed once (up to six times before)."""
+    rng = np.random.default_rng(4)
+    blocks = [np.minimum(rng.geometric(0.02, n), 65535) for n in (300, 200, 7)]
+    steps = []
+    for kind in (coder._Writer, coder._Reader):
+        monkeypatch.setattr(kind, "narrow", lambda self, start, size, plain=kind.narrow: (steps.append(len(size)), plain(self, start, size)))
+    found = coder.decode(coder.encode(blocks), [len(b) for b in blocks])
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, found, strict=True)) and sum(steps) == 2 * 507
+
+
+def test_blocks_decode_in_other_company():
+    """A block's payload does not depend on the blocks coded beside it, nor does reading it."""
+    rng = np.random.default_rng(5)
+    blocks = [rng.zipf(1.3, n).clip(1, 65535) for n in (2048, 40, 2048, 1, 0, 900)]
+    payloads = coder.encode(blocks)
+    assert payloads == [coder.encode([b])[0] for b in blocks]
+    assert all(np.array_equal(coder.decode([p], [len(b)])[0], b) for p, b in zip(payloads, blocks, strict=True))
+
+
+def test_coder_on_text(spark):
+    """Bytes an id of real text in blocks of 2,048."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(400).collect()]
+    ids = np.concatenate(encoder(FILES[1][0]).batch(texts, 0))
+    blocks = [ids[i : i + 2048] for i in range(0, len(ids) - 2047, 2048)]
+    assert sum(map(len, coder.encode(blocks))) < 1.12 * 2048 * len(blocks)
+
+
+def test_marks_after_a_word_are_words_of_their_own():
+    enc = Encoder(public_tokenizers.path(FILES[1][0]), False)
+    texts = [" ".join(f"{w}{m}" for w in ("one", "two", "three", "four")) for m in ("", ".", ",", "!!", "'s", "...", "$%")]
+    assert [g.tolist() for g in enc.batch(texts, 0)] == plain(*FILES[1][::2], texts)
+    assert len(enc.keys) <= 2 * 4 + 6
+
+
 def test_joined_crc():
     a, b = b"left part" * 99, b"and the right" * 1001
     assert binary.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
