@@ -172,6 +172,8 @@ def document_digests(stored: DataFrame) -> DataFrame:
     def join(parts: pd.Series) -> pd.Series:
         def one(found) -> int:
             out = 0
+            if found is None:  # a document of one piece, whose checksum needs no joining
+                return out
             for p in found:
                 out = joined_crc(out, p["crc"], 4 * p["n"])
             return out
@@ -180,7 +182,7 @@ def document_digests(stored: DataFrame) -> DataFrame:
 
     found = stored.mapInPandas(lambda batches: settled(digest(batches)), f"part int, block long, ordinal long, doc_id {kind}, n long, crc long")
     whole = found.groupBy("part", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("block", "n", "crc"))).alias("_p"))
-    crc = F.when(F.size("_p") == 1, F.get("_p", F.lit(0))["crc"]).otherwise(F.pandas_udf(join, "long")(F.col("_p")))
+    crc = F.when(F.size("_p") == 1, F.get("_p", F.lit(0))["crc"]).otherwise(F.pandas_udf(join, "long")(F.when(F.size("_p") > 1, F.col("_p"))))
     docs = checkpointed(whole.select("part", "ordinal", "doc_id", "n_tokens", crc.alias("ids_crc32")))
     # One row per part, in order of doc_id; and a part is a bounded run of documents.
     parts = docs.groupBy("part").agg(F.sum("n_tokens").alias("_n"))

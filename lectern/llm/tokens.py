@@ -167,7 +167,12 @@ class Encoder:
             # A word carries the blank or line end before it; the first of a text, and marks after a word, have none.
             lead = np.where(led & (starts != (last - np.diff(last, prepend=0))[doc]), data[starts - 1], 0).astype(np.uint64)
             hashes = mix(hashes + lead)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        # As np.unique, but of equal words any may stand for all, so the sort need not be stable.
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        fresh = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+        unique, first, inverse = ranked[fresh], order[fresh], np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(fresh) - 1
         slot = np.searchsorted(self.keys, unique)
         hit = self.keys[np.minimum(slot, len(self.keys) - 1)] == unique if len(self.keys) else np.zeros(len(unique), bool)
         offsets, lengths, flat = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64), self.flat
