@@ -6,40 +6,174 @@ from dataclasses import dataclass
 from functools import cached_property, reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalize_title, reference_key, words
 from lectern.operators.corpus import running_by
 from lectern.session import checkpointed
-from lectern.skew import PAIR_CHUNK, number_rows, pairs_within
+from lectern.skew import LARGE, PAIR_CHUNK, exploded, number_rows, pairs_within
+
+SIMILAR = 0.25
+VISITS = 250_000
 
 
 @dataclass
 class CitationGraph:
-    """Nodes, edges and summary; edges are computed and stored when they or the degrees are first asked for."""
+    """Nodes, edges and summary, each computed when it is asked for.
+
+    ``gathered`` holds the visits of the usual roots, dealt by root; ``spread`` the graphs of the others, if there are any.
+    """
+
+    gathered: DataFrame
+    spread: SpreadGraph | None
+    papers: DataFrame
+    max_depth: int
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        edges = _gathered_edges(self.gathered).select("root_id", "source", "target", "weight", "relation")
+        if self.spread:
+            edges = edges.unionByName(self.spread.edges)
+        return edges.withColumn("edge_id", F.concat_ws(":", "relation", "source", "target"))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        nodes = _gathered_nodes(self.gathered, self.papers)
+        return nodes.unionByName(self.spread.nodes) if self.spread else nodes
+
+    @property
+    def summary(self) -> DataFrame:
+        has_refs = (F.count_if(F.col("level") == 1) > 0).alias("has_refs")
+        shown = _is_node()
+        counts = _counted(self.gathered, F.when(shown, F.col("level")), F.when(shown, F.col("resolved")), has_refs, F.count_if(shown).alias("_nodes")).where("_nodes > 0").drop("_nodes")
+        if self.spread:
+            counts = counts.unionByName(self.spread.counts)
+        return graph_summary(counts, self.max_depth)
+
+
+@dataclass
+class SpreadGraph:
+    """The graphs of roots too large for one task: every join and grouping is dealt by the finest key there is."""
 
     members: DataFrame
     relations: list[DataFrame]
-    summary: DataFrame
+    counts: DataFrame
 
     @cached_property
     def edges(self) -> DataFrame:
-        return checkpointed(reduce(DataFrame.unionByName, self.relations)).withColumn("edge_id", F.concat_ws(":", "relation", "source", "target"))
+        return checkpointed(reduce(DataFrame.unionByName, self.relations))
 
     @cached_property
     def nodes(self) -> DataFrame:
         return self.members.join(degrees(self.edges), ["root_id", "node_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
 
 
+def _key() -> Column:
+    """Keys are kept as 16 bytes of their SHA-256."""
+    return F.unhex(F.left(F.sha2(reference_key(F.col("doi"), F.col("arxiv"), F.col("title")), 256), F.lit(32)))
+
+
+# ------------------------------------------------------------------- usual roots: one deal by root
+
+def _is_node() -> Column:
+    """The row that stands for its node: the root's own, and the first visit of any other."""
+    return (F.col("_nth") == 1) & ((F.col("level") == 0) | (F.col("node_id") != F.col("root_id")))
+
+
+def _gathered(requests: DataFrame, papers: DataFrame, refs: DataFrame, ref_id: Column, max_depth: int, tasks: int) -> DataFrame:
+    """The visits of every root, dealt once by root; everything after that is a window or a grouping within a root.
+
+    ``requests(root_id, source, dord, depth)``: the papers whose references a root visits.  A paper itself travels like one of its
+    references.  ``level``: 0 the root itself, 1 its references, 2 those of its direct papers, 3 a direct paper itself.  Node of a visit:
+    its paper, else the paper its key had before, else the id of the first visit of its key.  Keys, ids and names
+    follow from what was dealt, so they do not travel, and what a result doesn't ask for does not travel either.
+    """
+    shown = {c: F.col(c) if c in papers.columns else F.lit(None).cast(kind) for c, kind in (("authors", "array<string>"), ("year", "int"))}
+    own = papers.select(F.col("id").alias("paper_id"), "title", *[v.alias(c) for c, v in shown.items()], F.lit(True).alias("own"))
+    all_rows = refs.withColumns({"pos": F.col("pos").cast("long"), "own": F.lit(False)}).unionByName(own, allowMissingColumns=True)
+    met = requests.join(all_rows, F.col("source") == F.col("paper_id")).where(F.col("own") | (F.col("depth") <= max_depth))
+    dealt = met.drop("source").repartition(tasks, "root_id").withColumn("source", F.col("paper_id"))
+    level = F.when(~F.col("own"), F.col("depth")).when(F.col("depth") == 1, 0).otherwise(3)
+    rows = dealt.withColumns({"level": level, "key": F.when(~F.col("own"), _key()), "ref_id": ref_id})
+    order = ["level", "dord", "pos", "source", "ref_id"]
+    so_far = Window.partitionBy("root_id", "key").orderBy(*order)
+    until, earlier = so_far.rowsBetween(Window.unboundedPreceding, 0), so_far.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("resolved_id", ignorenulls=True).over(until)
+    rows = rows.withColumns({
+        "node_id": F.when(F.col("own"), F.col("source")).otherwise(F.coalesce(before, F.first("ref_id").over(until))),
+        "resolved": F.col("own") | F.coalesce(F.last("is_paper", ignorenulls=True).over(until), F.lit(False)),
+        "sharing": F.collect_set(F.when(F.col("level") == 2, F.struct(F.col("dord").alias("at"), F.col("source").alias("node")))).over(earlier)})
+    of_node = Window.partitionBy("root_id", "node_id").orderBy(*order)
+    named = F.max(F.when(F.col("level") == 3, F.col("title"))).over(of_node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumns({"_nth": F.row_number().over(of_node), "shown_title": F.coalesce(named, F.col("title"))})
+
+
+def _gathered_edges(rows: DataFrame, info: Column | None = None) -> DataFrame:
+    """Every edge once with its weight.  With ``info`` there is also a row without target for every node, which carries it."""
+    none = F.lit(None).cast("long")
+
+    def edge(relation: str, source: Column, target: Column, weight: Column | int = 1, up: Column = none, down: Column = none, what: Column | None = None) -> Column:
+        more = [] if info is None else [(what if what is not None else F.when(F.lit(False), info)).alias("info")]
+        return F.struct(source.alias("source"), target.alias("target"), F.lit(relation).alias("relation"), (F.lit(weight) if isinstance(weight, int) else weight).cast("long").alias("weight"),
+                        up.alias("up_at"), down.alias("down_at"), *more)
+
+    source, node, cited, dord, level = (F.col(c) for c in ("source", "node_id", "resolved_id", "dord", "level"))
+    visit = level.isin(1, 2)
+    # Both directions of a pair of direct papers that cite each other meet in one group.
+    mutual = edge("mutual_citation", F.least(source, cited), F.greatest(source, cited), 1, F.when(source < cited, dord), F.when(source > cited, dord))
+    single = [F.when(visit & (node != source), edge("cites", source, node)), F.when((level == 2) & (source != cited), mutual)]
+    if info is not None:
+        single.append(F.when(_is_node(), edge("", node, F.lit(None).cast("string"), 0, what=info)))
+    fresh = (level == 2) & ~F.exists("sharing", lambda s: s["node"] == source)
+    shared = F.transform(F.filter("sharing", lambda s: fresh & (s["at"] < dord)), lambda s: edge("shared_reference", s["node"], source))
+
+    # Direct nodes of a root, each with those before it.
+    direct = (level == 1) & _is_node()
+    names = F.array_distinct(F.array_compact(F.transform("authors", normalize_title)))
+    bag = F.array_distinct(words(normalize_title(F.coalesce(F.col("shown_title"), F.lit("")))))
+    rows = rows.withColumn("_direct", direct)
+    rows = rows.withColumns({"names": F.when(F.col("_direct"), F.coalesce(names, F.array().cast("array<string>"))), "bag": F.when(F.col("_direct"), bag)})
+    others = Window.partitionBy("root_id", "_direct").orderBy("pos", "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    met = F.when(F.col("_direct"), F.struct(F.col("pos").alias("at"), node.alias("node"), "names", "bag"))
+    rows = rows.withColumn("others", F.collect_list(met).over(others))
+    pairs = F.transform(F.filter("others", lambda o: o["at"] < F.col("pos")), lambda o: F.struct(
+        o["node"].alias("node"), F.size(F.array_intersect(o["names"], F.col("names"))).alias("c"), F.size(F.array_intersect(o["bag"], F.col("bag"))).alias("w"), (F.size(o["bag"]) + F.size("bag")).alias("n")))
+    coauthor = F.transform(F.filter(pairs, lambda p: p["c"] > 0), lambda p: edge("coauthor", p["node"], node, p["c"]))
+    alike = F.transform(F.filter(pairs, lambda p: (p["w"] > 0) & (F.when(p["w"] > 0, p["w"] / (p["n"] - p["w"])) >= SIMILAR)), lambda p: edge("topic_similarity", p["node"], node, _tenths(p["w"] / (p["n"] - p["w"]))))
+
+    each = exploded(rows, F.concat(F.array_compact(F.array(*single)), shared, coauthor, alike), "e", "root_id").select("root_id", "e.*")
+    carried = [] if info is None else [F.first("info", ignorenulls=True).alias("info")]
+    met = each.groupBy("root_id", "source", "target", "relation").agg(F.sum("weight").alias("weight"), F.min("up_at").alias("up_at"), F.min("down_at").alias("down_at"), *carried)
+    is_mutual, first = F.col("relation") == "mutual_citation", F.col("up_at") < F.col("down_at")
+    met = met.where(~is_mutual | (F.col("up_at").isNotNull() & F.col("down_at").isNotNull()))
+    turned = is_mutual & ~first
+    return met.select("root_id", F.when(turned, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(turned, F.col("source")).otherwise(F.col("target")).alias("target"),
+                      F.when(is_mutual, F.lit(1).cast("long")).otherwise(F.col("weight")).alias("weight"), "relation", *(["info"] if carried else []))
+
+
+def _gathered_nodes(rows: DataFrame, papers: DataFrame) -> DataFrame:
+    """Nodes with their degrees, stored once; only papers of the second level are looked up for their titles."""
+    info = F.struct(F.col("level").alias("depth"), F.col("shown_title").alias("title"), "authors", "year", "resolved")
+    edges = _gathered_edges(rows, info)
+    ends = edges.select("root_id", (F.col("relation") != "").cast("long").alias("n"), "info", F.explode(F.array_compact(F.array("source", "target"))).alias("node_id"))
+    nodes = ends.groupBy("root_id", "node_id").agg(F.sum("n").alias("degree"), F.first("info", ignorenulls=True).alias("info")).where("info is not null")
+    columns = ["root_id", "node_id", "title", "authors", "year", "resolved", "depth", "degree"]
+    nodes = checkpointed(nodes.select("root_id", "node_id", "degree", "info.*").select(*columns))
+    looked = (F.col("depth") == 2) & F.col("resolved")
+    far = nodes.where(looked).join(papers.select(F.col("id").alias("node_id"), F.col("title").alias("paper_title")), "node_id", "left")
+    return nodes.where(~looked).unionByName(far.withColumn("title", F.coalesce("paper_title", "title")).select(*columns))
+
+
+# ---------------------------------------------------------- roots of any size: dealt by root and key
+
 def _visits(roots: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References in visiting order: the root's own, then those of its direct nodes.
 
     Keys are kept as 16 bytes of their SHA-256, and every reference has a stored number ``ref`` by which a node's title
     and authors are looked up at the end, so that texts do not travel with the visits.
     """
-    key = F.unhex(F.left(F.sha2(reference_key(F.col("doi"), F.col("arxiv"), F.col("title")), 256), F.lit(32)))
-    keyed = checkpointed(refs.select(F.monotonically_increasing_id().alias("ref"), "paper_id", "pos", "ref_id", "title", "authors", "year", key.alias("key"), "resolved_id"))
+    keyed = checkpointed(refs.select(F.monotonically_increasing_id().alias("ref"), "paper_id", "pos", "ref_id", "title", "authors", "year", _key().alias("key"), "resolved_id"))
     first = roots.select("root_id").join(keyed, roots["root_id"] == keyed["paper_id"]).drop("paper_id")
     return keyed, first.withColumn("depth", F.lit(1))
 
@@ -64,15 +198,7 @@ def _node_ids(visits: DataFrame) -> DataFrame:
     return known.where("not _mixed").unionByName(mixed).drop("_mixed")
 
 
-def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth: int = 2) -> CitationGraph:
-    """The citation graph of every root.
-
-    ``papers(id, title)`` with optional ``authors`` and ``year``, shown at the root; ``refs(paper_id, pos, ref_id, title,
-    authors, year, doi, arxiv, resolved_id)``, resolved once for the whole corpus: another node shows the authors
-    and year of the reference that first led to it.  Five edge relations; ids are strings.
-    """
-    if max_depth not in (1, 2):
-        raise ValueError("max_depth must be 1 or 2")
+def _spread_graph(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth: int) -> SpreadGraph:
     keyed, first = _visits(roots, refs)
     direct_visits = _node_ids(first.withColumn("dord", F.lit(0).cast("long")))
     direct_all = direct_visits.where(F.col("node_id") != F.col("root_id"))
@@ -120,7 +246,55 @@ def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth
     root_nodes = papers.select(F.col("id").alias("root_id"), F.col("id").alias("node_id"), "title", *[v.alias(c) for c, v in shown.items()], F.lit(True).alias("resolved"), F.lit(0).alias("depth")).join(roots.select("root_id"), "root_id", "left_semi")
     members = reduce(DataFrame.unionByName, nodes, root_nodes)
     with_refs = first.select("root_id").distinct().withColumn("has_refs", F.lit(True))
-    return CitationGraph(members, [weighted, *relations], graph_summary(reduce(DataFrame.unionByName, counted, root_nodes.select(*bare)), with_refs, max_depth))
+    counts = _counted(reduce(DataFrame.unionByName, counted, root_nodes.select(*bare)), F.col("depth"), F.col("resolved"))
+    counts = counts.join(with_refs, "root_id", "left").withColumn("has_refs", F.coalesce("has_refs", F.lit(False)))
+    return SpreadGraph(members, [weighted, *relations], counts)
+
+
+def _spread_roots(requests: DataFrame, lengths: DataFrame, wide: int, large: int) -> DataFrame | None:
+    """Roots of more than ``wide`` references or ``large`` visits."""
+    loads = requests.join(lengths, F.col("source") == F.col("paper_id")).groupBy("root_id").agg(F.max(F.when(F.col("depth") == 1, F.col("n"))).alias("own"), F.sum("n").alias("visits"))
+    many = checkpointed(loads.where((F.col("own") > wide) | (F.col("visits") > large)).select("root_id"))
+    return None if many.isEmpty() else many
+
+
+def build_graphs(roots: DataFrame, papers: DataFrame, refs: DataFrame, max_depth: int = 2, ref_id: Column | None = None, wide: int = PAIR_CHUNK, large: int = LARGE) -> CitationGraph:
+    """The citation graph of every root.
+
+    ``papers(id, title)`` with optional ``authors`` and ``year``, shown at the root; ``refs(paper_id, pos, ref_id, title,
+    authors, year, doi, arxiv, resolved_id)``, resolved once for the whole corpus: another node shows the authors
+    and year of the reference that first led to it.  An id that follows from the other columns may be given
+    as ``ref_id`` instead of a column.  Five edge relations; ids are strings.
+
+    References are written once.  The visits of a root are dealt once by root, by each result that is asked for.  Roots of more than ``wide`` references or ``large`` visits, if there are any, go
+    through joins dealt by root and key, so that no task holds one of them.
+    """
+    if max_depth not in (1, 2):
+        raise ValueError("max_depth must be 1 or 2")
+    columns = ["paper_id", "pos", "title", "authors", "year", "doi", "arxiv", "resolved_id", *([] if ref_id is not None else ["ref_id"])]
+    ids = F.col("ref_id") if ref_id is None else ref_id
+    refs = checkpointed(refs.select(*columns))
+    known = papers.select(F.col("id").alias("resolved_id"))
+    named = refs.select("resolved_id").where("resolved_id is not null").distinct()
+    stray = checkpointed(named.join(known, "resolved_id", "left_anti"))
+    refs = refs.withColumn("is_paper", F.when(F.col("resolved_id").isNotNull(), F.lit(True)))
+    if not stray.isEmpty():
+        refs = refs.join(stray.withColumn("_stray", F.lit(False)), "resolved_id", "left").withColumn("is_paper", F.coalesce("_stray", "is_paper")).drop("_stray")
+
+    hops = refs.where("is_paper and resolved_id <> paper_id").select("paper_id", "resolved_id", "pos")
+    direct = roots.select("root_id").join(hops, F.col("root_id") == F.col("paper_id")).groupBy("root_id", F.col("resolved_id").alias("source")).agg(F.min("pos").cast("long").alias("dord"))
+    at_root = roots.select("root_id", F.col("root_id").alias("source"), F.lit(0).cast("long").alias("dord"))
+    requests = checkpointed(direct.withColumn("depth", F.lit(2)).unionByName(at_root.withColumn("depth", F.lit(1))))
+    lengths = refs.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
+    longest, usual = lengths.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+    # The visits are dealt into tasks of about as many each, more of them as the tables grow.
+    tasks = max(roots.sparkSession.sparkContext.defaultParallelism, int(requests.count() * (usual + 1) / VISITS) + 1)
+    spread = None
+    # A root visits no more than its references and theirs, so without a long list no root is too large.
+    if (longest > wide or longest * (longest + 1) > large) and (many := _spread_roots(requests, lengths, wide, large)) is not None:
+        requests = requests.join(many, "root_id", "left_anti")
+        spread = _spread_graph(many, papers, refs.withColumn("ref_id", ids), max_depth)
+    return CitationGraph(_gathered(requests, papers, refs, ids, max_depth, tasks), spread, papers, max_depth)
 
 
 def _weighted(pairs: DataFrame, item: str, relation: str) -> DataFrame:
@@ -145,7 +319,11 @@ def coauthor_edges(direct: DataFrame) -> DataFrame:
     return _weighted(pairs_within(names, ["root_id", "name"], "node_id", "dord"), "node_id", "coauthor")
 
 
-def topic_edges(direct: DataFrame, threshold: float = 0.25, chunk: int = PAIR_CHUNK) -> DataFrame:
+def _tenths(similarity: Column) -> Column:
+    return F.greatest(F.lit(1), F.bround(similarity * 10, 0).cast("long"))
+
+
+def topic_edges(direct: DataFrame, threshold: float = SIMILAR, chunk: int = PAIR_CHUNK) -> DataFrame:
     """Word-set Jaccard of titles at or above the threshold.
 
     Words of a root are ranked from rare to frequent.  A word that one title alone has can meet nothing, so it is only
@@ -174,8 +352,7 @@ def topic_edges(direct: DataFrame, threshold: float = 0.25, chunk: int = PAIR_CH
     counted = met.select("root_id", "a_node_id", "b_node_id", "word", total.alias("total"), common.alias("common")).where(F.get("common", F.lit(0)) == F.col("word"))
     similarity = F.size("common") / (F.col("total") - F.size("common"))
     rated = counted.select("root_id", F.col("a_node_id").alias("source"), F.col("b_node_id").alias("target"), similarity.alias("similarity")).where(F.col("similarity") >= threshold)
-    weight = F.greatest(F.lit(1), F.bround(F.col("similarity") * 10, 0).cast("long"))
-    return rated.select("root_id", "source", "target", weight.alias("weight"), F.lit("topic_similarity").alias("relation"))
+    return rated.select("root_id", "source", "target", _tenths(F.col("similarity")).alias("weight"), F.lit("topic_similarity").alias("relation"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -184,16 +361,16 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("root_id", "node_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def graph_summary(nodes: DataFrame, with_refs: DataFrame, max_depth: int) -> DataFrame:
-    unresolved_direct = (F.col("depth") == 1) & ~F.col("resolved")
-    counts = nodes.groupBy("root_id").agg(
-        F.count_if(F.col("depth") == 1).alias("direct_count"), F.count_if(F.col("depth") == 2).alias("second_level_count"),
-        F.count_if(~F.col("resolved")).alias("unresolved_count"), F.count_if(unresolved_direct).alias("_d"),
-    )
+def _counted(nodes: DataFrame, depth: Column, resolved: Column, *more: Column) -> DataFrame:
+    return nodes.groupBy("root_id").agg(
+        F.count_if(depth == 1).alias("direct_count"), F.count_if(depth == 2).alias("second_level_count"),
+        F.count_if(~resolved).alias("unresolved_count"), F.count_if((depth == 1) & ~resolved).alias("_d"), *more)
+
+
+def graph_summary(counts: DataFrame, max_depth: int) -> DataFrame:
     counts = counts.withColumn("warnings", F.col("_d") if max_depth == 2 else F.lit(0).cast("long")).drop("_d")
-    joined = counts.join(with_refs, "root_id", "left")
-    ready = F.coalesce(F.col("has_refs"), F.lit(False)) & (F.col("warnings") == 0)
-    return joined.withColumn("status", F.when(ready, "ready").otherwise("partial")).drop("has_refs")
+    ready = F.col("has_refs") & (F.col("warnings") == 0)
+    return counts.withColumn("status", F.when(ready, "ready").otherwise("partial")).drop("has_refs")
 
 
 def visible_nodes(nodes: DataFrame, depth: int | None = None, resolved: bool | None = None, query: str = "") -> DataFrame:

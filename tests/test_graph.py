@@ -156,3 +156,42 @@ def test_visits_hold_no_texts(spark, monkeypatch):
     assert (node["title"], node["year"], node["resolved"]) == ("Shared Work X", 2020, False)
     weights = g.edges.where("relation = 'shared_reference'").select("source", "target", "weight").collect()
     assert [tuple(w) for w in weights] == [("b", "d", 1)]
+
+
+def _odd_library(spark):
+    """Papers that cite one another at random: keys seen with and without a paper, ids that name no paper, papers without references, a root that is no paper."""
+    rng = random.Random(11)
+    names = [f"p{i}" for i in range(14)]
+    papers = spark.createDataFrame([(n, f"Work {n} on the {rng.choice(['graph', 'join'])} of Spark", [f"Author {n}"], 1990 + i) for i, n in enumerate(names)], "id string, title string, authors array<string>, year int")
+    rows = []
+    for n in [*names[:12], "nobody"]:
+        for pos in range(rng.randrange(0, 9)):
+            to = rng.choice([*names, None, None, "gone"])
+            title = rng.choice([f"Far work {rng.randrange(6)}", f"Work {to} on the graph", None])
+            rows.append((n, pos, f"ref-{n}-{pos}", title, rng.choice([None, [], ["Ada", "Bo Li"], ["bo li", "Cy", None]]), 2000 + pos, rng.choice([None, None, f"10.1/{rng.randrange(5)}"]), None, to))
+    return papers, spark.createDataFrame(rows, REFS + ", resolved_id string")
+
+
+def test_roots_dealt_whole_and_by_key_give_the_same_graphs(spark):
+    papers, refs = _odd_library(spark)
+    roots = papers.select(F.col("id").alias("root_id")).unionByName(spark.createDataFrame([("nobody",)], ["root_id"]))
+    shown = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for depth in (1, 2):
+        whole, dealt, mixed = (graph.build_graphs(roots, papers, refs, depth, wide=wide) for wide in (256, -1, 4))
+        assert whole.spread is None and dealt.spread is not None and mixed.spread is not None
+        for part in ("nodes", "edges", "summary"):
+            want = shown(getattr(dealt, part))
+            assert want and shown(getattr(whole, part)) == want and shown(getattr(mixed, part)) == want
+
+
+def test_visits_are_dealt_once_by_root_and_never_written(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df: stored.append(df.columns) or checkpointed(df))
+    papers, refs = small(spark)
+    g = graph.build_graphs(papers.where("id = 'root'").select(F.col("id").alias("root_id")), papers, refs)
+    for part in (g.edges, g.summary):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(root_id") == 1 and plan.count("Exchange") <= 3  # the others bring requests and references together
+    assert not [c for c in stored if "key" in c or "node_id" in c]  # references and requests only
+    given = graph.build_graphs(papers.where("id = 'root'").select(F.col("id").alias("root_id")), papers, refs.drop("ref_id"), ref_id=F.concat(F.lit("ref-"), F.col("paper_id"), F.col("pos").cast("string")))
+    assert sorted(map(tuple, given.edges.collect())) == sorted(map(tuple, g.edges.collect()))
