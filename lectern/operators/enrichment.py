@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.functions import markup as M
 from lectern.functions.text import SPACE, collapse, error_kind, fold, strip
@@ -44,13 +45,14 @@ def estimate_total(estimates: DataFrame) -> DataFrame:
     return estimates.agg(F.count(F.lit(1)).alias("papers"), F.sum("page_count").cast("long").alias("pages"), F.sum("uncached").cast("long").alias("uncached"), F.sum("cached").cast("long").alias("cached"))
 
 
-ANSWER = "cache_key string, response string, status string, error string, input_tokens long, output_tokens long, duration_ms long, invalid boolean"
+RESULT = "response string, status string, error string, input_tokens long, output_tokens long, duration_ms long, invalid boolean"
+ANSWER = f"cache_key string, {RESULT}"
 
 
-def _answers(units: DataFrame, call: Callable[[dict], dict], key: str, per_second: float | None = None) -> DataFrame:
+def _answers(units: DataFrame, call: Callable[[dict], dict], keys: Sequence[str], per_second: float | None = None) -> DataFrame:
     """``call(unit)`` for every row, ``per_second`` at most in each task; a failed call is a row with its error."""
     columns = units.columns
-    names = [field.split()[0] for field in ANSWER.split(", ")]
+    shape = StructType([*[units.schema[k] for k in keys], *StructType.fromDDL(RESULT)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         due = time.monotonic()
@@ -62,32 +64,36 @@ def _answers(units: DataFrame, call: Callable[[dict], dict], key: str, per_secon
                     due = max(due, time.monotonic()) + 1 / per_second
                 try:
                     answer = call(unit)
-                    rows.append((unit[key], str(answer.get("response", "")), "completed", None, int(answer.get("input_tokens", 0)), int(answer.get("output_tokens", 0)), int(answer.get("duration_ms", 0)), False))
+                    rows.append((*[unit[k] for k in keys], str(answer.get("response", "")), "completed", None, int(answer.get("input_tokens", 0)), int(answer.get("output_tokens", 0)), int(answer.get("duration_ms", 0)), False))
                 except Exception as error:  # noqa: BLE001 - a failed unit is a row, not a crash
-                    rows.append((unit[key], None, "failed", str(error), 0, 0, 0, isinstance(error, ValueError)))
-            yield pd.DataFrame(rows, columns=names)
+                    rows.append((*[unit[k] for k in keys], None, "failed", str(error), 0, 0, 0, isinstance(error, ValueError)))
+            yield pd.DataFrame(rows, columns=shape.names)
 
-    return units.mapInPandas(run, ANSWER)
+    return units.mapInPandas(run, shape)
 
 
-def enrich(units: DataFrame, cache: DataFrame, call: Callable[[dict], dict], concurrency: int, key: str = "cache_key") -> DataFrame:
+def enrich(units: DataFrame, cache: DataFrame, call: Callable[[dict], dict], concurrency: int, key: str | Sequence[str] = "cache_key") -> DataFrame:
     """Responses for all units: stored ones, and ``call(unit)`` for the others.
 
     ``concurrency`` tasks make the calls.  A failed call becomes a row with its error class,
     so one bad unit never fails the job; append the ``completed`` fresh rows to the cache.  For a backlog
-    that takes longer than a job should, see ``enrich_backlog``.
+    that takes longer than a job should, see ``enrich_backlog``.  ``key`` may be the columns that a digest is made of: units,
+    cache and answers then meet by these, and the digest follows where it is shown.
     """
-    pending, done = split_by_cache(units, cache, key)
+    keys = [key] if isinstance(key, str) else list(key)
     # A unit that occurs twice is called once.
-    once = pending.dropDuplicates([key]).repartition(concurrency)
+    once = units.join(cache.select(*keys).distinct(), keys, "left_anti").dropna(subset=keys).dropDuplicates(keys).repartition(concurrency)
     # Answers are paid for, so they are written once and read back by whatever uses the result.
-    fresh = checkpointed(_answers(once, call, key)).withColumnRenamed("cache_key", key)
-    fresh = fresh.withColumn("error_kind", F.when(F.col("status") == "failed", error_kind(F.col("error"), F.col("invalid")))).drop("invalid")
-    stored = done.select(key).distinct().join(first_rows(cache, [key], [F.col("response")]), key).select(
-        key, "response", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"),
-        F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"), F.lit(0).cast("long").alias("duration_ms"), F.lit(None).cast("string").alias("error_kind"))
-    answers = fresh.withColumn("cache_hit", F.lit(False)).unionByName(stored.withColumn("cache_hit", F.lit(True)))
-    return units.join(answers, key)
+    fresh = checkpointed(_answers(once, call, keys))
+    fresh = fresh.select(*keys, F.struct(*[c for c in fresh.columns if c not in keys]).alias("_fresh"))
+    known = first_rows(cache, keys, [F.col("response")]).select(*keys, F.col("response").alias("_stored"), F.lit(True).alias("_hit"))
+    # Every unit meets the cache and the answers where it lies; each has one or the other.
+    met = units.join(known, keys, "left").join(fresh, keys, "left").where("_hit or _fresh is not null")
+    hit, now = F.coalesce("_hit", F.lit(False)), F.col("_fresh")
+    counts = [F.coalesce(now[c], F.lit(0).cast("long")).alias(c) for c in ("input_tokens", "output_tokens", "duration_ms")]
+    return met.select(
+        *keys, *[c for c in units.columns if c not in keys], F.when(hit, F.col("_stored")).otherwise(now["response"]).alias("response"), F.when(hit, "completed").otherwise(now["status"]).alias("status"),
+        now["error"].alias("error"), *counts, F.when(now["status"] == "failed", error_kind(now["error"], now["invalid"])).alias("error_kind"), hit.alias("cache_hit"))
 
 
 def stored_answers(spark: SparkSession, store: str, key: str = "cache_key") -> DataFrame:
@@ -114,7 +120,7 @@ def enrich_backlog(units: DataFrame, store: str, call: Callable[[dict], dict], c
     rounds = -(-pending.count() // round_size)
     for turn in range(rounds):
         now = pending.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == turn).repartition(concurrency)
-        _answers(now, call, key, per_second).withColumn("answered_at", F.current_timestamp()).write.mode("append").parquet(store)
+        _answers(now, call, [key], per_second).withColumnRenamed(key, "cache_key").withColumn("answered_at", F.current_timestamp()).write.mode("append").parquet(store)
     return units.join(stored_answers(spark, store, key), key)
 
 

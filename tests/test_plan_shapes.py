@@ -59,6 +59,11 @@ def test_enrichment_units_are_made_distinct_without_their_keys(spark):
     assert not re.search(r"Aggregate \[l_partkey#\w+, l_suppkey#\w+, cache_key", plan(q.QUERIES["enrich_units"](spark, f"{DATA}/sf0.001")))
 
 
+@driver_tables
+def test_digests_of_enrichment_units_do_not_travel(spark):
+    assert plan(q.QUERIES["enrich_units"](spark, f"{DATA}/sf0.001")).splitlines()[0].count("sha2") == plan(q.QUERIES["enrich_units"](spark, f"{DATA}/sf0.001")).count("sha2") == 1
+
+
 @driver_tables
 def test_passes_are_dealt_by_page_into_tasks_of_bounded_rows(spark):
     """The tasks that sort and join the passes grow in number with the table, not in size."""

@@ -129,6 +129,23 @@ def test_second_run_has_nothing_to_do(spark):
     assert pending.count() == 0
 
 
+def test_units_meet_the_cache_by_the_parts_of_their_key(spark):
+    """Units that repeat, a cache with several answers and none, a unit without a key, a failing call; the digest is not asked for."""
+    units = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (2, "a", "z"), (3, "b", "v"), (4, None, "w"), (5, "c", "u")], "part long, supplier string, status string")
+    cache = spark.createDataFrame([(1, "a", "second"), (1, "a", "first"), (5, "c", None)], "part long, supplier string, response string")
+
+    def call(unit):
+        if unit["part"] == 3:
+            raise ValueError("bad answer")
+        return {"response": f"{unit['part']}{unit['supplier']}", "input_tokens": 7}
+
+    got = enrichment.enrich(units, cache, call, 2, ["part", "supplier"])
+    assert got.columns == ["part", "supplier", "status", "response", "status", "error", "input_tokens", "output_tokens", "duration_ms", "error_kind", "cache_hit"]
+    assert sorted(map(tuple, got.collect())) == [
+        (1, "a", "x", "first", "completed", None, 0, 0, 0, None, True), (1, "a", "y", "first", "completed", None, 0, 0, 0, None, True), (2, "a", "z", "2a", "completed", None, 7, 0, 0, None, False),
+        (3, "b", "v", None, "failed", "bad answer", 0, 0, 0, "validation", False), (5, "c", "u", None, "completed", None, 0, 0, 0, None, True)]
+
+
 def test_terms_of_every_document(spark, monkeypatch):
     """All documents reach align_terms, those with plain answers too, which give no term."""
     from lectern import queries as q
